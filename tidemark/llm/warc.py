@@ -15,9 +15,10 @@ are always responses; among equal payloads the smallest id is the response (rows
 that repeat that id are responses as well); null ids come last; an empty table
 gives no archive records; extra columns are ignored.
 
-Scale: partial aggregate by digest, a join of headers on digest (hot digests are
-split by adaptive skew handling: both sides are plain exchanges), no payload is
-shuffled: the payload joins nothing, its header travels with it only in the scan.
+Scale: partial aggregate of headers by digest; only digests that occur twice go on
+to the join with the records, which is a broadcast while they are few and one
+shuffle of the records beyond that (hot digests are split by adaptive skew
+handling: both sides are plain exchanges).
 """
 
 from __future__ import annotations
