@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, language_id, mixing, ngram_join, quality_classifier, quality_rules, toxicity, warc
+from tidemark.llm import chat_format, decontaminate, language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity, warc
 from tidemark.llm.common import id_crc, materialise
 
 
@@ -26,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, spans=False).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialise(quality_rules.with_stats(_read(spark, sf_dir, "documents")), "stats")
     cutoffs = quality_rules.thresholds(measured, _read(spark, sf_dir, "labels"))
@@ -73,15 +77,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), packing.load_vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_format": op7_chat_format,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
+    "op10_token_packing": op10_token_packing,
 }
 
 _ESCAPED = "replace(replace({}, '~', '~0'), '<|', '~1')"
