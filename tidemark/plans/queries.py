@@ -1,6 +1,435 @@
-"""Registered queries of the listing-index operators, and their SQL."""
+"""Registered queries of the listing-index operators, and their SQL.
+
+The test tables hold no listings, so each operator runs on columns in its role; all
+queries cover their whole tables.  Where order matters, it is a column of the
+result."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark import schema as S
+from tidemark.functions import temporal as D
+from tidemark.functions import text as X
+from tidemark.functions import urls as U
+from tidemark.operators import dedupe, extract, report, snapshot
+from tidemark.plans import pipelines
+
+NOW, TODAY, AGE_NOW = "2024-01-15 12:00:00", "1998-01-01", "2024-02-01 00:00:00"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _now() -> Column:
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+def _day(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+_CODES = ", ".join(f"'{u}'" for u in S.UNIT_CODES)
+
+
+# --- temporal filters ------------------------------------------------------------
+
+
+@query(f"select event_id, event_type from events where date_trunc('minute', ts) > timestamp '{NOW}'")
+def upcoming_filter(spark, sf_dir):
+    return _t(spark, sf_dir, "events").filter(D.upcoming(_day("ts"), F.date_format("ts", "HH:mm"), _now(), "event")).select("event_id", "event_type")
+
+
+@query(f"""with t as (select *, case when event_id % 5 = 0 then 'sem hora' when event_id % 5 = 1 then '99:99' else strftime(ts, '%H:%M') end as hora from events)
+select event_id, (event_id % 11 <> 0) and (ts::date > date '2024-01-15' or (ts::date = date '2024-01-15' and (hora = 'sem hora' or hora = '99:99'
+ or date_trunc('minute', ts) > timestamp '{NOW}'))) as as_lot from t""")
+def upcoming_lots(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    hour = F.when(F.col("event_id") % 5 == 0, "sem hora").when(F.col("event_id") % 5 == 1, "99:99").otherwise(F.date_format("ts", "HH:mm"))
+    day = F.when(F.col("event_id") % 11 == 0, "2024-02-30").otherwise(_day("ts"))
+    return e.select("event_id", D.upcoming(day, hour, _now(), "lot").alias("as_lot"))
+
+
+@query(f"""select o_orderkey, case when o_orderkey % 7 = 0 then 'sem_data' when o_orderdate::date >= date '{TODAY}' then 'futuro_ou_hoje' else 'passado' end as status,
+ case when o_orderkey % 7 = 0 then 'passado' when o_orderdate::date > date '{TODAY}' then 'futuro_ou_hoje'
+  when o_orderdate::date = date '{TODAY}' then 'futuro_ou_hoje' else 'passado' end as updated from orders""")
+def status_class(spark, sf_dir):
+    day = F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(_day("o_orderdate"))
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"))
+    midnight = F.lit(f"{TODAY} 00:00:00").cast("timestamp_ntz")
+    return o.select("o_orderkey", D.status_at_scan("day", F.lit(TODAY).cast("date")).alias("status"), D.updated_status("day", F.lit(""), midnight).alias("updated"))
+
+
+@query(f"select o_orderkey, o_orderdate::date between date '{TODAY}' - 2 and date '{TODAY}' + 370 as sane from orders")
+def date_window(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", D.sane_date(_day("o_orderdate"), F.lit(TODAY).cast("date")).alias("sane"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 9 = 0 then '' else strftime(o_orderdate, '%Y-%m-%d') end as numeric_date,
+ strftime(o_orderdate, '%Y-%m-%d') as long_date from orders""")
+def date_parse(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    text = F.when(F.col("o_orderkey") % 9 == 0, "em 31/02/2024 ou 30/12/2023").otherwise(F.concat(F.lit("dia "), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(" e 01/01/2030")))
+    month = F.get(F.array(*[F.lit(m) for m in S.MONTHS]), F.month("o_orderdate") - 1)
+    long = F.concat(F.lit("Leilão: "), F.dayofmonth("o_orderdate").cast("string"), F.lit(" de "), F.upper(month), F.lit(" de "), F.year("o_orderdate").cast("string"))
+    return o.select("o_orderkey", D.parse_date(text).alias("numeric_date"), D.parse_long_date(long).alias("long_date"))
+
+
+@query("""select event_id, case when event_id % 6 = 0 then '' when event_id % 6 = 1 then strftime(ts, '%H') || ':00' else strftime(ts, '%H:%M') end as clock,
+ case when event_id % 6 = 0 then 23 * 60 + 59 when event_id % 6 = 1 then null else hour(ts) * 60 + minute(ts) end as minutes from events""")
+def hour_parse(spark, sf_dir):
+    kind = F.col("event_id") % 6
+    text = F.when(kind == 0, "às 77h99").when(kind == 1, F.concat(F.lit("às "), F.date_format("ts", "HH"), F.lit(" horas"))).otherwise(F.date_format("ts", "'inicio 'HH'h'mm"))
+    return _t(spark, sf_dir, "events").select("event_id", D.clock(text).alias("clock"), D.listed_minutes(text).cast("long").alias("minutes"))
+
+
+@query(f"""select event_id, epoch(timestamp '{AGE_NOW}')::bigint - floor(epoch(ts))::bigint as age_seconds,
+ epoch(timestamp '{AGE_NOW}')::bigint - floor(epoch(ts))::bigint between -3600 and 28800 as recent from events""")
+def age_hours(spark, sf_dir):
+    now = F.lit(AGE_NOW).cast("timestamp_ntz")
+    return _t(spark, sf_dir, "events").select("event_id", D.age_seconds(F.col("ts"), now).alias("age_seconds"), D.is_recent(F.col("ts"), now).alias("recent"))
+
+
+@query(f"""with t as (select n_nationkey, upper(n_name[1:2]) as n2, upper(r_name[1:2]) as r2 from nation join region on n_regionkey = r_regionkey)
+select n_nationkey, case when r2 in ({_CODES}) then r2 when n2 in ({_CODES}) then n2 else '' end as uf from t""")
+def code_infer(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_nationkey", D.infer_unit(F.concat(F.upper(F.substring("n_name", 1, 2)), F.lit(" x")), F.concat(F.lit("/ "), F.upper(F.substring("r_name", 1, 2)))).alias("uf"))
+
+
+# --- deduplication -----------------------------------------------------------------
+
+
+@query("select event_id, user_id, event_type, ts from events qualify row_number() over (partition by user_id, event_type order by event_id) = 1")
+def first_per_key(spark, sf_dir):
+    return dedupe.first_per_key(_t(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("event_id", "user_id", "event_type", "ts")
+
+
+@query("select event_id, user_id, event_type, ts from events qualify row_number() over (partition by user_id, event_type order by event_id desc) = 1")
+def last_per_key(spark, sf_dir):
+    return dedupe.last_per_key(_t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "event_id")
+
+
+@query("""with e as (select *, floor(value * 100)::bigint as score, case when event_id % 3 = 0 then '' else props end as note from events),
+r as (select *, score > coalesce(max(score) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), -1) as rec from e),
+o as (select *, row_number() over (partition by user_id order by case when rec then 0 else 1 end, case when rec then -event_id else event_id end) as place from r)
+select user_id, arg_min(event_id, place) as event_id, arg_min(event_type, place) as event_type, arg_min(score, place) as score,
+ coalesce(arg_min(note, place) filter (note <> ''), '') as note, min(event_id) as first_seq from o group by user_id""")
+def quality_merge(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.floor(F.col("value") * 100).cast("long").alias("score"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("props")).alias("note"))
+    return dedupe.quality_merge(e, ["user_id"], "score", ("note",), "event_id")
+
+
+@query("""with k as (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) = 1 as kept from lineitem)
+select o_orderkey, coalesce(sum(kept::int), 0)::bigint as lots from orders left join k on o_orderkey = l_orderkey group by o_orderkey""")
+def global_dedupe(spark, sf_dir):
+    lots = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("n"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("key"))
+    logs = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"))
+    return dedupe.global_dedupe(lots, logs)[1].select(F.col("n").alias("o_orderkey"), F.col("lotes").cast("long").alias("lots"))
+
+
+@query("""with a as (select l_orderkey, l_linenumber, case when l_quantity > 40 then l_quantity::bigint else 0 end as lots from lineitem),
+s as (select *, min(case when lots > 0 then l_linenumber end) over (partition by l_orderkey) as stop_pos from a)
+select l_orderkey, l_linenumber, lots, stop_pos from s where stop_pos is null or l_linenumber <= stop_pos""")
+def source_fallback(spark, sf_dir):
+    a = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 40, F.col("l_quantity").cast("long")).otherwise(0).alias("lots"))
+    return dedupe.source_fallback(a, ["l_orderkey"], "l_linenumber", "lots")
+
+
+@query(r"""with u as (select page_id, url, replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), 'www.', '') as host from pages)
+select host, page_id, row_number() over (partition by host order by length(url), url, page_id) as place from u qualify place <= 4""")
+def top_candidates(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select(U.domain("url").alias("host"), "page_id", "url")
+    top = dedupe.top_per_key(p, ["host"], [U.candidate_class("url"), F.length("url"), "url", "page_id"], 4)
+    return top.select("host", "page_id", "place")
+
+
+@query()
+def candidate_urls(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    described = F.concat(F.lit("veja "), F.col("url"), F.lit(" ou https://drive.google.com/file/d/abc; e https://www.google.com/url?q=https%3A%2F%2Fexample.org%2Fx&sa=D"))
+    return p.select("page_id", F.array_join(U.candidates(["url", described]), " ").alias("urls"))
+
+
+@query("""select doc_id, len(list_distinct(w)) as n_distinct, md5(list_aggregate(list_sort(list_distinct(w)), 'string_agg', ' ')) as digest
+from (select doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') as w from documents)""")
+def list_dedupe(spark, sf_dir):
+    words = F.array_distinct(F.filter(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ", -1), lambda w: w != ""))
+    d = _t(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    return d.select("doc_id", F.size("w").cast("long").alias("n_distinct"), F.md5(F.nullif(F.array_join(F.array_sort("w"), " "), F.lit("")).cast("binary")).alias("digest"))
+
+
+# --- joins and snapshots -------------------------------------------------------------
+
+
+@query("""with l as (select o_custkey, arg_max(o_orderpriority, o_orderkey) as p from orders group by o_custkey)
+select c_custkey, case when c_custkey % 3 = 0 then coalesce(p, '') else c_mktsegment end as segment from customer left join l on c_custkey = o_custkey""")
+def lookup_left_join(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("segment"))
+    return snapshot.lookup_left_join(c, _t(spark, sf_dir, "orders"), F.col("c_custkey"), F.col("o_custkey"), {"segment": "o_orderpriority"}, "o_orderkey")
+
+
+@query("""with l as (select o_custkey, o_orderpriority, max_by(round(o_totalprice * 100)::bigint, o_orderkey) as cents, max_by('new', o_orderkey) as state from orders where o_orderstatus = 'F' group by all)
+select o.o_orderkey, o.o_custkey, o.o_orderpriority, coalesce(l.state, 'old') as state, coalesce(l.cents, round(o.o_totalprice * 100)::bigint) as cents
+from orders o left join l on o.o_custkey = l.o_custkey and o.o_orderpriority = l.o_orderpriority""")
+def write_back(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", F.lit("old").alias("state"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    changed = o.filter("o_orderstatus = 'F'").withColumn("state", F.lit("new")).drop("o_orderstatus")
+    return snapshot.write_back(o.drop("o_orderstatus"), changed, ["o_custkey", "o_orderpriority"], "o_orderkey")
+
+
+@query("""with b as (select o_custkey::varchar as key from orders where o_orderdate < timestamp '1998-06-01'), a as (select o_custkey::varchar as key from orders where o_orderdate >= timestamp '1997-01-01')
+select (select count(*) from b) as rows_before, (select count(*) from a) as rows_after,
+ (select count(distinct key) from a where key not in (select key from b)) as new_keys, (select count(distinct key) from b where key not in (select key from a)) as removed_keys""")
+def snapshot_diff(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), "o_orderdate")
+    return snapshot.diff_counts(o.filter("o_orderdate < timestamp_ntz'1998-06-01'"), o.filter("o_orderdate >= timestamp_ntz'1997-01-01'"))
+
+
+@query("""with b as (select distinct o_custkey::varchar as key from orders where o_orderdate < timestamp '1998-06-01'), a as (select distinct o_custkey::varchar as key from orders where o_orderdate >= timestamp '1997-01-01')
+select key, 'new' as change from a where key not in (select key from b) union all select key, 'removed' from b where key not in (select key from a)""")
+def new_and_removed(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), "o_orderdate")
+    return snapshot.new_and_removed(o.filter("o_orderdate < timestamp_ntz'1998-06-01'"), o.filter("o_orderdate >= timestamp_ntz'1997-01-01'"))
+
+
+@query("""with p as (select *, case when event_id % 4 = 0 then 'preservado_apos_falha:x' else event_type end as status from events where ts < timestamp '2024-01-10'),
+f as (select event_id, user_id, event_type as status from events where ts >= timestamp '2024-01-10' and user_id % 2 = 0),
+k as (select distinct user_id from events where event_type = 'click' and user_id in (select c_custkey from customer) and user_id not in (select user_id from f))
+select event_id, user_id, status, 0 as source from f union all
+select event_id, user_id, case when status like 'preservado_apos_falha:%' then status else 'preservado_apos_falha:' || status end, 1 from p where user_id in (select user_id from k)""")
+def carry_forward(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("key", F.col("user_id"))
+    previous = e.filter("ts < timestamp_ntz'2024-01-10'").withColumn("status", F.when(F.col("event_id") % 4 == 0, S.CARRIED + "x").otherwise(F.col("event_type")))
+    fresh = e.filter("ts >= timestamp_ntz'2024-01-10' and user_id % 2 = 0").withColumn("status", F.col("event_type"))
+    current = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    out = snapshot.carry_forward(previous, current, e.filter("event_type = 'click'"), fresh)
+    return out.select("event_id", "user_id", "status", "source")
+
+
+# --- text and addresses ------------------------------------------------------------------
+
+
+@query(r"""select page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) as scheme, replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), 'www.', '') as host,
+ regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as query from pages""")
+def url_parts(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", U.scheme("url").alias("scheme"), U.domain("url").alias("host"), U.path("url").alias("path"), U.query("url").alias("query"))
+
+
+@query("select page_id, trim(regexp_replace(case when page_id % 3 = 0 then 'http://e/' || page_id else url end, '#.*$', '')) as link from pages")
+def canonical_link(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    own = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("url"))
+    return p.select("page_id", U.canonical(own, F.concat(F.lit("http://e/"), F.col("page_id").cast("string"))).alias("link"))
+
+
+@query(r"""with u as (select page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) as s, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) as h,
+ regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') as p from pages)
+select page_id, s || '://' || h || case when p = '' then '/' else p end as normalized from u""")
+def normalized_url(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", U.normalized("url").alias("normalized"))
+
+
+@query(r"""with u as (select page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as p from pages)
+select page_id, case when regexp_extract(p, '-(\d{5,})(?:[/?#]|$)', 1) <> '' then regexp_extract(p, '-(\d{5,})(?:[/?#]|$)', 1)
+ else coalesce(list_filter(string_split(p, '/'), lambda x: regexp_full_match(x, '\d{5,}'))[-1], '') end as event_id from u""")
+def url_event_id(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", U.event_id("url").alias("event_id"))
+
+
+@query(r"""select page_id, 'url:' || regexp_replace(regexp_replace(lower(url), '#.*$', ''), '/+$', '') as stable,
+ 'evento ' || page_id % 7 || '|' || '2024-01-01' as site_event, 'evento-' || page_id % 7 || '|2024-01-01' as event_date, 'lote a|' || lower(url) as title_link from pages""")
+def key_forms(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").withColumn("name", F.concat(F.lit("Evento  "), (F.col("page_id") % 7).cast("string")))
+    empty = F.lit("")
+    return p.select(
+        "page_id", U.stable_key("url", empty, empty, "name", empty, empty).alias("stable"), U.site_event_key("name", F.lit("2024-01-01")).alias("site_event"),
+        U.event_date_key("name", F.lit("2024-01-01")).alias("event_date"), U.title_link_key(F.lit("Lote A"), "url").alias("title_link"),
+    )
+
+
+@query(r"select p_partkey, coalesce(nullif(trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'lote') as slug from part")
+def slug(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", X.slugify("p_name").alias("slug"))
+
+
+@query(r"select doc_id, md5(trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '\s+', ' ', 'g'))) as folded from documents")
+def fold_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(X.fold("text").cast("binary")).alias("folded"))
+
+
+@query(r"""with s as (select doc_id, regexp_extract_all(text, '(?:^|\n)(\S+)', 1) as n, regexp_split_to_array(text, '(?:^|\n)\S+')[2:] as b from documents),
+u as (select doc_id, unnest(range(len(n))) as pos, n, b from s)
+select doc_id, pos, n[pos + 1] as number, length(b[pos + 1]) as body_chars from u""")
+def text_segments(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.segments(F.col("text"), r"(?:^|\n)(\S+)")).alias("pos", "part"))
+    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("part.number").alias("number"), F.length("part.body").cast("long").alias("body_chars"))
+
+
+@query(r"""select l_orderkey, l_linenumber, l_partkey::varchar as number, 'R$ ' || l_suppkey || ',00' as price, l_linenumber % 5 = 0 as clause from lineitem""")
+def lot_and_price(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    text = F.concat(F.lit("Apto, LOTE "), F.col("l_partkey").cast("string"), F.lit(" por R$ "), F.col("l_suppkey").cast("string"), F.lit(",00 ou R$ 9,99"))
+    number = F.when(F.col("l_linenumber") % 5 == 0, "9.19").otherwise("9.1")
+    return li.select("l_orderkey", "l_linenumber", X.lot_number(text).alias("number"), X.price(text).alias("price"), X.is_clause(number).alias("clause"))
+
+
+@query("select doc_id, sha256(text) as hash from documents")
+def content_hash(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+
+
+# --- HTML and JSON ---------------------------------------------------------------------------
+
+
+@query(r"""with l as (select page_id, regexp_extract_all(html, '<a\s[^>]*href="([^"]+)"[^>]*>', 1) as h from pages)
+select page_id, count(*) as links, count(distinct href) as hrefs from (select page_id, unnest(h) as href from l) group by page_id""")
+def html_links(spark, sf_dir):
+    rows = extract.html_pages(_t(spark, sf_dir, "pages")).select("page_id", F.explode("links.href").alias("href"))
+    return rows.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("hrefs"))
+
+
+@query()
+def html_visible(spark, sf_dir):
+    return extract.html_pages(_t(spark, sf_dir, "pages")).select("page_id", "title", F.size("visible").alias("pieces"), F.md5(F.array_join("visible", "\n").cast("binary")).alias("digest"))
+
+
+@query()
+def html_clean(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", X.clean_html("html").alias("text"))
+
+
+@query()
+def link_judgement(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    rows = extract.html_pages(p, keep=("page_id", "url"))
+    return extract.page_links(rows, "url").select("page_id", "pos", "href", "label", "link", "is_lot")
+
+
+@query("""select event_id, 0 as pos, '$' as path, (props::json ->> '$.k')::bigint as k from events""")
+def json_walk(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "props")
+    rows = extract.json_objects(e, "props", ("event_id", "props"))
+    return rows.select("event_id", "pos", "path", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query(r"""with t as (select page_id, case page_id % 5 when 0 then 200 when 1 then 403 when 2 then 404 when 3 then 0 else 200 end as code, page_id % 5 = 4 as challenge from pages)
+select page_id, case when code = 403 or challenge then 'bloqueado_' else '' end || case when code = 0 then 'erro' else 'http_' || code end as status from t""")
+def capture_status(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    k = F.col("page_id") % 5
+    page = F.when(k == 4, F.concat(F.lit("<title>Just a  moment</title>"), F.col("html"))).otherwise(F.col("html"))
+    return p.select("page_id", extract.capture_status(F.when(k == 1, 403).when(k == 2, 404).when(k == 3, 0).otherwise(200), page).alias("status"))
+
+
+# --- reports and gates -------------------------------------------------------------------------
+
+
+@query("select event_type as value, count(*) as n, row_number() over (order by count(*) desc, min(event_id)) as rank from events group by event_type")
+def most_common(spark, sf_dir):
+    return report.most_common(_t(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+_LOGS_SQL = """with logs as (select event_id as n, user_id, event_type, case event_id % 6 when 0 then 'bloqueado_http_403' when 1 then 'http_404' when 2 then 'erro' when 3 then 'sem_link' else 'html_ok' end as status,
+ case when event_id % 6 >= 4 then event_id % 10 else 0 end as lotes from events)"""
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 6
+    status = F.when(k == 0, "bloqueado_http_403").when(k == 1, "http_404").when(k == 2, "erro").when(k == 3, "sem_link").otherwise("html_ok")
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("n"), "user_id", "event_type", status.alias("status"), F.when(k >= 4, F.col("event_id") % 10).otherwise(0).alias("lotes"))
+
+
+@query(_LOGS_SQL + """ select count(*) as analysed, count_if(lotes > 0) as with_lots, count_if(lotes = 0) as without_lots, count_if(status in ('erro', 'bloqueado_http_403')) as errors,
+ count_if(status = 'bloqueado_http_403') as blocked, count_if(status in ('sem_link', 'http_404')) as invalid from logs""")
+def outcome_counters(spark, sf_dir):
+    return report.outcome_counters(_logs(spark, sf_dir))
+
+
+@query(r"""with p as (select replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), 'www.', '') as h, page_id % 4 as k, page_id % 10 as lotes from pages)
+select case when h = '' then 'sem_link' else h end as host, sum(lotes)::bigint as lots, count_if(k = 0) as errors from p group by all having sum(lotes) > 0 or count_if(k = 0) > 0""")
+def host_counts(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("url", F.when(F.col("page_id") % 4 == 0, "erro").otherwise("html_ok").alias("status"), (F.col("page_id") % 10).alias("lotes"))
+    return report.host_counts(p, "url")
+
+
+@query(_LOGS_SQL + """, a as (select n as seq, unnest([0, 1]) as pos, status, lotes from logs), f as (select seq, pos, 'u' || seq || '/' || pos as url, status from a
+ where lotes = 0 and status in ('erro', 'bloqueado_http_403', 'http_404'))
+select seq, pos, url, status, row_number() over (order by seq, pos) as rank from f order by seq, pos limit 500""")
+def failed_attempts(spark, sf_dir):
+    attempt = lambda k: F.struct(F.concat(F.lit("u"), F.col("n").cast("string"), F.lit(f"/{k}")).alias("url"), "status", F.lit(None).cast("int").alias("http"), F.col("lotes").cast("int").alias("lotes"))
+    logs = _logs(spark, sf_dir).select("n", F.array(attempt(0), attempt(1)).alias("fontes_tentadas"))
+    return report.failed_attempts(logs)
+
+
+@query(f"""with e as (select *, ts > timestamp '{NOW}' as is_future, event_type = 'view' as is_yard from events)
+select count(*) as total_rows, count_if(not is_yard) as events, count_if(is_future) as future, count_if(is_yard) as yards, count_if(is_future and user_id % 2 = 0) as with_link,
+ count_if(is_future and event_type = 'click') as date_from_notice, count_if(is_future and event_type <> 'click') as date_from_site from e""")
+def event_summary(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    rows = e.select(
+        F.col("event_id").alias("seq"), (F.col("ts") > _now()).alias("is_future"), (F.col("event_type") == "view").alias("is_yard"), (F.col("event_type") != "view").alias("is_event"),
+        F.when(F.col("user_id") % 2 == 0, "l").otherwise("").alias("link"), F.when(F.col("event_type") == "click", "edital_pdf").otherwise("site").alias("fonte_data_hora"),
+        F.lit("SP").alias("uf"), _day("ts").alias("data"),
+    )
+    return report.summary(rows).drop("by_unit", "by_date")
+
+
+@query("""with t as (select o_orderstatus, count(*) as n, count_if(o_totalprice > 100000) as c from orders group by o_orderstatus)
+select o_orderstatus, case when n < 10 then 'few_events' else '' end as events_fault,
+ case when n < greatest(25, floor((n + c) / 20)) then 'few_lots' when c <= 0 then 'nothing_read' else '' end as lots_fault,
+ n >= 10 and c > 0 as all_ok from t""")
+def quality_gates(spark, sf_dir):
+    t = _t(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 100000).alias("c"))
+    n, c, yes = F.col("n"), F.col("c"), F.lit(True)
+    ok, _ = report.checks_status({"events": n >= 10, "lots": c > 0})
+    return t.select("o_orderstatus", report.event_gate(n, yes).alias("events_fault"), report.lot_gate(yes, n, n, n, n + c, c, F.lit(0)).alias("lots_fault"), ok.alias("all_ok"))
+
+
+# --- the flagship --------------------------------------------------------------------------------
+
+
+@query(f"""with l as (select event_id as seq, case when event_id % 4 = 0 then 'Lote ' || event_id % 9 else event_type || ' ' || props end as titulo, case when event_id % 5 = 0 then '' else props end as descricao,
+  strftime(ts, '%Y-%m-%d') as data, strftime(ts, '%H:%M') as hora, case user_id % 3 when 0 then 'SP' when 1 then '' else 'RJ' end as uf, user_id::varchar as evento,
+  'http://h.example/' || user_id % 97 || '/' || event_type as link, case when event_id % 2 = 0 then '' else (event_id % 50)::varchar end as lote from events where date_trunc('minute', ts) > timestamp '{NOW}'),
+c as (select c_custkey::varchar as nome, strftime(date '2024-01-16' + (c_custkey % 10)::int, '%Y-%m-%d') as dia, c_mktsegment, c_name from customer),
+j as (select l.*, coalesce(c_mktsegment, '') as link_edital, coalesce(c_name, '') as resumo_edital,
+  20 * case when seq % 4 = 0 then 0 else length(titulo) end + length(descricao) as score from l left join c on evento = nome and data = dia),
+r as (select *, score > coalesce(max(score) over (partition by link order by seq rows between unbounded preceding and 1 preceding), -1) as rec from j),
+o as (select *, row_number() over (partition by link order by case when rec then 0 else 1 end, case when rec then -seq else seq end) as place from r),
+m as (select link, arg_min(titulo, place) as titulo, arg_min(descricao, place) as descricao, arg_min(data, place) as data, arg_min(hora, place) as hora, arg_min(uf, place) as uf, arg_min(evento, place) as evento,
+  coalesce(arg_min(lote, place) filter (lote <> ''), '') as lote, coalesce(arg_min(link_edital, place) filter (link_edital <> ''), '') as link_edital,
+  coalesce(arg_min(resumo_edital, place) filter (resumo_edital <> ''), '') as resumo_edital, min(seq) as first_seq from o group by link)
+select titulo, descricao, data, hora, uf, evento, lote, link_edital, resumo_edital, first_seq, row_number() over (order by data, hora, uf, first_seq) as rank from m""")
+def site_plan(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    text = lambda c: F.col(c).cast("string")
+    lots = e.select(
+        F.col("event_id").alias("seq"),
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Lote "), (F.col("event_id") % 9).cast("string"))).otherwise(F.concat_ws(" ", "event_type", "props")).alias("titulo"),
+        F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("props")).alias("descricao"), _day("ts").alias("data"), F.date_format("ts", "HH:mm").alias("hora"),
+        F.when(F.col("user_id") % 3 == 0, "SP").when(F.col("user_id") % 3 == 1, "XX").otherwise("RJ").alias("uf"), text("user_id").alias("evento"),
+        F.concat(F.lit("http://h.example/"), (F.col("user_id") % 97).cast("string"), F.lit("/"), F.col("event_type"), F.lit("#"), text("event_id")).alias("link_lote"),
+        F.when(F.col("event_id") % 2 == 0, "").otherwise((F.col("event_id") % 50).cast("string")).alias("lote"),
+        *[F.lit("").alias(c) for c in ("foto_lote", "link_edital", "resumo_edital", "link_evento", "lance_atual")],
+    )
+    day = F.date_format(F.date_add(F.lit("2024-01-16").cast("date"), (F.col("c_custkey") % 10).cast("int")), "yyyy-MM-dd")
+    events = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), text("c_custkey").alias("nome"), day.alias("data"), F.col("c_mktsegment").alias("link_edital"), F.col("c_name").alias("resumo_edital"), F.lit("").alias("link"))
+    return pipelines.site(lots, events, NOW).select("titulo", "descricao", "data", "hora", "uf", "evento", "lote", "link_edital", "resumo_edital", "first_seq", "rank")
