@@ -187,17 +187,21 @@ def word_scores(w: Words, model: dict) -> np.ndarray:
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best label of each word: the sum of scores less ``switch`` a change."""
     n, k = scores.shape
-    best, back = scores[0].astype(np.float64), np.zeros((n, k), np.int32)
-    for t in range(1, n):
-        top = int(best.argmax())
-        stay = best >= best[top] - switch
-        back[t] = np.where(stay, np.arange(k), top)
-        best = np.where(stay, best, best[top] - switch) + scores[t]
-    labels = np.empty(n, np.int32)
-    labels[-1] = best.argmax()
+    best = scores[0].astype(np.float64).tolist()
+    tops, stays = [0] * n, [()] * n
+    for t, row in enumerate(scores[1:].astype(np.float64).tolist(), 1):
+        top = max(best)
+        least = top - switch
+        tops[t] = best.index(top)
+        stays[t] = [x >= least for x in best]
+        best = [(x if x >= least else least) + y for x, y in zip(best, row, strict=True)]
+    labels = [0] * n
+    now = labels[-1] = best.index(max(best))
     for t in range(n - 1, 0, -1):
-        labels[t - 1] = back[t, labels[t]]
-    return labels
+        if not stays[t][now]:
+            now = tops[t]
+        labels[t - 1] = now
+    return np.array(labels, np.int32)
 
 
 def label_words(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -207,22 +211,28 @@ def label_words(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -
     full = np.flatnonzero(count)
     if not len(full):
         return labels
-    starts = first[:-1][full]
+    starts, count = first[:-1][full], count[full]
+    ends = starts + count
     best = np.add.reduceat(scores.astype(np.float64), starts, axis=0).argmax(axis=1)
-    of_text = np.repeat(np.arange(len(full)), count[full])
+    of_text = np.repeat(np.arange(len(full)), count)
     labels[:] = best[of_text]
-    # no excursion to another language gains half a switch: the constant path is optimal
-    base = scores[np.arange(len(scores)), labels]
-    gain = np.full(len(full), 0.0)
-    for k in range(scores.shape[1]):
-        d = np.clip((scores[:, k] - base).astype(np.float64), -1e3, 1e3)
-        run = np.concatenate(([0.0], np.cumsum(d)))
-        low = run[:-1] - of_text * 1e7  # falls from text to text, so minima start anew
-        low = np.minimum.accumulate(low) + of_text * 1e7
-        np.maximum(gain, np.maximum.reduceat(run[1:] - low, starts), out=gain)
-    for i in np.flatnonzero(gain > switch / 2):
-        lo, hi = starts[i], starts[i] + count[full][i]
-        labels[lo:hi] = viterbi(scores[lo:hi], switch)
+    if scores.shape[1] < 2:
+        return labels
+    # what leaving the best single language could gain at each word
+    word = np.arange(len(scores))
+    base = scores[word, labels].astype(np.float64)
+    others = scores.copy()
+    others[word, labels] = -np.inf
+    run = np.concatenate(([0.0], np.cumsum(np.clip(others.max(axis=1) - base, -1e3, 1e3))))
+    fall = of_text * 4e3 * len(scores)  # lets running minima start anew in each text
+    low = np.minimum.accumulate(run[:-1] - fall) + fall
+    inner = np.maximum.reduceat(run[1:] - low, starts)
+    front = np.maximum.reduceat(run[1:], starts) - run[starts]
+    back = run[ends] - np.minimum.reduceat(run[:-1], starts)
+    # an excursion costs a switch at each end that lies inside the text, so texts
+    # where none pays keep their one language; the others are decoded
+    for i in np.flatnonzero((inner > 2 * switch) | (front > switch) | (back > switch)):
+        labels[starts[i] : ends[i]] = viterbi(scores[starts[i] : ends[i]], switch)
     return labels
 
 
@@ -254,8 +264,8 @@ def predict(texts: list[str | None], model: dict, spans: bool = True) -> list[tu
         ends = np.cumsum([len(c) for c in cut[lo:hi]])
         first = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], ends))]
         labels = label_words(scores, first)
-        shares = np.zeros((hi - lo, len(model["langs"])))
-        np.add.at(shares, (np.repeat(np.arange(hi - lo), np.diff(first)), labels), letters)
+        k = len(model["langs"])
+        shares = np.bincount(np.repeat(np.arange(hi - lo), np.diff(first)) * k + labels, letters, minlength=(hi - lo) * k).reshape(hi - lo, k)
         for i in range(hi - lo):
             a, b = first[i], first[i + 1]
             if a == b:
@@ -275,12 +285,13 @@ def predict(texts: list[str | None], model: dict, spans: bool = True) -> list[tu
     return out
 
 
-def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), spans: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), spans: bool = True, with_text: bool = False) -> DataFrame:
     """The ``keep`` columns of ``docs`` with lang_pred, score and spans (empty
-    unless asked for); the text column is ``text``."""
+    unless asked for), and ``text`` if asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col("text"))
-    schema = f"kept {kept.schema['kept'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
+    text = ", text string" if with_text else ""
+    schema = f"kept {kept.schema['kept'].dataType.simpleString()}{text}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +299,7 @@ def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",),
             if not batch.num_rows:
                 continue
             got = predict(batch.column(1).to_pylist(), shared.value, spans)
-            columns = [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], span)]
-            yield pa.RecordBatch.from_arrays(columns, names=["kept", "lang_pred", "score", "spans"])
+            columns = [*batch.columns[: 1 + with_text], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], span)]
+            yield pa.RecordBatch.from_arrays(columns, names=["kept", "text", "lang_pred", "score", "spans"] if with_text else ["kept", "lang_pred", "score", "spans"])
 
-    return kept.mapInArrow(label, schema).select("kept.*", "lang_pred", "score", "spans")
+    return kept.mapInArrow(label, schema).select("kept.*", *["text"] * with_text, "lang_pred", "score", "spans")
