@@ -68,20 +68,21 @@ def apportion(sources: DataFrame, block_tokens: int) -> DataFrame:
     added at the highest open quotients or taken back at the lowest won ones."""
     all_rows = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     first = F.floor(F.col("target") / block_tokens + 0.5).cast("long")
-    s = sources.withColumn("first", first)
+    s = sources.withColumns({"first": first, "rank": F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))})
     house = F.floor(F.sum("target").over(all_rows) / block_tokens + 0.5).cast("long")
     s = s.withColumn("lack", house - F.sum("first").over(all_rows))
     # |lack| candidates a source are enough for any outcome; |lack| is at most half the number of sources
     steps = F.sequence(F.lit(1), F.greatest(F.abs("lack"), F.lit(1)).cast("int"))
-    c = s.select("source", "target", "first", "lack", F.explode(steps).alias("step")).filter((F.col("lack") > 0) | ((F.col("lack") < 0) & (F.col("first") >= F.col("step"))))
+    c = s.select("source", "target", "rank", "first", "lack", F.explode(steps).alias("step")).filter((F.col("lack") > 0) | ((F.col("lack") < 0) & (F.col("first") >= F.col("step"))))
     quotient = F.col("target") / F.when(F.col("lack") > 0, 2 * (F.col("first") + F.col("step")) - 1).otherwise(2 * (F.col("first") - F.col("step")) + 1)
     c = c.withColumn("quotient", quotient)
     best = F.when(F.col("lack") > 0, -F.col("quotient")).otherwise(F.col("quotient"))
-    place = F.row_number().over(W.orderBy(best, F.col("source").asc_nulls_last(), F.col("step")))
+    # on ties the earlier source wins
+    place = F.row_number().over(W.orderBy(best, F.when(F.col("lack") > 0, F.col("rank")).otherwise(-F.col("rank")), F.col("step")))
     moved = c.withColumn("place", place).filter(F.col("place") <= F.abs("lack")).groupBy("source").agg(F.sum(F.signum("lack").cast("long")).alias("moved"))
     moved = moved.withColumnRenamed("source", "moved_source")
     joined = s.join(moved, s["source"].eqNullSafe(moved["moved_source"]), "left")
-    return joined.withColumn("blocks", F.col("first") + F.coalesce("moved", F.lit(0))).drop("first", "lack", "moved", "moved_source")
+    return joined.withColumn("blocks", F.col("first") + F.coalesce("moved", F.lit(0))).drop("first", "rank", "lack", "moved", "moved_source")
 
 
 def mix(
@@ -126,15 +127,15 @@ def mix(
     prime = F.when(F.col("n") % prime == 0, F.lit(1).cast("long")).otherwise(prime)
     rows = rows.withColumns({"turn": turn % F.col("n"), "prime": prime, "start": F.col("end") - F.col("size")})
     # block i covers [i * length // n, (i + 1) * length // n)
-    n, length = F.col("n"), F.col("length")
+    n, length = F.col("n"), F.nullif(F.col("length"), F.lit(0))
     lo = F.greatest(F.lit(0), F.floor(F.col("start") * n / length) - 1).cast("long")
     hi = F.least(n - 1, F.floor(F.col("end") * n / length) + 1).cast("long")
-    border = lambda i: F.expr("0") + F.floor(i * length / n).cast("long")
+    border = lambda i: F.floor(i * length / n).cast("long")
     part = lambda i: F.greatest(F.lit(0), F.least(F.col("end"), border(i + 1)) - F.greatest(F.col("start"), border(i)))
     chosen = lambda i: (i * F.col("prime") + F.col("turn")) % n < F.col("quota") % n
     once_more = F.aggregate(F.sequence(lo, hi), F.lit(0).cast("long"), lambda acc, i: acc + F.when(chosen(i), part(i)).otherwise(F.lit(0)).cast("long"))
     whole = F.floor(F.col("quota") / n).cast("long") * F.col("size")
-    taken = F.when((F.col("size") == 0) | (length == 0), F.lit(0)).otherwise(whole + F.when(F.col("quota") % n == 0, F.lit(0)).otherwise(once_more))
+    taken = F.when((F.col("size") == 0) | length.isNull(), F.lit(0)).otherwise(whole + F.when(F.col("quota") % n == 0, F.lit(0)).otherwise(once_more))
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 
 
@@ -142,9 +143,9 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The mix as documents with the columns of ``docs``: each document as often
     as the words taken of it come nearest to (half up), none where they come
     nearest to zero."""
-    columns = docs.columns
-    counts = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.sum("size").alias("mix_size"))
-    times = F.floor(F.col("mix_taken") / F.col("mix_size") + 0.5).cast("int")
-    counts = counts.filter(F.col("mix_taken") > 0).select(F.col("doc_id").alias("mix_id"), times.alias("mix_times")).filter("mix_times > 0")
-    out = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("mix_id")))
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*columns)
+    names = {k: f"_tidemark_{k}" for k in ("id", "times", "copy")}
+    counts = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = F.floor(F.col("taken") / F.nullif(F.col("size"), F.lit(0)) + 0.5).cast("int")
+    counts = counts.select(F.col("doc_id").alias(names["id"]), times.alias(names["times"])).filter(F.col(names["times"]) > 0)
+    out = docs.join(counts, docs["doc_id"].eqNullSafe(F.col(names["id"])))
+    return out.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["times"])))).select(*docs.columns)

@@ -318,6 +318,11 @@ def join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECAL
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
-    """``docs`` with one document of each class: the one whose id names it."""
-    kept = join(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """``docs`` with one document of each class: the one whose id names it (one row
+    of it, where rows repeat)."""
+    own = join(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = materialise(own.groupBy(F.col("doc_id").alias("_tidemark_id")).agg(F.count("*").alias("_tidemark_n")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_tidemark_id"))
+    single = docs.join(kept.filter("_tidemark_n = 1 or _tidemark_id is null"), same, "left_semi")
+    repeated = kept.filter("_tidemark_n > 1 and _tidemark_id is not null")
+    return single if repeated.isEmpty() else single.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -3,11 +3,14 @@
 Each rule is a statistic of a text that speaks against it when large (or when
 small).  For every stratum (a language) and rule, cutoffs from a fixed grid are
 tried on labelled holdouts: the exact (Clopper-Pearson) upper bound on the share
-of good documents rejected must stay under the rule's risk.  The error level is
-divided by all cutoffs of all rules and strata (Bonferroni), so that with
-probability ``1 - delta`` no chosen cutoff rejects more good documents of its
-stratum than its risk; the rules' risks add up to ``risk``.  The strictest cutoff
-that passes is taken; where none passes, the rule stays silent.
+of good documents rejected must stay under the rule's risk.  Cutoffs are tested in
+a fixed order, from loose to strict, up to the first that fails, which needs no
+correction within a rule; the error level is divided by rules and strata
+(Bonferroni).  So with probability ``1 - delta`` no chosen cutoff rejects more good
+documents of its stratum than its risk; the rules' risks add up to ``risk``.  Of the
+cutoffs that pass, a stricter one is taken only where what it rejects beyond the
+looser one is bad documents, at least ``GAIN`` for each good one; where none passes,
+the rule stays silent.
 
 Statistics are made in one map over whole texts, exactly: words are interned to
 integers, windows of three are packed without hashing.
@@ -34,7 +37,9 @@ from pyspark.sql import functions as F
 
 #: Share of good documents of a stratum that all rules together may reject, and
 #: the probability that this fails.
-RISK, DELTA = 0.02, 0.05
+RISK, DELTA = 0.05, 0.05
+#: Bad documents that a stricter cutoff must reject for each good one.
+GAIN = 20
 SYMBOLS = "#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_distinct long, n_letters long"
 
@@ -47,8 +52,6 @@ RULES = (
     ("upper", "n_upper / greatest(n_letters, 1)", GRID),
     ("dup_lines", "n_dup_lines / greatest(n_words, 1)", GRID),
     ("poor_words", "1 - n_distinct / greatest(n_words, 1)", GRID),
-    ("short_words", "1 / greatest(word_chars / greatest(n_words, 1), 1)", GRID),
-    ("long_words", "word_chars / greatest(n_words, 1) / 50", GRID),
 )
 
 
@@ -148,7 +151,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, de
         F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")
     )
     strata = max(1, held.select("stratum").distinct().count())
-    level = delta / (strata * len(RULES) * len(GRID))
+    level = delta / (strata * len(RULES))
     allowed = risk / len(RULES)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,12 +160,13 @@ def thresholds(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, de
         for r in pdf.itertuples():
             good[r.reached] += r.good
             bad[r.reached] += r.bad
-        cutoff = None
+        cutoff, new_bad, new_good = None, 0, 0
         for k in range(len(GRID) - 1, -1, -1):  # from loose to strict; a cutoff at index k rejects values that reach more than k
             if binomial_upper(int(good[k + 1 :].sum()), int(good.sum()), level) > allowed:
                 break
-            if bad[k + 1 :].sum():  # a step that catches nothing more is not taken
-                cutoff = GRID[k] if cutoff is None or bad[k + 1] else cutoff
+            new_bad, new_good = new_bad + int(bad[k + 1]), new_good + int(good[k + 1])
+            if new_bad and new_bad >= GAIN * new_good:
+                cutoff, new_bad, new_good = GRID[k], 0, 0
         return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "rule": [pdf["rule"].iloc[0]], "cutoff": pd.array([cutoff], dtype="Float64")})
 
     chosen = steps.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double")

@@ -129,10 +129,10 @@ s2 as (select *,
 s3 as (select *, min((most < weight * level)::int) over (order by most / weight, source nulls last rows between unbounded preceding and current row) = 1 as capped from s2),
 s4 as (select *, least(most, case when capped then most else coalesce(weight * (sum(source_size::double) over () - sum(case when capped then most else 0 end) over ())
   / nullif(sum(case when capped then 0 else weight end) over (), 0), 0) end) as target from s3),
-s5 as (select *, floor(target / 16 + 0.5)::bigint as first from s4),
+s5 as (select *, floor(target / 16 + 0.5)::bigint as first, row_number() over (order by source nulls last) as rnk from s4),
 s6 as (select *, floor(sum(target) over () / 16 + 0.5)::bigint - sum(first) over () as lack from s5),
 q as (select source, lack, row_number() over (order by
-    case when lack > 0 then -(target / (2 * (first + step) - 1)) else target / (2 * (first - step) + 1) end, source nulls last, step) as place
+    case when lack > 0 then -(target / (2 * (first + step) - 1)) else target / (2 * (first - step) + 1) end, case when lack > 0 then rnk else -rnk end, step) as place
   from (select *, unnest(range(1, greatest(abs(lack), 1)::bigint + 1)) as step from s6) where lack > 0 or (lack < 0 and first >= step)),
 m as (select source, sum(sign(lack))::bigint as moved from q where place <= abs(lack) group by source),
 p as (select s6.source, source_size, target, (first + coalesce(moved, 0))::bigint as blocks, greatest(1, ceil(source_size / 65536))::bigint as shards
