@@ -237,7 +237,6 @@ def test_candidates_against_exact_cosines(spark):
     index = decontaminate.Index(decontaminate.query_passages([(i, t, None) for i, t in items]))
     decontaminate.fit(spark.createDataFrame(docs, "doc_id long, text string"), [index])
     hashes, first = decontaminate.word_hashes([t for _, t in docs])
-    exact = 0
     got = {(t, a, q) for t, a, q, _ in zip(*(x.tolist() for x in decontaminate.candidates(index, hashes, first)), strict=True)}
     wanted = set()
     queries = index.query_matrix()

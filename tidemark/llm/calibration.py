@@ -29,7 +29,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     sd = np.where(sd > 1e-12, sd, 1.0)
     if y.min() == y.max():
         return {"mean": mean, "sd": sd, "beta": None, "constant": float((y.sum() + 0.5) / (len(y) + 1))}
-    z = form(np.clip((x - mean) / sd, -8, 8))
+    low, high = x.min(axis=0), x.max(axis=0)
+    z = form((x - mean) / sd)
     beta, pull = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
     pull[0] = 1e-6
     for _ in range(steps):
@@ -39,13 +40,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
         beta = beta + move * min(1.0, 5.0 / max(np.abs(move).max(), 1e-12))
         if np.abs(move).max() < 1e-6:
             break
-    return {"mean": mean, "sd": sd, "beta": beta, "constant": 0.5, "products": products}
+    return {"mean": mean, "sd": sd, "beta": beta, "constant": 0.5, "products": products, "low": low, "high": high}
 
 
 def apply_logistic(model: dict, x: np.ndarray) -> np.ndarray:
-    """Probabilities of label 1."""
+    """Probabilities of label 1.  Features are held within the range seen when
+    fitting: nothing is extrapolated."""
     if model["beta"] is None:
         return np.full(len(x), model["constant"])
     form = expand if model["products"] else plain
-    z = form(np.clip((x - model["mean"]) / model["sd"], -8, 8))
+    z = form((np.clip(x, model["low"], model["high"]) - model["mean"]) / model["sd"])
     return 1 / (1 + np.exp(-np.clip(z @ model["beta"], -30, 30)))

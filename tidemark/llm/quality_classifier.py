@@ -3,7 +3,7 @@
 Two Zstandard dictionaries are built, from good and from bad labelled text.  A
 text, in pieces of about two thousand bytes, is compressed with each dictionary
 and with none; the normalised difference of the compressed sizes (with the plain
-ratio and the dictionaries' gain beside it) is calibrated to a probability that
+ratio and the length beside it) is calibrated to a probability that
 the text's label is 1.
 
 Defined results: null and empty texts get the calibrated score of zero features;
@@ -59,13 +59,13 @@ class Scorer:
     def features(self, text: str | None) -> tuple[float, ...]:
         parts = pieces(text)
         if not parts:
-            return (0.0, 0.0, 0.0, 0.0)
+            return (0.0, 0.0, 0.0)
         plain, good, bad = (sum(len(c.compress(p)) for p in parts) for c in self.by)
         total = sum(map(len, parts))
-        return (bad - good) / (bad + good), np.log(plain / total), np.log(min(good, bad) / plain), np.log1p(total)
+        return (bad - good) / (bad + good), np.log(plain / total), np.log1p(total)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return apply_logistic(self.model["calibration"], np.array([self.features(t) for t in texts]).reshape(-1, 4))
+        return apply_logistic(self.model["calibration"], np.array([self.features(t) for t in texts]).reshape(-1, 3))
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -114,13 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> dict:
         scorer = Scorer(shared.value)
         for batch in batches:
             got = [(q, *scorer.features(t)) for q, t, builds in zip(*(c.to_pylist() for c in batch.columns), strict=True) if not builds]
-            columns = list(zip(*got, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=["quality", "a", "b", "c", "d"])
+            columns = list(zip(*got, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=["quality", "a", "b", "c"])
 
-    seen = sample.mapInArrow(measure, "quality int, a double, b double, c double, d double").orderBy("quality", "a", "b", "c", "d").toPandas()
+    seen = sample.mapInArrow(measure, "quality int, a double, b double, c double").orderBy("quality", "a", "b", "c").toPandas()
     shared.unpersist()
     y = seen["quality"].to_numpy(float)
-    calibration = fit_logistic(seen[["a", "b", "c", "d"]].to_numpy(float), y)
+    calibration = fit_logistic(seen[["a", "b", "c"]].to_numpy(float), y)
     if len(y) and y.min() < y.max():  # the classes were sampled at different rates: back to the labels' own odds
         counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
         calibration["beta"][0] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
