@@ -249,9 +249,8 @@ def test_candidates_against_exact_cosines(spark):
             np.add.at(v, term[term >= 0], 1)
             v *= index.idf
             norm = math.sqrt(sum(float(index.idf[x]) ** 2 if x >= 0 else index.rarest**2 for x in term))
-            wanted |= {(t, a, q) for q in np.flatnonzero(queries @ v >= 0.35 * norm).tolist()}
-            exact += 1
-    assert exact and wanted and len(wanted & got) >= 0.9 * len(wanted)
+            wanted |= {(t, a, q) for q in np.flatnonzero(queries @ v >= 0.35 * max(norm, 1e-9)).tolist()}
+    assert len(wanted) > 100 and len(wanted & got) >= 0.99 * len(wanted)
 
 
 # --- quality rules ---------------------------------------------------------------------
