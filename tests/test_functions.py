@@ -147,6 +147,18 @@ def test_ages(one):
     assert [one(D.is_recent(moment(m), now())) for m in ("2026-07-14 08:00:00", "2026-07-14 07:59:59", "2026-07-14 17:00:00", "2026-07-14 17:00:01")] == [True, False, True, False]
 
 
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [("2026-07-24T10:00:00Z", "2026-07-24 10:00"), ("2026-07-24T10:00:00-0300", "2026-07-24 13:00"), ("2026-07-24T10:00", "2026-07-24 13:00"), ("2026-07-24", None), ("2026-02-30T10:00", None), ("x", None)],
+)
+def test_parse_moment(one, value, want):
+    assert one(F.date_format(D.parse_moment("v"), "yyyy-MM-dd HH:mm"), v=value) == want
+
+
+def test_version(one):
+    assert one(D.version(now())) == "v2026.07.14.1600"
+
+
 def test_infer_unit(one):
     for text, want in (("Patio - SP", "SP"), ("Rua A, XX, RJ", "RJ"), ("em MG hoje", "MG"), ("sp", ""), ("ES/SC", "SC"), ("", "")):
         assert one(D.infer_unit("v"), v=text) == want, text

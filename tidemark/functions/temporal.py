@@ -97,6 +97,21 @@ def sane_date(day: Column | str, today: Column) -> Column:
     return F.coalesce(d.between(F.date_sub(today, 2), F.date_add(today, 370)), F.lit(False))
 
 
+def parse_moment(c: Column | str) -> Column:
+    """A timestamp from ISO text, null for other text; without a zone it is local time
+    of the listings."""
+    v = F.trim(_column(c))
+    iso = v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?$")
+    zoned = v.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    whole = F.when(zoned, F.regexp_replace(v, r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.concat(v, F.when(v.rlike(r":\d{2}:\d{2}"), "").otherwise(":00"), F.lit(" " + S.TIMEZONE)))
+    return F.when(iso, whole).try_cast("timestamp")
+
+
+def version(now: Column) -> Column:
+    """The version that a run at ``now`` publishes."""
+    return F.date_format(now, "'v'yyyy.MM.dd.HHmm")
+
+
 def age_seconds(moment: Column, now: Column) -> Column:
     return F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(moment.cast("timestamp"))
 
