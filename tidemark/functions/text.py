@@ -116,11 +116,10 @@ def segments(text: Column, pattern: str) -> Column:
     """Array of (number, body): a text cut at each match of ``pattern``, whose first
     group is the number; what stands before the first match is left out.
 
-    Marks that cannot occur in the text (a private-use sign, removed from it first)
-    stand in for the matches, so one replacement and one split do the work."""
-    clean = F.replace(text, F.lit("\ue000"), F.lit(""))
-    marked = F.regexp_replace(clean, pattern, "\ue000$1\ue000")
-    pieces = F.slice(F.split(marked, "\ue000"), 2, F.greatest(F.length(clean), F.lit(1)) + 1)
-    count = F.floor(F.size(pieces) / 2).cast("int")
-    pair = lambda i: F.struct(F.get(pieces, (i * 2).cast("int")).alias("number"), F.get(pieces, (i * 2 + 1).cast("int")).alias("body"))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), pair)).otherwise(F.expr("cast(array() as array<struct<number:string,body:string>>)"))
+    Marks that cannot occur in the text (two private-use signs, removed from it first)
+    stand in for the matches, so one replacement and one split do the work; lambdas only
+    see a piece, never the text."""
+    clean = F.translate(text, "\ue000\ue001", "")
+    pieces = F.split(F.regexp_replace(clean, pattern, "\ue000$1\ue001"), "\ue000")
+    part = lambda p: F.struct(F.substring_index(p, "\ue001", 1).alias("number"), F.substring(p, F.locate("\ue001", p) + 1, F.length(p)).alias("body"))
+    return F.transform(F.slice(pieces, 2, 1 << 30), part)
