@@ -342,6 +342,22 @@ def test_mix_odd_rows(spark, odd):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixed_documents_meet_each_sources_target(spark):
+    rng = random.Random(9)
+    sources = [k % 5 for k in range(1500)]
+    rows = [(i, " ".join(["w"] * min(20000, int(rng.lognormvariate(5, 1)))), f"s{s}" if s else None) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed_documents(docs, shard_tokens=20000).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", " "))).alias("words")).collect()
+    words = Counter()
+    for r in got:
+        words[r["source"]] += r["words"]
+    want = {r["source"]: (r["target"], r["source_size"]) for r in mixing.mix(docs, shard_tokens=20000).select("source", "target", "source_size").distinct().collect()}
+    assert len(want) == 5 and all(abs(words[s] - target) < 0.02 * target for s, (target, _) in want.items())
+    # copies differ by one at most within a source, so none is taken in place of others
+    for s, (target, size) in want.items():
+        assert {r["n"] for r in got if r["source"] == s} <= {math.floor(target / size), math.floor(target / size) + 1}
+
+
 def test_apportionment_is_by_highest_quotients(spark):
     targets = {f"s{i:02}": t for i, t in enumerate([1000.0, 371.0, 249.0, 88.0, 87.0, 40.0, 39.5, 8.0, 7.9, 0.5])}
     df = spark.createDataFrame([(s, t) for s, t in targets.items()], "source string, target double")

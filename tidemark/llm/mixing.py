@@ -17,12 +17,13 @@ Defined results:
 Scale: one scan of the texts, a partial aggregate by source, one shuffle of
 (id, source, size) rows by (source, shard).  Shards hold about ``shard_tokens``
 words, so a source with a third of all rows is dealt over many tasks.  Only
-per-source rows meet in one task.
+per-source rows meet in one task.  Whole documents are settled on such rows, a
+shard's as one array, and joined with their texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ from tidemark.llm.common import materialise, word_count
 #: Multipliers of the block permutations, all prime.
 PRIMES = (1000003, 1000033, 1000037, 1000039)
 SEED = "mix-1"
+#: Documents whose copies are appended at a time, so that arrays are not copied for each.
+CHUNK = 256
 
 
 def water_levels(totals: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -85,7 +88,13 @@ def apportion(sources: DataFrame, block_tokens: int) -> DataFrame:
     return joined.withColumn("blocks", F.col("first") + F.coalesce("moved", F.lit(0))).drop("first", "rank", "lack", "moved", "moved_source")
 
 
-def mix(
+def mix(docs: DataFrame, **options: object) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source) for every row of
+    ``docs`` (doc_id, text, source)."""
+    return _mix(docs, **options).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def _mix(
     docs: DataFrame,
     *,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -94,8 +103,8 @@ def mix(
     shard_tokens: int = 65536,
     seed: str = SEED,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) for every row of
-    ``docs`` (doc_id, text, source).
+    """The mix with, of each row, its ``shard``, how often all of the shard is taken
+    (``whole``), and a seeded ``dither`` of 0 to 1.
 
     A shard's stream of words, in seeded order, is cut into equal blocks; the
     shard's integer quota takes every block ``quota // n`` times and
@@ -134,18 +143,45 @@ def mix(
     part = lambda i: F.greatest(F.lit(0), F.least(F.col("end"), border(i + 1)) - F.greatest(F.col("start"), border(i)))
     chosen = lambda i: (i * F.col("prime") + F.col("turn")) % n < F.col("quota") % n
     once_more = F.aggregate(F.sequence(lo, hi), F.lit(0).cast("long"), lambda acc, i: acc + F.when(chosen(i), part(i)).otherwise(F.lit(0)).cast("long"))
-    whole = F.floor(F.col("quota") / n).cast("long") * F.col("size")
-    taken = F.when((F.col("size") == 0) | length.isNull(), F.lit(0)).otherwise(whole + F.when(F.col("quota") % n == 0, F.lit(0)).otherwise(once_more))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    whole = F.floor(F.col("quota") / n).cast("long")
+    taken = F.when((F.col("size") == 0) | length.isNull(), F.lit(0)).otherwise(whole * F.col("size") + F.when(F.col("quota") % n == 0, F.lit(0)).otherwise(once_more))
+    dither = (number(17) + 0.5) / float(1 << 32)
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", whole.alias("whole"), dither.alias("dither"))
+
+
+def round_with_carry(rows: Column) -> Column:
+    """Copies of each of a shard's ``rows`` (size, whole, taken, dither), in their
+    order: each document ``whole`` times, and once more where its other words taken
+    and those carried from the documents before reach its dither's share of its size.
+    What is over or lacking is carried on."""
+    start = lambda carry: F.struct(carry.alias("carry"), F.array().cast("array<bigint>").alias("times"))
+
+    def one(x: Column, row: Column) -> Column:
+        due = x["carry"] + row["taken"] - row["whole"] * row["size"]
+        more = F.when(due >= row["dither"] * row["size"], F.lit(1)).otherwise(F.lit(0)).cast("long")
+        return F.struct((due - more * row["size"]).alias("carry"), F.concat(x["times"], F.array(row["whole"] + more)).alias("times"))
+
+    def chunk(x: Column, at: Column) -> Column:
+        join = lambda y: F.struct(y["carry"].alias("carry"), F.concat(x["times"], y["times"]).alias("times"))
+        return F.aggregate(F.slice(rows, at, F.lit(CHUNK)), start(x["carry"]), one, join)
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(rows), F.lit(CHUNK)), start(F.lit(0).cast("long")), chunk, lambda x: x["times"])
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix as documents with the columns of ``docs``: each document as often
-    as the words taken of it come nearest to (half up), none where they come
-    nearest to zero."""
-    names = {k: f"_tidemark_{k}" for k in ("id", "times", "copy")}
-    counts = mix(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = F.floor(F.col("taken") / F.nullif(F.col("size"), F.lit(0)) + 0.5).cast("int")
-    counts = counts.select(F.col("doc_id").alias(names["id"]), times.alias(names["times"])).filter(F.col(names["times"]) > 0)
-    out = docs.join(counts, docs["doc_id"].eqNullSafe(F.col(names["id"])))
-    return out.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["times"])))).select(*docs.columns)
+    """The mix as whole documents with the columns of ``docs``: each as often as
+    all of its shard is taken, or once more.
+
+    Which ones is settled by rounding with carry, from a shard's longest document to
+    its shortest, so the words of a shard come to the words taken of it but for about
+    a short document.  Rows that share id and source are taken equally often."""
+    names = {k: f"_tidemark_{k}" for k in ("id", "source", "times", "copy")}
+    parts = _mix(docs, **options).filter("size > 0").groupBy("source", "shard", "doc_id").agg(*[F.sum(c).alias(c) for c in ("size", "taken")], *[F.max(c).alias(c) for c in ("whole", "dither")])
+    row = F.struct((-F.col("size")).alias("order"), "dither", "doc_id", "size", "taken", "whole")
+    shards = parts.groupBy("source", "shard").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    settled = shards.select("source", F.explode(F.arrays_zip("rows", round_with_carry(F.col("rows")).alias("times"))).alias("one"))
+    counts = settled.select(F.col("one.rows.doc_id").alias(names["id"]), F.col("source").alias(names["source"]), F.col("one.times").alias(names["times"]))
+    counts = counts.filter(F.col(names["times"]) > 0)
+    same = docs["doc_id"].eqNullSafe(F.col(names["id"])) & docs["source"].eqNullSafe(F.col(names["source"]))
+    out = docs.join(counts, same)
+    return out.withColumn(names["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["times"])))).select(*docs.columns)
