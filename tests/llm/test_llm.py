@@ -231,6 +231,51 @@ def test_leaks_are_found_and_clean_ones_left(spark, odd):
     assert decontaminate.clean(odd, benchmark).columns == odd.columns
 
 
+def index_of(items, docs, times=1):
+    """An index with exact cosines, weighed as if the table were so many times as large."""
+    index = decontaminate.Index(decontaminate.query_passages([(i, t, None) for i, t in items]))
+    hashes, first = decontaminate.word_hashes(docs)
+    block, start = decontaminate.blocks_of(first, decontaminate.WINDOW)
+    term = index.terms(hashes)
+    pairs = np.unique(np.stack([block[term >= 0], term[term >= 0]]), axis=1)
+    index.weigh(np.bincount(pairs[1], minlength=len(index.vocabulary)) * times, int(start[-1]) * times)
+    index.project(np.linalg.qr(index.query_matrix().T)[0])
+    return index
+
+
+def brute_leak(index, text, item):
+    """Whether the checks on the words pass at any place of a text."""
+    hashes = decontaminate.word_hashes([text])[0]
+    for q in (q for q in index.queries if q["item"] == item):
+        w, m = q["words"], len(q["words"])
+        idf = index.idf[index.terms(w)] + 1e-3
+        for a in range(0, len(hashes), 16):
+            region = hashes[max(0, a - m // 2) : a + decontaminate.WINDOW + m // 2]
+            inside = np.isin(w, region)
+            if decontaminate.lcs(w, region) >= decontaminate.COVER * m and idf[inside].sum() >= decontaminate.RARE * idf.sum():
+                return True
+    return False
+
+
+@pytest.mark.parametrize("times", [1, 1000])
+def test_recall_of_paraphrases_does_not_fall_with_the_table(times):
+    rng = random.Random(21)
+    inside, outside = [f"in{i}" for i in range(300)], [f"out{i}" for i in range(5000)]
+    plain = lambda n: [rng.choice(inside if rng.random() < 0.2 else outside) for _ in range(n)]
+    items = [(k, rng.sample(inside, 16)) for k in range(30)]
+    docs, planted = [" ".join(plain(300)) for _ in range(200)], []
+    for item, words in items:
+        q, w = list(words), plain(200)
+        for i in rng.sample(range(16), 3):
+            q[i] = rng.choice(outside)
+        at = rng.randrange(200)
+        planted.append((item, " ".join([*w[:at], *q, *w[at:]])))
+    index = index_of([(i, " ".join(t)) for i, t in items], docs + [t for _, t in planted], times)
+    found = {(text, item) for text, item, *_ in decontaminate.matches(index, [t for _, t in planted])}
+    wanted = {(k, item) for k, (item, t) in enumerate(planted) if brute_leak(index, t, item)}
+    assert len(wanted) >= 20 and wanted <= found
+
+
 def test_candidates_against_exact_cosines(spark):
     """Recall of the latent search: windows whose exact cosine passes."""
     items, docs, _ = leaks_fixture()
