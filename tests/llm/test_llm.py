@@ -276,6 +276,21 @@ def test_recall_of_paraphrases_does_not_fall_with_the_table(times):
     assert len(wanted) >= 20 and wanted <= found
 
 
+@pytest.mark.parametrize(("copies", "others", "length"), [(2, 37, 20), (40, 80, 12)])
+def test_items_that_leak_often_are_found(spark, copies, others, length):
+    rng = random.Random(22)
+    item = [f"leak{i}" for i in range(16)]
+    second = [f"rare{i}" for i in range(30)]
+    docs = [" ".join(rng.choice(WORDS["en"]) for _ in range(length)) for _ in range(others)]
+    # the last leaks stand among words of another item, which weigh more
+    docs += [" ".join([*item, *(second[:15] if k == copies - 1 else [])]) for k in range(copies)]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(second))], "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"] for r in decontaminate.find(table, benchmark).collect() if r["item_id"] == 1}
+    assert got == set(range(others, others + copies))
+    assert decontaminate.clean(table, benchmark).count() == others
+
+
 def test_candidates_against_exact_cosines(spark):
     """Recall of the latent search: windows whose exact cosine passes."""
     items, docs, _ = leaks_fixture()
