@@ -551,6 +551,25 @@ def test_disguised_words_are_restored(spark, odd):
     assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.5}
 
 
+def test_long_and_neighbouring_disguises_are_restored():
+    rng = random.Random(4)
+    words = [*WORDS["en"], *WORDS["de"], "you", "are", "stupid", "really", "person", "such", "idiot", "a"]
+    text = "\n\n" + " ".join(rng.choice(words) for _ in range(20000))
+    c = toxicity.classes(text)
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+    c = np.concatenate(([0, 0], c[keep], [0]))
+    logp = toxicity.language_model(np.bincount((c[:-2] * toxicity.SIZE + c[1:-1]) * toxicity.SIZE + c[2:], minlength=toxicity.SIZE**3))
+    long = " ".join("youarereallysuchapersonbecausethewaterwaswithamountainandyouarestupidbecauseofthehouse")
+    cases = {long: "stupid", "a s t u p i d": "stupid", "x st" + "u" * 60 + "pid": "stupid", "you_are_a_really_such_a_person_and_that_was_st.up.id": "stupid", "f l u ß": "fluß", "s ! l l y s t u p i d": "stupid"}
+    got = toxicity.restore(list(cases), logp)
+    for (case, word), forms in zip(cases.items(), got, strict=True):
+        assert word in forms[len(case) :].split(), (case, forms)
+    assert toxicity.disguised(*(lambda d: (d, *common.word_spans(d)))(np.frombuffer("д у р а к".encode(), np.uint8)))[1].tolist() == [[0, 5]]
+    # a run ends with its text, a token of any length ends
+    assert toxicity.restore(["a b", "c d"], logp) == ["a b", "c d"] and len(toxicity.restore(["x1" * 3000 + "a" * 9000], logp)) == 1
+
+
 def test_decoder_equals_all_readings():
     import itertools
 

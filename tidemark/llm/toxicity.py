@@ -2,8 +2,9 @@
 
 Disguised words (leetspeak, letters spaced out, letters repeated) become lattices
 of characters: each sign may stand for itself or for letters that it is used for,
-a run of one letter for one, two or all of it, a spaced-out run for one word.
-Viterbi decoding under a character trigram model of the whole corpus, with a cost
+a run of one letter for one, two or all of it, a spaced-out run for one word or, with
+boundaries put in, for several.  Runs and tokens of any length are decoded, long ones
+in overlapping pieces.  Viterbi decoding under a character trigram model of the whole corpus, with a cost
 for each change, restores them.  The restored text is scored by words and word
 beginnings whose presence tells toxic from other labelled texts, calibrated to a
 probability.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "#": "h", "%": "x", "&": "a", "€": "e", "£": "l",
 }
 PREFIXES = (4, 5, 6)
-#: Words looked at in one lattice; longer tokens keep their signs (they are keys or links).
+#: Positions of one lattice; longer tokens are read in pieces, so that words of up to half of it are whole in one.
 LONGEST = 40
 
 
@@ -99,31 +101,30 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
     """For each position of a token its readings, with costs.  A run of a
-    letter is one position that reads as one, two or all of it."""
+    letter is one position that reads as one, two or all of it.  With ``breaks``, a
+    word may end in or after each position."""
     out: list[list[tuple[str, float]]] = []
-    i = 0
-    while i < len(token):
-        j = i
-        while j < len(token) and token[j] == token[i]:
-            j += 1
-        ch, n = token[i], j - i
+    for ch, run in groupby(token):
+        n = sum(1 for _ in run)
+        whole = n if n <= LONGEST else 1  # what is longer is no word
         if ch.isalpha():
-            readings = [(ch * n, 0.0)] if n < 3 else [(ch, COST_REPEAT), (ch * 2, COST_REPEAT), (ch * n, 0.0)]
+            readings = [(ch * n, 0.0)] if n < 3 else [(ch, COST_REPEAT), (ch * 2, COST_REPEAT), (ch * whole, 0.0 if whole == n else COST_REPEAT)]
+            if breaks and n > 1:
+                readings.append((f"{ch} {ch}", 0.0 if n < 3 else COST_REPEAT))
         elif ch in LEET:
-            readings = [(r * k, COST_LEET * n) for r in LEET[ch] for k in {1, n}]
+            readings = [(r * k, COST_LEET * n) for r in LEET[ch] for k in {1, whole}]
         else:
             readings = [("", COST_LEET * n)]
-        out.append(readings)
-        i = j
+        out.append(readings + [(f"{letters} ", cost) for letters, cost in readings] if breaks else readings)
     return out
 
 
-def decode(token: str, logp: np.ndarray) -> str:
-    """The most likely word behind a token."""
+def decode(token: str, logp: np.ndarray, breaks: bool = False) -> str:
+    """The most likely word, or with ``breaks`` words, behind a token."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for readings in lattice(token):
+    for readings in lattice(token, breaks):
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in states.items():
             for letters, cost in readings:
@@ -139,6 +140,18 @@ def decode(token: str, logp: np.ndarray) -> str:
     return best[1]
 
 
+def restored(token: str, logp: np.ndarray, spaced: bool) -> str:
+    """The restored forms of a token: as one word, of a spaced-out run also as words,
+    of long ones the words of overlapping pieces."""
+    runs = ["".join(run) for _, run in groupby(token)]
+    if len(runs) <= LONGEST:
+        forms = [decode(token, logp)] + ([decode(token, logp, True)] if spaced else [])
+    else:
+        step = LONGEST // 2
+        forms = [decode("".join(runs[i : i + LONGEST]), logp, True) for i in range(0, len(runs) - step, step)]
+    return " ".join(dict.fromkeys(f.strip() for f in forms))
+
+
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -146,6 +159,8 @@ _SIGN = np.zeros(256, bool)
 _SIGN[list(b"0123456789@$!|+(<*#%&._-")] = True
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b"0123456789@$")] = True
+#: Bytes of a character by its first one.
+_BYTES = np.repeat([1, 0, 2, 3, 4, 0], [128, 64, 32, 16, 8, 8])
 #: Letters that a spaced-out word has at least.
 SPACED = 4
 
@@ -161,8 +176,7 @@ def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     found = np.zeros(len(starts), bool)
     at = np.flatnonzero(odd)
     found[np.searchsorted(starts, at, side="right") - 1] = len(at) > 0
-    found &= ends - starts <= LONGEST
-    single = np.concatenate(([False], ends - starts == 1, [False]))
+    single = np.concatenate(([False], ends - starts == _BYTES[data[starts]], [False]))
     edge = np.flatnonzero(single[1:] != single[:-1])
     runs = np.stack([edge[0::2], edge[1::2]], axis=1)
     return found, runs[runs[:, 1] - runs[:, 0] >= SPACED]
@@ -182,21 +196,24 @@ def restore(texts: list[str | None], logp: np.ndarray, memory: dict[str, str] |
             continue
         found, runs = disguised(data, starts, ends)
         raw = data.tobytes()
-        tokens = [(starts[k], raw[starts[k] : ends[k]]) for k in np.flatnonzero(found)]
+        tokens = [(starts[k], raw[starts[k] : ends[k]], False) for k in np.flatnonzero(found)]
         owner = np.searchsorted(offsets, starts, side="right") - 1
         for a, b in runs:
-            for o in np.unique(owner[a:b]):
-                own = [k for k in range(a, b) if owner[k] == o]
-                if SPACED <= len(own) <= LONGEST:
-                    tokens.append((starts[own[0]], b"".join(raw[starts[k] : ends[k]] for k in own)))
+            edges = [a, *(np.flatnonzero(np.diff(owner[a:b])) + a + 1), b]  # a run ends with its text
+            for first, end in zip(edges[:-1], edges[1:], strict=True):
+                if end - first >= SPACED:
+                    tokens.append((starts[first], b"".join(raw[starts[k] : ends[k]] for k in range(first, end)), True))
         more: dict[int, list[str]] = {}
-        for at, token in tokens:
+        for at, token, spaced in tokens:
             word = token.decode("utf-8", "replace").rstrip(".,;:!?")
-            if word not in memory:
-                if len(memory) > 50000:
-                    memory.clear()
-                memory[word] = decode(word, logp)
-            more.setdefault(int(np.searchsorted(offsets, at, side="right") - 1), []).append(memory[word])
+            key = f"{word} " if spaced else word
+            if (form := memory.get(key)) is None:
+                form = restored(word, logp, spaced)
+                if len(word) <= LONGEST:
+                    if len(memory) > 50000:
+                        memory.clear()
+                    memory[key] = form
+            more.setdefault(int(np.searchsorted(offsets, at, side="right") - 1), []).append(form)
         out += [t if i not in more else f"{t} {' '.join(more[i])}" for i, t in enumerate(low[lo:hi])]
     return out
 
