@@ -337,9 +337,55 @@ def test_stats(spark, odd):
     assert len(got) == odd.count()
 
 
+def brute_cutoff(good, bad, allowed, level):
+    """Cutoffs from loose to strict while the bound, found by bisection of the plain
+    sum, is under the risk; a stricter one only for enough bad texts."""
+    total = sum(good)
+    chosen, since = None, len(quality_rules.GRID)
+    for k in reversed(range(len(quality_rules.GRID))):
+        rejected = sum(good[k + 1 :])
+        below = lambda p, r=rejected: sum(math.comb(total, i) * p**i * (1 - p) ** (total - i) for i in range(r + 1))
+        if total == 0 or rejected >= total or below(allowed) > level:
+            break
+        more_bad, more_good = sum(bad[k + 1 : since + 1]), sum(good[k + 1 : since + 1])
+        if more_bad and more_bad >= quality_rules.GAIN * more_good:
+            chosen, since = quality_rules.GRID[k], k
+    return chosen
+
+
+def test_choice_of_cutoffs_equals_brute_force():
+    rng = random.Random(14)
+    steps, seen = len(quality_rules.GRID) + 1, set()
+    for _ in range(300):
+        good = [rng.choice([0, 0, 0, 0, 1, 2, 20]) for _ in range(steps)]
+        good[0] = rng.choice([0, 400, 850])
+        bad = [rng.choice([0, 0, 5, 60]) for _ in range(steps)]
+        got = quality_rules.choose_cutoff(good, bad, 0.02, 0.01)
+        assert got == brute_cutoff(good, bad, 0.02, 0.01)
+        seen.add(got)
+    assert len(seen) > 4
+
+
+def test_bounds_of_large_holdouts_are_cheap():
+    import time
+
+    began = time.perf_counter()
+    assert quality_rules.holds(9_000_000, 10**9, 0.01, 1e-3) and not quality_rules.holds(10_000_000, 10**9, 0.01, 1e-3)
+    assert time.perf_counter() - began < 2
+
+
+def test_null_and_empty_languages_are_two_strata(spark):
+    rows = [(k, None if k % 2 else "", 100, 600, 60 if k % 2 and k % 3 == 0 else 0, 0, 0, 10, 90, 500) for k in range(4000)]
+    measured = spark.createDataFrame(rows, "doc_id long, lang string, " + quality_rules.STATS)
+    labels = spark.createDataFrame([(k, 0 if k % 2 and k % 3 == 0 else 1) for k in range(4000)], "doc_id long, quality int")
+    cut = {r["stratum"]: r["symbols"] for r in quality_rules.thresholds(measured, labels).collect()}
+    assert set(cut) == {"null", "="} and cut["null"] is not None and cut["="] is None
+
+
 def test_binomial_bound():
-    for k, n, level in ((0, 10, 0.05), (3, 50, 0.01), (20, 400, 0.001)):
+    for k, n, level in ((0, 10, 0.05), (3, 50, 0.01), (20, 400, 0.001), (45, 50, 0.2)):
         p = quality_rules.binomial_upper(k, n, level)
+        assert quality_rules.holds(k, n, p * 1.001, level) and not quality_rules.holds(k, n, p * 0.999, level)
         assert math.isclose(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), level, rel_tol=1e-6)
     assert quality_rules.binomial_upper(5, 5, 0.1) == 1.0 and quality_rules.binomial_upper(0, 0, 0.1) == 1.0
 
@@ -394,6 +440,41 @@ def test_mix_meets_its_targets(spark):
         assert abs(taken[s] - t) <= 0.01 * t + 16 * 8
 
 
+def test_tiny_sources_meet_their_targets(spark):
+    rows = [(1, "w " * 5, "a"), (2, "w " * 7, "b"), (3, "w " * 9, "c"), (4, "w " * 40, "d"), (5, "w " * 4000, "e"), (6, "w " * 2, "f")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 6 and all(abs(r["taken"] - r["target"]) <= 1 + 0.01 * r["target"] for r in got)
+
+
+def test_mix_with_one_row_a_third_of_all(spark):
+    rows = [(None, "same words in all of these", "a")] * 600 + [(k, f"w{k} " * (1 + k % 90), f"s{k % 4}") for k in range(1200)] + [(7, None, "z")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (mixing.mix(d, shard_tokens=500).collect() for d in (df, df.repartition(7)))
+    assert len(a) == len(rows) and sorted(map(str, a)) == sorted(map(str, b))
+    taken, target = Counter(), {}
+    for r in a:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - t) <= 0.02 * t + 2 for s, t in target.items())
+    # equal rows lie in many shards, and those without words in none
+    groups = mixing._mix(df, shard_tokens=500)[0]
+    assert groups.filter("doc_id is null").count() >= 7 and groups.filter("size = 0").count() == 0
+
+
+def test_taken_words_equal_listed_blocks(spark):
+    """The closed formula against blocks listed one by one."""
+    rng = random.Random(12)
+    rows = [(k, f"w{k} " * rng.choice([1, 3, 17, 200]), rng.choice("ab")) for k in range(300)]
+    got = mixing._mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_tokens=3000)[0].collect()
+    for (source, shard), own in {(r["source"], r["shard"]): [x for x in got if (x["source"], x["shard"]) == (r["source"], r["shard"])] for r in got}.items():
+        total, size = sum(r["words_taken"] for r in own), sum(r["size"] for r in own)
+        assert own[0]["whole"] * size <= total <= (own[0]["whole"] + 1) * size
+        # what a document takes beyond the whole is within a block of its even share, the choice being evenly spread
+        share = total / size
+        assert all(abs(r["words_taken"] - share * r["size"]) <= 2 * 16 for r in own), (source, shard)
+
+
 def test_mix_odd_rows(spark, odd):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(odd.limit(0)).count() == 0
     assert mixing.mix(odd.filter("doc_id < 4")).agg(F.sum("taken")).first()[0] == 0
@@ -421,8 +502,10 @@ def test_mixed_documents_meet_each_sources_target(spark):
 def test_apportionment_is_by_highest_quotients(spark):
     targets = {f"s{i:02}": t for i, t in enumerate([1000.0, 371.0, 249.0, 88.0, 87.0, 40.0, 39.5, 8.0, 7.9, 0.5])}
     df = spark.createDataFrame([(s, t) for s, t in targets.items()], "source string, target double")
-    got = {r["source"]: r["blocks"] for r in mixing.apportion(df, 16).collect()}
-    house, seats = math.floor(sum(targets.values()) / 16 + 0.5), Counter()
+    rows = mixing.apportion(df, 16).collect()
+    got, block = {r["source"]: r["blocks"] for r in rows}, rows[0]["block"]
+    assert block == 1 and mixing.apportion(df.filter("target > 1000 or target = 371"), 16).first()["block"] == 5
+    house, seats = math.floor(sum(targets.values()) / block + 0.5), Counter()
     for _ in range(house):
         best = max(sorted(targets), key=lambda s: targets[s] / (2 * seats[s] + 1))
         seats[best] += 1

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +18,20 @@ from pyspark.sql import functions as F
 
 #: A word of the corpus contracts: a run without the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder (tests on one machine).
-DEFAULT_SCRATCH = "/tmp/checkpoints/tidemark"
+#: Used only where the session names no shared folder and runs on one machine (tests).
+LOCAL_SCRATCH = "/tmp/checkpoints/tidemark"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates (``spark.checkpoint.dir``)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
+    """The shared folder for written intermediates (``spark.checkpoint.dir``).  A
+    cluster must name one; a local session may do without."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return LOCAL_SCRATCH
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -52,6 +58,18 @@ def release(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, path)
 
 
+@contextmanager
+def scratch_scope(keep: list[DataFrame]) -> Iterator[None]:
+    """Removes, at its end, the tables materialised inside but for those that were put
+    in ``keep``."""
+    before = {path for _, path in _written}
+    yield
+    kept = {getattr(t, "_tidemark_path", None) for t in keep}
+    for spark, path in list(_written):
+        if path not in before and path not in kept:
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -90,6 +108,47 @@ def sample_by_hash(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFr
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(span)) < F.lit(int(span * bound / n)))
 
 
+def text_tag(text: Column) -> Column:
+    """16 bytes that name a text: the first half of its SHA-256."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
+def may_contain(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, most_bits: int = 1 << 28) -> DataFrame:
+    """The ``rows`` whose key may be among those of ``wanted``: a bitmap of hashed keys,
+    sixteen bits a key but ``most_bits`` at most, is broadcast as a table of words.
+    It turns away what surely is not; what is let through by chance costs, not harms."""
+    bits = min(most_bits, max(1 << 12, 1 << (16 * wanted.count()).bit_length()))
+    slot = lambda k: F.pmod(F.xxhash64(k, F.lit(29)), F.lit(bits))
+    mask = F.expr("bit_or(shiftleft(1L, cast(_slot % 63 as int)))")
+    words = wanted.select(slot(F.col(wanted_key)).alias("_slot")).groupBy(F.expr("_slot div 63").alias("_word")).agg(mask.alias("_mask"))
+    marked = rows.withColumn("_at", slot(key)).join(F.broadcast(words), F.expr("_at div 63") == F.col("_word"))
+    return marked.filter(F.expr("shiftright(_mask, cast(_at % 63 as int)) & 1L = 1L")).drop("_at", "_word", "_mask")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, settle=F.max, seed: int = 7) -> tuple[DataFrame, dict[int, int]]:
+    """(label, text, doc_id) of about ``rows`` rows a class at most, and the number of
+    labelled ids by class.
+
+    Labels of an id that contradict one another are settled by ``settle``.  Ids are chosen
+    by hash, then texts by hash where an id has many; equal rows count once, so the bound
+    holds however often ids repeat."""
+    known = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(settle(label).cast("int").alias("label"))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    span = 1 << 40
+    chance = lambda n: F.lit(int(span * min(1.0, rows / max(n, 1))))
+    at = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(span))
+    chosen = known.filter(at < F.when(F.col("label") == 1, chance(counts.get(1, 0))).otherwise(chance(counts.get(0, 0))))
+    # the ids are bounded by about twice ``rows``, so the join may broadcast them
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("tag", F.md5(F.coalesce("text", F.lit(""))))
+    once = materialise(found.groupBy("label", "doc_id", "tag").agg(F.first("text").alias("text")), "labelled")
+    have = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # ids of one row each give no more rows than ids; 1.5 leaves room for chance
+    rate = lambda n: F.lit(int(span * min(1.0, 1.5 * rows / max(n, 1))))
+    by_text = F.pmod(F.xxhash64("tag", F.lit(seed)), F.lit(span))
+    bounded = once.filter(by_text < F.when(F.col("label") == 1, rate(have.get(1, 0))).otherwise(rate(have.get(0, 0))))
+    return bounded.select("label", "text", "doc_id"), counts
+
+
 def slices(lengths: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose lengths add up to ``most`` or that hold one row."""
     lo = total = 0

@@ -1,24 +1,28 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Equal-token blocks go to sources by highest quotients (Webster's divisors 1, 3,
-5, ...), a source's blocks go to its shards, and a seeded permutation of each
-shard's blocks picks the ones that are taken once more than the rest.  The main
-path is DataFrame functions only.
+5, ...); a source's blocks go to its shards by cumulative rounding, so that the
+shards' integer quotas add up to the source's; of a shard's blocks, seeded ones are
+taken once more than the rest.  The main path is DataFrame functions only.
 
 Defined results:
 
-* null or empty text: size 0, nothing taken;
+* null or empty text: size 0, nothing taken, no part in any shard;
 * null source: a source of its own, ranked last;
-* repeated rows and equal ids: each row counts; rows equal in id and size are
+* null, equal or repeated ids: each row counts; rows equal in id and text are
   interchangeable, so the multiset of results is the same in every run;
 * empty table: empty result; a corpus without words: targets and takes of 0;
+* tiny sources: blocks have ``block_tokens`` words, or fewer where the smallest
+  target would have less than ``LEAST_BLOCKS`` of them, down to single words;
 * extra columns, whatever their names, are ignored.
 
-Scale: one scan of the texts, a partial aggregate by source, one shuffle of
-(id, source, size) rows by (source, shard).  Shards hold about ``shard_tokens``
-words, so a source with a third of all rows is dealt over many tasks.  Only
-per-source rows meet in one task.  Whole documents are settled on such rows, a
-shard's as one array, and joined with their texts.
+Scale: one scan of the texts and one shuffle of (id, source, size, digest) rows, in
+which equal rows collapse; shards hold about ``shard_tokens`` words and are dealt by
+a hash of id and text, so a source, an id or a text with a third of all rows lies in
+many of them.  A shard's blocks are never listed: how many chosen ones lie before a
+word is a closed formula, so a document's length does not matter.  Rows by shard are
+summed in two levels; only rows by source meet in one task.  Whole documents are
+settled on such rows, a shard's as one array, and joined with their texts.
 """
 
 from __future__ import annotations
@@ -29,9 +33,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, word_count
 
-#: Multipliers of the block permutations, all prime.
-PRIMES = (1000003, 1000033, 1000037, 1000039)
 SEED = "mix-1"
+#: Blocks that the smallest target has at least, unless blocks are single words already.
+LEAST_BLOCKS = 64
+#: Shards whose blocks are added up in one task.
+SHARDS_AT_ONCE = 4096
 #: Documents whose copies are appended at a time, so that arrays are not copied for each.
 CHUNK = 256
 
@@ -63,16 +69,20 @@ def water_levels(totals: DataFrame, weights: tuple[int, ...], cap: float) -> Dat
 
 
 def apportion(sources: DataFrame, block_tokens: int) -> DataFrame:
-    """Adds ``blocks``: all blocks (the sum of targets over ``block_tokens``)
-    given to sources by the highest quotients target / (2 j + 1).
+    """Adds ``block``, the words of a block, and ``blocks``: all blocks (the sum of
+    targets over ``block``) given to sources by the highest quotients
+    target / (2 j + 1).
 
-    Rounding target / block_tokens is the allocation of the divisor
-    ``block_tokens``; the few blocks by which it misses the house size are then
-    added at the highest open quotients or taken back at the lowest won ones."""
+    Rounding target / block is the allocation of the divisor ``block``; the few
+    blocks by which it misses the house size are then added at the highest open
+    quotients or taken back at the lowest won ones."""
     all_rows = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    first = F.floor(F.col("target") / block_tokens + 0.5).cast("long")
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(all_rows)
+    block = F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(least / LEAST_BLOCKS))).cast("long")
+    sources = sources.withColumn("block", block)
+    first = F.floor(F.col("target") / F.col("block") + 0.5).cast("long")
     s = sources.withColumns({"first": first, "rank": F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))})
-    house = F.floor(F.sum("target").over(all_rows) / block_tokens + 0.5).cast("long")
+    house = F.floor(F.sum("target").over(all_rows) / F.col("block") + 0.5).cast("long")
     s = s.withColumn("lack", house - F.sum("first").over(all_rows))
     # |lack| candidates a source are enough for any outcome; |lack| is at most half the number of sources
     steps = F.sequence(F.lit(1), F.greatest(F.abs("lack"), F.lit(1)).cast("int"))
@@ -88,10 +98,35 @@ def apportion(sources: DataFrame, block_tokens: int) -> DataFrame:
     return joined.withColumn("blocks", F.col("first") + F.coalesce("moved", F.lit(0))).drop("first", "rank", "lack", "moved", "moved_source")
 
 
+def _sum_before(rows: DataFrame, value: str, keys: list[str], at: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of equal ``keys`` with a smaller ``at``
+    (no two are equal), in two levels of at most ``SHARDS_AT_ONCE`` rows a task."""
+    part = rows.withColumn("_part", F.floor(F.col(at) / SHARDS_AT_ONCE))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = part.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    parts = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_of"), "_before")
+    match = F.col("_part") == F.col("_of")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inner = W.partitionBy(*keys, "_part").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    return part.join(parts, match).withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_part", "_of", "_before", *[f"_{k}" for k in keys])
+
+
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) for every row of
     ``docs`` (doc_id, text, source)."""
-    return _mix(docs, **options).select("doc_id", "size", "source_size", "target", "taken", "source")
+    parts, sized, sources = _mix(docs, **options)
+    # equal rows share what their group takes: the first ones have a word more
+    every = F.col("words_taken") - F.pmod(F.col("words_taken"), F.col("copies"))
+    each = F.when(F.col("nth") <= F.pmod(F.col("words_taken"), F.col("copies")), 1).otherwise(0) + F.floor(every / F.col("copies"))
+    rows = parts.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn("taken", each.cast("long"))
+    blank = sized.filter("size = 0").select("doc_id", "size", "source").join(_renamed(sources), F.col("source").eqNullSafe(F.col("plan_source")))
+    names = ("doc_id", "size", "source_size", "target", "taken", "source")
+    return rows.select(*names).unionByName(blank.withColumn("taken", F.lit(0).cast("long")).select(*names))
+
+
+def _renamed(sources: DataFrame) -> DataFrame:
+    return sources.select(F.col("source").alias("plan_source"), "source_size", "target", "block", "blocks")
 
 
 def _mix(
@@ -102,58 +137,58 @@ def _mix(
     block_tokens: int = 16,
     shard_tokens: int = 65536,
     seed: str = SEED,
-) -> DataFrame:
-    """The mix with, of each row, its ``shard``, how often all of the shard is taken
-    (``whole``), and a seeded ``dither`` of 0 to 1.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, sizes, sources).  A group is ``copies`` equal rows of one shard, with
+    the words taken of them together (``words_taken``), how often all of the shard is
+    taken (``whole``) and a seeded ``dither`` of 0 to 1.
 
     A shard's stream of words, in seeded order, is cut into equal blocks; the
-    shard's integer quota takes every block ``quota // n`` times and
-    ``quota % n`` blocks, picked by a seeded affine permutation, once more.  A
-    document takes the words of it that lie in taken blocks."""
-    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    shard's integer quota takes every block ``quota // n`` times and ``quota % n``
+    blocks, evenly spread from a seeded start, once more.  A document takes the words
+    of it that lie in taken blocks."""
+    tag = F.when(F.col("text").isNotNull(), F.md5("text"))
+    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), tag.alias("tag")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = materialise(apportion(water_levels(totals, weights, cap), block_tokens), "sources")
-    plan = sources.select(
-        F.col("source").alias("plan_source"), "source_size", "target", "blocks",
-        F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long").alias("shards"),
-    )
-    rows = sized.join(plan, sized["source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    number = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
-    rows = rows.withColumns({"shard": number(1) % F.col("shards"), "place": number(9)})
-    in_shard = W.partitionBy("source", "shard")
-    order = in_shard.orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumns({"end": F.sum("size").over(order), "length": F.sum("size").over(in_shard)})
-    rows = rows.withColumn("n", F.greatest(F.lit(1), F.floor(F.col("length") / block_tokens + 0.5)).cast("long"))
-    # Webster's rounding with the source's own divisor: its target over its blocks
-    share = F.col("blocks") * F.col("length") / F.when(F.col("source_size") > 0, F.col("source_size"))
-    rows = rows.withColumn("quota", F.least(F.coalesce(F.floor(share + 0.5), F.lit(0)).cast("long"), F.lit(cap) * F.col("n")))
-    tag = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("\x00")), F.lit("/"), F.col("shard").cast("string")))
-    rows = rows.withColumn("tag", tag)
-    turn = F.conv(F.substring("tag", 1, 8), 16, 10).cast("long")
-    pick = (F.conv(F.substring("tag", 9, 8), 16, 10).cast("long") % len(PRIMES)).cast("int")
-    prime = F.get(F.array(*[F.lit(p).cast("long") for p in PRIMES]), pick)
-    prime = F.when(F.col("n") % prime == 0, F.lit(1).cast("long")).otherwise(prime)
-    rows = rows.withColumns({"turn": turn % F.col("n"), "prime": prime, "start": F.col("end") - F.col("size")})
-    # block i covers [i * length // n, (i + 1) * length // n)
-    n, length = F.col("n"), F.nullif(F.col("length"), F.lit(0))
-    lo = F.greatest(F.lit(0), F.floor(F.col("start") * n / length) - 1).cast("long")
-    hi = F.least(n - 1, F.floor(F.col("end") * n / length) + 1).cast("long")
-    border = lambda i: F.floor(i * length / n).cast("long")
-    part = lambda i: F.greatest(F.lit(0), F.least(F.col("end"), border(i + 1)) - F.greatest(F.col("start"), border(i)))
-    chosen = lambda i: (i * F.col("prime") + F.col("turn")) % n < F.col("quota") % n
-    once_more = F.aggregate(F.sequence(lo, hi), F.lit(0).cast("long"), lambda acc, i: acc + F.when(chosen(i), part(i)).otherwise(F.lit(0)).cast("long"))
-    whole = F.floor(F.col("quota") / n).cast("long")
-    taken = F.when((F.col("size") == 0) | length.isNull(), F.lit(0)).otherwise(whole * F.col("size") + F.when(F.col("quota") % n == 0, F.lit(0)).otherwise(once_more))
-    dither = (number(17) + 0.5) / float(1 << 32)
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", whole.alias("whole"), dither.alias("dither"))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long").alias("shards")
+    equal = sized.filter("size > 0").groupBy("source", "doc_id", "tag").agg(F.first("size").alias("size"), F.count("*").alias("together"))
+    rows = equal.join(_renamed(sources).select("*", shards), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+    # so many equal rows that they are more than a shard are several groups
+    most = F.greatest(F.lit(1), F.floor(F.lit(shard_tokens) / F.col("size"))).cast("long")
+    rows = rows.withColumn("most", most).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("together") - 1) / F.col("most")))))
+    rows = rows.withColumn("copies", F.least(F.col("most"), F.col("together") - F.col("chunk") * F.col("most"))).drop("most", "together")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "tag", F.lit(":"), F.col("chunk").cast("string")))
+    rows = rows.withColumn("digest", digest)
+    number = lambda c, at: F.conv(F.substring(c, at, 8), 16, 10).cast("long")
+    rows = rows.withColumns({"shard": number("digest", 1) % F.col("shards"), "words": F.col("size") * F.col("copies")})
+    # blocks of shards, and the shares of the source's blocks that end in each
+    length = rows.groupBy("source", "shard").agg(F.sum("words").alias("length"), F.first("block").alias("block"), F.first("blocks").alias("blocks"))
+    length = materialise(length.withColumn("n", F.ceil(F.col("length") / F.col("block")).cast("long")), "shards")
+    every = length.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("n_all"))
+    quotas = _sum_before(length, "n", ["source"], "shard", "before").join(every, F.col("source").eqNullSafe(F.col("of")))
+    upto = lambda c: f"(cast(least(blocks, {int(cap)} * n_all) as decimal(19,0)) * cast({c} as decimal(19,0))) div cast(n_all as decimal(19,0))"
+    quota = F.least(F.expr(upto("before + n")) - F.expr(upto("before")), cap * F.col("n"))
+    start = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("\x00")), F.lit("/"), F.col("shard").cast("string")))
+    quotas = quotas.select(F.col("source").alias("of"), F.col("shard").alias("at"), "n", quota.cast("long").alias("quota"), (number(start, 1) % F.col("n")).alias("turn"))
+    rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("at"))).drop("of", "at")
+    order = W.partitionBy("source", "shard").orderBy("digest", "doc_id", "tag").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("words").over(order)).withColumns({"since": F.col("upto") - F.col("words"), "more": F.col("quota") % F.col("n")})
+    # chosen blocks before block i are chosen(i) - chosen(0); block i is one when chosen(i + 1) differs
+    chosen = lambda i: f"((cast({i} + turn as decimal(19,0)) * cast(more as decimal(19,0))) div cast(n as decimal(19,0)))"
+    at = lambda x: f"({x} div block)"
+    before = lambda x: F.expr(f"block * {chosen(at(x))} + ({chosen(at(x) + ' + 1')} - {chosen(at(x))}) * ({x} % block)")
+    whole = F.floor(F.col("quota") / F.col("n")).cast("long")
+    taken = whole * F.col("words") + before("upto") - before("since")
+    dither = (number("digest", 17) + 0.5) / float(1 << 32)
+    names = ("doc_id", "tag", "size", "copies", "source_size", "target", "source", "shard")
+    return rows.select(*names, taken.cast("long").alias("words_taken"), whole.alias("whole"), dither.alias("dither")), sized, sources
 
 
 def round_with_carry(rows: Column) -> Column:
-    """Copies of each of a shard's ``rows`` (size, whole, taken, dither), in their
-    order: each document ``whole`` times, and once more where its other words taken
-    and those carried from the documents before reach its dither's share of its size.
-    What is over or lacking is carried on."""
+    """How often each of a shard's ``rows`` (size, whole, taken, dither) is taken, in
+    their order: ``whole`` times, and once more where its other words taken and those
+    carried from the rows before reach its dither's share of its size.  What is over or
+    lacking is carried on."""
     start = lambda carry: F.struct(carry.alias("carry"), F.array().cast("array<bigint>").alias("times"))
 
     def one(x: Column, row: Column) -> Column:
@@ -174,14 +209,15 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
 
     Which ones is settled by rounding with carry, from a shard's longest document to
     its shortest, so the words of a shard come to the words taken of it but for about
-    a short document.  Rows that share id and source are taken equally often."""
-    names = {k: f"_tidemark_{k}" for k in ("id", "source", "times", "copy")}
-    parts = _mix(docs, **options).filter("size > 0").groupBy("source", "shard", "doc_id").agg(*[F.sum(c).alias(c) for c in ("size", "taken")], *[F.max(c).alias(c) for c in ("whole", "dither")])
-    row = F.struct((-F.col("size")).alias("order"), "dither", "doc_id", "size", "taken", "whole")
-    shards = parts.groupBy("source", "shard").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    a short document.  Rows that share source, id and text are taken equally often."""
+    names = {k: f"_tidemark_{k}" for k in ("id", "source", "tag", "times", "copy")}
+    groups, *_ = _mix(docs, **options)
+    own = groups.groupBy("source", "doc_id", "tag").agg(F.min("shard").alias("shard"), F.sum(F.col("size") * F.col("copies")).alias("size"), F.sum("words_taken").alias("taken"), F.max("whole").alias("whole"), F.max("dither").alias("dither"))
+    row = F.struct((-F.col("size")).alias("order"), "dither", "doc_id", "tag", "size", "taken", "whole")
+    shards = own.groupBy("source", "shard").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     settled = shards.select("source", F.explode(F.arrays_zip("rows", round_with_carry(F.col("rows")).alias("times"))).alias("one"))
-    counts = settled.select(F.col("one.rows.doc_id").alias(names["id"]), F.col("source").alias(names["source"]), F.col("one.times").alias(names["times"]))
+    counts = settled.select(F.col("one.rows.doc_id").alias(names["id"]), F.col("one.rows.tag").alias(names["tag"]), F.col("source").alias(names["source"]), F.col("one.times").alias(names["times"]))
     counts = counts.filter(F.col(names["times"]) > 0)
-    same = docs["doc_id"].eqNullSafe(F.col(names["id"])) & docs["source"].eqNullSafe(F.col(names["source"]))
+    same = docs["doc_id"].eqNullSafe(F.col(names["id"])) & docs["source"].eqNullSafe(F.col(names["source"])) & (F.md5(docs["text"]) == F.col(names["tag"]))
     out = docs.join(counts, same)
     return out.withColumn(names["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["times"])))).select(*docs.columns)

@@ -17,7 +17,9 @@ integers, windows of three are packed without hashing.
 
 Defined results: null text counts as empty: all statistics 0, base failed; strata
 without labels, and null languages unless labelled, have no active rules; rows
-repeated give equal results; extra columns are ignored.
+repeated give equal results; of labels that contradict one another the bad one counts;
+a row is kept or not by its own stratum, null and empty languages being two; extra
+columns are ignored.
 
 Scale: no shuffle of texts.  The holdout counts are grouped per (stratum, rule,
 cutoff), a few thousand rows; thresholds come back as a table with one row per
@@ -116,33 +118,67 @@ def with_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> D
     return kept.mapInArrow(measure, schema).select("kept.*", *names)
 
 
+def binomial_below(rejected: int, total: int, share: float) -> float:
+    """Probability that at most ``rejected`` of ``total`` are rejected where each is
+    with the chance ``share``: terms from the last one on until they no longer count."""
+    if rejected >= total:
+        return 1.0
+    if rejected > total * share:  # the other tail is the short one
+        return 1.0 - binomial_below(total - rejected - 1, total, 1.0 - share)
+    i = rejected
+    term = math.exp(math.lgamma(total + 1) - math.lgamma(i + 1) - math.lgamma(total - i + 1) + i * math.log(share) + (total - i) * math.log1p(-share))
+    out = 0.0
+    while i >= 0 and term > out * 1e-17:
+        out += term
+        term *= i * (1 - share) / ((total - i + 1) * share)
+        i -= 1
+    return min(out, 1.0)
+
+
 def binomial_upper(rejected: int, total: int, level: float) -> float:
     """Exact one-sided upper bound on a share: the largest p under which at most
     ``rejected`` of ``total`` has a probability of ``level`` or more."""
     if total == 0 or rejected >= total:
         return 1.0
-
-    logs = [math.lgamma(total + 1) - math.lgamma(i + 1) - math.lgamma(total - i + 1) for i in range(rejected + 1)]
-
-    def below(p: float) -> float:
-        a, b = math.log(p), math.log1p(-p)
-        terms = [c + i * a + (total - i) * b for i, c in enumerate(logs)]
-        top = max(terms)
-        return math.exp(top) * sum(math.exp(t - top) for t in terms) if top > -700 else 0.0
-
     lo, hi = rejected / total or 1e-12, 1.0 - 1e-12
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if below(mid) > level else (lo, mid)
+        lo, hi = (mid, hi) if binomial_below(rejected, total, mid) > level else (lo, mid)
     return hi
 
 
+def holds(rejected: int, total: int, share: float, level: float) -> bool:
+    """Whether the exact upper bound at ``level`` is ``share`` at most; the same as
+    ``binomial_upper(rejected, total, level) <= share``, without looking for the bound."""
+    return 0 < total and rejected < total and binomial_below(rejected, total, share) <= level
+
+
+def choose_cutoff(good: list[int], bad: list[int], allowed: float, level: float, grid: tuple[float, ...] = GRID, gain: int = GAIN) -> float | None:
+    """The cutoff for one rule and stratum from counts of values by how many cutoffs
+    of the ``grid`` (strict to loose) they reach; null where the rule stays silent."""
+    total, rejected = sum(good), 0
+    cutoff, new_bad, new_good = None, 0, 0
+    for k in range(len(grid) - 1, -1, -1):  # from loose to strict; a cutoff at index k rejects values that reach more than k
+        rejected += good[k + 1]
+        if not holds(rejected, total, allowed, level):
+            break
+        new_bad, new_good = new_bad + bad[k + 1], new_good + good[k + 1]
+        if new_bad and new_bad >= gain * new_good:
+            cutoff, new_bad, new_good = grid[k], 0, 0
+    return cutoff
+
+
+def stratum() -> Column:
+    """The stratum of a row: its language; null and empty ones are strata of their own."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """One row per stratum: stratum and a cutoff column for each rule (null:
     silent), from ``measured`` (doc_id, lang, statistics) and ``labels`` (doc_id,
     quality)."""
     marks = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = measured.join(marks, "doc_id").withColumn("stratum", F.coalesce("lang", F.lit("")))
+    held = measured.join(marks, "doc_id").withColumn("stratum", stratum())
     parts = F.array(*[F.struct(F.lit(name).alias("rule"), F.expr(sql).cast("double").alias("value")) for name, sql, _ in RULES])
     rows = held.select("stratum", "quality", F.explode(parts).alias("part"))
     # how many grid cutoffs a value reaches; counts per step make cumulative counts
@@ -155,18 +191,11 @@ def thresholds(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, de
     allowed = risk / len(RULES)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        good = np.zeros(len(GRID) + 1, np.int64)
-        bad = np.zeros(len(GRID) + 1, np.int64)
+        good, bad = [0] * (len(GRID) + 1), [0] * (len(GRID) + 1)
         for r in pdf.itertuples():
-            good[r.reached] += r.good
-            bad[r.reached] += r.bad
-        cutoff, new_bad, new_good = None, 0, 0
-        for k in range(len(GRID) - 1, -1, -1):  # from loose to strict; a cutoff at index k rejects values that reach more than k
-            if binomial_upper(int(good[k + 1 :].sum()), int(good.sum()), level) > allowed:
-                break
-            new_bad, new_good = new_bad + int(bad[k + 1]), new_good + int(good[k + 1])
-            if new_bad and new_bad >= GAIN * new_good:
-                cutoff, new_bad, new_good = GRID[k], 0, 0
+            good[r.reached] += int(r.good)
+            bad[r.reached] += int(r.bad)
+        cutoff = choose_cutoff(good, bad, allowed, level)
         return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "rule": [pdf["rule"].iloc[0]], "cutoff": pd.array([cutoff], dtype="Float64")})
 
     chosen = steps.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double")
@@ -179,7 +208,7 @@ def base_failed() -> Column:
 
 def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Adds base_failed and kept to measured rows."""
-    rows = measured.withColumn("rule_stratum", F.coalesce("lang", F.lit("")))
+    rows = measured.withColumn("rule_stratum", stratum())
     joined = rows.join(cutoffs.withColumnRenamed("stratum", "rule_stratum"), "rule_stratum", "left")
     hit = F.lit(False)
     for name, sql, _ in RULES:

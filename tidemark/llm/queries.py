@@ -117,10 +117,43 @@ f as (select *, min(page_id) over (partition by payload_digest) as original from
 select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 100 and page_id <> original then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 100 and page_id <> original then original end as refers_to from f""",
+    "op4_quality_rules": """
+with d as (select row_number() over () as rid, doc_id, coalesce('=' || lang, 'null') as stratum, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+lines as (select rid, count(*) - count(distinct line) as n_dup_lines from (select rid, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by rid),
+wins as (select rid, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) as win from (select rid, w, unnest(range(1, len(w) - 1)) as i from d where len(w) > 2)),
+found as (select rid, i from (select *, count(*) over (partition by rid, win) as times from wins) where times > 1),
+reps as (select rid, count(distinct pos) as n_repeat_words from (select rid, unnest([i, i + 1, i + 2]) as pos from found) group by rid),
+st as (select d.*, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as n_letters, len(list_distinct(w)) as n_distinct
+  from d left join lines using (rid) left join reps using (rid)),
+vals as (select rid, doc_id, stratum, unnest(['symbols', 'repeats', 'upper', 'dup_lines', 'poor_words']) as rule,
+    unnest([n_symbols::double / greatest(n_words, 1), n_repeat_words::double / greatest(n_words, 1), n_upper::double / greatest(n_letters, 1), n_dup_lines::double / greatest(n_words, 1), 1 - n_distinct::double / greatest(n_words, 1)]) as val from st),
+marks as (select doc_id, min(quality) as quality from labels where quality is not null group by doc_id),
+held as (select stratum, rule, quality, len(list_filter(GRID_LIST, lambda g: val >= g)) as reached from vals join marks using (doc_id)),
+level as (select 0.05::double / (greatest(1, count(distinct stratum)) * 5) as lvl from held),
+cells as (select stratum, rule, reached, count(*) filter (quality = 1) as good, count(*) filter (quality = 0) as bad from held group by all),
+steps as (select distinct c.stratum, c.rule, g.k, g.cut from cells c, (select unnest(range(0, 19)) as k, unnest(GRID_LIST) as cut) g),
+cum as (select s.stratum, s.rule, s.k, s.cut, sum(good) as total, coalesce(sum(good) filter (reached > k), 0)::bigint as rejected, coalesce(sum(good) filter (reached = k + 1), 0)::bigint as good, coalesce(sum(bad) filter (reached = k + 1), 0)::bigint as bad
+  from steps s join cells c using (stratum, rule) group by all),
+tested as (select *, total > 0 and rejected < total and list_sum(list_transform(range(0, rejected + 1), lambda i:
+    exp(lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + i * ln(0.01::double) + (total - i) * ln(1 - 0.01::double)))) <= (select lvl from level) as ok from cum),
+passing as (select * from (select *, min(ok::int) over (partition by stratum, rule order by k desc rows between unbounded preceding and current row) as going from tested) where going = 1),
+numbered as (select *, row_number() over (partition by stratum, rule order by k desc) as nth from passing),
+walk as (
+  with recursive fold as (
+    select stratum, rule, nth, cut, bad as new_bad, good as new_good, null::double as cutoff, false as taken from numbered where nth = 1
+    union all
+    select n.stratum, n.rule, n.nth, n.cut, n.bad + case when f.hit then 0 else f.new_bad end, n.good + case when f.hit then 0 else f.new_good end, case when f.hit then f.cut else f.cutoff end, false
+    from (select *, new_bad > 0 and new_bad >= 20 * new_good as hit from fold) f join numbered n on n.stratum = f.stratum and n.rule = f.rule and n.nth = f.nth + 1)
+  select stratum, rule, arg_max(case when new_bad > 0 and new_bad >= 20 * new_good then cut else cutoff end, nth) as cutoff,
+    arg_max((case when new_bad > 0 and new_bad >= 20 * new_good then cut else cutoff end) is not null, nth) as active from fold group by stratum, rule),
+hits as (select v.rid from vals v join walk on v.stratum = walk.stratum and v.rule = walk.rule and active and v.val >= cutoff group by v.rid)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and rid not in (select rid from hits) as kept from st""".replace("GRID_LIST", str(list(quality_rules.GRID))),
     "op5_mix_sources": """
 with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-    md5('mix-1:' || coalesce(doc_id::varchar, '')) as digest from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size, md5(text) as tag from documents),
 s0 as (select source, sum(size)::bigint as source_size from d group by source),
 s1 as (select *, [5.0::double, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight, 3.0::double * source_size as most from s0),
 s2 as (select *,
@@ -129,24 +162,32 @@ s2 as (select *,
 s3 as (select *, min((most < weight * level)::int) over (order by most / weight, source nulls last rows between unbounded preceding and current row) = 1 as capped from s2),
 s4 as (select *, least(most, case when capped then most else coalesce(weight * (sum(source_size::double) over () - sum(case when capped then most else 0 end) over ())
   / nullif(sum(case when capped then 0 else weight end) over (), 0), 0) end) as target from s3),
-s5 as (select *, floor(target / 16 + 0.5)::bigint as first, row_number() over (order by source nulls last) as rnk from s4),
-s6 as (select *, floor(sum(target) over () / 16 + 0.5)::bigint - sum(first) over () as lack from s5),
+s5 as (select *, greatest(1, least(16, floor(min(case when target > 0 then target end) over () / 64)))::bigint as block, row_number() over (order by source nulls last) as rnk from s4),
+s6 as (select *, floor(target / block + 0.5)::bigint as first from s5),
+s7 as (select *, floor(sum(target) over () / block + 0.5)::bigint - sum(first) over () as lack from s6),
 q as (select source, lack, row_number() over (order by
     case when lack > 0 then -(target / (2 * (first + step) - 1)) else target / (2 * (first - step) + 1) end, case when lack > 0 then rnk else -rnk end, step) as place
-  from (select *, unnest(range(1, greatest(abs(lack), 1)::bigint + 1)) as step from s6) where lack > 0 or (lack < 0 and first >= step)),
+  from (select *, unnest(range(1, greatest(abs(lack), 1)::bigint + 1)) as step from s7) where lack > 0 or (lack < 0 and first >= step)),
 m as (select source, sum(sign(lack))::bigint as moved from q where place <= abs(lack) group by source),
-p as (select s6.source, source_size, target, (first + coalesce(moved, 0))::bigint as blocks, greatest(1, ceil(source_size / 65536))::bigint as shards
-  from s6 left join m on s6.source is not distinct from m.source),
-r1 as (select d.*, source_size, target, blocks, ('0x' || substr(digest, 1, 8))::bigint % shards as shard, ('0x' || substr(digest, 9, 8))::bigint as place
-  from d join p on d.source is not distinct from p.source),
-r2 as (select *, (sum(size) over (partition by source, shard order by place, doc_id, size rows between unbounded preceding and current row))::bigint as fin,
-  (sum(size) over (partition by source, shard))::bigint as length from r1),
-r3 as (select *, greatest(1, floor(length / 16 + 0.5))::bigint as n, md5('mix-1/' || coalesce(source, chr(0)) || '/' || shard) as tag from r2),
-r4 as (select *, least(coalesce(floor(blocks * length / nullif(source_size, 0) + 0.5), 0)::bigint, 3 * n) as quota, fin - size as start,
-  ('0x' || substr(tag, 1, 8))::bigint % n as turn, [1000003, 1000033, 1000037, 1000039][('0x' || substr(tag, 9, 8))::bigint % 4 + 1]::bigint as prime0 from r3),
-r5 as (select *, case when n % prime0 = 0 then 1 else prime0 end as prime from r4),
-r6 as (select *, coalesce(list_sum(list_transform(list_filter(range(greatest(0, floor(start * n / nullif(length, 0))::bigint - 1), least(n - 1, floor(fin * n / nullif(length, 0))::bigint + 1) + 1),
-    lambda i: (i * prime + turn) % n < quota % n),
-    lambda i: greatest(0, least(fin, ((i + 1) * length) // n) - greatest(start, (i * length) // n)))), 0)::bigint as extra from r5)
-select doc_id, size, source_size, target, case when size = 0 then 0 else (quota // n) * size + extra end::bigint as taken from r6""",
+p as (select s7.source, source_size, target, block, (first + coalesce(moved, 0))::bigint as blocks, greatest(1, ceil(source_size / 65536))::bigint as shards
+  from s7 left join m on s7.source is not distinct from m.source),
+e as (select source, doc_id, tag, any_value(size) as size, count(*) as together from d where size > 0 group by source, doc_id, tag),
+r1 as (select e.*, p.* exclude (source), greatest(1, 65536 // size) as most from e join p on e.source is not distinct from p.source),
+r2 as (select *, unnest(range(0, (together - 1) // most + 1)) as chunk from r1),
+r3 as (select *, least(most, together - chunk * most) as copies, md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || tag || ':' || chunk::varchar) as digest from r2),
+r4 as (select *, ('0x' || substr(digest, 1, 8))::bigint % shards as shard, size * copies as words from r3),
+k1 as (select source, shard, any_value(block) as block, any_value(blocks) as blocks, (sum(words)::bigint + any_value(block) - 1) // any_value(block) as n from r4 group by source, shard),
+k2 as (select *, (sum(n) over (partition by source))::bigint as n_all, coalesce(sum(n) over (partition by source order by shard rows between unbounded preceding and 1 preceding), 0)::bigint as since from k1),
+k3 as (select *, least((least(blocks, 3 * n_all)::hugeint * (since + n)) // n_all - (least(blocks, 3 * n_all)::hugeint * since) // n_all, 3 * n)::bigint as quota,
+  ('0x' || substr(md5('mix-1/' || coalesce(source, chr(0)) || '/' || shard), 1, 8))::bigint % n as turn from k2),
+r5 as (select r4.*, n, quota, turn, quota % n as more,
+    (sum(words) over (partition by r4.source, r4.shard order by digest, doc_id, tag rows between unbounded preceding and current row))::bigint as upto
+  from r4 join k3 on r4.source is not distinct from k3.source and r4.shard = k3.shard),
+r6 as (select *, upto - words as since from r5),
+r7 as (select *, (quota // n) * words
+    + block * (((upto // block + turn)::hugeint * more) // n) + ((((upto // block + 1 + turn)::hugeint * more) // n) - (((upto // block + turn)::hugeint * more) // n)) * (upto % block)
+    - block * (((since // block + turn)::hugeint * more) // n) - ((((since // block + 1 + turn)::hugeint * more) // n) - (((since // block + turn)::hugeint * more) // n)) * (since % block) as words_taken from r6),
+r8 as (select *, unnest(range(1, copies + 1)) as nth from r7)
+select doc_id, size, source_size, target, (words_taken // copies + (nth <= words_taken % copies)::int)::bigint as taken from r8
+union all select d.doc_id, 0, source_size, target, 0 from d join p on d.source is not distinct from p.source where size = 0""",
 }
