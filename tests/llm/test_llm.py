@@ -551,6 +551,29 @@ def test_chat_round_trip(spark):
         assert r["loss_texts"] == [x[3] or "" for x in own if x[2] == "assistant"]
 
 
+def test_chat_ties_nulls_and_clashing_columns(spark):
+    rows = [(1, None, "user", "z"), (1, 2, "user", "~b"), (1, 2, "user", "<a"), (1, 2, "assistant", "<|"), (1, 2, "assistant", "~"), (1, 2, "assistant", "~"), (None, 1, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat_format.text_parts(F.col("text")))
+    for c in ("rows", "place", "at", "known", "whole", "size", "formatted"):
+        df = df.withColumn(c, F.lit("x"))
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_chats(df.repartition(3))).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == ["z", "<|", "~", "~", "<a", "~b"] and got[1]["loss_texts"] == ["<|", "~", "~"]
+    assert got[None]["loss_texts"] == [""]
+
+
+def test_a_chat_of_many_turns_takes_linear_time(spark):
+    import time
+
+    took = []
+    for n in (5000, 20000):
+        df = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat('word ', 20) as text").withColumn("parts", chat_format.text_parts(F.col("text")))
+        began = time.perf_counter()
+        r = chat_format.read_back(chat_format.format_chats(df)).selectExpr("size(turns) as n", "length(array_join(loss_texts, '')) as chars").first()
+        took.append(time.perf_counter() - began)
+        assert (r["n"], r["chars"]) == (n, n // 2 * 100)
+    assert took[1] < 8 * took[0] + 2
+
+
 def test_parts_become_placeholders(spark):
     df = spark.sql(
         f"""select 1L as conv_id, 0L as turn, 'user' as role, cast(array(
@@ -584,6 +607,19 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_of_many_originals_and_large_pages(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["x" * 120 + str(k) * rng.randrange(1, 4000) for k in range(30)]
+    rows = [(k, "u", rng.choice(texts)) for k in range(80)] + [(None, "u", None), (200, None, texts[0]), (200, None, texts[0]), (201, "u", "long " * 300000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    take = lambda **o: warc.archive_pages(df, **o).drop("record_id")
+    plain = sorted(map(str, take().collect()))
+    monkeypatch.setattr(warc, "FEW", 0)
+    assert sorted(map(str, take().collect())) == plain == sorted(map(str, take(large=3000, file_bytes=5000).collect()))
+    ids = [r["record_id"] for r in warc.archive_pages(df).collect()]
+    assert len(set(ids)) == len(ids) - 1  # the page captured twice keeps its id
+
+
 def test_warc_parser_on_members_and_faults():
     import gzip
 

@@ -113,16 +113,17 @@ def text_tag(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
-def may_contain(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, most_bits: int = 1 << 28) -> DataFrame:
-    """The ``rows`` whose key may be among those of ``wanted``: a bitmap of hashed keys,
-    sixteen bits a key but ``most_bits`` at most, is broadcast as a table of words.
-    It turns away what surely is not; what is let through by chance costs, not harms."""
+def mark_possible(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, most_bits: int = 1 << 28) -> DataFrame:
+    """Adds ``_may``: false for rows whose key is surely not among those of ``wanted``.
+
+    A bitmap of hashed keys, sixteen bits a key but ``most_bits`` at most, is broadcast
+    as a table of words.  What is let through by chance costs, but does no harm."""
     bits = min(most_bits, max(1 << 12, 1 << (16 * wanted.count()).bit_length()))
     slot = lambda k: F.pmod(F.xxhash64(k, F.lit(29)), F.lit(bits))
     mask = F.expr("bit_or(shiftleft(1L, cast(_slot % 63 as int)))")
     words = wanted.select(slot(F.col(wanted_key)).alias("_slot")).groupBy(F.expr("_slot div 63").alias("_word")).agg(mask.alias("_mask"))
-    marked = rows.withColumn("_at", slot(key)).join(F.broadcast(words), F.expr("_at div 63") == F.col("_word"))
-    return marked.filter(F.expr("shiftright(_mask, cast(_at % 63 as int)) & 1L = 1L")).drop("_at", "_word", "_mask")
+    marked = rows.withColumn("_at", slot(key)).join(F.broadcast(words), F.expr("_at div 63") == F.col("_word"), "left")
+    return marked.withColumn("_may", F.coalesce(F.expr("shiftright(_mask, cast(_at % 63 as int)) & 1L = 1L"), F.lit(False))).drop("_at", "_word", "_mask")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, settle=F.max, seed: int = 7) -> tuple[DataFrame, dict[int, int]]:

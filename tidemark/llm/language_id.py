@@ -12,14 +12,15 @@ is labelled at once, the others go through the dynamic programme.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0 and no
 spans; texts in scripts never seen in training get equal scores, so the language
-most frequent in training; a model without rows predicts ``und`` throughout;
+most frequent in training; a model without rows predicts ``und`` throughout; more
+than ``languages`` languages raise a ValueError, none is left out in silence;
 repeated rows get equal results; extra columns are ignored by :func:`identify`
 except those named as kept.
 
 Scale: fitting takes a bounded, hash-chosen sample (``rows`` a language); scoring
 is a single map over the texts, in slices of about a million characters, with no
 shuffle.  The model (about a megabyte a language) is broadcast; its size is fixed
-by the n-gram table and the number of languages.
+by the n-gram table and the number of languages, which ``LANGUAGES`` bounds.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from tidemark.llm.common import slices
 
 #: Rows a language that a model is fitted on.
 ROWS = 1500
+#: Languages that a model may tell apart: its size grows with them.
+LANGUAGES = 1000
 #: Slots of the hashed n-gram table.
 SLOTS = 1 << 16
 #: Penalty, in nats, for changing language between two words.
@@ -58,7 +61,7 @@ SCRIPTS = {
     "georgian": [(0x10A0, 0x10FF)],
     "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
     "kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF)],
-    "han": [(0x2E80, 0x2FDF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)],
+    "han": [(0x2E80, 0x2FDF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
 }
 
 _tables: dict[str, np.ndarray] = {}
@@ -70,7 +73,7 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
         import unicodedata
 
         letter = np.zeros(0x110000, bool)
-        for cp in range(0x30000):
+        for cp in range(0x110000):
             if unicodedata.category(chr(cp))[0] in "LM":
                 letter[cp] = True
         script = np.zeros(0x110000, np.uint8)
@@ -114,13 +117,16 @@ class Words:
         yield (a * m1 + b * m2 + d * m3 + after * np.uint64(0x27D4EB2F165667C5)) * m1 >> top
 
 
-def fit(labelled: DataFrame, rows: int = ROWS, seed: int = 11) -> dict:
+def fit(labelled: DataFrame, rows: int = ROWS, seed: int = 11, languages: int = LANGUAGES) -> dict:
     """A model from (text, lang); rows of null lang or text don't count.
 
     About ``rows`` rows a language are chosen by a hash of the text; n-gram and
     script counts are made in the executors and added up by slot."""
     good = labelled.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in good.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    by_lang = good.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()
+    if len(by_lang) > languages:
+        raise ValueError(f"more than {languages} languages: the model would outgrow its bound")
+    sizes = {r["lang"]: r["n"] for r in by_lang}
     langs = sorted(sizes)
     if not langs:
         return {"langs": []}

@@ -6,19 +6,22 @@ refer to it, and the archives are written deduplicated, with fresh headers.
 
 Records are laid out by SQL expressions and written by Spark's text sink, whose
 line separator closes each record: the commit protocol of the sink makes lost or
-repeated tasks harmless on any file system.  Files hold ``records_per_file``
-records at most and are read back one by one with a streaming parser that goes by
-Content-Length alone, so payloads may hold anything.
+repeated tasks harmless on any file system.  A file is one gzip member of some
+records, read back with a streaming parser that goes by Content-Length alone, so
+payloads may hold anything.  Payloads of ``LARGE`` bytes and more are kept in files
+of their own, with as few records a file as keep it under ``FILE_BYTES``.
 
 Defined results: null html is an empty payload; payloads under ``least`` bytes
 are always responses; among equal payloads the smallest id is the response (rows
-that repeat that id are responses as well); null ids come last; an empty table
-gives no archive records; extra columns are ignored.
-
-Scale: partial aggregate of headers by digest; only digests that occur twice go on
-to the join with the records, which is a broadcast while they are few and one
-shuffle of the records beyond that (hot digests are split by adaptive skew
-handling: both sides are plain exchanges).
+that repeat that id are responses as well, and as the same page share its record
+id); null ids come last, each with a record id of its own; an empty table gives no
+archive records; extra columns are ignored.
+
+Scale: partial aggregate of headers by digest.  Up to ``FEW`` originals are broadcast
+to the records.  Beyond that, records whose digest does not occur twice (a bitmap of
+bounded size turns them away) are responses and never shuffled; the others join the
+originals in one shuffle, whose hot digests adaptive execution splits (both sides
+are plain exchanges).
 """
 
 from __future__ import annotations
@@ -31,11 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, scratch_path
+from tidemark.llm.common import mark_possible, materialise, scratch_path
 
 CRLF = "\r\n"
 #: Payloads under this many bytes are never revisits.
 LEAST = 100
+#: Bytes from which a payload is kept apart, and bytes of payloads in a file.
+LARGE, FILE_BYTES = 1 << 18, 1 << 30
+#: Originals (a digest and an id each) that are broadcast; more are joined by a shuffle.
+FEW = 200_000
 RECORD_FIELDS = (
     "record_id string, record_type string, target_uri string, warc_date string, page_id long, payload_digest string, "
     "payload_bytes long, refers_to long, content_length long, block_digest string"
@@ -49,34 +56,40 @@ def headers(pages: DataFrame) -> DataFrame:
     return rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
 
 
-def resolve(heads: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, payload_digest, payload_bytes) rows with record_type and
-    refers_to added."""
-    large = heads.filter(F.col("payload_bytes") >= least)
+def originals(heads: DataFrame, least: int = LEAST) -> DataFrame:
+    """(digest, original) of payloads that occur more than once among headers
+    (page_id, payload_digest, payload_bytes)."""
     first = F.min(F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("id")))
-    originals = materialise(large.groupBy(F.col("payload_digest").alias("digest")).agg(first["id"].alias("original"), F.count("*").alias("copies")).filter("copies > 1"), "originals")
-    joined = heads.join(originals, heads["payload_digest"] == originals["digest"], "left")
+    grouped = heads.filter(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("digest")).agg(first["id"].alias("original"), F.count("*").alias("copies"))
+    return grouped.filter("copies > 1").drop("copies")
+
+
+def resolve(records: DataFrame, known: DataFrame) -> DataFrame:
+    """Records with record_type and refers_to added, ``known`` being their
+    :func:`originals`."""
+    joined = records.join(known, records["payload_digest"] == known["digest"], "left")
     again = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return joined.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("original"))}).drop("digest", "original", "copies")
+    return joined.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("original"))}).drop("digest", "original")
 
 
-def record_id(page_id: Column) -> Column:
-    """A stable urn:uuid made from the page's id."""
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))))
+def record_id(page_id: Column, digest: Column) -> Column:
+    """A stable urn:uuid made from the page's id and payload; a fresh one without an id."""
+    h = F.md5(F.concat(F.lit("page:"), page_id.cast("string"), F.lit(":"), digest))
     at = lambda a, n: F.substring(h, a, n)
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", at(1, 8), at(9, 4), at(13, 4), at(17, 4), at(21, 12)), F.lit(">"))
+    named = F.concat_ws("-", at(1, 8), at(9, 4), at(13, 4), at(17, 4), at(21, 12))
+    return F.concat(F.lit("<urn:uuid:"), F.when(page_id.isNull(), F.uuid()).otherwise(named), F.lit(">"))
 
 
 def write_archives(records: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 4000) -> None:
-    """Writes records (page_id, url, payload, payload_digest, payload_bytes,
-    record_type, refers_to) as gzip-compressed WARC/1.1 files under ``path``."""
+    """Adds records (page_id, url, payload, payload_digest, payload_bytes,
+    record_type, refers_to) as gzip-compressed WARC/1.1 files to ``path``."""
     revisit = F.col("record_type") == "revisit"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     block = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
     head = F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", record_id(F.col("page_id"))),
+        line("WARC-Record-ID", record_id(F.col("page_id"), F.col("payload_digest"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         F.when(F.col("page_id").isNotNull(), line("X-Page-ID", F.col("page_id").cast("string"))).otherwise(""),
@@ -86,7 +99,7 @@ def write_archives(records: DataFrame, path: str, *, date: str = "2024-01-01T00:
             revisit,
             F.concat(
                 line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-                line("WARC-Refers-To", record_id(F.col("refers_to"))),
+                line("WARC-Refers-To", record_id(F.col("refers_to"), F.col("payload_digest"))),
                 line("X-Refers-To-Page-ID", F.col("refers_to").cast("string")),
             ),
         ).otherwise(""),
@@ -95,7 +108,7 @@ def write_archives(records: DataFrame, path: str, *, date: str = "2024-01-01T00:
         F.lit(CRLF),
     )
     value = F.concat(head, block.cast("string"), F.lit(CRLF))
-    records.select(value.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    records.select(value.alias("value")).write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).mode("append").text(path)
 
 
 def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -179,14 +192,25 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     return files.mapInArrow(read, schema)
 
 
-def archive_pages(pages: DataFrame, least: int = LEAST, **options: object) -> DataFrame:
+def archive_pages(pages: DataFrame, least: int = LEAST, *, large: int = LARGE, file_bytes: int = FILE_BYTES, **options: object) -> DataFrame:
     """Writes the deduplicated archives of ``pages`` (page_id, url, html) to the
     shared folder and returns what reading them back gives.  A response's block is
     hashed again on reading; a mismatch with its header raises."""
     spark = pages.sparkSession
     rows = headers(pages)
+    heads = materialise(rows.select("page_id", "payload_digest", "payload_bytes"), "headers")
+    known = materialise(originals(heads, least), "originals")
+    longest = heads.agg(F.max("payload_bytes")).first()[0] or 0
     path = scratch_path(spark, "warc")
-    write_archives(resolve(rows, least), path, **options)
+    if known.count() <= FEW:
+        every = resolve(rows, F.broadcast(known))
+    else:  # what may be a revisit joins the originals; the rest is all responses and stays where it is
+        marked = mark_possible(rows, F.col("payload_digest"), known, "digest")
+        alone = marked.filter("not _may").withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")})
+        every = resolve(marked.filter("_may"), known).unionByName(alone).drop("_may")
+    write_archives(every.filter(F.col("payload_bytes") < large), path, **options)
+    if longest >= large:
+        write_archives(every.filter(F.col("payload_bytes") >= large), path, **(options | {"records_per_file": max(1, file_bytes // longest)}))
     back = read_archives(spark, path)
     bad = (F.col("record_type") == "response") & ((F.col("block_digest") != F.col("payload_digest")) | (F.col("content_length") != F.col("payload_bytes")))
     checked = F.when(bad, F.raise_error(F.lit("a payload differs from its header")).cast("string")).otherwise(F.col("record_type"))
