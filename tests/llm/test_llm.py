@@ -527,7 +527,52 @@ def test_compression_tells_junk(spark, odd):
     assert len(scores) == odd.count() and all(0 <= s <= 1 for s in scores)
     none = quality_classifier.fit(docs, labels.limit(0))
     assert {r["score"] for r in quality_classifier.score(docs.limit(3), none).collect()} == {0.5}
-    assert quality_classifier.fit(docs, labels.filter("quality = 1"))["calibration"]["beta"] is None
+    assert len({r["score"] for r in quality_classifier.score(docs, quality_classifier.fit(docs, labels.filter("quality = 1"))).collect()}) == 1
+
+
+def test_scores_equal_a_plain_recomputation(spark, odd):
+    """Every score from the sizes that the zstandard library gives, the pooled curve
+    checked against least squares over all partitions of neighbours."""
+    import zstandard
+
+    rng = random.Random(17)
+    rows = [(k, sentence(rng, "en" if k % 2 else "de", rng.randrange(1, 300)), k % 2) for k in range(200)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    good, bad = (zstandard.ZstdCompressionDict(d) for d in model["dicts"])
+    size = lambda raw, d: sum(len(zstandard.compress(raw[i : i + 512], 3)) if not len(d) else len(zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[i : i + 512])) for i in range(0, len(raw), 512))
+    curve = model["calibration"]
+    every = docs.unionByName(odd.select("doc_id", "text").filter("doc_id is null or doc_id < 4"))
+    for text, got in zip([r["text"] for r in every.collect()], [r["score"] for r in quality_classifier.score(every, model, ("text",)).collect()], strict=True):
+        raw = (text or "").encode()
+        x = (size(raw, bad) - size(raw, good)) / len(raw) if raw else 0.0
+        assert math.isclose(got, float(np.interp(x, curve["at"], curve["share"])), abs_tol=1e-12)
+
+
+def test_isotonic_pools_are_least_squares():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(rng.integers(1, 9))
+        x, y, w = np.sort(rng.normal(size=n)), rng.integers(0, 2, n).astype(float), rng.uniform(0.5, 2, n)
+        best = None
+        for mask in range(1 << (n - 1)):
+            edges = [0, *[i + 1 for i in range(n - 1) if mask >> i & 1], n]
+            means = [np.average(y[a:b], weights=w[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            if all(a <= b for a, b in zip(means, means[1:], strict=False)):
+                fit = np.repeat(means, np.diff(edges))
+                cost = float((w * (y - fit) ** 2).sum())
+                best = min(best, (cost, fit.tolist())) if best else (cost, fit.tolist())
+        model = calibration.fit_isotonic(x, y, w)
+        common, half = np.average(y, weights=w), 0.5 * w.mean()
+        got = calibration.apply_isotonic(model, x)
+        # each pool is drawn to the common share; undone, the pools are the least squares
+        at = 0
+        fit = np.array(best[1])
+        while at < n:
+            end = at + int((fit[at:] == fit[at]).sum())
+            heavy = w[at:end].sum()
+            assert np.allclose(got[at:end], (fit[at] * heavy + half * common) / (heavy + half))
+            at = end
 
 
 def test_calibration_recovers_odds():

@@ -1,5 +1,5 @@
-"""Logistic calibration of a few features, fitted on the driver from a bounded
-sample (the callers' documented parameter)."""
+"""Calibration of scores to probabilities, fitted on the driver from a bounded sample
+(the callers' documented parameter): logistic for a few features, isotonic for one."""
 
 from __future__ import annotations
 
@@ -51,3 +51,25 @@ def apply_logistic(model: dict, x: np.ndarray) -> np.ndarray:
     form = expand if model["products"] else plain
     z = form((np.clip(x, model["low"], model["high"]) - model["mean"]) / model["sd"])
     return 1 / (1 + np.exp(-np.clip(z @ model["beta"], -30, 30)))
+
+
+def fit_isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """The never falling curve through weighted ``y`` (0 or 1) over ``x``, by pooling
+    neighbours that fall; each pool is drawn to the common share by half a row."""
+    if not len(y):
+        return {"at": np.zeros(1), "share": np.full(1, 0.5)}
+    common, half = float(np.average(y, weights=weight)), 0.5 * float(np.mean(weight))
+    order = np.lexsort((-y, x))
+    pools: list[list[float]] = []  # first x, last x, weighted sum, weight
+    for k in order:
+        pools.append([x[k], x[k], weight[k] * y[k], weight[k]])
+        while len(pools) > 1 and (pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]):
+            _, last, total, heavy = pools.pop()
+            pools[-1] = [pools[-1][0], last, pools[-1][2] + total, pools[-1][3] + heavy]
+    share = np.maximum.accumulate([(p[2] + half * common) / (p[3] + half) for p in pools])
+    return {"at": np.array([a for p in pools for a in p[:2]]), "share": np.repeat(share, 2)}
+
+
+def apply_isotonic(model: dict, x: np.ndarray) -> np.ndarray:
+    """Probabilities of label 1, straight lines between the pools."""
+    return np.interp(x, model["at"], model["share"])

@@ -1,20 +1,19 @@
 """Quality classification by compression.
 
 Two Zstandard dictionaries are built, from good and from bad labelled text.  A
-text, in pieces of about two thousand bytes, is compressed with each dictionary
-and with none; the normalised difference of the compressed sizes (with the plain
-ratio and the length beside it) is calibrated to a probability that
-the text's label is 1.
+text, in pieces of ``PIECE_BYTES``, is compressed with each of them; the difference
+of the compressed sizes, divided by the text's size, is all that its score is made
+from: an isotonic curve calibrates it to the probability that the label is 1.
 
-Defined results: null and empty texts get the calibrated score of zero features;
+Defined results: null and empty texts get the calibrated score of no difference;
 with no labels the score is 0.5, with one class a constant near it; repeated rows
-get equal scores; labels that name no document or are null do not count; extra
-columns are ignored.
+get equal scores; labels that name no document or are null do not count, of those
+that contradict one another the bad one does; extra columns are ignored.
 
 Scale: dictionaries and calibration are fitted on a bounded, hash-chosen sample of
-labelled rows (``rows`` a class, ``pieces`` pieces of each text for the
+labelled rows (``rows`` a class, ``PIECES`` pieces of each text for the
 dictionaries); scoring maps over whole texts without a shuffle.  The broadcast
-model is two dictionaries of ``dict_bytes`` and a few numbers.
+model is two dictionaries of ``DICT_BYTES`` and a curve.
 """
 
 from __future__ import annotations
@@ -27,12 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.calibration import apply_logistic, fit_logistic
-from tidemark.llm.common import sample_by_hash
+from tidemark.llm.calibration import apply_isotonic, fit_isotonic
+from tidemark.llm.common import labelled_sample
 
 #: Labelled rows a class that the model is fitted on, pieces a row that go into
 #: the dictionaries, size of a dictionary and of a piece.
-ROWS, PIECES, DICT_BYTES, PIECE_BYTES = 3000, 4, 1 << 16, 2048
+ROWS, PIECES, DICT_BYTES, PIECE_BYTES = 3000, 4, 1 << 15, 512
 LEVEL = 3
 
 
@@ -42,30 +41,30 @@ def pieces(text: str | None, size: int = PIECE_BYTES) -> list[bytes]:
 
 
 class Scorer:
-    """Compressors of a model, made once a worker."""
+    """Compressors of a model, made once a task."""
 
     def __init__(self, model: dict) -> None:
         self.model = model
-        plain = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
-        self.by = [plain]
+        options = {"level": LEVEL, "write_checksum": False, "write_content_size": False}
+        self.by = []
         for raw in model["dicts"]:
             if raw:
                 d = zstandard.ZstdCompressionDict(raw)
                 d.precompute_compress(level=LEVEL)
-                self.by.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False))
+                self.by.append(zstandard.ZstdCompressor(dict_data=d, write_dict_id=False, **options))
             else:
-                self.by.append(plain)
+                self.by.append(zstandard.ZstdCompressor(**options))
 
-    def features(self, text: str | None) -> tuple[float, ...]:
+    def difference(self, text: str | None) -> float:
+        """Bytes that the bad dictionary needs beyond the good one, a byte of text."""
         parts = pieces(text)
         if not parts:
-            return (0.0, 0.0, 0.0)
-        plain, good, bad = (sum(len(c.compress(p)) for p in parts) for c in self.by)
-        total = sum(map(len, parts))
-        return (bad - good) / (bad + good), np.log(plain / total), np.log1p(total)
+            return 0.0
+        good, bad = (sum(len(c.compress(p)) for p in parts) for c in self.by)
+        return (bad - good) / sum(map(len, parts))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return apply_logistic(self.model["calibration"], np.array([self.features(t) for t in texts]).reshape(-1, 3))
+        return apply_isotonic(self.model["calibration"], np.array([self.difference(t) for t in texts], float))
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -85,46 +84,39 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> dict:
 
     Half of the sample (by hash) builds the dictionaries, the other half, which
     they have not seen, calibrates."""
-    spark = docs.sparkSession
-    known = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = [sample_by_hash(known.filter(F.col("quality") == q), "doc_id", rows) for q in (0, 1)]
-    # the sample's ids are bounded by 2 * rows, so the join may broadcast them
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    sample = sample.select("quality", "text", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0).alias("builds"))
+    sample, counts = labelled_sample(docs, labels, "quality", rows, F.min)
+    sample = sample.select("label", "text", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0).alias("builds"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"quality": [], "builds": [], "piece": []}
+            out = {"label": [], "piece": []}
             for q, text, builds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if builds:
                     parts = pieces(text)
                     step = max(1, len(parts) // PIECES)
-                    for p in parts[::step][:PIECES]:
-                        out["quality"].append(q)
-                        out["builds"].append(True)
-                        out["piece"].append(p)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("quality", pa.int32()), ("builds", pa.bool_()), ("piece", pa.binary())]))
+                    own = parts[::step][:PIECES]
+                    out["label"] += [q] * len(own)
+                    out["piece"] += own
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("label", pa.int32()), ("piece", pa.binary())]))
 
-    samples = sample.mapInArrow(cut, "quality int, builds boolean, piece binary").orderBy("quality", "piece").toPandas()
-    dicts = [train_dictionary([bytes(p) for p in samples["piece"][samples["quality"] == q]]) for q in (1, 0)]
-    model = {"dicts": dicts, "calibration": None}
-    shared = spark.sparkContext.broadcast(model)
+    samples = sample.mapInArrow(cut, "label int, piece binary").orderBy("label", "piece").toPandas()
+    dicts = [train_dictionary([bytes(p) for p in samples["piece"][samples["label"] == q]]) for q in (1, 0)]
+    shared = docs.sparkSession.sparkContext.broadcast({"dicts": dicts})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = [(q, *scorer.features(t)) for q, t, builds in zip(*(c.to_pylist() for c in batch.columns), strict=True) if not builds]
-            columns = list(zip(*got, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=["quality", "a", "b", "c"])
+            got = [(q, scorer.difference(t)) for q, t, builds in zip(*(c.to_pylist() for c in batch.columns), strict=True) if not builds]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64())], names=["label", "difference"])
 
-    seen = sample.mapInArrow(measure, "quality int, a double, b double, c double").orderBy("quality", "a", "b", "c").toPandas()
+    seen = sample.mapInArrow(measure, "label int, difference double").orderBy("label", "difference").toPandas()
     shared.unpersist()
-    y = seen["quality"].to_numpy(float)
-    calibration = fit_logistic(seen[["a", "b", "c"]].to_numpy(float), y)
-    if len(y) and y.min() < y.max():  # the classes were sampled at different rates: back to the labels' own odds
-        counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-        calibration["beta"][0] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return {"dicts": dicts, "calibration": calibration}
+    y = seen["label"].to_numpy(float)
+    # the classes were sampled at different rates: weights give the labels' own odds
+    weight = np.ones(len(y))
+    for q in (0, 1):
+        weight[y == q] = counts.get(q, 0) / max((y == q).sum(), 1)
+    return {"dicts": dicts, "calibration": fit_isotonic(seen["difference"].to_numpy(float), y, weight)}
 
 
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

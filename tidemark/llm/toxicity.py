@@ -11,13 +11,14 @@ probability.
 
 Defined results: null and empty texts get the calibrated score of no evidence;
 without labels the score is 0.5; a label that names no document, or is null, does
-not count; repeated rows get equal scores; extra columns are ignored.
+not count, of those that contradict one another the toxic one does; repeated rows
+get equal scores; extra columns are ignored.
 
 Scale: the character counts cover every text of the corpus (one map, partial
 sums per task, added by slot); the lexicon is fitted on a bounded, hash-chosen
 sample of labelled rows (``rows`` a class); scoring is a map without a shuffle.
-The broadcast model is a table of ``36 ** 3`` numbers and at most ``FEATURES``
-entries of the lexicon.
+The broadcast model is a table of ``36 ** 3`` numbers and the ``features`` strongest
+entries of the lexicon, parameters that bound the model, not what it is applied to.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.calibration import apply_logistic, fit_logistic
-from tidemark.llm.common import join_texts, materialise, release, sample_by_hash, slices, span_hash, word_spans
+from tidemark.llm.common import join_texts, labelled_sample, materialise, release, slices, span_hash, word_spans
 
 ROWS, FEATURES = 8000, 60000
 #: Characters of the model: 0 is the boundary, 1-26 letters, 27-35 others.
@@ -271,16 +272,16 @@ class Lexicon:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, rows: int = ROWS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, rows: int = ROWS, features: int = FEATURES) -> dict:
     """A model from ``docs`` (doc_id, text), ``labels`` (doc_id, toxic) and the
-    texts of ``corpus`` (``docs`` unless given)."""
+    texts of ``corpus`` (``docs`` unless given).
+
+    Three quarters of the sample (by hash) make the lexicon; the rest, which it has
+    not seen, calibrates that same lexicon."""
     logp = language_model(character_counts(docs if corpus is None else corpus))
-    known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = [sample_by_hash(known.filter(F.col("toxic") == q), "doc_id", rows) for q in (0, 1)]
-    # the sample's ids are bounded by 2 * rows, so the join may broadcast them
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("toxic", "text", "doc_id")
-    half = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == 0).cast("int")
-    sample = sample.select("toxic", "text", half.alias("calibrates"))
+    sample, known = labelled_sample(docs, labels, "toxic", rows)
+    half = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0).cast("int")
+    sample = sample.select("label", "text", half.alias("calibrates"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, str] = {}
@@ -300,19 +301,15 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, row
     sums = counted.agg(*[F.sum(f"{g}_texts").alias(str(g)) for g in range(4)]).first()
     total = np.array([x or 0 for x in sums], float)
 
-    def lexicon(use: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        """The strongest features: the log ratio of document frequencies in the
-        two classes, at one deviation to the safe side."""
-        zero, one = use
-        c0, c1 = sum(F.col(f"{g}_n") for g in zero), sum(F.col(f"{g}_n") for g in one)
-        n0, n1 = float(total[list(zero)].sum()), float(total[list(one)].sum())
-        safe = F.log((c1 + 0.25) / (n1 + 1)) - F.log((c0 + 0.25) / (n0 + 1)) - F.lit(1.0) * F.sqrt(1 / (c1 + 0.25) + 0 * c0)
-        top = counted.filter(c1 >= 2).select("feature", safe.alias("weight")).filter("weight > 0").orderBy(F.desc("weight"), "feature").limit(FEATURES).toPandas()
-        keys = top["feature"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return keys[order], top["weight"].to_numpy(float)[order]
-
-    first = lexicon(((0,), (2,)))
+    # the strongest features: the log ratio of document frequencies in the two classes, at
+    # one deviation to the safe side, of texts that do not calibrate
+    c0, c1, n0, n1 = F.col("0_n"), F.col("2_n"), float(total[0]), float(total[2])
+    safe = F.log((c1 + 0.25) / (n1 + 1)) - F.log((c0 + 0.25) / (n0 + 1)) - F.sqrt(1 / (c1 + 0.25))
+    top = counted.filter(c1 >= 2).select("feature", safe.alias("weight")).filter("weight > 0").orderBy(F.desc("weight"), "feature").limit(features).toPandas()
+    release(counted)
+    keys = top["feature"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    first = keys[order], top["weight"].to_numpy(float)[order]
     shared = docs.sparkSession.sparkContext.broadcast(first)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,18 +318,15 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, row
             label, texts, cal = (c.to_pylist() for c in batch.columns)
             own = [i for i, c in enumerate(cal) if c]
             got = measured(restore([texts[i] for i in own], logp, memory), Lexicon(*shared.value))
-            yield pa.RecordBatch.from_arrays([pa.array([label[i] for i in own], pa.int32()), *[pa.array(got[:, k]) for k in range(3)]], names=["toxic", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([label[i] for i in own], pa.int32()), *[pa.array(got[:, k]) for k in range(3)]], names=["label", "a", "b", "c"])
 
-    seen = sample.mapInArrow(measure, "toxic int, a double, b double, c double").orderBy("toxic", "a", "b", "c").toPandas()
+    seen = sample.mapInArrow(measure, "label int, a double, b double, c double").orderBy("label", "a", "b", "c").toPandas()
     shared.unpersist()
-    y = seen["toxic"].to_numpy(float)
+    y = seen["label"].to_numpy(float)
     calibration = fit_logistic(seen[["a", "b", "c"]].to_numpy(float), y, products=False)
     if len(y) and y.min() < y.max():
-        counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        calibration["beta"][0] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    keys, weights = lexicon(((0, 1), (2, 3)))
-    release(counted)
-    return {"logp": logp, "keys": keys, "weights": weights, "calibration": calibration}
+        calibration["beta"][0] += np.log(known[1] / known[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return {"logp": logp, "keys": first[0], "weights": first[1], "calibration": calibration}
 
 
 def measured(texts: list[str], lexicon: Lexicon) -> np.ndarray:
