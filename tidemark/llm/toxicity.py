@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.calibration import apply_logistic, fit_logistic
 from tidemark.llm.common import join_texts, labelled_sample, materialise, release, slices, span_hash, word_spans
 
-ROWS, FEATURES = 8000, 60000
+#: Labelled rows a class that the model is fitted on, entries of its lexicon, folds of its calibration.
+ROWS, FEATURES, FOLDS = 8000, 60000, 4
 #: Characters of the model: 0 is the boundary, 1-26 letters, 27-35 others.
 SIZE = 36
 #: Cost in nats of reading a sign as a letter, of dropping a repeat, of joining a spaced run.
@@ -276,19 +277,20 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, row
     """A model from ``docs`` (doc_id, text), ``labels`` (doc_id, toxic) and the
     texts of ``corpus`` (``docs`` unless given).
 
-    Three quarters of the sample (by hash) make the lexicon; the rest, which it has
-    not seen, calibrates that same lexicon."""
+    The lexicon comes from the whole sample.  It is calibrated by cross-fitting: each
+    text of the sample is measured by a lexicon made without its fold."""
     logp = language_model(character_counts(docs if corpus is None else corpus))
     sample, known = labelled_sample(docs, labels, "toxic", rows)
-    half = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0).cast("int")
-    sample = sample.select("label", "text", half.alias("calibrates"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int")
+    sample = sample.select("label", "text", fold.alias("fold"))
+    groups = range(2 * FOLDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, str] = {}
         for batch in batches:
-            label, texts, cal = (c.to_pylist() for c in batch.columns)
-            group = np.array(label) * 2 + np.array(cal)
-            for g in range(4):
+            label, texts, folds = (c.to_pylist() for c in batch.columns)
+            group = np.array(label) * FOLDS + np.array(folds)
+            for g in groups:
                 own = restore([texts[i] for i in np.flatnonzero(group == g)], logp, memory)
                 if own:
                     parts = [distinct(*all_features(own[lo:hi]))[1] for lo, hi in slices([len(t) for t in own])]
@@ -296,29 +298,34 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, row
                     yield pa.RecordBatch.from_pydict({"grp": pa.array([g] * len(keys), pa.int32()), "feature": keys.view(np.int64), "n": n, "texts": [0] * len(keys)})
                     yield pa.RecordBatch.from_pydict({"grp": pa.array([g], pa.int32()), "feature": pa.array([0], pa.int64()), "n": [0], "texts": [len(own)]})
 
-    counted = sample.mapInArrow(count, "grp int, feature long, n long, texts long").groupBy("feature").pivot("grp", [0, 1, 2, 3]).agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).na.fill(0)
+    counted = sample.mapInArrow(count, "grp int, feature long, n long, texts long").groupBy("feature").pivot("grp", list(groups)).agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).na.fill(0)
     counted = materialise(counted, "features")
-    sums = counted.agg(*[F.sum(f"{g}_texts").alias(str(g)) for g in range(4)]).first()
-    total = np.array([x or 0 for x in sums], float)
-
-    # the strongest features: the log ratio of document frequencies in the two classes, at
-    # one deviation to the safe side, of texts that do not calibrate
-    c0, c1, n0, n1 = F.col("0_n"), F.col("2_n"), float(total[0]), float(total[2])
-    safe = F.log((c1 + 0.25) / (n1 + 1)) - F.log((c0 + 0.25) / (n0 + 1)) - F.sqrt(1 / (c1 + 0.25))
-    top = counted.filter(c1 >= 2).select("feature", safe.alias("weight")).filter("weight > 0").orderBy(F.desc("weight"), "feature").limit(features).toPandas()
-    release(counted)
-    keys = top["feature"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    first = keys[order], top["weight"].to_numpy(float)[order]
-    shared = docs.sparkSession.sparkContext.broadcast(first)
+    sums = counted.agg(*[F.sum(f"{g}_texts").alias(str(g)) for g in groups]).first()
+    total = np.array([x or 0 for x in sums], float).reshape(2, FOLDS)
+
+    def lexicon(without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The strongest features: the log ratio of document frequencies in the two
+        classes, at one deviation to the safe side."""
+        use = [f for f in range(FOLDS) if f != without]
+        c0, c1 = (sum(F.col(f"{q * FOLDS + f}_n") for f in use) for q in (0, 1))
+        n0, n1 = (float(total[q, use].sum()) for q in (0, 1))
+        safe = F.log((c1 + 0.25) / (n1 + 1)) - F.log((c0 + 0.25) / (n0 + 1)) - F.sqrt(1 / (c1 + 0.25))
+        top = counted.filter(c1 >= 2).select("feature", safe.alias("weight")).filter("weight > 0").orderBy(F.desc("weight"), "feature").limit(features).toPandas()
+        keys = top["feature"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], top["weight"].to_numpy(float)[order]
+
+    shared = docs.sparkSession.sparkContext.broadcast([lexicon(f) for f in range(FOLDS)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, str] = {}
+        lexica = [Lexicon(*one) for one in shared.value]
         for batch in batches:
-            label, texts, cal = (c.to_pylist() for c in batch.columns)
-            own = [i for i, c in enumerate(cal) if c]
-            got = measured(restore([texts[i] for i in own], logp, memory), Lexicon(*shared.value))
-            yield pa.RecordBatch.from_arrays([pa.array([label[i] for i in own], pa.int32()), *[pa.array(got[:, k]) for k in range(3)]], names=["label", "a", "b", "c"])
+            label, texts, folds = (c.to_pylist() for c in batch.columns)
+            for f, own_lexicon in enumerate(lexica):
+                own = [i for i, x in enumerate(folds) if x == f]
+                got = measured(restore([texts[i] for i in own], logp, memory), own_lexicon)
+                yield pa.RecordBatch.from_arrays([pa.array([label[i] for i in own], pa.int32()), *[pa.array(got[:, k]) for k in range(3)]], names=["label", "a", "b", "c"])
 
     seen = sample.mapInArrow(measure, "label int, a double, b double, c double").orderBy("label", "a", "b", "c").toPandas()
     shared.unpersist()
@@ -326,7 +333,9 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, row
     calibration = fit_logistic(seen[["a", "b", "c"]].to_numpy(float), y, products=False)
     if len(y) and y.min() < y.max():
         calibration["beta"][0] += np.log(known[1] / known[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return {"logp": logp, "keys": first[0], "weights": first[1], "calibration": calibration}
+    keys, weights = lexicon(None)
+    release(counted)
+    return {"logp": logp, "keys": keys, "weights": weights, "calibration": calibration}
 
 
 def measured(texts: list[str], lexicon: Lexicon) -> np.ndarray:
