@@ -788,13 +788,42 @@ def test_packing_is_lossless(spark, odd):
     parts = {}
     for r in packing.segments(packed).collect():
         parts.setdefault(r["doc_id"], []).append((r["doc_offset"], np.frombuffer(r["ids"], "<u2")))
-    want = {r["doc_id"]: r["text"] or "" for r in odd.select("doc_id", "text").collect() if r["doc_id"] != 6}
+    want, times = {r["doc_id"]: r["text"] or "" for r in odd.select("doc_id", "text").collect()}, Counter(r["doc_id"] for r in odd.select("doc_id").collect())
+    assert times[6] == 2
     for k, text in want.items():
-        ids = np.concatenate([p for _, p in sorted(parts[k], key=lambda x: x[0])])
+        by_offset = {}
+        for at, ids in parts[k]:
+            by_offset.setdefault(at, []).append(ids.tolist())
+        # a repeated row is packed as often as it occurs, each segment of it equally
+        assert all(len(x) == times[k] and x == x[:1] * times[k] for x in by_offset.values())
+        ids = np.concatenate([np.array(by_offset[at][0]) for at in sorted(by_offset)])
         assert ids[-1] == tokenizer.end and tokenizer.decode(ids) == text
     assert packing.pack(odd.limit(0), vocabulary).count() == 0
 
 
+def test_packed_rows_do_not_depend_on_the_split(spark):
+    """Rows, repeated ones in many shards too, against the plain algorithm shard by shard."""
+    vocabulary = packing.load_vocabulary()
+    tokenizer = packing.Tokenizer(vocabulary)
+    rng = random.Random(8)
+    rows = [(k % 150, sentence(rng, "en", rng.randrange(0, 90))) for k in range(300)] + [(None, "again and again")] * 200 + [(5, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    take = lambda d: packing.pack(d, vocabulary, context=64, shard_chars=2000).drop("positions")
+    a, b = (sorted(map(str, take(d).collect())) for d in (df, df.repartition(7)))
+    assert a == b
+    dealt = packing.shards(df, 2000).collect()
+    assert len({r["shard"] for r in dealt if r["doc_id"] is None}) >= 2 and sum(r["copies"] for r in dealt) == len(rows)
+    got = Counter((r["shard"], r["n_tokens"]) for r in take(df).collect())
+    want = Counter()
+    for shard in {r["shard"] for r in dealt}:
+        lengths = []
+        for r in (x for x in dealt if x["shard"] == shard):
+            n = len(tokenizer.encode(r["text"]))
+            lengths += [min(64, n - at) for _ in range(r["copies"]) for at in range(0, n, 64)]
+        want.update((shard, sum(x)) for x in brute_best_fit(lengths, 64))
+    assert got == want
+
+
 def test_long_texts_tokenise_in_pieces():
     tokenizer = packing.Tokenizer(packing.load_vocabulary())
     rng = random.Random(2)

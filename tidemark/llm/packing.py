@@ -8,13 +8,19 @@ its ids (padded with the end token), the positions, which start anew with each
 segment, the cumulative segment lengths, and the document and token offset of each
 segment.
 
+Documents are dealt to shards by a hash of id and text, and packed in order of
+these, so the rows are the same however the input is split.
+
 Defined results: null and empty texts are a lone end token; repeated rows are
 packed as often as they occur; an empty table gives no rows; extra columns are
 ignored.
 
-Scale: a map over partitions without a shuffle; sets of about ``set_tokens`` tokens
-are packed together, which bounds memory.  A set wastes less than a row or two.
-The vocabulary file, of fixed size, is broadcast.
+Scale: shards hold about ``shard_chars`` characters, and sets of ``set_tokens``
+tokens at most are packed together, which bounds memory; a set wastes less than a
+row or two.  Texts are shuffled once, by shard.  Rows that repeat an id and a text
+are found by their digests before; they collapse by a partial aggregate and are
+dealt to many shards again, so one row repeated a billion times is no hot key.  The
+vocabulary file, of fixed size, is broadcast.
 """
 
 from __future__ import annotations
@@ -24,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import materialise
 
-CONTEXT, SET_TOKENS = 2048, 1 << 22
+CONTEXT, SET_TOKENS, SHARD_CHARS = 2048, 1 << 22, 1 << 22
 SCHEMA = (
-    "shard int, bin int, n_tokens int, n_segments int, ids binary, positions binary, cu_seqlens array<int>, "
+    "shard long, bin int, n_tokens int, n_segments int, ids binary, positions binary, cu_seqlens array<int>, "
     "doc_ids array<bigint>, doc_offsets array<int>"
 )
 
@@ -134,14 +142,35 @@ def best_fit_decreasing(lengths: list[int], context: int) -> list[list[int]]:
     return rows
 
 
-def pack(docs: DataFrame, vocabulary: dict, *, context: int = CONTEXT, set_tokens: int = SET_TOKENS) -> DataFrame:
+def shards(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(shard, doc_id, tag, copies, text) of ``docs``, sorted by the first three within
+    partitions that hold whole shards."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.md5(F.coalesce("text", F.lit(""))).alias("tag"))
+    heads = rows.groupBy("doc_id", "tag").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("chars"))
+    heads = materialise(heads, "heads")
+    total = heads.agg(F.sum(F.col("copies") * (F.coalesce("chars", F.lit(0)) + 1))).first()[0] or 0
+    count = max(1, -(-total // shard_chars))
+    # repeated rows become one with its number of copies, dealt in chunks of a shard's size
+    again = heads.filter("copies > 1").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("copies").alias("_copies"))
+    joined = rows.join(again, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["tag"] == F.col("_tag")), "left").drop("_id", "_tag")
+    single = joined.filter("_copies is null").select("doc_id", "tag", F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("copies"), "text")
+    most = F.greatest(F.lit(1), F.floor(F.lit(shard_chars) / (F.coalesce(F.length("text"), F.lit(0)) + 1))).cast("long")
+    once = joined.filter("_copies is not null").groupBy("doc_id", "tag", "_copies").agg(F.first("text").alias("text")).withColumn("most", most)
+    chunks = once.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / F.col("most")))))
+    chunks = chunks.select("doc_id", "tag", "chunk", F.least("most", F.col("_copies") - F.col("chunk") * F.col("most")).alias("copies"), "text")
+    shard = F.pmod(F.xxhash64("doc_id", "tag", "chunk", F.lit(31)), F.lit(count)).alias("shard")
+    dealt = single.unionByName(chunks).select(shard, "doc_id", "tag", "chunk", "copies", "text")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "tag", "chunk")
+
+
+def pack(docs: DataFrame, vocabulary: dict, *, context: int = CONTEXT, set_tokens: int = SET_TOKENS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Packed rows (:data:`SCHEMA`) of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     place = np.dtype("<u2" if context <= 1 << 16 else "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(shared.value)
-        shard, bins = TaskContext.get().partitionId(), 0
+        shard, bins = -1, 0
         segments: list[tuple[int | None, int, np.ndarray]] = []
         held = 0
 
@@ -149,7 +178,7 @@ def pack(docs: DataFrame, vocabulary: dict, *, context: int = CONTEXT, set_token
             nonlocal bins, held
             rows = best_fit_decreasing([len(s[2]) for s in segments], context)
             for lo in range(0, len(rows), 256):
-                out: dict[str, list] = {k: [] for k in ("shard", "bin", "n_tokens", "n_segments", "ids", "positions", "cu_seqlens", "doc_ids", "doc_offsets")}
+                out: dict[str, list] = {k: [] for k in _ARROW.names}
                 for row in rows[lo : lo + 256]:
                     own = [segments[k] for k in row]
                     sizes = [len(s[2]) for s in own]
@@ -165,21 +194,26 @@ def pack(docs: DataFrame, vocabulary: dict, *, context: int = CONTEXT, set_token
             held = 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for of, doc_id, copies, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if of != shard:
+                    if segments:
+                        yield from flush()
+                    shard, bins = of, 0
                 ids = tokenizer.encode(text.as_py())
-                for at in range(0, len(ids), context):
-                    segments.append((doc_id, at, ids[at : at + context]))
-                held += len(ids)
-                if held >= set_tokens:
-                    yield from flush()
+                for _ in range(copies):
+                    for at in range(0, len(ids), context):
+                        segments.append((doc_id, at, ids[at : at + context]))
+                    held += len(ids)
+                    if held >= set_tokens:
+                        yield from flush()
         if segments:
             yield from flush()
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, SCHEMA)
+    return shards(docs, shard_chars).select("shard", "doc_id", "copies", "text").mapInArrow(run, SCHEMA)
 
 
 _ARROW = pa.schema(
-    [("shard", pa.int32()), ("bin", pa.int32()), ("n_tokens", pa.int32()), ("n_segments", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary())]
+    [("shard", pa.int64()), ("bin", pa.int32()), ("n_tokens", pa.int32()), ("n_segments", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary())]
     + [("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("doc_offsets", pa.list_(pa.int32()))]
 )
 
