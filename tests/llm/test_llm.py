@@ -93,8 +93,8 @@ def test_join_equals_all_pairs(spark):
 
 
 def test_join_in_blocks_equals_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "GROUP_BLOCK", 7)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -115,14 +115,79 @@ def test_join_odd_rows(spark, odd):
     assert ngram_join.join(odd.limit(0)).count() == 0
 
 
-def test_matrix_comparison():
+@pytest.mark.parametrize("centred", [False, True])
+def test_links_of_sets_and_of_differences(centred):
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(25)]
-    got = ngram_join.similar(sets, 0.5, width=7)
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            want = i != j and len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b))
-            assert got[i, j] == want
+    for threshold in (0.5, 0.8):
+        base = np.unique(rng.integers(0, 900, 60).astype(np.uint64))
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(12)]
+        sets += [np.unique(np.concatenate([rng.choice(base, len(base) - int(rng.integers(0, 9)), replace=False), rng.integers(1000, 1020, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(20)]
+        centre = base if centred else base[:0]
+        parts = [ngram_join.differences(s, centre) for s in sets]
+        got = ngram_join.linked([d for d, _, _ in parts], np.array([a + threshold * b for _, a, b in parts]), (1 - threshold) * len(centre), threshold)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                assert got[i, j] == (i != j and len(np.intersect1d(a, b)) >= threshold * len(np.union1d(a, b)) - 1e-9)
+        both = ngram_join.common_members(sets, width=7)
+        assert all(both[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
+def test_unlike_texts_of_one_id(spark):
+    """Ids that repeat over unlike texts, and null ids: every link is found, no text lost."""
+    base = [[f"{k}w{i}" for i in range(60)] for k in range(3)]
+    text = lambda k, extra="": " ".join(base[k]) + extra
+    rows = [(1, text(0)), (1, text(1)), (2, text(0, " z")), (3, text(1, " z")), (None, text(2)), (None, text(2, " y")), (None, text(2)), (7, text(2, " q")), (8, None), (8, None), (9, ""), (10, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in ngram_join.join(df).collect())
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (0, 7, 3), (0, 7, 3), (0, 7, 3), (7, 7, 3), (8, 8, 0), (8, 8, 0), (9, 9, 0), (10, 10, 0)])
+    assert [r["class_id"] for r in ngram_join.join(df.filter("doc_id is null")).collect()] == [None] * 3
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in ngram_join.keep_one(df).collect())
+    assert kept == sorted([(1, text(0)), (1, text(1)), (7, text(2, " q")), (8, ""), (8, ""), (9, ""), (10, " ")])
+    only = spark.createDataFrame([(1, text(0)), (1, text(1))] * 2, "doc_id long, text string")
+    assert sorted(r["text"] for r in ngram_join.keep_one(only).collect()) == sorted([text(0), text(1)])
+
+
+def test_forest_stops_early_only_where_recall_is_reached():
+    """Texts in dense places stop at long prefixes, others go on to the shortest one."""
+    assert ngram_join.shortest_prefix(0.8, 0.9999) == 4 and ngram_join.shortest_prefix(0.8, 0.99) == 6
+    with pytest.raises(ValueError, match="cannot find"):
+        ngram_join.shortest_prefix(0.1, 0.9999)
+    dense, none = np.full((1, 400), 0.97), np.zeros((1, 400))
+    assert ngram_join.unmet_share(dense, 6, 0.8)[0] <= 1e-4 < ngram_join.unmet_share(none, 6, 0.8)[0]
+    assert ngram_join.unmet_share(none, 4, 0.8)[0] <= 1e-4
+    # a pair that shares four values of a tree meets although both stand beside a dense group
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 16, ngram_join._HASHES).astype(np.uint16)
+    sig = np.repeat(base[None], 202, axis=0)
+    for i in range(200):
+        sig[i, rng.integers(6, ngram_join._HASHES, 2)] += 1
+    sig[200:, 4:26] += 7  # agrees with the group in four fifths, and in four values of the first tree
+    sig[201, 110:] += 3
+    key = ngram_join._prefixes(sig, np.zeros(202, int))
+    order = ngram_join._in_order(key)
+    mask = ngram_join.meet(key[order], sig[order], None, np.zeros(202, np.float32), 0.8, 0.9999, 4)
+    place = np.argsort(order)
+    assert mask[place[200], place[201]] and mask[place[200]][place[:200]].all() and mask[place[0], place[1]]
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85: the forest finds them as the target says."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(400):
+        words = [f"{k}w{i}" for i in range(220)]
+        other = list(words)
+        for i in rng.sample(range(220), 4):
+            other[i] = f"x{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    want = brute = {i: n for i, (_, n) in brute_join_in_pairs(rows).items()}
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(want.values()) >= 300 and got == brute
+
+
+def brute_join_in_pairs(rows):
+    """:func:`brute_join` of each two rows by themselves (the others share no word)."""
+    return {i: r for k in range(0, len(rows), 2) for i, r in brute_join(rows[k : k + 2]).items()}
 
 
 def test_components(spark):

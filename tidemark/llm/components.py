@@ -38,7 +38,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(vertex, component) for every vertex of the links (u, v) of longs; the
+    """(vertex, component) for every vertex of the links (u, v) of any ordered type; the
     component is its least vertex.  Links of a vertex to itself don't count."""
     current = materialise(edges.filter("u <> v").select("u", "v").distinct(), "links")
     before = _state(current)
