@@ -959,6 +959,48 @@ def test_pipeline(spark, tmp_path):
         after = common.materialise(stage(spark, before, str(tmp_path)), name)
         assert after.columns == docs.columns and after.count() > 0
         before = after
+    written = len(common._written)
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    kept = {r["doc_id"] for r in before.collect()}
-    assert {d for r in packed for d in r["doc_ids"]} == kept
+    kept = Counter(r["doc_id"] for r in before.collect())
+    assert Counter(d for r in packed for d, at in zip(r["doc_ids"], r["doc_offsets"], strict=True) if at == 0) == kept
+    # only the last stage's input and the heads of its documents are still there
+    assert len(common._written) - written <= 2
+
+
+def test_each_stage_on_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    lettered = {(r["doc_id"], r["text"]) for r in odd.collect() if any(c.isalpha() for c in r["text"] or "")}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+        got = stage(spark, odd, str(tmp_path))
+        if name == "token_packing":
+            assert sorted((d is None, d or 0) for r in got.collect() for d, at in zip(r["doc_ids"], r["doc_offsets"], strict=True) if at == 0) == sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in odd.collect())
+            continue
+        assert got.columns == odd.columns
+        rows = Counter((r["doc_id"], r["text"]) for r in got.collect())
+        if name == "language_id":
+            assert set(rows) == lettered and rows[[k for k in rows if k[0] == 6][0]] == 2
+            unlabelled = stage(spark, odd.withColumn("lang", F.lit(None).cast("string")), str(tmp_path))
+            assert {(r["doc_id"], r["text"]) for r in unlabelled.collect()} == lettered
+        elif name == "ngram_jaccard_join":
+            assert set(rows) == {(r["doc_id"], r["text"]) for r in odd.collect()} and max(rows.values()) == 1
+        elif name == "benchmark_decontamination":
+            assert rows == Counter((r["doc_id"], r["text"]) for r in odd.collect())
+        else:
+            assert set(rows) <= {(r["doc_id"], r["text"]) for r in odd.collect() if (r["text"] or "").split()}
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Session:
+        def __init__(self, folder, master):
+            self.conf, self.sparkContext = self, self
+            self.folder, self.master = folder, master
+
+        def get(self, name, default):
+            return self.folder if name == "spark.checkpoint.dir" else default
+
+    assert common.scratch_dir(Session("hdfs:/x/", "yarn")) == "hdfs:/x" and common.scratch_dir(Session(None, "local[2]")) == common.LOCAL_SCRATCH
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.scratch_dir(Session(None, "spark://host:7077"))
