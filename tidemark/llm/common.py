@@ -150,7 +150,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     return bounded.select("label", "text", "doc_id"), counts
 
 
-def slices(lengths: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+#: Characters of texts that vectorised work takes at a time; arrays of words are many times as large.
+AT_ONCE = 1 << 18
+
+
+def slices(lengths: list[int], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose lengths add up to ``most`` or that hold one row."""
     lo = total = 0
     for i, n in enumerate(lengths):
@@ -185,7 +189,7 @@ _powers: list[np.ndarray] = []
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         base = int(_MULT)
         inverse = pow(base, -1, 1 << 64)
         for k, b in enumerate((base, inverse)):

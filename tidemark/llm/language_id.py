@@ -18,7 +18,7 @@ repeated rows get equal results; extra columns are ignored by :func:`identify`
 except those named as kept.
 
 Scale: fitting takes a bounded, hash-chosen sample (``rows`` a language); scoring
-is a single map over the texts, in slices of about a million characters, with no
+is a single map over the texts, in slices of about ``AT_ONCE`` characters, with no
 shuffle.  The model (about a megabyte a language) is broadcast; its size is fixed
 by the n-gram table and the number of languages, which ``LANGUAGES`` bounds.
 """
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import AT_ONCE, slices
 
 #: Rows a language that a model is fitted on.
 ROWS = 1500
@@ -242,7 +242,7 @@ def label_words(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -
     return labels
 
 
-def _pieces(text: str, most: int = 1 << 20) -> list[str]:
+def _pieces(text: str, most: int = AT_ONCE) -> list[str]:
     """A text cut between words into pieces of about ``most`` characters."""
     out, lo = [], 0
     letter, _ = _letters()

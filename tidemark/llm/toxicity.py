@@ -78,7 +78,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(SIZE**3, np.int64)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            for lo, hi in slices([len(t) for t in texts], 1 << 19):
+            for lo, hi in slices([len(t) for t in texts]):
                 c = classes("\n\n" + "\n\n".join(texts[lo:hi]) + "\n")
                 keep = np.ones(len(c), bool)  # runs of boundaries count once
                 keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
