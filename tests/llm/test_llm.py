@@ -904,7 +904,7 @@ def test_packing_is_lossless(spark, odd):
     assert packing.pack(odd.limit(0), vocabulary).count() == 0
 
 
-def test_packed_rows_do_not_depend_on_the_split(spark):
+def test_packed_rows_do_not_depend_on_the_split(spark, monkeypatch):
     """Rows, repeated ones in many shards too, against the plain algorithm shard by shard."""
     vocabulary = packing.load_vocabulary()
     tokenizer = packing.Tokenizer(vocabulary)
@@ -914,6 +914,9 @@ def test_packed_rows_do_not_depend_on_the_split(spark):
     take = lambda d: packing.pack(d, vocabulary, context=64, shard_chars=2000).drop("positions")
     a, b = (sorted(map(str, take(d).collect())) for d in (df, df.repartition(7)))
     assert a == b
+    with monkeypatch.context() as m:
+        m.setattr(packing, "FEW", 0)
+        assert sorted(map(str, take(df).collect())) == a
     dealt = packing.shards(df, 2000).collect()
     assert len({r["shard"] for r in dealt if r["doc_id"] is None}) >= 2 and sum(r["copies"] for r in dealt) == len(rows)
     got = Counter((r["shard"], r["n_tokens"]) for r in take(df).collect())

@@ -18,8 +18,8 @@ ignored.
 Scale: shards hold about ``shard_chars`` characters, and sets of ``set_tokens``
 tokens at most are packed together, which bounds memory; a set wastes less than a
 row or two.  Texts are shuffled once, by shard.  Rows that repeat an id and a text
-are found by their digests before (up to ``FEW`` of these are broadcast, more joined
-by another shuffle); they collapse by a partial aggregate and are
+are found by their digests before: up to ``FEW`` of these are broadcast, beyond that
+they are joined by a shuffle of the rows that a bitmap lets through.  They collapse by a partial aggregate and are
 dealt to many shards again, so one row repeated a billion times is no hot key.  The
 vocabulary file, of fixed size, is broadcast.
 """
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import mark_possible, materialise
 
 CONTEXT, SET_TOKENS, SHARD_CHARS = 2048, 1 << 22, 1 << 22
 #: Repeated rows (an id and a digest each) that are broadcast; more are joined by a shuffle.
@@ -155,9 +155,16 @@ def shards(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     count = max(1, -(-total // shard_chars))
     # repeated rows become one with its number of copies, dealt in chunks of a shard's size
     again = heads.filter("copies > 1").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("copies").alias("_copies"))
-    again = F.broadcast(again) if again.count() <= FEW else again
+    alone = None
+    if again.count() <= FEW:
+        again = F.broadcast(again)
+    else:  # rows that surely do not repeat are no part of the join
+        rows = mark_possible(rows, F.xxhash64("doc_id", "tag"), again.select(F.xxhash64("_id", "_tag").alias("_key")), "_key")
+        alone, rows = rows.filter("not _may").drop("_may"), rows.filter("_may").drop("_may")
     joined = rows.join(again, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["tag"] == F.col("_tag")), "left").drop("_id", "_tag")
-    single = joined.filter("_copies is null").select("doc_id", "tag", F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("copies"), "text")
+    unlike = joined.filter("_copies is null").drop("_copies")
+    unlike = unlike if alone is None else unlike.unionByName(alone)
+    single = unlike.select("doc_id", "tag", F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("copies"), "text")
     most = F.greatest(F.lit(1), F.floor(F.lit(shard_chars) / (F.coalesce(F.length("text"), F.lit(0)) + 1))).cast("long")
     once = joined.filter("_copies is not null").groupBy("doc_id", "tag", "_copies").agg(F.first("text").alias("text")).withColumn("most", most)
     chunks = once.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / F.col("most")))))
