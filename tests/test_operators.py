@@ -143,7 +143,8 @@ def test_json_objects_of_pages(spark):
     page = """<script type="application/ld+json">{"name": "Lote 1", "offers": [{"price": "10,00"}, {"images": [{"url": "/a.jpg"}]}]}</script>
     <script type="application/ld+json">{broken</script><script id="__NEXT_DATA__">{"title": "T", "link": "/x", "valor": 7}</script>"""
     got = extract.json_objects(spark.createDataFrame([(1, page)], "id int, html string"), "html", ("id",), embedded=True).orderBy("pos").collect()
-    assert [(r["path"], r["text"], r["price"], r["link"], r["images"]) for r in got] == [
+    assert [bool(r["error"]) for r in got] == [True, *[False] * 5] and "JSONDecodeError" in got[0]["error"]
+    assert [(r["path"], r["text"], r["price"], r["link"], r["images"]) for r in got[1:]] == [
         ("$", "Lote 1", "", "", []), ("$.offers[0]", "", "R$ 10,00", "", []), ("$.offers[1]", "", "", "", ["/a.jpg"]), ("$.offers[1].images[0]", "", "", "/a.jpg", []), ("$", "T", "R$ 7", "/x", []),
     ]
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
+from tidemark.functions import urls as U
 from tidemark.plans import pipelines
 from tidemark.sources import files, offers, web
 from tidemark.streaming import poll
@@ -70,8 +71,34 @@ def test_fetch_contract():
     def broken(request, timeout):
         raise OSError("down")
 
-    assert web.fetch("http://u", 1, 10, 1, opener=gone)[1] == 404
-    assert web.fetch("http://u", 1, 10, 1, opener=broken)[1:3] == (0, b"down")
+    seen = []
+
+    class Answer:
+        status, headers = 200, {"content-type": "text/plain"}
+
+        def __init__(self, request):
+            seen.append(request.full_url)
+            if len(seen) == 1:
+                raise OSError("first")
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+        def read(self, n):
+            return b"x" * n
+
+        def geturl(self):
+            return "http://final"
+
+    policy = web.Policy(1, 10, 1, 0)
+    assert web.fetch("http://u", policy, gone).row() == ("http://u", 404, b"", "text/html", "http://u")
+    assert web.fetch("http://u", policy, broken).row()[1:3] == (0, b"down")
+    drive = "https://drive.google.com/file/d/abc/view"
+    got = web.fetch(drive, web.Policy(1, 4, 3, 0), lambda request, timeout: Answer(request))
+    assert got.row() == (drive, 200, b"xxxx", "text/plain", "http://final") and seen == ["https://drive.google.com/uc?export=download&id=abc"] * 2
     parts = web.WebReader({"urls": "http://a/1\nhttp://b/1\nhttp://a/2"}).partitions()
     assert [p.urls for p in parts] == [["http://a/1", "http://a/2"], ["http://b/1"]]
 
@@ -86,14 +113,19 @@ def test_offline_fetch_and_kind(spark):
 
 
 def test_paged_offers():
-    pages = [{"total": 3, "offers": [{"id": 1}, {"id": 2}]}, {"total": 3, "offers": [{"id": 3}, 4]}]
-    assert web.offers("9", lambda s, e, p, n: (200, pages[p]), "u", 2) == ([{"id": 1}, {"id": 2}, {"id": 3}], "api_superbid_ok")
-    assert web.offers("9", lambda *a: (500, None), "u")[1] == "api_superbid_http_500"
-    assert web.offers("9", lambda *a: (0, None), "u")[1] == "api_superbid_erro"
-    assert web.offers("9", lambda *a: (200, "x"), "u")[1] == "api_superbid_json_invalido"
-    assert web.offers("", None, "u")[1] == "api_superbid_sem_id_evento"
-    # a fault on a later page leaves what was read
-    assert web.offers("9", lambda s, e, p, n: (200, pages[0]) if p == 0 else (500, None), "u", 2)[1] == "api_superbid_ok"
+    page = lambda n, total: web.Fetched("u", 200, json.dumps({"total": total, "offers": [{"id": k} for k in range(n)]}).encode())
+
+    def read(*answers):
+        given, asked = iter(answers), []
+        return [r[1:3] for r in web.offer_pages("http://sold.com.br/x-12345", "12345", lambda a: (asked.append(a), next(given))[1])], asked
+
+    got, asked = read(page(60, 130), page(60, 130), page(10, 130))
+    assert got == [(0, 200), (1, 200), (2, 200)] and "auction.id%3A12345" in asked[0] and "pageNumber=2" in asked[2]
+    assert len(read(page(60, 60))[0]) == len(read(page(60, None))[0]) == len(read(page(59, 200))[0]) == len(read(page(0, 9))[0]) == 1
+    # a fault on a later page ends the reading; five pages are the most
+    assert read(page(60, 999), web.Fetched("u", 500))[0] == [(0, 200), (1, 500)] and read(web.Fetched("u", 200, b"{"))[0] == [(0, 200)]
+    assert len(read(*[page(60, 9999)] * 9)[0]) == 5 and not list(web.offer_pages("u", "", None))
+    assert U.plain_event_id("https://s/leilao-12345?x") == "12345" and U.plain_event_id("https://s/a/99999/b") == "99999" and U.plain_event_id("https://s/1") == ""
 
 
 def test_offers_to_lots(spark):
@@ -128,8 +160,13 @@ def test_index_lots_carries_and_drops(spark):
     out = pipelines.index_lots(events, fresh, logs, previous, "2026-07-14 16:00:00")
     assert {(r["titulo"], r["status_captura"]) for r in out["lots"].collect()} == {("Trator", "html_ok"), ("Guardado", S.CARRIED + "html_ok")}
     assert {r["n"]: r["lotes"] for r in out["logs"].collect()} == {1: 2, 2: 0}
-    got = pipelines.update_report(previous, out["lots"], out["logs"].withColumn("status", F.lit("html_ok"))).first()
+    attempt = "array(named_struct('url', 'https://f.br/x', 'status', 'bloqueado_http_403', 'http', 403, 'lotes', 0))"
+    logs = out["logs"].selectExpr("*", "if(n = 1, 'html_ok', 'bloqueado_http_403') as status", "if(n = 1, 'https://www.o.br/a', 'https://f.br/x') as link", "'' as final_url", f"if(n = 1, null, {attempt}) as fontes_tentadas")
+    got = pipelines.update_report(previous, out["lots"], out["fresh"], logs).first()
     assert (got["analysed"], got["with_lots"], got["rows_before"], got["rows_after"], got["new_keys"], got["removed_keys"]) == (2, 1, 2, 2, 1, 1)
+    assert (got["captured"], got["carried"], got["fresh_new_keys"], got["blocked"]) == (2, 1, 2, 1)
+    assert got["lots_by_host"] == {"o.br": 2} and got["errors_by_host"] == {"f.br": 1}
+    assert [tuple(a) for a in got["failed_attempts"]] == [("https://f.br/x", "bloqueado_http_403", 403)]
 
 
 def test_publish_only_without_fault(spark, tmp_path):
@@ -151,3 +188,29 @@ def test_changed(spark):
     f = spark.createDataFrame([("a", b"1"), ("b", b"2")], "path string, content binary")
     known = f.limit(1).select("path", F.sha2("content", 256).alias("hash"))
     assert {r["path"]: r["changed"] for r in poll.changed(f, known).collect()} == {"a": False, "b": True}
+
+
+def test_counters_of_notices_and_limit(spark):
+    from tidemark.operators import dedupe, report
+
+    e = spark.createDataFrame([(1, "x"), (2, ""), (3, None)], "n long, link_edital string")
+    assert tuple(report.notice_counters(e, e.filter("n > 1")).first()) == (1, 0)
+    assert dedupe.first_events(e, 2).count() == 2 and dedupe.first_events(e, 0).count() == 3
+
+
+def test_places_in_two_levels(spark, monkeypatch):
+    """Ranks and running maxima over parts of an order equal those over all of it."""
+    import random
+
+    from tidemark.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "SPAN", 7)
+    rng = random.Random(3)
+    rows = [(k, rng.choice("ab"), rng.choice(["x", "y", None]), rng.randrange(30)) for k in rng.sample(range(500), 300)]
+    df = spark.createDataFrame(rows, "seq long, a string, b string, score int")
+    want = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or "", r[0])), 1)}
+    assert {r["seq"]: r["rank"] for r in dedupe.ordered_rank(df, [F.col("a"), F.col("b")], "seq").collect()} == want
+    got = {r["seq"]: r["best"] for r in dedupe.best_before(df, ["b"], "score", "seq", "best").collect()}
+    for seq, _, b, _ in rows:
+        before = [s for q, _, c, s in rows if c == b and q < seq]
+        assert got[seq] == (max(before) if before else None)

@@ -6,6 +6,7 @@ not exchangeable."""
 from __future__ import annotations
 
 import html
+import re
 import urllib.parse
 
 import pandas as pd
@@ -88,15 +89,45 @@ def drive_download(c: Column | str) -> Column:
     return F.when(authority(u).contains(DRIVE) & (ident != ""), F.concat(F.lit("https://drive.google.com/uc?export=download&id="), ident)).otherwise(u)
 
 
+def resolved(base: str | None, url: str | None) -> str:
+    """An address decoded once and resolved against its page; as it is when broken."""
+    try:
+        return urllib.parse.urljoin(base or "", html.unescape(url or ""))
+    except ValueError:
+        return url or ""
+
+
 @arrow_function("string")
 def _join(base: pd.Series, url: pd.Series) -> pd.Series:
-    def one(b: str | None, u: str | None) -> str:
-        try:
-            return urllib.parse.urljoin(b or "", html.unescape(u or ""))
-        except ValueError:
-            return u or ""
+    return pd.Series([resolved(b, u) for b, u in zip(base, url, strict=True)], dtype="object")
+
+
+def download_address(url: str) -> str:
+    """:func:`drive_download` of one address, for those who read it."""
+    parts = urllib.parse.urlsplit(url)
+    if DRIVE not in parts.netloc:
+        return url
+    named = re.search("/file/d/([^/]+)", parts.path)
+    ident = named[1] if named else urllib.parse.parse_qs(parts.query).get("id", [""])[0]
+    return f"https://drive.google.com/uc?export=download&id={ident}" if ident else url
+
+
+def plain_event_id(url: str) -> str:
+    """:func:`event_id` of one address, for those who read it."""
+    place = urllib.parse.urlsplit(url).path
+    dashed = re.search(r"-(\d{5,})(?:[/?#]|$)", place)
+    return dashed[1] if dashed else next((p for p in reversed(place.split("/")) if re.fullmatch(r"\d{5,}", p)), "")
+
+
+@arrow_function("array<string>")
+def _join_all(base: pd.Series, urls: pd.Series) -> pd.Series:
+    return pd.Series([[resolved(b, u) for u in us] if us is not None else None for b, us in zip(base, urls, strict=True)], dtype="object")
+
 
-    return pd.Series([one(b, u) for b, u in zip(base, url, strict=True)], dtype="object")
+def absolute_all(base: Column | str, urls: Column) -> Column:
+    """The addresses of an array, each resolved against their page."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.when(F.size(urls) > 0, _join_all(_column(base), F.when(F.size(urls) > 0, urls))).otherwise(none)
 
 
 def absolute(base: Column | str, c: Column | str) -> Column:
@@ -156,12 +187,16 @@ def canonical(lot: Column | str, event: Column | str) -> Column:
 
 def normalized(c: Column | str) -> Column:
     """Scheme and host folded, path as written, no query, no fragment, no slash at
-    the end; an address without a host is folded text."""
-    u = F.trim(_column(c))
-    host = X.casefold(authority(u))
-    p = F.regexp_replace(path(u), "/+$", "")
-    full = F.concat(scheme(u), F.lit("://"), host, F.when(p == "", "/").otherwise(p))
-    return F.when((scheme(u) != "") & (host != ""), full).otherwise(X.fold(u))
+    the end.  An address without scheme or host keeps its path likewise; one that
+    cannot be taken apart (an open bracket in its host) is folded as a whole."""
+    u = F.regexp_replace(_column(c), r"^(?U:\s)+|(?U:\s)+$", "")
+    s, host = scheme(u), X.casefold(authority(u))
+    rooted = F.regexp_replace(path(u), "/+$", "")
+    p = F.when(rooted == "", "/").otherwise(rooted)
+    slashed = F.when((host != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
+    full = F.concat(F.when(s != "", F.concat(s, F.lit(":"))).otherwise(""), F.when((host != "") | p.startswith("//"), F.concat(F.lit("//"), host)).otherwise(""), slashed)
+    broken = authority(u).contains("[") != authority(u).contains("]")
+    return F.when(u == "", "").when(broken, F.regexp_replace(X.casefold(u), "/+$", "")).otherwise(full)
 
 
 def looks_like_lot(label: Column | str, link: Column | str) -> Column:

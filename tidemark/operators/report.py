@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls as U
+from tidemark.operators.dedupe import ordered_rank
 
 #: Fewest events, freshest and oldest ages in hours, and sizes that gates ask for.
 LEAST_EVENTS, RECENT_HOURS, STATUS_HOURS, LEAST_PAGE = 10, 8.0, 12.0, 100_000
@@ -18,7 +19,7 @@ def most_common(df: DataFrame, value: str, seq: str = "seq", missing: str | None
     v = F.col(value).cast("string")
     v = v if missing is None else F.coalesce(F.nullif(v, F.lit("")), F.lit(missing))
     counted = df.groupBy(v.alias("value")).agg(F.count("*").alias("n"), F.min(seq).alias("_first"))
-    return counted.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "_first"))).drop("_first")
+    return ordered_rank(counted, [-F.col("n")], "_first").drop("_first")
 
 
 def summary(events: DataFrame, unit: str = "uf", day: str = "data", seq: str = "seq") -> DataFrame:
@@ -60,17 +61,30 @@ def host_counts(logs: DataFrame, link: str | Column = "link", status: str = "sta
     grouped = logs.groupBy(U.host_counts_key(link).alias("host")).agg(
         F.coalesce(F.sum(F.when(F.col(lots) > 0, F.col(lots))), F.lit(0)).alias("lots"), F.count_if(_has(s, "erro", "http_0", "bloqueado")).alias("errors")
     )
-    return grouped.filter("lots > 0 or errors > 0")
+    return grouped.filter("lots > 0 or errors > 0").orderBy("host")
+
+
+def host_maps(counts: DataFrame) -> DataFrame:
+    """One row with the counts of :func:`host_counts` as two maps, in order of host; an
+    export."""
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.struct("host", c)))))
+    return counts.agg(entries("lots").alias("lots_by_host"), entries("errors").alias("errors_by_host"))
+
+
+def notice_counters(events: DataFrame, lots: DataFrame) -> DataFrame:
+    """One row: events and lots that have a notice."""
+    have = lambda df, name: df.agg(F.count_if(F.coalesce("link_edital", F.lit("")) != "").alias(name))
+    return have(events, "events_with_notice").crossJoin(have(lots, "lots_with_notice"))
 
 
 def failed_attempts(logs: DataFrame, attempts: str = "fontes_tentadas", seq: str = "n", most: int = 500) -> DataFrame:
     """The first attempts, in order of event and attempt, that found nothing with an
-    error: (rank, seq, pos, url, status)."""
+    error: (rank, seq, pos, url, status, http)."""
     rows = logs.select(F.col(seq).alias("seq"), F.posexplode(attempts).alias("pos", "a")).select("seq", "pos", "a.*")
     s = F.coalesce("status", F.lit(""))
     failed = rows.filter((F.coalesce("lotes", F.lit(0)) == 0) & _has(s, "erro", "bloqueado", "http_0", "http_4", "http_5"))
     # a limit after a sort keeps a few rows a task; the rank is made over those alone
-    top = failed.select("seq", "pos", "url", "status").orderBy("seq", "pos").limit(most)
+    top = failed.select("seq", "pos", "url", "status", "http").orderBy("seq", "pos").limit(most)
     return top.withColumn("rank", F.row_number().over(W.orderBy("seq", "pos")))
 
 

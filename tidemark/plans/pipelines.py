@@ -6,7 +6,6 @@ results to a staging path, which is published once the gates hold."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
@@ -55,14 +54,23 @@ def site(lots: DataFrame, events: DataFrame, now: str) -> DataFrame:
     rows = snapshot.lookup_left_join(rows, events, U.site_event_key("evento", "data"), U.site_event_key("nome", "data"), fill)
     rows = rows.withColumns({"merge_key": U.merge_key("link_lote", "link_evento", "evento", "lote", "titulo"), "score": dedupe.quality("titulo", "descricao", dedupe.generic_title("titulo"))})
     merged = dedupe.quality_merge(rows, ["merge_key"], "score", ("lote", "foto_lote", "link_edital", "resumo_edital", "link_evento", "lance_atual"))
-    order = (S.filled("data", F.lit("9999-99-99")), S.filled("hora", F.lit("23:59")), "uf", "first_seq")
-    return merged.withColumn("rank", F.row_number().over(W.orderBy(*order))).drop("merge_key", "score")
+    order = [S.filled("data", F.lit("9999-99-99")), S.filled("hora", F.lit("23:59")), F.col("uf")]
+    return dedupe.ordered_rank(merged, order, "first_seq").drop("merge_key", "score")
 
 
-def update_report(previous: DataFrame, final: DataFrame, logs: DataFrame) -> DataFrame:
-    """One row: outcome counters and the difference of snapshots by stable key."""
+def update_report(previous: DataFrame, final: DataFrame, fresh: DataFrame, logs: DataFrame) -> DataFrame:
+    """One row about a run: outcome counters, the difference of snapshots by stable
+    key, what was read and carried over, counts by host and the attempts that failed."""
     keyed = lambda df: df.select(U.stable_key("link_lote", "link_evento", "fonte", "evento", "lote", "titulo").alias("key"))
-    return report.outcome_counters(logs).crossJoin(snapshot.diff_counts(keyed(previous), keyed(final)))
+    new = snapshot.new_and_removed(keyed(previous), keyed(fresh)).agg(F.count_if(F.col("change") == "new").alias("fresh_new_keys"))
+    read = fresh.agg(F.count("*").alias("captured"))
+    carried = final.agg(F.count_if(F.coalesce("status_captura", F.lit("")).startswith(S.CARRIED)).alias("carried"))
+    hosts = report.host_maps(report.host_counts(logs, S.filled("link", "final_url")))
+    failed = report.failed_attempts(logs).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct("url", "status", "http").alias("a")))), lambda r: r["a"]).alias("failed_attempts"))
+    out = report.outcome_counters(logs).crossJoin(snapshot.diff_counts(keyed(previous), keyed(final)))
+    for one in (new, read, carried, hosts, failed):  # each is one row
+        out = out.crossJoin(one)
+    return out
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], base: str, version: str, fault: str) -> str | None:

@@ -161,19 +161,22 @@ def top_candidates(spark, sf_dir):
     return top.select("host", "page_id", "place")
 
 
-@query()
+@query("""select page_id, case when length(url) <= 21 then url || ' https://example.org/x' else 'https://example.org/x ' || url end || ' https://drive.google.com/file/d/abc' as urls from pages""")
 def candidate_urls(spark, sf_dir):
     p = _t(spark, sf_dir, "pages")
     described = F.concat(F.lit("veja "), F.col("url"), F.lit(" ou https://drive.google.com/file/d/abc; e https://www.google.com/url?q=https%3A%2F%2Fexample.org%2Fx&sa=D"))
     return p.select("page_id", F.array_join(U.candidates(["url", described]), " ").alias("urls"))
 
 
-@query("""select doc_id, len(list_distinct(w)) as n_distinct, md5(list_aggregate(list_sort(list_distinct(w)), 'string_agg', ' ')) as digest
-from (select doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') as w from documents)""")
+@query("""with w as (select doc_id, string_split(replace(text, chr(10), ' '), ' ') as w from documents), u as (select doc_id, unnest(w) as word, unnest(range(len(w))) as place from w),
+f as (select doc_id, word, min(place) as place from u where word <> '' group by doc_id, word),
+g as (select doc_id, count(*) as n_distinct, md5(string_agg(word, ' ' order by place)) as digest from f group by doc_id)
+select documents.doc_id, coalesce(n_distinct, 0) as n_distinct, digest from documents left join g on documents.doc_id = g.doc_id""")
 def list_dedupe(spark, sf_dir):
-    words = F.array_distinct(F.filter(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ", -1), lambda w: w != ""))
-    d = _t(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    return d.select("doc_id", F.size("w").cast("long").alias("n_distinct"), F.md5(F.nullif(F.array_join(F.array_sort("w"), " "), F.lit("")).cast("binary")).alias("digest"))
+    joined = X.distinct_join(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ", -1), " ")
+    d = _t(spark, sf_dir, "documents").select("doc_id", joined.alias("w"))
+    count = F.when(F.coalesce("w", F.lit("")) == "", 0).otherwise(F.size(F.split("w", " ", -1)))
+    return d.select("doc_id", count.cast("long").alias("n_distinct"), F.md5(F.nullif("w", F.lit("")).cast("binary")).alias("digest"))
 
 
 # --- joins and snapshots -------------------------------------------------------------
@@ -275,12 +278,30 @@ def fold_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(X.fold("text").cast("binary")).alias("folded"))
 
 
-@query(r"""with s as (select doc_id, regexp_extract_all(text, '(?:^|\n)(\S+)', 1) as n, regexp_split_to_array(text, '(?:^|\n)\S+')[2:] as b from documents),
-u as (select doc_id, unnest(range(len(n))) as pos, n, b from s)
-select doc_id, pos, n[pos + 1] as number, length(b[pos + 1]) as body_chars from u""")
+_NOTICE_SQL = """with t as (select *, l_partkey % 7 || 'a - Peça  <b>' || l_partkey || '</b> &amp; outra, AVALIAÇÃO R$ ' || l_suppkey || ',00' as line from lineitem),
+m as (select *, row_number() over (partition by l_orderkey order by l_linenumber, line) as pos from t),
+n as (select *, row_number() over (partition by l_orderkey, l_partkey % 7 order by pos) as nth from m)"""
+
+
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A notice per order: a numbered segment a line, whose numbers may repeat."""
+    li = _t(spark, sf_dir, "lineitem")
+    line = F.concat(F.lit("\n LOTE n."), F.col("l_partkey") % 7, F.lit("a - Peça  <b>"), "l_partkey", F.lit("</b> &amp; outra, AVALIAÇÃO R$ "), "l_suppkey", F.lit(",00"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda r: r["line"]), "")
+    return li.groupBy("l_orderkey").agg(F.concat(F.lit("Edital\nLOTE 9.19 - cláusula"), text).alias("text"))
+
+
+@query(_NOTICE_SQL + """ select l_orderkey, pos, (l_partkey % 7) || 'A' as number, '- Peça ' || l_partkey || ' & outra, AVALIAÇÃO R$ ' || l_suppkey || ',00' as segment from n where nth = 1""")
 def text_segments(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.segments(F.col("text"), r"(?:^|\n)(\S+)")).alias("pos", "part"))
-    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("part.number").alias("number"), F.length("part.body").cast("long").alias("body_chars"))
+    found = extract.text_segments(_notices(spark, sf_dir), "text", ["l_orderkey"])
+    return found.select("l_orderkey", F.col("pos").cast("long").alias("pos"), "number", "segment")
+
+
+@query(_NOTICE_SQL + """ select l_orderkey, 'Lote ' || (l_partkey % 7) || 'A - Peça ' || l_partkey || ' & outra,' as titulo, 'Peça ' || l_partkey || ' & outra, AVALIAÇÃO R$ ' || l_suppkey || ',00' as descricao,
+ 'R$ ' || l_suppkey || ',00' as lance_atual, (l_partkey % 7) || 'A' as lote, 'http://e/' || l_orderkey || '.pdf#lote-' || (l_partkey % 7) || 'A' as link_lote from n where nth = 1""")
+def segment_lots(spark, sf_dir):
+    notices = _notices(spark, sf_dir).withColumn("source", F.concat(F.lit("http://e/"), "l_orderkey", F.lit(".pdf")))
+    return extract.segment_lots(extract.text_segments(notices, "text", ["l_orderkey", "source"]), "source").select("l_orderkey", "titulo", "descricao", "lance_atual", "lote", "link_lote")
 
 
 @query(r"""select l_orderkey, l_linenumber, l_partkey::varchar as number, 'R$ ' || l_suppkey || ',00' as price, l_linenumber % 5 = 0 as clause from lineitem""")
@@ -306,28 +327,44 @@ def html_links(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("hrefs"))
 
 
-@query()
+#: The character references of the test pages, decoded once; ampersands last, as nothing is decoded twice.
+_DECODED = "regexp_replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
+_TWICE = _DECODED.format(_DECODED)
+
+
+@query(rf"""with c as (select page_id, html, regexp_split_to_array(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'gs'), '<[^>]*>') as p from pages),
+t as (select page_id, html, list_filter(list_transform(p, lambda x: trim(regexp_replace({_TWICE.format('x')}, '\s+', ' ', 'g'))), lambda x: x <> '') as v from c)
+select page_id, trim(regexp_replace({_TWICE.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) as title, len(v) as pieces, md5(list_aggregate(v, 'string_agg', chr(10))) as digest from t""")
 def html_visible(spark, sf_dir):
-    return extract.html_pages(_t(spark, sf_dir, "pages")).select("page_id", "title", F.size("visible").alias("pieces"), F.md5(F.array_join("visible", "\n").cast("binary")).alias("digest"))
+    p = _t(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", "&am$", ""))
+    return extract.html_pages(p).select("page_id", "title", F.size("visible").cast("long").alias("pieces"), F.md5(F.array_join("visible", "\n").cast("binary")).alias("digest"))
 
 
-@query()
+@query(rf"""select page_id, trim(regexp_replace({_DECODED.format(f"regexp_replace(regexp_replace({_DECODED.format('html')}, '(?i)<br\s*/?>', ' | ', 'g'), '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g')) as text from pages""")
 def html_clean(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", X.clean_html("html").alias("text"))
 
 
-@query()
+@query(r"""with l as (select page_id, url, regexp_extract_all(html, '<a\s[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 1) as h, regexp_extract_all(html, '<a\s[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 2) as t from pages),
+u as (select page_id, url, unnest(range(len(h))) as pos, h, t from l),
+f as (select page_id, pos::bigint as pos, h[pos + 1] as href, t[pos + 1] as label, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || h[pos + 1] as link from u)
+select *, length(lower(label)) >= 5 and regexp_matches(lower(regexp_extract(link, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/item|/lote|/maquina/|/oferta|/produto/|/veiculo/') as is_lot from f""")
 def link_judgement(spark, sf_dir):
-    p = _t(spark, sf_dir, "pages")
-    rows = extract.html_pages(p, keep=("page_id", "url"))
-    return extract.page_links(rows, "url").select("page_id", "pos", "href", "label", "link", "is_lot")
+    rows = extract.html_pages(_t(spark, sf_dir, "pages"), keep=("page_id", "url"))
+    return extract.page_links(rows, "url").select("page_id", F.col("pos").cast("long").alias("pos"), "href", "label", "link", "is_lot")
 
 
-@query("""select event_id, 0 as pos, '$' as path, (props::json ->> '$.k')::bigint as k from events""")
+@query("""with e as (select event_id, (props::json ->> '$.k')::bigint as k, event_type from events)
+select event_id, 0 as pos, '$' as path, event_type as text, 'R$ ' || k || ',5' as price from e
+union all select event_id, 1, '$.a', '', 'R$ ' || k || ',5' from e
+union all select event_id, 2 + 2 * i, '$.list[' || i || ']', '', 'R$ ' || i from (select event_id, unnest(range(k % 3))::int as i from e)
+union all select event_id, 3 + 2 * i, '$.list[' || i || '].deep', 'x' || i, 'R$ ' || i from (select event_id, unnest(range(k % 3))::int as i from e)""")
 def json_walk(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select("event_id", "props")
-    rows = extract.json_objects(e, "props", ("event_id", "props"))
-    return rows.select("event_id", "pos", "path", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    deep = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.struct(F.concat(F.lit("x"), i).alias("name"), F.concat(F.lit("por R$ "), i).alias("nota")).alias("deep")))
+    value = F.to_json(F.struct(F.struct(F.concat(F.lit("R$ "), k, F.lit(",5")).alias("valor")).alias("a"), F.slice(deep, 1, (k % 3).cast("int")).alias("list"), F.col("event_type").alias("titulo")))
+    rows = extract.json_objects(_t(spark, sf_dir, "events").select("event_id", value.alias("j")), "j", ("event_id",)).filter("error is null")
+    return rows.select("event_id", "pos", "path", "text", "price")
 
 
 @query(r"""with t as (select page_id, case page_id % 5 when 0 then 200 when 1 then 403 when 2 then 404 when 3 then 0 else 200 end as code, page_id % 5 = 4 as challenge from pages)
@@ -370,26 +407,29 @@ def host_counts(spark, sf_dir):
     return report.host_counts(p, "url")
 
 
-@query(_LOGS_SQL + """, a as (select n as seq, unnest([0, 1]) as pos, status, lotes from logs), f as (select seq, pos, 'u' || seq || '/' || pos as url, status from a
+@query(_LOGS_SQL + """, a as (select n as seq, unnest([0, 1]) as pos, status, lotes from logs), f as (select seq, pos, 'u' || seq || '/' || pos as url, status, case status when 'bloqueado_http_403' then 403 when 'http_404' then 404 end as http from a
  where lotes = 0 and status in ('erro', 'bloqueado_http_403', 'http_404'))
-select seq, pos, url, status, row_number() over (order by seq, pos) as rank from f order by seq, pos limit 500""")
+select seq, pos, url, status, http, row_number() over (order by seq, pos) as rank from f order by seq, pos limit 500""")
 def failed_attempts(spark, sf_dir):
-    attempt = lambda k: F.struct(F.concat(F.lit("u"), F.col("n").cast("string"), F.lit(f"/{k}")).alias("url"), "status", F.lit(None).cast("int").alias("http"), F.col("lotes").cast("int").alias("lotes"))
+    attempt = lambda k: F.struct(F.concat(F.lit("u"), F.col("n").cast("string"), F.lit(f"/{k}")).alias("url"), "status", F.regexp_extract("status", r"(\d+)$", 1).try_cast("int").alias("http"), F.col("lotes").cast("int").alias("lotes"))
     logs = _logs(spark, sf_dir).select("n", F.array(attempt(0), attempt(1)).alias("fontes_tentadas"))
     return report.failed_attempts(logs)
 
 
 @query(f"""with e as (select *, ts > timestamp '{NOW}' as is_future, event_type = 'view' as is_yard from events)
 select count(*) as total_rows, count_if(not is_yard) as events, count_if(is_future) as future, count_if(is_yard) as yards, count_if(is_future and user_id % 2 = 0) as with_link,
- count_if(is_future and event_type = 'click') as date_from_notice, count_if(is_future and event_type <> 'click') as date_from_site from e""")
+ count_if(is_future and event_type = 'click') as date_from_notice, count_if(is_future and event_type <> 'click') as date_from_site,
+ (select string_agg(v || '=' || n, ' ' order by n desc, first) from (select case user_id % 3 when 0 then 'SP' when 1 then 'RJ' else 'Sem UF' end as v, count(*) as n, min(event_id) as first from e where is_future group by v)) as by_unit,
+ (select string_agg(v || '=' || n, ' ' order by n desc, first) from (select strftime(ts, '%Y-%m-%d') as v, count(*) as n, min(event_id) as first from e where is_future group by v)) as by_date from e""")
 def event_summary(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     rows = e.select(
         F.col("event_id").alias("seq"), (F.col("ts") > _now()).alias("is_future"), (F.col("event_type") == "view").alias("is_yard"), (F.col("event_type") != "view").alias("is_event"),
         F.when(F.col("user_id") % 2 == 0, "l").otherwise("").alias("link"), F.when(F.col("event_type") == "click", "edital_pdf").otherwise("site").alias("fonte_data_hora"),
-        F.lit("SP").alias("uf"), _day("ts").alias("data"),
+        F.when(F.col("user_id") % 3 == 0, "SP").when(F.col("user_id") % 3 == 1, "RJ").otherwise("").alias("uf"), _day("ts").alias("data"),
     )
-    return report.summary(rows).drop("by_unit", "by_date")
+    said = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws("=", r["value"], r["n"])), " ").alias(c)
+    return report.summary(rows).withColumns({c: said(c) for c in ("by_unit", "by_date")})
 
 
 @query("""with t as (select o_orderstatus, count(*) as n, count_if(o_totalprice > 100000) as c from orders group by o_orderstatus)

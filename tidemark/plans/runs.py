@@ -12,13 +12,16 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import temporal as D
-from tidemark.operators import report
+from tidemark.functions import text as X
+from tidemark.functions.lazy import arrow_function
+from tidemark.operators import extract, report
 from tidemark.schema import CARRIED, filled
-from tidemark.sources.web import fetch
+from tidemark.sources import files, web
 
 #: Least bytes of a map document, and the tag it must hold.
 LEAST_MAP, MAP_TAG = 10_000, b"<kml"
@@ -28,26 +31,26 @@ def valid_map(content: bytes) -> bool:
     return len(content) >= LEAST_MAP and MAP_TAG in content[:5000].lower()
 
 
-def take_in_map(url: str, target: str, attempts: int = 4, pause: float = 3.0, get: Callable = fetch) -> dict:
-    """Downloads the map, tests it and puts it in place in one step, with its SHA-256
-    beside it; says whether it changed.  A failed download leaves the old file."""
-    fault = ""
-    for attempt in range(1, attempts + 1):
-        _, status, content, _, _ = get(url, 45, 1 << 28, 1)
-        if status == 200 and valid_map(content):
-            break
-        fault = f"status {status}, {len(content)} bytes"
-        if attempt < attempts:
-            time.sleep(pause * attempt)
-    else:
-        raise RuntimeError(f"no valid map after {attempts} attempts: {fault}")
+def fetch_map(url: str, attempts: int = 4, pause: float = 3.0, get: Callable[[str, web.Policy], web.Fetched] = web.fetch) -> tuple[bytes, int]:
+    """The map at an address, tested, and the attempt that gave it; nothing is written."""
+    policy = web.Policy(timeout=45, most=1 << 28)
+    got, number = web.persistent([lambda: get(url, policy)] * attempts, lambda x: x.status == 200 and valid_map(x.body), pause)
+    if got.status != 200 or not valid_map(got.body):
+        raise RuntimeError(f"no valid map after {attempts} attempts: status {got.status}, {len(got.body)} bytes")
+    return got.body, number
+
+
+def take_in_map(url: str, target: str, **options: object) -> dict:
+    """Puts the map in place in one step, with its SHA-256 beside it; says whether it
+    changed.  A failed download leaves the old file."""
+    content, attempt = fetch_map(url, **options)
     digest, place = hashlib.sha256(content).hexdigest(), Path(target)
     mark = place.with_name(place.name + ".sha256")
     old = mark.read_text().split()[0] if mark.exists() else ""
-    staged = place.with_name(place.name + ".tmp")
-    staged.write_bytes(content)
-    os.replace(staged, place)
-    mark.write_text(f"{digest}\n")
+    for path, data in ((place, content), (mark, f"{digest}\n".encode())):
+        staged = path.with_name(path.name + ".tmp")
+        staged.write_bytes(data)
+        os.replace(staged, path)
     return {"bytes": len(content), "sha256": digest, "markers": content.count(b"<Placemark"), "attempts": attempt, "changed": digest != old}
 
 
@@ -92,6 +95,64 @@ def status_text(status: dict) -> str:
     return "\n".join([head, *(f"{k}: {json.dumps(v, ensure_ascii=False, default=str)}" for k, v in status.items() if k not in ("ok", "failed_checks"))]) + "\n"
 
 
+# --- the diagnostic ------------------------------------------------------------------
+
+# The files of a run, and what its schedule, page and host must say.
+FILES = {"summary": "resumo.json", "lots": "lotes.json", "events_csv": "eventos_futuros.csv", "yards_csv": "patios.csv", "lots_csv": "lotes.csv"}
+SCHEDULE, PAGE, HOST = ".github/workflows/schedule.yml", "index.html", "CNAME"
+BY_HAND, EVERY_SIX_HOURS, MAY_SAVE, RUNS = "workflow_dispatch:", "17 */6 * * *", "contents: write", "run.py"
+PAGE_DATA, DOMAIN = 'id="data"', "lots.example.org"
+# What a diagnostic keeps of the status before.
+KEPT = (
+    "ultima_execucao", "erro_em", "mensagem", "base_anterior_restaurada", "lotes_antes", "lotes_depois", "lotes_novos_detectados", "lotes_removidos_ou_encerrados", "etapas",
+)
+
+
+def gather(spark: SparkSession, root: str, required: tuple[str, ...], now: str) -> DataFrame:
+    """One row of facts about the published files under ``root``."""
+
+    def text(name: str) -> str:
+        path = f"{root}/{name}"
+        return spark.read.text(path, wholetext=True).first()["value"] if files.path_exists(spark, path) else ""
+
+    summary, lots = (files.read_object(spark, f"{root}/{FILES[k]}") for k in ("summary", "lots"))
+    listed = lots.get("lotes", [])
+    csv = {k: files.count_csv(spark, f"{root}/{FILES[k]}") for k in ("events_csv", "yards_csv", "lots_csv")}
+    row = {
+        "missing": [n for n in required if not files.path_exists(spark, f"{root}/{n}")], "schedule": text(SCHEDULE), "page": text(PAGE), "host": text(HOST).strip(),
+        **csv, "lots_json": len(listed) if isinstance(listed, list) else 0, "events_moment": str(summary.get("atualizado_em", "")), "lots_moment": str(lots.get("atualizado_em", "")),
+        "future": int(summary.get("eventos_futuros_ou_hoje") or csv["events_csv"]), "yards": int(summary.get("patios") or csv["yards_csv"]),
+        "lots": int(lots.get("total_lotes") or (len(listed) if isinstance(listed, list) else 0)), "captured": int(lots.get("total_lotes_capturados_agora") or 0),
+        "carried": int(lots.get("total_lotes_preservados") or 0), "events_with_lots": int(lots.get("eventos_com_lotes") or 0),
+    }
+    kinds = ", ".join(f"{k} {'array<string>' if k == 'missing' else 'long' if isinstance(v, int) else 'string'}" for k, v in row.items())
+    facts = spark.createDataFrame([tuple(row.values())], kinds)
+    moment = F.to_timestamp(F.lit(now))
+    return facts.withColumns({f"{k}_age": D.age_hours(D.parse_moment(f"{k}_moment"), moment) for k in ("events", "lots")})
+
+
+def fourteen_checks() -> dict[str, Column]:
+    """The checks of the diagnostic over :func:`gather`'s facts, by their published names."""
+    says = lambda c, what: F.col(c).contains(what)
+    fresh = lambda c: F.coalesce(F.col(c) <= report.STATUS_HOURS, F.lit(False))
+    # Names of the checks, in order.
+    return {
+        "arquivos_obrigatorios": F.size("missing") == 0, "workflow_existe": F.col("schedule") != "", "workflow_execucao_manual": says("schedule", BY_HAND),
+        "workflow_agendado_6h": says("schedule", EVERY_SIX_HOURS), "workflow_pode_salvar": says("schedule", MAY_SAVE), "workflow_executa_indexador": says("schedule", RUNS),
+        "eventos_csv_ok": F.col("events_csv") > 0, "lotes_json_ok": F.col("lots_json") > 0, "lotes_csv_consistente": F.col("lots_csv") == F.col("lots_json"),
+        "site_gerado": F.octet_length("page") > report.LEAST_PAGE, "base_embutida_no_site": says("page", PAGE_DATA), "dominio_configurado": F.col("host") == DOMAIN,
+        "base_eventos_recente": fresh("events_age"), "base_lotes_recente": fresh("lots_age"),
+    }
+
+
+def diagnose(facts: DataFrame, earlier: dict, fail_on_attention: bool = False) -> tuple[dict, int]:
+    """The status of a run and the exit code: 1 for a status that asks for attention,
+    if that is to fail.  Values of the ``earlier`` status are kept."""
+    row = status_row(facts, fourteen_checks()).drop("schedule", "page").first().asDict()
+    status = {"status": "ok" if row["ok"] else "atencao", **row, **{k: earlier[k] for k in KEPT if k in earlier}}
+    return status, int(fail_on_attention and not row["ok"])
+
+
 def keep_earlier(status: dict, earlier: dict, names: tuple[str, ...]) -> dict:
     """A status with the named values of an earlier one where it lacks them."""
     return status | {k: earlier[k] for k in names if k in earlier and not status.get(k)}
@@ -109,10 +170,52 @@ def recount(lots: DataFrame, status: str = "status_captura") -> DataFrame:
     return lots.agg(F.count("*").alias("total_lotes"), F.count_if(F.col(status).startswith(CARRIED)).alias("total_lotes_preservados"))
 
 
+# --- dates from documents ----------------------------------------------------------
+
+#: Answers that hold a document, links of an event and of a page that are looked at, and
+#: pages of a notice.
+ANSWERED, MOST_LINKS, NOTICE_PAGES = (200, 201, 202), 2, 6
+
+
+@arrow_function("string")
+def _first_pages(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: web.pdf_text(b, NOTICE_PAGES), na_action="ignore")
+
+
+def _documents(wanted: DataFrame, fetched: DataFrame, keys: list[str]) -> DataFrame:
+    """The documents behind ``wanted`` (keys, url): keys, pdf, final_url, html, and what
+    is found in them (data, data_original, hora, resumo)."""
+    have = fetched.dropDuplicates(["url"]).select(F.col("url").alias("_url"), "status", "body", "content_type", F.coalesce(F.nullif("final_url", F.lit("")), "url").alias("final_url"))
+    got = wanted.join(have, F.col("url") == F.col("_url")).filter(F.col("status").isin(*ANSWERED) & (F.length("body") > 0))
+    got = got.withColumn("pdf", F.coalesce(web.is_pdf("final_url", "content_type", "body"), F.lit(False)))
+    html = F.when(~F.col("pdf"), web.decoded(F.when(~F.col("pdf"), F.col("body")), F.col("content_type")))
+    text = F.when(F.col("pdf"), X.clean_text(_first_pages(F.when(F.col("pdf"), F.col("body")))))
+    got = got.withColumns({"html": html, "moment": extract.document_moment(F.coalesce(text, html))})
+    return got.select(*keys, "pdf", "final_url", "html", "moment.*")
+
+
+def inspect(events: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Dates found behind the first links of events (seq, link): seq, pos, data,
+    data_original, hora, fonte, link_edital, resumo.
+
+    A notice gives its own date.  A page gives that of the first of the notices it links
+    to that has one, else its own; notices are looked at one level deep, and what a page
+    links to is read from ``fetched`` as well (url, status, body, content_type,
+    final_url)."""
+    links = F.filter(F.transform(F.split(F.coalesce("link", F.lit("")), "[|]"), lambda u: F.trim(u)), lambda u: u != "")
+    wanted = events.select("seq", F.posexplode(F.slice(links, 1, MOST_LINKS)).alias("pos", "url"))
+    first = _documents(wanted, fetched, ["seq", "pos"])
+    below = first.filter("not pdf").select("seq", "pos", F.posexplode(extract.notice_links("html", "final_url", MOST_LINKS, bare=True)).alias("k", "url"))
+    second = _documents(below, fetched, ["seq", "pos", "k"]).filter("data <> ''")
+    fields = lambda pdf: F.struct("data", "data_original", "hora", F.when(pdf, "edital_pdf").otherwise("site").alias("fonte"), F.when(pdf, F.col("final_url")).otherwise("").alias("link_edital"), "resumo")
+    better = second.groupBy(F.col("seq").alias("_seq"), F.col("pos").alias("_pos")).agg(F.min_by(fields(F.col("pdf")), "k").alias("below"))
+    joined = first.join(better, (F.col("seq") == F.col("_seq")) & (F.col("pos") == F.col("_pos")), "left")
+    return joined.select("seq", "pos", F.coalesce("below", fields(F.col("pdf"))).alias("d")).select("seq", "pos", "d.*").filter("data <> ''")
+
+
 def enrich(events: DataFrame, found: DataFrame, now: str) -> DataFrame:
     """Events with date, hour and notice taken from their documents: the first sane
-    date in order of link.  ``found``: seq, pos, data, data_original, hora, fonte,
-    link_edital, resumo."""
+    date in order of link.  ``found`` is what :func:`inspect` gives."""
     today = F.lit(now).cast("timestamp_ntz").cast("date")
     good = found.filter(D.sane_date("data", today))
     first = good.groupBy(F.col("seq").alias("_seq")).agg(F.min_by(F.struct("data", "data_original", "hora", "fonte", "link_edital", "resumo"), "pos").alias("d"))

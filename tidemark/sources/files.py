@@ -117,27 +117,36 @@ def markers(document: str) -> Iterator[dict]:
         stack += [(c, inside) for c in reversed(element)]
 
 
-def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """One row per marker of the map files under ``path``, with ``seq``, its order in
-    the file."""
+def markers_of(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per marker of map documents (the ``keep`` columns and ``value``, the text),
+    with ``seq``, its order in the document."""
     names = [f.split()[0] for f in MARKER.split(", ")]
-    kinds = pa.schema([("seq", pa.int64()), *[(n, pa.string()) for n in names[:-1]], ("data", pa.map_(pa.string(), pa.string()))])
+    kinds = [pa.int64(), *[pa.string()] * (len(names) - 1), pa.map_(pa.string(), pa.string())]
+    kept = documents.select(F.struct(F.lit(0).alias("_"), *keep).alias("kept"), "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0):
-                rows = [{"seq": i, **m, "data": list(m["data"].items())} for i, m in enumerate(markers(raw.as_py()))]
-                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            for k, raw in enumerate(batch.column(1)):
+                rows = [(i, *[m[n] for n in names[:-1]], list(m["data"].items())) for i, m in enumerate(markers(raw.as_py()))]
+                columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(rows), pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["kept", "seq", *names])
+
+    found = kept.mapInArrow(run, f"kept {kept.schema['kept'].dataType.simpleString()}, seq long, {MARKER}")
+    return found.select(*[f"kept.{c}" for c in keep], "seq", *names)
 
-    return spark.read.text(path, wholetext=True).select("value").mapInArrow(run, f"seq long, {MARKER}")
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """The markers of the map files under ``path``."""
+    return markers_of(spark.read.text(path, wholetext=True))
 
 
 def count_markers(spark: SparkSession, path: str) -> int:
     return read_map(spark, path).count() if path_exists(spark, path) else 0
 
 
-def events_from_markers(rows: DataFrame, today: str) -> DataFrame:
-    """Event rows from markers, with ``seq``; ``today`` is an ISO date."""
+def events_from_markers(rows: DataFrame, today: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Event rows from markers, with ``seq`` and the ``keep`` columns; ``today`` is an ISO
+    date."""
     # Names of the map's data fields.
     value = lambda k: F.coalesce(F.try_element_at("data", F.lit(k)), F.lit(""))
     address = S.filled("address", value("LOCALIZAÇÃO"), value("ENDEREÇO DO PATIO"), value("LOCALIZAÇÃO ALTERNATIVA"))
@@ -153,4 +162,4 @@ def events_from_markers(rows: DataFrame, today: str) -> DataFrame:
         }
     ).drop("data")
     out = out.withColumnRenamed("iso", "data").withColumn("status_data", D.status_at_scan("data", F.lit(today).cast("date")))
-    return out.withColumn("uf", D.infer_unit("nome", "endereco_ou_localizacao", "descricao")).select("seq", *S.EVENT_FIELDS)
+    return out.withColumn("uf", D.infer_unit("nome", "endereco_ou_localizacao", "descricao")).select(*keep, "seq", *S.EVENT_FIELDS)

@@ -49,9 +49,10 @@ def event_base(source: str, link: str, status: Column, captured: Column) -> dict
     }
 
 
-def lots_from_offers(rows: DataFrame, captured: str, source: str = "source_url", link: str = "event_url") -> DataFrame:
+def lots_from_offers(rows: DataFrame, captured: str, source: str = "source_url", link: str = "event_url", keep: tuple[Column, ...] = ()) -> DataFrame:
     """Lots from event rows with an ``offer``; offers without a title are left out.
-    The offer's own date, hour and place go before the event's."""
+    The offer's own date, hour and place go before the event's; ``keep`` names further
+    columns to pass on."""
     day, hour = D.api_moment(_get("endDate"))
     title = offer_title()
     base = event_base(source, link, F.lit("api_superbid_ok"), F.lit(captured))
@@ -61,4 +62,4 @@ def lots_from_offers(rows: DataFrame, captured: str, source: str = "source_url",
         "evento": S.filled("nome", X.clean_text(_get("auction.desc"))), "data": S.filled(day, "data"), "hora": S.filled(hour, "hora_marcador"),
         "local": S.filled(offer_place(), "endereco_ou_localizacao"), "link_lote": offer_link(source, title), "foto_lote": F.lit(""),
     }
-    return rows.filter(title != "").select(*[base[c].alias(c) for c in S.LOT_FIELDS])
+    return rows.filter(title != "").select(*keep, *[base[c].alias(c) for c in S.LOT_FIELDS])
