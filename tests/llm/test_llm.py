@@ -602,6 +602,19 @@ def test_mixed_documents_meet_each_sources_target(spark):
         assert {r["n"] for r in got if r["source"] == s} <= {math.floor(target / size), math.floor(target / size) + 1}
 
 
+def test_the_pipelines_mix_meets_targets_of_real_documents(spark):
+    """Sources of ratios from a third to three on the documents of the test tables."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r["source"]: r for r in mixing.mix(docs).select("source", "target", "source_size").distinct().collect()}
+    got = {r["source"]: r["words"] for r in corpus_pipeline.mix(spark, docs, "").groupBy("source").agg(F.sum(common.word_count(F.col("text"))).alias("words")).collect()}
+    ratios = [r["target"] / r["source_size"] for r in want.values()]
+    assert min(ratios) < 0.5 and max(ratios) > 1.2
+    # a source's words come within its shortest documents of its target
+    assert all(abs(got.get(s, 0) - r["target"]) <= 0.02 * r["target"] + 50 for s, r in want.items()), {s: (got.get(s), r["target"]) for s, r in want.items()}
+
+
 def test_apportionment_is_by_highest_quotients(spark):
     targets = {f"s{i:02}": t for i, t in enumerate([1000.0, 371.0, 249.0, 88.0, 87.0, 40.0, 39.5, 8.0, 7.9, 0.5])}
     df = spark.createDataFrame([(s, t) for s, t in targets.items()], "source string, target double")
@@ -818,6 +831,29 @@ def test_disguised_words_are_restored(spark, odd):
     assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.5}
 
 
+def test_scores_equal_a_plain_recomputation_from_the_lexicon(spark, odd):
+    """Every score from the words of the restored text, one at a time."""
+    rng = random.Random(13)
+    rows = [(k, sentence(rng, "en", 30) + (" you idiot m0ron stupidest" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(120)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model["keys"].tolist(), model["weights"].tolist(), strict=True))
+    every = docs.unionByName(odd.select("doc_id", "text"))
+    for text, got in zip([r["text"] for r in every.collect()], [r["score"] for r in toxicity.score(every, model, ("text",)).collect()], strict=True):
+        restored = toxicity.restore([text], model["logp"])[0].encode()
+        found = set()
+        for word in re.findall(rb"[a-z\x80-\xff]+", restored):
+            data = np.frombuffer(word, np.uint8)
+            found.add(int(common.span_hash(data, np.array([0]), np.array([len(word)]))[0]))
+            for n in toxicity.PREFIXES:
+                if len(word) > n:
+                    data = np.frombuffer(word[:n], np.uint8)
+                    found.add(int(common.span_hash(data, np.array([0]), np.array([n]))[0]) ^ (0x5BD1E995 * n))
+        own = sorted((weight[f] for f in found if f in weight), reverse=True)
+        x = np.array([[max([0.0, *own]), sum(own[:3]), math.log1p(sum(w > 1.5 for w in own))]])
+        assert math.isclose(got, float(calibration.apply_logistic(model["calibration"], x)[0]), abs_tol=1e-9)
+
+
 def test_long_and_neighbouring_disguises_are_restored():
     rng = random.Random(4)
     words = [*WORDS["en"], *WORDS["de"], "you", "are", "stupid", "really", "person", "such", "idiot", "a"]
