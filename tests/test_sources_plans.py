@@ -214,3 +214,37 @@ def test_places_in_two_levels(spark, monkeypatch):
     for seq, _, b, _ in rows:
         before = [s for q, _, c, s in rows if c == b and q < seq]
         assert got[seq] == (max(before) if before else None)
+
+
+def test_published_files(spark, tmp_path):
+    from tidemark.operators import report
+    from tidemark.plans import outputs
+
+    e = rows(spark, S.EVENT_FIELDS, {"nome": "a", "uf": "SP", "data": "2026-08-01", "link": "l"}, {"nome": "b", "uf": "", "data": "2026-08-01"}, {"nome": "c", "uf": "SP", "data": ""}).withColumn("seq", F.ascii("nome"))
+    outputs.write_events(dict.fromkeys(outputs.EVENT_FILES, e), str(tmp_path))
+    assert all(files.count_csv(spark, f"{tmp_path}/{n}") == 3 for n in outputs.EVENT_FILES.values())
+    flags = e.withColumns({"is_future": F.lit(True), "is_event": F.lit(True), "is_yard": F.lit(False)})
+    got = json.loads(outputs.summary_json(report.summary(flags), "2026-07-14T16:00:00", "2026-07-14", '{"bytes": 5}'))
+    assert list(got)[:3] == ["atualizado_em", "data_base", "total_registros"] and got["download_kml"] == {"bytes": 5}
+    assert got["eventos_por_uf"] == [["SP", 2], ["Sem UF", 1]] and got["datas"] == [["2026-08-01", 2], ["sem_data", 1]] and got["eventos_com_link"] == 1
+    lots = rows(spark, S.LOT_FIELDS, {"titulo": "b", "status_captura": S.CARRIED + "x", "link_edital": "u"}, {"titulo": "a"}, {"titulo": "Login"}).withColumn("seq", F.when(F.col("titulo") == "b", 0).otherwise(1).cast("long"))
+    logs = spark.createDataFrame([("html_ok", 2), ("erro", 0)], "status string, lotes int")
+    outputs.write_snapshot(lots, lots.limit(1), logs, "2026-07-14T16:00:00", str(tmp_path / "s"))
+    said = files.read_object(spark, str(tmp_path / "s/lotes.json"))
+    assert [said[k] for k in ("total_eventos_lidos", "total_lotes", "total_lotes_capturados_agora", "total_lotes_preservados", "eventos_com_lotes", "eventos_sem_lotes", "eventos_com_erro_ou_bloqueio")] == [2, 3, 1, 1, 1, 1, 1]
+    assert outputs.clean_snapshot(spark, str(tmp_path / "s/lotes.json"), str(tmp_path / "clean")) == 2
+    again = files.read_object(spark, str(tmp_path / "clean/lotes.json"))
+    assert (again["total_lotes"], again["total_eventos_lidos"], [x["titulo"] for x in again["lotes"]]) == (2, 2, ["b", "a"]) and files.count_csv(spark, str(tmp_path / "clean/lotes.csv")) == 2
+    with pytest.raises(ValueError, match="no snapshot"):
+        outputs.clean_snapshot(spark, str(tmp_path / "none"), str(tmp_path / "x"))
+    pages = outputs.site_pages("<x>__DATA__</x>", lots.withColumn("rank", F.col("seq")), e, e.limit(0), "agora", "v1")
+    data = json.loads(pages["index.html"][3:-4].replace("<\\/", "</"))
+    assert (len(data["eventos"]), data["patios"], len(data["lotes"]), data["editais_eventos"], data["lotes_com_edital"], data["versao"]) == (3, [], 3, 0, 1, "v1") and "url=./" in pages["old.html"]
+
+
+def test_report_file(spark):
+    from tidemark.plans import outputs
+
+    names = {c: F.lit(1).cast("long").alias(c) for c in outputs.REPORT.values()} | {"lots_by_host": F.create_map(F.lit("a.br"), F.lit(2)).alias("lots_by_host")}
+    got = json.loads(outputs.report_json(spark.range(1).select(*names.values()), "2026-07-14T16:00:00"))
+    assert list(got) == ["executado_em", *outputs.REPORT, "status", "base_anterior_preservada"] and got["quantidade_coletada_por_leiloeiro"] == {"a.br": 2} and got["status"] == "ok"

@@ -3,6 +3,8 @@ takes the column that gives it (``seq``)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,19 +17,22 @@ def _keys(keys: list[str | Column]) -> list[Column]:
 
 
 def first_per_key(df: DataFrame, keys: list[str | Column], seq: str | Column = "seq") -> DataFrame:
-    """The first row of each key."""
-    place = F.row_number().over(W.partitionBy(*_keys(keys)).orderBy(seq))
-    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
+    """The first row of each key.
+
+    An aggregate of whole rows, so rows combine before the shuffle and a hot key is
+    no large group."""
+    return _one_per_key(df, keys, seq, F.min_by)
 
 
 def last_per_key(df: DataFrame, keys: list[str | Column], seq: str | Column = "seq") -> DataFrame:
-    """The last row of each key: what a map filled in order holds at the end.
+    """The last row of each key: what a map filled in order holds at the end.  Found as
+    the first one is."""
+    return _one_per_key(df, keys, seq, F.max_by)
 
-    An aggregate of whole rows, so rows combine before the shuffle and a hot key is
-    no large group."""
+
+def _one_per_key(df: DataFrame, keys: list[str | Column], seq: str | Column, choose: Callable[..., Column]) -> DataFrame:
     order = F.col(seq) if isinstance(seq, str) else seq
-    named = _keys(keys)
-    grouped = df.groupBy(*[k.alias(f"_key{i}") for i, k in enumerate(named)]).agg(F.max_by(F.struct(*df.columns), order).alias("_row"))
+    grouped = df.groupBy(*[k.alias(f"_key{i}") for i, k in enumerate(_keys(keys))]).agg(choose(F.struct(*df.columns), order).alias("_row"))
     return grouped.select("_row.*")
 
 
