@@ -298,7 +298,9 @@ def candidate_links(reps: DataFrame, threshold: float, recall: float) -> DataFra
     prefix = F.substring(F.col("sig"), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * shortest))
     keyed = reps.select("tag", "sig", tree).select("tag", "tree", F.xxhash64("tree", prefix).alias("bucket"))
     shared = materialise(keyed.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    inside = keyed.join(shared, F.col("bucket") == F.col("of")).select("bucket", "tree", F.ceil(F.col("n") / BUCKET_BLOCK).alias("blocks"), "tag")
+    # most buckets hold one text: a bitmap of the others keeps those out of the join
+    met = mark_possible(keyed, F.col("bucket"), shared, "of").filter("_may")
+    inside = met.join(shared, F.col("bucket") == F.col("of")).select("bucket", "tree", F.ceil(F.col("n") / BUCKET_BLOCK).alias("blocks"), "tag")
     rows = inside.join(reps.select("tag", "sig"), "tag").select("bucket", "blocks", "tree", F.lit(0.0).cast("float").alias("slack"), "tag", "sig")
     small, dense, found = rows.filter("blocks = 1"), None, []
     if not shared.filter(F.col("n") > BUCKET_BLOCK).isEmpty():
