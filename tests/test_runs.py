@@ -88,20 +88,21 @@ def test_documents_date_events(spark, monkeypatch):
 
 
 def test_diagnostic(spark, tmp_path):
-    (tmp_path / ".github/workflows").mkdir(parents=True)
-    (tmp_path / runs.SCHEDULE).write_text(f"{runs.BY_HAND}\n - cron: '{runs.EVERY_SIX_HOURS}'\n{runs.MAY_SAVE}\nrun: {runs.RUNS}")
-    (tmp_path / "lotes.json").write_text(json.dumps({"lotes": [{"titulo": "a"}, {"titulo": "b"}], "atualizado_em": "2026-07-14T15:00:00-03:00", "eventos_com_lotes": 1}))
-    (tmp_path / "lotes.csv").write_text("titulo\na\nb\n")
-    (tmp_path / "eventos_futuros.csv").write_text("nome\nx\n")
-    (tmp_path / "resumo.json").write_text(json.dumps({"atualizado_em": "2026-07-13T15:00:00-03:00"}))
-    (tmp_path / "index.html").write_text("x" * 100_001 + runs.PAGE_DATA)
-    facts = runs.gather(spark, str(tmp_path), ("index.html", "lotes.csv", "nada.txt"), "2026-07-14 16:30:00-03:00")
-    status, code = runs.diagnose(facts, {"mensagem": "antes", "lotes": 9}, fail_on_attention=True)
-    assert len(runs.fourteen_checks()) == 14 and status["failed_checks"] == ["arquivos_obrigatorios", "dominio_configurado", "base_eventos_recente"]
+    site = runs.Site("lots.example.org", required=("index.html", "lotes.csv", "nada.txt"))
+    (tmp_path / site.schedule).write_text(f"{runs.BY_HAND}\n - cron: '{runs.EVERY_SIX_HOURS}'\n{runs.MAY_SAVE}\nrun: {site.runner}")
+    (tmp_path / site.lots).write_text(json.dumps({"lotes": [{"titulo": "a"}, {"titulo": "b"}], "atualizado_em": "2026-07-14T15:00:00-03:00", "eventos_com_lotes": 1}))
+    (tmp_path / site.lots_csv).write_text("titulo\na\nb\n")
+    (tmp_path / site.events_csv).write_text("nome\nx\n")
+    (tmp_path / site.summary).write_text(json.dumps({"atualizado_em": "2026-07-13T15:00:00-03:00"}))
+    (tmp_path / site.page).write_text("x" * 100_001 + site.page_data)
+    facts = runs.gather(spark, str(tmp_path), site, "2026-07-14 16:30:00-03:00")
+    status, code = runs.diagnose(facts, site, {"mensagem": "antes", "lotes": 9}, fail_on_attention=True)
+    assert len(runs.fourteen_checks(site)) == 14 and status["failed_checks"] == ["arquivos_obrigatorios", "dominio_configurado", "base_eventos_recente"]
     assert (status["status"], code, status["missing"], status["mensagem"], status["lots"], status["future"], status["lots_age"], status["events_age"]) == ("atencao", 1, ["nada.txt"], "antes", 2, 1, 1.5, 25.5)
-    (tmp_path / "CNAME").write_text(runs.DOMAIN + "\n")
-    facts = runs.gather(spark, str(tmp_path), ("index.html",), "2026-07-14 02:00:00-03:00")
-    assert runs.diagnose(facts, {})[0]["status"] == "ok" and runs.diagnose(facts, {}, True)[1] == 0
+    (tmp_path / site.host).write_text(site.domain + "\n")
+    site = runs.Site("lots.example.org", required=("index.html",))
+    facts = runs.gather(spark, str(tmp_path), site, "2026-07-14 02:00:00-03:00")
+    assert runs.diagnose(facts, site, {})[0]["status"] == "ok" and runs.diagnose(facts, site, {}, True)[1] == 0
 
 
 # --- reading events: the operator against a reader that goes step by step ---------------

@@ -237,9 +237,9 @@ def test_published_files(spark, tmp_path):
     assert (again["total_lotes"], again["total_eventos_lidos"], [x["titulo"] for x in again["lotes"]]) == (2, 2, ["b", "a"]) and files.count_csv(spark, str(tmp_path / "clean/lotes.csv")) == 2
     with pytest.raises(ValueError, match="no snapshot"):
         outputs.clean_snapshot(spark, str(tmp_path / "none"), str(tmp_path / "x"))
-    pages = outputs.site_pages("<x>__DATA__</x>", lots.withColumn("rank", F.col("seq")), e, e.limit(0), "agora", "v1")
+    pages = outputs.site_pages("<x>__DATA__</x>", lots.withColumn("rank", F.col("seq")), e, e.limit(0), "agora", "v1", "A & B", "old.html")
     data = json.loads(pages["index.html"][3:-4].replace("<\\/", "</"))
-    assert (len(data["eventos"]), data["patios"], len(data["lotes"]), data["editais_eventos"], data["lotes_com_edital"], data["versao"]) == (3, [], 3, 0, 1, "v1") and "url=./" in pages["old.html"]
+    assert (len(data["eventos"]), data["patios"], len(data["lotes"]), data["editais_eventos"], data["lotes_com_edital"], data["versao"]) == (3, [], 3, 0, 1, "v1") and "url=./" in pages["old.html"] and "A &amp; B" in pages["old.html"]
 
 
 def test_report_file(spark):

@@ -5,6 +5,7 @@ small JSON, CSV and page files beside them, under a staging path like everything
 
 from __future__ import annotations
 
+import html
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,9 @@ from tidemark.functions import text as X
 from tidemark.operators import dedupe, report
 from tidemark.sources import files
 
-# Names of the files of events, and published names of totals, in order.
+#: The files of events.
 EVENT_FILES = {"future": "eventos_futuros.csv", "events": "eventos_todos.csv", "yards": "patios.csv", "full": "base_completa.csv"}
+# Published names of totals, in order.
 SUMMARY = {
     "total_registros": "total_rows", "eventos_atualizacao": "events", "eventos_futuros_ou_hoje": "future", "patios": "yards", "eventos_com_link": "with_link",
     "eventos_com_data_hora_de_edital": "date_from_notice", "eventos_com_data_hora_de_site": "date_from_site", "eventos_por_uf": "by_unit", "datas": "by_date",
@@ -27,12 +29,9 @@ REPORT = {
     "eventos_bloqueados": "blocked", "links_invalidos": "invalid", "quantidade_coletada_por_leiloeiro": "lots_by_host", "erros_por_leiloeiro": "errors_by_host", "urls_que_falharam": "failed_attempts",
 }
 TOTALS = {"eventos_com_lotes": "with_lots", "eventos_sem_lotes": "without_lots", "eventos_com_erro_ou_bloqueio": "errors"}
-# The marker of the page's data, and the page that leads to it.
+#: The marker of the page's data, and the page that leads there.
 MARKER = "__DATA__"
-REDIRECT = (
-    '<!doctype html><html lang="pt-BR"><meta charset="utf-8"><meta http-equiv="refresh" content="0;url=./"><title>Leilões</title>'
-    '<p>Abrindo o <a href="./">Leilões</a>...</p></html>\n'
-)
+REDIRECT = '<!doctype html><html lang="pt-BR"><meta charset="utf-8"><meta http-equiv="refresh" content="0;url=./"><title>{0}</title><p><a href="./">{0}</a></p></html>\n'
 
 
 def _named(names: dict[str, str]) -> list[Column]:
@@ -99,10 +98,11 @@ def clean_snapshot(spark: SparkSession, source: str, folder: str) -> int:
     return int(counted.first()["total_lotes"])
 
 
-def site_pages(template: str, lots: DataFrame, events: DataFrame, yards: DataFrame, moment: str, version: str) -> dict[str, str]:
-    """The page with the data in it and the page that leads there, by file name."""
+def site_pages(template: str, lots: DataFrame, events: DataFrame, yards: DataFrame, moment: str, version: str, title: str, old_name: str) -> dict[str, str]:
+    """The page with the data in it, and the page that leads there from an old name, by
+    file name."""
     listed = lambda df, names, order, name: df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*names).alias("_r")))), lambda r: r["_r"]).alias(name))
     value = listed(events, S.EVENT_FIELDS, "seq", "eventos").crossJoin(listed(yards, S.EVENT_FIELDS, "seq", "patios")).crossJoin(listed(lots, [c for c in S.LOT_FIELDS if c in lots.columns], "rank", "lotes"))
     counted = report.notice_counters(events, lots).select(F.col("events_with_notice").alias("editais_eventos"), F.col("lots_with_notice").alias("lotes_com_edital"))
     data = value.withColumns({"gerado_em": F.lit(moment), "versao": F.lit(version)}).crossJoin(counted).select(F.to_json(F.struct("*")).alias("v")).first()["v"]
-    return {"index.html": files.site_page(template, data, MARKER), "old.html": REDIRECT}
+    return {"index.html": files.site_page(template, data, MARKER), old_name: REDIRECT.format(html.escape(title))}

@@ -340,7 +340,7 @@ def html_visible(spark, sf_dir):
     return extract.html_pages(p).select("page_id", "title", F.size("visible").cast("long").alias("pieces"), F.md5(F.array_join("visible", "\n").cast("binary")).alias("digest"))
 
 
-@query(rf"""select page_id, trim(regexp_replace({_DECODED.format(f"regexp_replace(regexp_replace({_DECODED.format('html')}, '(?i)<br\s*/?>', ' | ', 'g'), '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g')) as text from pages""")
+@query(rf"""select page_id, trim(regexp_replace({_DECODED.format(rf"regexp_replace(regexp_replace({_DECODED.format('html')}, '(?i)<br\s*/?>', ' | ', 'g'), '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g')) as text from pages""")
 def html_clean(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", X.clean_html("html").alias("text"))
 

@@ -10,6 +10,7 @@ import json
 import os
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
@@ -97,29 +98,44 @@ def status_text(status: dict) -> str:
 
 # --- the diagnostic ------------------------------------------------------------------
 
-# The files of a run, and what its schedule, page and host must say.
-FILES = {"summary": "resumo.json", "lots": "lotes.json", "events_csv": "eventos_futuros.csv", "yards_csv": "patios.csv", "lots_csv": "lotes.csv"}
-SCHEDULE, PAGE, HOST = ".github/workflows/schedule.yml", "index.html", "CNAME"
-BY_HAND, EVERY_SIX_HOURS, MAY_SAVE, RUNS = "workflow_dispatch:", "17 */6 * * *", "contents: write", "run.py"
-PAGE_DATA, DOMAIN = 'id="data"', "lots.example.org"
+@dataclass(frozen=True)
+class Site:
+    """Where a run's files are under their root, and what they must say."""
+
+    domain: str
+    summary: str = "summary.json"
+    lots: str = "lotes.json"
+    events_csv: str = "eventos_futuros.csv"
+    yards_csv: str = "patios.csv"
+    lots_csv: str = "lotes.csv"
+    schedule: str = "schedule.yml"
+    page: str = "index.html"
+    host: str = "CNAME"
+    runner: str = "run.py"
+    page_data: str = 'id="data"'
+    required: tuple[str, ...] = ()
+
+
+# What a schedule says that can be started by hand, runs every six hours and may save.
+BY_HAND, EVERY_SIX_HOURS, MAY_SAVE = "workflow_dispatch:", "17 */6 * * *", "contents: write"
 # What a diagnostic keeps of the status before.
 KEPT = (
     "ultima_execucao", "erro_em", "mensagem", "base_anterior_restaurada", "lotes_antes", "lotes_depois", "lotes_novos_detectados", "lotes_removidos_ou_encerrados", "etapas",
 )
 
 
-def gather(spark: SparkSession, root: str, required: tuple[str, ...], now: str) -> DataFrame:
+def gather(spark: SparkSession, root: str, site: Site, now: str) -> DataFrame:
     """One row of facts about the published files under ``root``."""
 
     def text(name: str) -> str:
         path = f"{root}/{name}"
         return spark.read.text(path, wholetext=True).first()["value"] if files.path_exists(spark, path) else ""
 
-    summary, lots = (files.read_object(spark, f"{root}/{FILES[k]}") for k in ("summary", "lots"))
+    summary, lots = (files.read_object(spark, f"{root}/{name}") for name in (site.summary, site.lots))
     listed = lots.get("lotes", [])
-    csv = {k: files.count_csv(spark, f"{root}/{FILES[k]}") for k in ("events_csv", "yards_csv", "lots_csv")}
+    csv = {k: files.count_csv(spark, f"{root}/{getattr(site, k)}") for k in ("events_csv", "yards_csv", "lots_csv")}
     row = {
-        "missing": [n for n in required if not files.path_exists(spark, f"{root}/{n}")], "schedule": text(SCHEDULE), "page": text(PAGE), "host": text(HOST).strip(),
+        "missing": [n for n in site.required if not files.path_exists(spark, f"{root}/{n}")], "schedule": text(site.schedule), "page": text(site.page), "host": text(site.host).strip(),
         **csv, "lots_json": len(listed) if isinstance(listed, list) else 0, "events_moment": str(summary.get("atualizado_em", "")), "lots_moment": str(lots.get("atualizado_em", "")),
         "future": int(summary.get("eventos_futuros_ou_hoje") or csv["events_csv"]), "yards": int(summary.get("patios") or csv["yards_csv"]),
         "lots": int(lots.get("total_lotes") or (len(listed) if isinstance(listed, list) else 0)), "captured": int(lots.get("total_lotes_capturados_agora") or 0),
@@ -131,24 +147,24 @@ def gather(spark: SparkSession, root: str, required: tuple[str, ...], now: str)
     return facts.withColumns({f"{k}_age": D.age_hours(D.parse_moment(f"{k}_moment"), moment) for k in ("events", "lots")})
 
 
-def fourteen_checks() -> dict[str, Column]:
+def fourteen_checks(site: Site) -> dict[str, Column]:
     """The checks of the diagnostic over :func:`gather`'s facts, by their published names."""
     says = lambda c, what: F.col(c).contains(what)
     fresh = lambda c: F.coalesce(F.col(c) <= report.STATUS_HOURS, F.lit(False))
     # Names of the checks, in order.
     return {
         "arquivos_obrigatorios": F.size("missing") == 0, "workflow_existe": F.col("schedule") != "", "workflow_execucao_manual": says("schedule", BY_HAND),
-        "workflow_agendado_6h": says("schedule", EVERY_SIX_HOURS), "workflow_pode_salvar": says("schedule", MAY_SAVE), "workflow_executa_indexador": says("schedule", RUNS),
+        "workflow_agendado_6h": says("schedule", EVERY_SIX_HOURS), "workflow_pode_salvar": says("schedule", MAY_SAVE), "workflow_executa_indexador": says("schedule", site.runner),
         "eventos_csv_ok": F.col("events_csv") > 0, "lotes_json_ok": F.col("lots_json") > 0, "lotes_csv_consistente": F.col("lots_csv") == F.col("lots_json"),
-        "site_gerado": F.octet_length("page") > report.LEAST_PAGE, "base_embutida_no_site": says("page", PAGE_DATA), "dominio_configurado": F.col("host") == DOMAIN,
+        "site_gerado": F.octet_length("page") > report.LEAST_PAGE, "base_embutida_no_site": says("page", site.page_data), "dominio_configurado": F.col("host") == site.domain,
         "base_eventos_recente": fresh("events_age"), "base_lotes_recente": fresh("lots_age"),
     }
 
 
-def diagnose(facts: DataFrame, earlier: dict, fail_on_attention: bool = False) -> tuple[dict, int]:
+def diagnose(facts: DataFrame, site: Site, earlier: dict, fail_on_attention: bool = False) -> tuple[dict, int]:
     """The status of a run and the exit code: 1 for a status that asks for attention,
     if that is to fail.  Values of the ``earlier`` status are kept."""
-    row = status_row(facts, fourteen_checks()).drop("schedule", "page").first().asDict()
+    row = status_row(facts, fourteen_checks(site)).drop("schedule", "page").first().asDict()
     status = {"status": "ok" if row["ok"] else "atencao", **row, **{k: earlier[k] for k in KEPT if k in earlier}}
     return status, int(fail_on_attention and not row["ok"])
 
