@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import mark_possible, materialise
 
 CONTEXT, SET_TOKENS, SHARD_CHARS = 2048, 1 << 22, 1 << 22
+#: Shards up to which each has about a task of its own, and shards of a task beyond.
+MOST_SINGLE, SHARDS_A_TASK = 1000, 64
 #: Repeated rows (an id and a digest each) that are broadcast; more are joined by a shuffle.
 FEW = 200_000
 SCHEMA = (
@@ -171,7 +173,9 @@ def shards(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     chunks = chunks.select("doc_id", "tag", "chunk", F.least("most", F.col("_copies") - F.col("chunk") * F.col("most")).alias("copies"), "text")
     shard = F.pmod(F.xxhash64("doc_id", "tag", "chunk", F.lit(31)), F.lit(count)).alias("shard")
     dealt = single.unionByName(chunks).select(shard, "doc_id", "tag", "chunk", "copies", "text")
-    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "tag", "chunk")
+    # tasks in proportion to the shards, so that what one of them reads does not grow with the table
+    tasks = min(count, max(MOST_SINGLE, count // SHARDS_A_TASK))
+    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "tag", "chunk")
 
 
 def pack(docs: DataFrame, vocabulary: dict, *, context: int = CONTEXT, set_tokens: int = SET_TOKENS, shard_chars: int = SHARD_CHARS) -> DataFrame:
