@@ -208,6 +208,27 @@ def dated_events(spark, sf_dir):
     return runs.enrich(events, runs.inspect(events, fetched), NOW).select("seq", "data", "hora_marcador", "fonte_data_hora")
 
 
+@query("""select page_id as n, 'Lote ' || page_id || ' - Trator - bom estado' as titulo, 'bom estado' as descricao, case page_id % 3 when 0 then 'R$ ' || page_id || ',00' when 1 then 'R$ ' || page_id else 'R$ 7' end as lance_atual, page_id::varchar as lote,
+ 'https://e.br/l/' || page_id as link_lote, case when page_id % 2 = 0 then 'https://e.br/f/' || page_id || '.jpg' else 'https://cdn/' || page_id || '.png' end as foto_lote from pages
+union all select page_id, 'Lote 9 - sem link', '', '', '9', 'https://e.br/p', '' from pages""")
+def object_lots(spark, sf_dir):
+    p, n = _t(spark, sf_dir, "pages"), F.col("page_id")
+    price = F.when(n % 3 == 0, _join('"price": "R$ ', n, ',00"')).when(n % 3 == 1, _join('"price": "a combinar", "valor": ', n)).otherwise('"obs": ["por R$ 7"]')
+    image = F.when(n % 2 == 0, _join('"image": "/logo.png", "fotos": ["/f/', n, '.jpg"]')).otherwise(_join('"media": {"x": 1, "y": [{"src": "data:x"}, {"large": "https:\\/\\/cdn\\/', n, '.png"}]}'))
+    first = _join('{"@graph": [{"title": "Lote ', n, ' - <b>Trator</b>", "description": "bom&nbsp;estado", "url": "/l/', n, '", ', price, ", ", image, "}]}")
+    scripts = _join('<script type="application/ld+json">', first, '</script><script type="application/ld+json">{quebrado</script><script id="__NEXT_DATA__">[{"name": "Lote 9 - sem link"}, {"name": "Login"}]</script>')
+    pages = p.select(n.alias("n"), F.lit(0).alias("pos"), F.lit("https://e.br/p").alias("final_url"), F.concat("html", scripts).alias("html"))
+    return lots.page_lots(pages).select("n", "titulo", "descricao", "lance_atual", "lote", "link_lote", "foto_lote")
+
+
+@query("""select page_id, 'https://e.br/a' || page_id || '.pdf https://e.br/p/b.PDF?x=1' as linked, 'https://e.br/a' || page_id || '.pdf https://drive.google.com/file/d/' || page_id as bare from pages""")
+def notice_addresses(spark, sf_dir):
+    p, n = _t(spark, sf_dir, "pages"), F.col("page_id")
+    page = F.concat("html", _join("<a href='/a", n, ".pdf'>a</a><a href=\"/a", n, '.pdf">de novo</a><embed src="b.PDF?x=1"> veja https://drive.google.com/file/d/', n, ", https://x/c.pdf<"))
+    base = F.lit("https://e.br/p/q")
+    return p.select("page_id", F.array_join(extract.notice_links(page, base), " ").alias("linked"), F.array_join(extract.notice_links(page, base, bare=True), " ").alias("bare"))
+
+
 # --- plans -----------------------------------------------------------------------------
 
 
@@ -279,6 +300,21 @@ def snapshot_counters(spark, sf_dir):
     return report.notice_counters(notice(3), notice(2)).crossJoin(counted).crossJoin(dedupe.first_events(c, 100, "c_custkey").agg(F.count("*").alias("first_hundred")))
 
 
+@query("""with f as (select page_id, page_id % 2 = 0 as a, page_id % 3 <> 0 as b, page_id % 5 <> 0 as c, page_id % 7 < 4 as d from pages)
+select page_id, not a or not b or not c or not d as attention, concat_ws(' ', case when not a then 'arquivos_obrigatorios' end, case when not b then 'workflow_existe workflow_execucao_manual workflow_agendado_6h workflow_pode_salvar workflow_executa_indexador' end,
+ case when not c then 'lotes_csv_consistente site_gerado base_embutida_no_site dominio_configurado' end, case when not d then 'base_eventos_recente' end) as failed from f""")
+def diagnosed(spark, sf_dir):
+    site, n = runs.Site("lots.example.org"), F.col("page_id")
+    said = F.lit(f"{runs.BY_HAND} {runs.EVERY_SIX_HOURS} {runs.MAY_SAVE} {site.runner}")
+    facts = _t(spark, sf_dir, "pages").select(
+        "page_id", F.when(n % 2 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("x"))).alias("missing"), F.when(n % 3 != 0, said).otherwise("").alias("schedule"),
+        F.when(n % 5 != 0, F.concat(F.repeat(F.lit("x"), 100_001), F.lit(site.page_data))).otherwise("x").alias("page"), F.when(n % 5 != 0, site.domain).otherwise("").alias("host"),
+        F.lit(1).alias("events_csv"), F.lit(3).alias("lots_json"), F.when(n % 5 != 0, 3).otherwise(2).alias("lots_csv"), (n % 7 * 4.0).alias("events_age"), F.lit(-2.0).alias("lots_age"),
+    )
+    status = runs.status_row(facts, runs.fourteen_checks(site))
+    return status.select("page_id", (~F.col("ok")).alias("attention"), F.array_join("failed_checks", " ").alias("failed"))
+
+
 # --- files -------------------------------------------------------------------------------
 
 
