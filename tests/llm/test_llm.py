@@ -241,6 +241,47 @@ def test_language_and_spans(spark, odd):
     assert all(lang == ("de" if i % 2 else "en") for i, lang in got if i and i >= 7)
 
 
+def plain_language(text, model):
+    """Language and spans of a text, letter by letter and word by word."""
+    import unicodedata
+
+    words, inside = [], False
+    for ch in (text or "").lower():
+        letter = unicodedata.category(ch)[0] in "LM"
+        if letter and not inside:
+            words.append("")
+        if letter:
+            words[-1] += ch
+        inside = letter
+    if not words:
+        return "und", []
+    m1, m2, m3, end, top = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 64 - language_id.SLOTS.bit_length() + 1
+    cut = lambda x: (x % (1 << 64)) >> top
+    scores = []
+    for w in words:
+        total = np.zeros(len(model["langs"]))
+        for i, ch in enumerate(w):
+            a, b, d = ord(ch), ord(w[i - 1]) if i else 32, ord(w[i - 2]) if i > 1 else 32
+            slots = (cut(a * m1), cut((a * m1 + b * m2 + 1) * m1), cut((a * m1 + b * m2 + d * m3 + (i == len(w) - 1) * end) * m1))
+            total += sum(model["logp"][n][x] for n, x in enumerate(slots))
+        script = next((k for k, ranges in enumerate(language_id.SCRIPTS.values(), 1) if any(lo <= ord(w[0]) <= hi for lo, hi in ranges)), 0)
+        scores.append(total - 1e4 * ~model["scripts"][:, script].astype(bool))
+    labels = language_id.viterbi(np.array(scores, np.float32))
+    letters = Counter()
+    for w, k in zip(words, labels, strict=True):
+        letters[k] += len(w)
+    spans = [k for i, k in enumerate(labels) if not i or k != labels[i - 1]]
+    return model["langs"][min(letters, key=lambda k: (-letters[k], k))], [model["langs"][k] for k in spans]
+
+
+def test_predictions_equal_plain_ones(spark):
+    rng = random.Random(19)
+    texts = [" ".join(sentence(rng, rng.choice(["en", "de"]), rng.randrange(1, 30)) for _ in range(rng.randrange(1, 4))) for _ in range(60)] + ["", "1 2", "Ω λόγος and the", "a\u0301b", "\U00030000 字", "straße, 5x Über-haus"]
+    model = language_id.fit(spark.createDataFrame([(sentence(rng, lang, 40), lang) for lang in ("en", "de") * 30], "text string, lang string"))
+    for text, (lang, _, spans) in zip(texts, language_id.predict(texts, model), strict=True):
+        assert (lang, [s["lang"] for s in spans]) == plain_language(text, model), text
+
+
 def test_long_text_in_pieces(monkeypatch):
     text = "wort " * 900
     assert "".join(language_id._pieces(text, 100)) == text and "".join(language_id._pieces("x" * 500, 100)) == "x" * 500
