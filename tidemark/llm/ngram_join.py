@@ -60,7 +60,7 @@ SLACK = 0.15
 #: Signatures that differ in less than this share join a leader of a dense bucket.
 CLOSE = 0.08
 #: Texts in a block of a bucket, and texts and shingles in a block of a candidate group.
-BUCKET_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 512, 512, 1 << 20
+BUCKET_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 512, 256, 1 << 18
 #: A bucket is thinned as long as this share of its texts, at most, are leaders.
 THINS = 0.5
 
@@ -151,9 +151,9 @@ def forest(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of a symmetric link matrix that has links, the least row of its
     component."""
     m = len(mask)
-    label = np.arange(m)
+    label = np.arange(m, dtype=np.int32)
     while True:
-        low = np.where(mask, label[None, :], m).min(axis=1)
+        low = np.where(mask, label[None, :], np.int32(m)).min(axis=1)
         new = np.minimum(label, low)
         new = new[new]
         if (new == label).all():
@@ -363,7 +363,7 @@ def linked(members: list[np.ndarray], far: np.ndarray, room: float, threshold: f
     return mask
 
 
-def common_members(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+def common_members(sets: list[np.ndarray], width: int = 1024) -> np.ndarray:
     """Sizes of the intersections of sorted, distinct sets: shared members become
     columns of a matrix, whose products with itself add up to them."""
     m = len(sets)
@@ -401,7 +401,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
             if p[a] != q[a]:
                 mask &= part[a:b, None] != part[None, a:b]
             at, root = forest(mask)
-            more = mask @ weight[a:b]
+            more = np.array([weight[a:b][row].sum() for row in mask])
             some = np.flatnonzero(more)
             u += [at + a, some + a]
             v += [root + a, np.full(len(some), -1)]
