@@ -13,6 +13,7 @@ from tidemark.functions import temporal as D
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
 from tidemark.operators import dedupe, report, snapshot
+from tidemark.sources.scratch import written
 
 
 def refresh_events(scanned: DataFrame, enriched: DataFrame, now: str, yard_layer: str) -> dict[str, DataFrame]:
@@ -34,6 +35,7 @@ def index_lots(events: DataFrame, lots: DataFrame, logs: DataFrame, previous: Da
     moment = F.lit(now).cast("timestamp_ntz")
     keyed = lots.withColumn("key", U.title_link_key("titulo", "link_lote"))
     fresh, logs = dedupe.global_dedupe(keyed, logs)
+    fresh, logs = written(fresh, "fresh"), written(logs, "logs")
     with_key = lambda df, name: df.withColumn("event_key", U.event_date_key(name, "data"))
     old = with_key(previous, "evento").withColumn("n", F.lit(None).cast("long"))
     failed = with_key(logs, "evento").filter("lotes = 0")
@@ -41,21 +43,23 @@ def index_lots(events: DataFrame, lots: DataFrame, logs: DataFrame, previous: Da
     valid = both.filter(dedupe.valid_lot(X.clean_text("titulo"), X.clean_text("lote")))
     final = valid.withColumn("final_key", U.final_key("evento", "lote", "titulo", "link_lote"))
     unique = dedupe.first_per_key(final, ["final_key"], F.struct("source", "n", "seq"))
-    return {"lots": unique.filter(D.upcoming("data", "hora", moment, "lot")).drop("final_key", "event_key"), "logs": logs, "fresh": fresh.drop("key")}
+    current = unique.filter(D.upcoming("data", "hora", moment, "lot")).drop("final_key", "event_key")
+    return {"lots": written(current, "lots"), "logs": logs, "fresh": fresh.drop("key")}
 
 
 def site(lots: DataFrame, events: DataFrame, now: str) -> DataFrame:
     """Upcoming lots with gaps filled from their events, duplicates merged by quality,
-    in order of date, hour and unit; ``rank`` is the place."""
+    in order of date, hour and unit; ``rank`` is the place.  What is used twice is written
+    once."""
     moment = F.lit(now).cast("timestamp_ntz")
     rows = lots.filter(D.upcoming("data", "hora", moment, "site"))
     rows = rows.withColumn("uf", F.when(F.col("uf").isin(*S.UNIT_CODES), F.col("uf")).otherwise(""))
     fill = {"link_edital": "link_edital", "resumo_edital": "resumo_edital", "link_evento": "link"}
     rows = snapshot.lookup_left_join(rows, events, U.site_event_key("evento", "data"), U.site_event_key("nome", "data"), fill)
     rows = rows.withColumns({"merge_key": U.merge_key("link_lote", "link_evento", "evento", "lote", "titulo"), "score": dedupe.quality("titulo", "descricao", dedupe.generic_title("titulo"))})
-    merged = dedupe.quality_merge(rows, ["merge_key"], "score", ("lote", "foto_lote", "link_edital", "resumo_edital", "link_evento", "lance_atual"))
+    merged = dedupe.quality_merge(written(rows, "rows"), ["merge_key"], "score", ("lote", "foto_lote", "link_edital", "resumo_edital", "link_evento", "lance_atual"))
     order = [S.filled("data", F.lit("9999-99-99")), S.filled("hora", F.lit("23:59")), F.col("uf")]
-    return dedupe.ordered_rank(merged, order, "first_seq").drop("merge_key", "score")
+    return dedupe.ordered_rank(written(merged, "merged"), order, "first_seq").drop("merge_key", "score")
 
 
 def update_report(previous: DataFrame, final: DataFrame, fresh: DataFrame, logs: DataFrame) -> DataFrame:
