@@ -295,22 +295,22 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, row
                 if own:
                     parts = [distinct(*all_features(own[lo:hi]))[1] for lo, hi in slices([len(t) for t in own])]
                     keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"grp": pa.array([g] * len(keys), pa.int32()), "feature": keys.view(np.int64), "n": n, "texts": [0] * len(keys)})
-                    yield pa.RecordBatch.from_pydict({"grp": pa.array([g], pa.int32()), "feature": pa.array([0], pa.int64()), "n": [0], "texts": [len(own)]})
+                    keys, n = np.append(keys[keys != 0], np.uint64(0)), np.append(n[keys != 0], len(own))  # 0 stands for the texts
+                    yield pa.RecordBatch.from_pydict({"grp": pa.array([g] * len(keys), pa.int32()), "feature": keys.view(np.int64), "n": n})
 
-    counted = sample.mapInArrow(count, "grp int, feature long, n long, texts long").groupBy("feature").pivot("grp", list(groups)).agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).na.fill(0)
+    counted = sample.mapInArrow(count, "grp int, feature long, n long").groupBy("feature").pivot("grp", list(groups)).agg(F.sum("n")).na.fill(0)
     counted = materialise(counted, "features")
-    sums = counted.agg(*[F.sum(f"{g}_texts").alias(str(g)) for g in groups]).first()
-    total = np.array([x or 0 for x in sums], float).reshape(2, FOLDS)
+    sums = counted.filter("feature = 0").first()
+    total = np.array([sums[str(g)] if sums else 0 for g in groups], float).reshape(2, FOLDS)
 
     def lexicon(without: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The strongest features: the log ratio of document frequencies in the two
         classes, at one deviation to the safe side."""
         use = [f for f in range(FOLDS) if f != without]
-        c0, c1 = (sum(F.col(f"{q * FOLDS + f}_n") for f in use) for q in (0, 1))
+        c0, c1 = (sum(F.col(str(q * FOLDS + f)) for f in use) for q in (0, 1))
         n0, n1 = (float(total[q, use].sum()) for q in (0, 1))
         safe = F.log((c1 + 0.25) / (n1 + 1)) - F.log((c0 + 0.25) / (n0 + 1)) - F.sqrt(1 / (c1 + 0.25))
-        top = counted.filter(c1 >= 2).select("feature", safe.alias("weight")).filter("weight > 0").orderBy(F.desc("weight"), "feature").limit(features).toPandas()
+        top = counted.filter("feature <> 0").filter(c1 >= 2).select("feature", safe.alias("weight")).filter("weight > 0").orderBy(F.desc("weight"), "feature").limit(features).toPandas()
         keys = top["feature"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
         return keys[order], top["weight"].to_numpy(float)[order]
