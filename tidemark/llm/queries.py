@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity, warc
+from tidemark.llm import chat_format, decontaminate, language_id, merkle, mixing, ngram_join, packing, quality_classifier, quality_rules, sentencepieces, toxicity, warc, whitening
 from tidemark.llm.common import id_crc, materialise
 
 
@@ -86,6 +86,23 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.load_vocabulary())
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepieces.load_model()
+    encoded = sentencepieces.encode(_read(spark, sf_dir, "documents"), model)
+    listed = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256)
+    encoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), listed.alias("ids_sha256"), "ids")
+    decoded = sentencepieces.decode(encoded, model, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return decoded.withColumn("decoded_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"), tampered=merkle.fifth(F.col("doc_id")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
@@ -97,8 +114,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_token_packing": op10_token_packing,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
 
+
+def merkle_sql(levels: int = 8, tops: int = 4) -> str:
+    """The manifest in SQL, for sources of up to 16 ** ``levels`` rows and 16 ** ``tops`` sources."""
+    field = "coalesce(octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar, '-')"
+    fields = [field.format(f) for f in ("doc_id", "source", "lang", "n_chars")]
+    leaf = lambda text: f"sha256({' || '.join([*fields, field.format(text)])})"
+    lower = f"translate(text, '{merkle.UPPERS}', '{merkle.LOWERS}')"
+    bits = "list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(c, b))"
+    crc = f"xor(list_reduce(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ord(substr(doc_id::varchar, i, 1))::bigint), lambda c, b: {bits}, 4294967295::bigint), 4294967295)"
+    out = [
+        f"d as (select row_number() over () as rid, doc_id, coalesce('=' || source, '') as grp, {leaf('text')} as leaf, case when {crc} % 5 = 0 then {leaf(lower)} end as forged from documents)",
+        "f0 as (select rid, doc_id, grp, leaf, coalesce(forged, leaf) as node, '' as path, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by grp) as n from d)",
+        "l0 as (select grp, pos as idx, n, leaf as h from f0)",
+    ]
+
+    def climb(kind: str, steps: int) -> None:
+        for k in range(steps):
+            out.append(f"{kind}r{k} as (select grp, idx // 16 as idx, any_value(n) as n, list(h order by idx) as run from {kind}l{k} where n > 1 group by grp, idx // 16)")
+            out.append(f"{kind}l{k + 1} as (select grp, idx, (n + 15) // 16 as n, sha256(array_to_string(run, '')) as h from {kind}r{k})")
+
+    def fold(kind: str, k: int, before: str, after: str, place: str, grp: str) -> None:
+        own = f"(({place} // {16**k}) % 16 + 1)"
+        left, right = f"coalesce(array_to_string(run[1:{own} - 1], ''), '')", f"coalesce(array_to_string(run[{own} + 1:], ''), '')"
+        out.append(
+            f"{after} as (select f.* replace (case when run is null then node else sha256({left} || node || {right}) end as node, path || case when run is null then '' else {left} || {right} end as path)"
+            f" from {before} f left join {kind}r{k} r on r.grp = {grp} and r.idx = {place} // {16 ** (k + 1)})"
+        )
+
+    climb("", levels)
+    out.append("s as (" + " union all ".join(f"select grp as key, h from l{k} where n = 1" for k in range(levels + 1)) + ")")
+    out.append("tl0 as (select '' as grp, row_number() over (order by key) - 1 as idx, count(*) over () as n, h, key from s)")
+    climb("t", tops)
+    out.append("root as (" + " union all ".join(f"select h as root from tl{k} where n = 1" for k in range(tops + 1)) + ")")
+    for k in range(levels):
+        fold("", k, f"f{k}", f"f{k + 1}", "f.pos", "f.grp")
+    out.append(f"g0 as (select f.*, t.idx as top, t.h as subroot from f{levels} f join tl0 t on t.key = f.grp)")
+    for k in range(tops):
+        fold("t", k, f"g{k}", f"g{k + 1}", "f.top", "''")
+    return f"with {', '.join(out)} select doc_id, leaf, subroot, root, sha256(path) as proof_sha256, node as folded_root, node = root as verified from g{tops}, root"
+
+
 _ESCAPED = "replace(replace({}, '~', '~0'), '<|', '~1')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -195,4 +256,5 @@ r7 as (select *, (quota // n) * words
 r8 as (select *, unnest(range(1, copies + 1)) as nth from r7)
 select doc_id, size, source_size, target, (words_taken // copies + (nth <= words_taken % copies)::int)::bigint as taken from r8
 union all select d.doc_id, 0, source_size, target, 0 from d join p on d.source is not distinct from p.source where size = 0""",
+    "op12_merkle_manifest": merkle_sql(),
 }
