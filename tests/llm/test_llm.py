@@ -337,7 +337,7 @@ def test_leaks_are_found_and_clean_ones_left(spark, odd):
     assert decontaminate.clean(odd, benchmark).columns == odd.columns and decontaminate.clean(odd, benchmark).count() == odd.count()
 
 
-def test_rows_are_judged_by_their_own_text(spark, monkeypatch):
+def test_rows_are_judged_by_their_own_text(spark):
     """Null and repeated ids over unlike texts; several scans, and an item that is too long for one."""
     items, docs, planted = leaks_fixture()
     leaking = {d for d, _ in planted}
@@ -346,15 +346,44 @@ def test_rows_are_judged_by_their_own_text(spark, monkeypatch):
     rng = random.Random(3)
     long = " ".join(f"long{rng.randrange(9000)}" for _ in range(3000))
     benchmark = spark.createDataFrame([(k, t, "yes") for k, t in items] + [(0, items[0][1], "no"), (77, long, None)], "item_id long, text string, answer string")
-    for queries, stretch in ((256, 512), (8, 4)):
-        monkeypatch.setattr(decontaminate, "QUERIES", queries)
-        monkeypatch.setattr(decontaminate, "INDEXES", 2 if queries == 8 else 8)
-        monkeypatch.setattr(decontaminate, "STRETCH", stretch)
-        few = benchmark if queries == 256 else benchmark.filter("item_id < 12 or item_id = 77")
-        want = leaking if queries == 256 else {d for d, i in planted if i < 12}
-        assert {r["kept"] for r in decontaminate.clean(table, few).collect()} == {d for d, _ in docs} - want
-    got = decontaminate.find(spark.createDataFrame([(1, "x " + long + " y")], "doc_id long, text string"), benchmark).collect()
-    assert {r["item_id"] for r in got} == {77}
+    for parts in ({}, {"size": 16, "number": 2, "stretch": 4}):
+        few = benchmark.filter("item_id < 12 or item_id = 77") if parts else benchmark
+        want = {d for d, i in planted if i < 12} if parts else leaking
+        assert {r["kept"] for r in decontaminate.clean(table, few, **parts).collect()} == {d for d, _ in docs} - want
+    # one match a row and item, in however many scans its stretches are found; equal rows have one each
+    whole = spark.createDataFrame([(1, "x " + long + " y")] * 2 + [(1, long + " z"), (None, long)], "doc_id long, text string")
+    item = benchmark.filter("item_id = 77")
+    for parts in ({}, {"size": 4, "number": 2, "stretch": 4}):
+        got = decontaminate.find(whole, item, **parts).collect()
+        assert sorted((r["doc_id"] or 0, r["item_id"]) for r in got) == [(0, 77), (1, 77), (1, 77), (1, 77)]
+        assert all(r["coverage"] == 1 and r["rare"] > 0.999 for r in got)
+
+
+def test_short_items_and_long_answers(spark):
+    _, docs, _ = leaks_fixture()
+    answer = [f"ans{k}" for k in range(90)]
+    question = [f"frage{k}" for k in range(20)]
+    benchmark = spark.createDataFrame([(1, "Kurz gesagt", None), (2, "...", None), (3, " ".join(question), " ".join(answer)), (4, "kurz, gesagt!", None)], "item_id long, text string, answer string")
+    half = [*question[:14], *(f"x{k}" for k in range(6))]
+    rows = [(1, "was\nKURZ  gesagt.\nend"), (2, "kurz gesagt ist es so"), (3, " ".join([*half, *answer])), (4, " ".join([*half, *answer[:80]])), (5, " ".join(half + [docs[0][1]])), (6, None), (7, "...")]
+    got = {(r["doc_id"], r["item_id"], r["answer"]) for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {(1, 1, False), (1, 4, False), (3, 3, True)}
+
+
+@pytest.mark.parametrize("rank", [192, 24])
+def test_recall_with_the_fitted_space(spark, monkeypatch, rank):
+    """The space that power iteration finds, not the queries' whole span: every place that
+    the checks on the words accept must be a candidate, nine of ten in a narrow space."""
+    monkeypatch.setattr(decontaminate, "RANK", rank)  # read on the driver
+    items, docs, planted = leaks_fixture()
+    index = decontaminate.Index(decontaminate.query_passages([(i, t, None) for i, t in items]))
+    decontaminate.fit(spark.createDataFrame(docs, "doc_id long, text string"), [index])
+    assert index.basis.shape[1] <= rank and np.allclose(index.basis.T @ index.basis, np.eye(index.basis.shape[1]), atol=1e-4)
+    held = (index.energy**2).mean()
+    assert held >= 0.95 - 1e-6 if rank == 192 else held > 0.25
+    found = {(text, item) for text, item, *_ in decontaminate.matches(index, [t for _, t in docs])}
+    wanted = {(d, i) for d, i in planted if brute_leak(index, docs[d][1], i)}
+    assert len(wanted) >= 45 and len(wanted & found) >= (1.0 if rank == 192 else 0.9) * len(wanted)
 
 
 def index_of(items, docs, times=1):
@@ -436,7 +465,7 @@ def test_candidates_against_exact_cosines(spark):
             v *= index.idf
             norm = math.sqrt(sum(float(index.idf[x]) ** 2 if x >= 0 else index.rarest**2 for x in term))
             wanted |= {(t, a, q) for q in np.flatnonzero(queries @ v >= 0.35 * max(norm, 1e-9)).tolist()}
-    assert index.basis.shape[1] <= decontaminate.RANK + len(index.queries) // 2 < len(index.vocabulary)
+    assert index.basis.shape[1] <= decontaminate.RANK < len(index.vocabulary)
     assert len(wanted) > 100 and len(wanted & got) >= 0.95 * len(wanted)
 
 
@@ -914,6 +943,31 @@ def test_long_and_neighbouring_disguises_are_restored():
     assert toxicity.restore(["a b", "c d"], logp) == ["a b", "c d"] and len(toxicity.restore(["x1" * 3000 + "a" * 9000], logp)) == 1
 
 
+def test_signs_of_all_kinds_are_read():
+    rng = random.Random(4)
+    words = [*WORDS["en"], "you", "are", "shell", "really", "person", "idiot", "morons", "shit", "moron"]
+    c = toxicity.classes(" ".join(rng.choice(words) for _ in range(20000)))
+    c = np.concatenate(([0, 0], c, [0]))
+    logp = toxicity.language_model(np.bincount((c[:-2] * toxicity.SIZE + c[1:-1]) * toxicity.SIZE + c[2:], minlength=toxicity.SIZE**3))
+    cases = {"sh€££": "shell", "idio+": "idiot", "shi+!": "shit", "m0r0n$.": "morons", "ｉｄｉｏｔ": "idiot", "𝐢𝐝𝟏𝐨𝐭": "idiot", "id" + "i" * 200 + "ot": "idiot", "p€rson": "person"}
+    for (case, word), forms in zip(cases.items(), toxicity.restore(list(cases), logp), strict=True):
+        assert word in forms.split(), (case, forms)
+    assert toxicity.restore(["p\x01rson"], logp) == ["p\x01rson"]
+    # a run of one sign may be read as itself, however long, and plain words stay as they are
+    assert toxicity.lattice("a" * 300)[0][-1] == ("a" * 300, 0.0)
+    assert toxicity.restore(["you are! really 50 € ok", None], logp) == ["you are! really 50 € ok", ""]
+
+
+def test_settled_readings_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    logp = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE)))
+    tokens = ["".join(rng.choice(list("abc01!*€$|")) for _ in range(200)) for _ in range(6)]
+    whole = [[toxicity.decode(t, logp, b) for b in (False, True)] for t in tokens]
+    for settle in (1, 7):
+        monkeypatch.setattr(toxicity, "SETTLE", settle)  # no worker takes part
+        assert [[toxicity.decode(t, logp, b) for b in (False, True)] for t in tokens] == whole
+
+
 def test_decoder_equals_all_readings():
     import itertools
 

@@ -7,84 +7,20 @@ every worker and in every run.
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources import scratch
+
 #: A word of the corpus contracts: a run without the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Used only where the session names no shared folder and runs on one machine (tests).
-LOCAL_SCRATCH = "/tmp/checkpoints/tidemark"
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates (``spark.checkpoint.dir``).  A
-    cluster must name one; a local session may do without."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return LOCAL_SCRATCH
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; removed when the driver ends."""
-    path = f"{scratch_dir(spark)}/tidemark-{uuid.uuid4().hex}-{name}"
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and
-    survives the loss of any executor."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tidemark_path = path
-    return out
-
-
-def release(*tables: DataFrame | None) -> None:
-    """Remove materialised tables that no plan will read again."""
-    for t in tables:
-        if path := getattr(t, "_tidemark_path", None):
-            _delete(t.sparkSession, path)
-
-
-@contextmanager
-def scratch_scope(keep: list[DataFrame]) -> Iterator[None]:
-    """Removes, at its end, the tables materialised inside but for those that were put
-    in ``keep``."""
-    before = {path for _, path in _written}
-    yield
-    kept = {getattr(t, "_tidemark_path", None) for t in keep}
-    for spark, path in list(_written):
-        if path not in before and path not in kept:
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _written[:] = [x for x in _written if x[1] != path]
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in list(_written):
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the JVM may be gone already
-            return
+LOCAL_SCRATCH = scratch.LOCAL
+scratch_dir, scratch_path, scratch_scope = scratch.folder, scratch.new_path, scratch.scope
+materialise, release, _written = scratch.written, scratch.release, scratch.made
 
 
 def word_count(text: Column) -> Column:

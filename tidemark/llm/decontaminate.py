@@ -3,14 +3,13 @@
 Benchmark items, cut into query passages of at most ``QUERY_WORDS`` words, are
 searched in the passages (windows of ``WINDOW`` words, half overlapping) of every
 document.  Passages are TF-IDF vectors over the words of the queries.  A randomised
-SVD, made over partitions of a bounded sample of the corpus and of it alone, gives
-``RANK`` latent directions.  What these leave of the queries (words too rare in the
-corpus for any of its strong directions) is kept by a random sketch of half as many
-directions as there are queries, ``SKETCH`` at most, so the latent space is always
-narrower than the queries.  Cosines in it pick candidates, which are checked on the
-words themselves: the longest common subsequence must cover most of the query, or
-half of it with its answer (for paraphrases); the query's rare words must be among
-what is found.
+SVD of the matrix whose rows are passages, those of a bounded sample of the corpus and
+the query passages themselves, each side with half of the weight, is made over
+partitions; its strongest directions, as many as hold ``ENERGY`` of the queries but
+``RANK`` at most, are the latent space.  Cosines in it pick candidates, which are
+checked on the words themselves: the longest common subsequence must cover most of the
+query, or half of it with its answer (for paraphrases); the query's rare words must be
+among what is found.
 
 Words are lower-cased runs of letters and digits.  Document frequencies count all
 passages of all documents.  Words outside the queries weigh as the mean of theirs, so
@@ -18,20 +17,21 @@ a cosine does not fall as the table grows.  Common words weigh only in queries t
 have few others; a window that holds most of a query's weight, by its latent vector,
 is a candidate whatever else is in it.
 
-Defined results: null and empty texts match nothing; items of fewer than
-``LEAST_WORDS`` words are not searched; without items, or without documents, the
-result is empty; repeated rows each give their matches, repeated items count once an
-id, items that differ in their answers count each; of an item of more than ``STRETCH``
-passages each stretch of so many may be found; extra columns are ignored; an
-``answer`` column of the benchmark, if there is one, names the answers, else (and for
-answers of more than ``QUERY_WORDS`` words, which no place could hold) the last words
-of an item stand for it.
-
-Scale: the queries are handled in indexes of ``QUERIES`` passages, ``INDEXES`` of them
-at most a scan of the documents.  A passage is bounded in words, so vocabulary, basis
-and vectors are bounded however long items are, a benchmark of any size is a number of
-scans, and what is broadcast is bounded.  No text is shuffled; a scan is a map whose
-output is the matches.
+Defined results: null and empty texts match nothing; an item of fewer than
+``LEAST_WORDS`` words, which any text may hold by chance, is found where a line of a
+text says exactly that, an item without words nowhere; without items, or without
+documents, the result is empty; repeated rows each give their matches, a row one match
+an item, its best; repeated items count once an id, items that differ in their answers
+count each; extra columns are ignored; an ``answer`` column of the benchmark, if there
+is one, names the answers, else the last words of an item stand for it; an answer of
+any length must be found whole, in its order.
+
+Scale: the words of the queries are counted in one pass over the documents for every
+``MOST_WORDS`` of them, and the sample is drawn once; then the queries are handled in
+indexes of ``QUERIES`` passages, ``INDEXES`` of them at most a scan of the documents.  A
+passage is bounded in words, so vocabulary, basis and vectors are bounded however long
+items are, a benchmark of any size is a number of scans, and what is broadcast is
+bounded.  No text is shuffled; a scan is a map whose output is the matches.
 """
 
 from __future__ import annotations
@@ -49,9 +49,11 @@ WINDOW, QUERY_WORDS, LEAST_WORDS = 32, 64, 4
 QUERIES, INDEXES = 256, 8
 #: Passages of an item that are searched in one scan.
 STRETCH = 512
-#: Latent directions of the corpus, further ones that the iteration carries along, and
-#: directions of the queries' sketch at most and at least.
-RANK, OVERSAMPLE, SKETCH, LEAST_SKETCH = 128, 16, 64, 16
+#: Latent directions at most, the share of the queries that they need not exceed, and
+#: further directions that the iteration carries along.
+RANK, ENERGY, OVERSAMPLE = 192, 0.95, 16
+#: Words of queries that are counted in one pass.
+MOST_WORDS = 1 << 22
 #: Documents whose passages the basis is fitted on, tasks for them, and rounds of power
 #: iteration.
 SAMPLE_DOCS, SAMPLE_PARTS, POWER = 2000, 16, 2
@@ -110,23 +112,24 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, offsets)
 
 
-def query_passages(items: list[tuple]) -> list[dict]:
-    """Query passages of (item_id, text, answer or None)."""
+def query_passages(items: list[tuple], stretch: int = STRETCH) -> list[dict]:
+    """Query passages of (item_id, text, answer or None); ``stretch`` of an item's go to
+    one scan."""
     out = []
     for item, text, answer in items:
         words = word_hashes([text])[0]
-        if len(words) < LEAST_WORDS:
+        if not len(words):
             continue
         parts = -(-len(words) // QUERY_WORDS)
         edges = [len(words) * k // parts for k in range(parts + 1)]
         own = word_hashes([answer])[0] if answer else words[:0]
-        if not 0 < len(own) <= QUERY_WORDS:
+        if not len(own):
             own = words[-min(QUERY_WORDS, max(3, len(words) // parts // 5)) :]
-        out += [{"item": item, "stretch": k // STRETCH, "words": words[a:b], "answer": own} for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+        out += [{"item": item, "stretch": k // stretch, "words": words[a:b], "answer": own} for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
     return out
 
 
-def passages_of(benchmark: DataFrame) -> DataFrame:
+def passages_of(benchmark: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(item_id, stretch, words, answer), the latter two as binary hashes, of each query
     passage."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
@@ -134,7 +137,7 @@ def passages_of(benchmark: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = query_passages([item])
+                got = query_passages([item], stretch)
                 numbers = [pa.array([q[k] for q in got], pa.int64()) for k in ("item", "stretch")]
                 yield pa.RecordBatch.from_arrays([*numbers, *[pa.array([q[k].tobytes() for q in got], pa.binary()) for k in ("words", "answer")]], names=["item_id", "stretch", "words", "answer"])
 
@@ -194,15 +197,10 @@ class Index:
         self.norms = np.maximum(np.linalg.norm(a, axis=1), 1e-9)
         return a / self.norms[:, None]
 
-    def project(self, corpus: np.ndarray, seed: int = 23) -> None:
-        """Completes the orthonormal ``corpus`` directions by a sketch of what they leave
-        of the queries, and puts queries and words into that space."""
+    def project(self, directions: np.ndarray) -> None:
+        """Puts queries and words into the space of orthonormal directions."""
         queries = self.query_matrix()
-        rest = queries - (queries @ corpus) @ corpus.T
-        width = min(len(queries), max(LEAST_SKETCH, min(SKETCH, len(queries) // 2)), len(self.vocabulary) - corpus.shape[1])
-        sketch = rest.T @ np.random.default_rng(seed).standard_normal((len(queries), max(width, 0)))
-        sketch = np.linalg.qr(np.concatenate([corpus, sketch], axis=1))[0]
-        self.basis = np.asfortranarray(sketch, np.float32)
+        self.basis = np.asfortranarray(directions, np.float32)
         latent = queries @ self.basis
         self.energy = np.maximum(np.linalg.norm(latent, axis=1), 1e-3)
         self.latent = (latent / self.energy[:, None]).astype(np.float32)
@@ -226,10 +224,10 @@ def blocks_of(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(start[:-1], counts) + inner // size, start
 
 
-def _count(batches: Iterator[pa.RecordBatch], vocabularies: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Passages that hold each word of each index (part, term, n); part -1 has the
-    number of passages."""
-    counts = [np.zeros(len(v), np.int64) for v in vocabularies]
+def _count(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Passages that hold each word of a sorted vocabulary (word, n); the null word has
+    the number of passages."""
+    counts = np.zeros(len(vocabulary), np.int64)
     passages = 0
     for batch in batches:
         texts = batch.column(0).to_pylist()
@@ -237,28 +235,24 @@ def _count(batches: Iterator[pa.RecordBatch], vocabularies: list[np.ndarray]) ->
             hashes, first = word_hashes(texts[lo:hi])
             block, start = blocks_of(first, WINDOW)
             passages += int(start[-1])
-            for v, c in zip(vocabularies, counts, strict=True):
-                at = np.minimum(np.searchsorted(v, hashes), len(v) - 1)
-                hit = np.flatnonzero(v[at] == hashes)
-                seen = np.unique(block[hit] * len(v) + at[hit])
-                c += np.bincount(seen % len(v), minlength=len(v))
-    part = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-    term, n = np.concatenate([np.arange(len(c)) for c in counts]), np.concatenate(counts)
-    some = n > 0
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(part[some], -1).astype(np.int32)), pa.array(np.append(term[some], 0).astype(np.int32)), pa.array(np.append(n[some], passages))], names=["part", "term", "n"]
-    )
+            at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+            hit = np.flatnonzero(vocabulary[at] == hashes)
+            seen = np.unique(block[hit] * len(vocabulary) + at[hit])
+            np.add.at(counts, seen % len(vocabulary), 1)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array([*vocabulary[some].view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(counts[some], passages))], names=["word", "n"])
 
 
 def _gram(batches: Iterator[pa.RecordBatch], indexes: list[Index], bases: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A^T (A Q) of a partition's passages for each index, as one binary each."""
+    """A^T (A Q) of a partition's passages and their number, for each index as one binary."""
     sums = [np.zeros(b.shape) for b in bases]
+    rows = np.zeros(len(bases))
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for lo, hi in slices([len(t or "") for t in texts]):
             hashes, first = word_hashes(texts[lo:hi])
             block, _ = blocks_of(first, WINDOW)
-            for index, basis, total in zip(indexes, bases, sums, strict=True):
+            for k, (index, basis, total) in enumerate(zip(indexes, bases, sums, strict=True)):
                 term = index.terms(hashes)
                 use = (term >= 0) & ~index.common[np.maximum(term, 0)]
                 term, row = term[use], np.unique(block[use], return_inverse=True)[1]
@@ -266,10 +260,11 @@ def _gram(batches: Iterator[pa.RecordBatch], indexes: list[Index], bases: list[n
                     continue
                 inner = np.zeros((int(row.max()) + 1, basis.shape[1]))
                 np.add.at(inner, row, basis[term] * index.idf[term, None])
+                rows[k] += len(inner)
                 norm = np.zeros(len(inner))
                 np.add.at(norm, row, index.idf[term] ** 2)
                 np.add.at(total, term, inner[row] * (index.idf[term] / np.maximum(norm[row], 1e-9))[:, None])
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([s.tobytes() for s in sums], pa.binary())], names=["part", "sum"])
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([np.append(s, n).tobytes() for s, n in zip(sums, rows, strict=True)], pa.binary())], names=["part", "sum"])
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,20 +276,44 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["part", "sum"])
 
 
-def fit(docs: DataFrame, indexes: list[Index], seed: int = 17) -> None:
-    """Weights from all passages of ``docs``, bases from a sample of them."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast([i.vocabulary for i in indexes])
-    counted = docs.select("text").mapInArrow(lambda it: _count(it, shared.value), "part int, term int, n long").groupBy("part", "term").agg(F.sum("n").alias("n")).toPandas()
-    passages = int(counted["n"][counted["part"] == -1].sum())
-    for k, index in enumerate(indexes):
-        own = counted[counted["part"] == k]
-        df = np.zeros(len(index.vocabulary), np.int64)
-        df[own["term"].to_numpy(np.int64)] = own["n"]
-        index.weigh(df, passages)
-    # equal texts count once, so the bound holds however often they repeat
+def count_words(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(word, n) of passages of ``docs`` that hold each of a sorted vocabulary's words;
+    the null word counts all passages."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return docs.select("text").mapInArrow(lambda it: _count(it, shared.value), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def sample_of(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """A bounded sample of the texts of ``docs``; equal ones count once, so the bound holds
+    however often they repeat."""
     chosen = sample_by_hash(docs.select("text").filter("text is not null"), "text", SAMPLE_DOCS)
-    sample = materialise(chosen.groupBy(F.xxhash64("text", F.lit(seed)).alias("tag")).agg(F.first("text").alias("text")).repartition(SAMPLE_PARTS, "tag").select("text"), "passages")
+    return materialise(chosen.groupBy(F.xxhash64("text", F.lit(seed)).alias("tag")).agg(F.first("text").alias("text")).repartition(SAMPLE_PARTS, "tag").select("text"), "passages")
+
+
+def weigh(indexes: list[Index], counted: list[tuple[int | None, int]]) -> None:
+    """Weights of the indexes' words from what :func:`count_words` gives."""
+    passages = next((n for w, n in counted if w is None), 0)
+    known = sorted((w, n) for w, n in counted if w is not None)
+    words, n = np.array([w for w, _ in known], np.int64).view(np.uint64), np.array([n for _, n in known], np.int64)
+    order = np.argsort(words)
+    words, n = np.append(words[order], 0), np.append(n[order], 0)
+    for index in indexes:
+        at = np.searchsorted(words[:-1], index.vocabulary)
+        index.weigh(np.where(words[at] == index.vocabulary, n[at], 0), passages)
+
+
+def fit(docs: DataFrame, indexes: list[Index]) -> None:
+    """Weights from all passages of ``docs``, bases from a sample of them."""
+    weigh(indexes, [tuple(r) for r in count_words(docs, np.unique(np.concatenate([i.vocabulary for i in indexes]))).collect()])
+    sample = sample_of(docs)
+    fit_bases(sample, indexes)
+    release(sample)
+
+
+def fit_bases(sample: DataFrame, indexes: list[Index], seed: int = 17) -> None:
+    """The latent space of each index, by power iteration over the sample's passages and
+    the index's queries."""
+    spark = sample.sparkSession
     bases = []
     for index in indexes:
         rank = min(RANK + OVERSAMPLE, len(index.vocabulary))
@@ -306,13 +325,17 @@ def fit(docs: DataFrame, indexes: list[Index], seed: int = 17) -> None:
         for width in (int(SAMPLE_PARTS**0.5), 1):
             parts = parts.repartition(width).mapInArrow(_add_up, "part int, sum binary")
         got = {r["part"]: np.frombuffer(r["sum"]) for r in parts.collect()}
-        for k, basis in enumerate(bases):
-            if k in got and np.any(got[k]):
-                bases[k] = np.linalg.qr(got[k].reshape(basis.shape))[0]
+        for k, (index, basis) in enumerate(zip(indexes, bases, strict=True)):
+            queries = index.query_matrix().astype(np.float64)
+            corpus = got[k][:-1].reshape(basis.shape) if k in got else np.zeros(basis.shape)
+            rows = got[k][-1] if k in got else 0.0
+            # rows have length 1, so their number is the weight of a side
+            image = corpus + (rows / len(queries) if rows else 1.0) * (queries.T @ (queries @ basis))
+            bases[k] = np.linalg.svd(image, full_matrices=False)[0]
         state.unpersist()
-    release(sample)
     for index, basis in zip(indexes, bases, strict=True):
-        index.project(basis[:, :RANK])
+        held = np.cumsum(((index.query_matrix() @ basis) ** 2).sum(axis=0))
+        index.project(basis[:, : min(RANK, 1 + int(np.searchsorted(held, ENERGY * len(index.queries))))])
 
 
 def candidates(index: Index, hashes: np.ndarray, first: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -381,7 +404,10 @@ def matches(index: Index, texts: list[str | None]) -> list[tuple]:
             if rare < RARE_ANSWER:
                 continue
             cover = lcs(words, region[np.isin(region, words)]) / m
-            answer = lcs(q["answer"], region) == len(q["answer"])
+            # behind the query there is room for a short answer; a long one needs as much more
+            more = len(q["answer"]) + m // 2 if len(q["answer"]) > WINDOW // 2 else 0
+            around = hashes[max(first[text], a - more) : min(first[text + 1], b + more)] if more else region
+            answer = lcs(q["answer"], around[np.isin(around, q["answer"])]) == len(q["answer"])
             good = cover >= (COVER if m >= 8 else 1.0) and rare >= RARE
             if good or (m >= 8 and answer and cover >= COVER_ANSWER and rare >= RARE_ANSWER):
                 key, value = (lo + text, q["item"]), (cover, rare, cosine, answer, at)
@@ -390,33 +416,84 @@ def matches(index: Index, texts: list[str | None]) -> list[tuple]:
     return [(*key, *value) for key, value in best.items()]
 
 
-def _scans(docs: DataFrame, benchmark: DataFrame) -> Iterator[Callable[[DataFrame, tuple[str, ...]], DataFrame]]:
+def line_matches(short: dict[bytes, list[int]], texts: list[str | None]) -> list[tuple]:
+    """As :func:`matches`, of items of a few words: lines that say exactly them."""
+    lines, owner = [], []
+    for i, t in enumerate(texts):
+        own = (t or "").split("\n")
+        lines += own
+        owner += [i] * len(own)
+    out: dict[tuple, tuple] = {}
+    for lo, hi in slices([len(t) for t in lines]):
+        hashes, first = word_hashes(lines[lo:hi])
+        size = np.diff(first)
+        for k in np.flatnonzero((size > 0) & (size < LEAST_WORDS)).tolist():
+            for item in short.get(hashes[first[k] : first[k + 1]].tobytes(), ()):
+                out.setdefault((owner[lo + k], item), (1.0, 1.0, 1.0, False, 0))
+    return [(*key, *value) for key, value in out.items()]
+
+
+def words_of(queries: DataFrame) -> DataFrame:
+    """The distinct words of query passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["word"])
+
+    return queries.select("words").mapInArrow(run, "word long").distinct()
+
+
+def frequencies(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """What :func:`count_words` gives for all words of the queries."""
+    words = materialise(words_of(queries), "words")
+    passes = max(1, -(-words.count() // MOST_WORDS))
+    found = None
+    for k in range(passes):
+        own = words.filter(F.pmod(F.xxhash64("word"), F.lit(passes)) == k).toPandas()["word"].to_numpy(np.int64)
+        counted = count_words(docs, np.sort(own.view(np.uint64)))
+        found = counted if found is None else found.unionByName(counted.filter("word is not null"))
+    return materialise(found, "frequencies")
+
+
+def _scans(docs: DataFrame, benchmark: DataFrame, size: int, number: int, stretch: int) -> Iterator[Callable[[DataFrame, tuple[str, ...]], DataFrame]]:
     """For each scan a function of rows (with ``text``) and their columns to keep, that
     gives the rows as struct ``kept``, ``text`` and ``found``, the items found in the
-    row's text."""
+    row's text.  ``size``: passages of an index, ``number``: indexes of a scan."""
     spark = docs.sparkSession
-    queries = passages_of(benchmark)
+    queries = passages_of(benchmark, stretch)
     # scans take a bounded number of passages each
-    scans = max(1, -(-queries.count() // (QUERIES * INDEXES // 2)))
+    scans = max(1, -(-queries.count() // max(1, size * number // 2)))
     found_sql = "found array<struct<" + ",".join(":".join(f.split()) for f in FOUND.split(", ")) + ">>"
     kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int32())
     names = [f.split()[0] for f in FOUND.split(", ")]
     found_type = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
+    if queries.isEmpty():
+        return
+    counted, sample = frequencies(docs, queries), sample_of(docs)
     for k in range(scans):
-        own = queries.filter(F.pmod(F.xxhash64("item_id", "stretch"), F.lit(scans)) == k).orderBy("item_id", "words", "answer").collect()
-        passages = [{"item": r["item_id"], "words": np.frombuffer(r["words"], np.uint64), "answer": np.frombuffer(r["answer"], np.uint64)} for r in own]
-        indexes = [Index(passages[i : i + QUERIES]) for i in range(0, len(passages), QUERIES)]
-        if not indexes:
+        chosen = queries.filter(F.pmod(F.xxhash64("item_id", "stretch"), F.lit(scans)) == k)
+        every = [{"item": r["item_id"], "words": np.frombuffer(r["words"], np.uint64), "answer": np.frombuffer(r["answer"], np.uint64)} for r in chosen.orderBy("item_id", "words", "answer").collect()]
+        passages = [q for q in every if len(q["words"]) >= LEAST_WORDS]
+        short: dict[bytes, list[int]] = {}
+        for q in every:
+            if len(q["words"]) < LEAST_WORDS:
+                short.setdefault(q["words"].tobytes(), []).append(q["item"])
+        if not every:
             continue
-        fit(docs, indexes)
-        shared = spark.sparkContext.broadcast(indexes)
+        indexes = [Index(passages[i : i + size]) for i in range(0, len(passages), size)]
+        if indexes:
+            own = counted.join(words_of(chosen), "word").unionByName(counted.filter("word is null"))
+            weigh(indexes, [tuple(r) for r in own.select("word", "n").collect()])
+            fit_bases(sample, indexes)
+        shared = spark.sparkContext.broadcast((indexes, short))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 best: list[dict[int, tuple]] = [{} for _ in texts]
-                for index in shared.value:
-                    for text, item, *rest in matches(index, texts):
+                indexes, short = shared.value
+                for got in (*(matches(index, texts) for index in indexes), *([line_matches(short, texts)] if short else [])):
+                    for text, item, *rest in got:
                         if item not in best[text] or tuple(rest) > best[text][item]:
                             best[text][item] = tuple(rest)
                 found = [[dict(zip(names, (item, *rest), strict=True)) for item, rest in sorted(b.items(), key=lambda x: (x[0] is None, x[0]))] for b in best]
@@ -429,23 +506,29 @@ def _scans(docs: DataFrame, benchmark: DataFrame) -> Iterator[Callable[[DataFram
         yield scan
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, size: int = QUERIES, number: int = INDEXES, stretch: int = STRETCH) -> DataFrame:
     """(doc_id, item_id, coverage, rare, cosine, answer, start_word): the items found
     in each of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = docs.sparkSession.createDataFrame([], MATCHES)
-    for k, scan in enumerate(_scans(docs, benchmark)):
-        found = scan(docs, ("doc_id",)).filter("size(found) > 0").select("kept.doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
-        out = out.unionByName(found) if k else found
-    return out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    # stretches of one item may be found in several scans; equal rows are told apart by their number
+    keys, best = ("doc_id", "tag", "item_id"), [f.split()[0] for f in FOUND.split(", ")][1:]
+    out = None
+    for scan in _scans(docs, benchmark, size, number, stretch):
+        found = scan(docs, ("doc_id",)).filter("size(found) > 0").select("kept.doc_id", F.md5("text").alias("tag"), F.explode("found").alias("f")).select("doc_id", "tag", "f.*")
+        once = found.groupBy(*keys).agg(F.count("*").alias("copies"), F.max(F.struct(*best)).alias("best"))
+        out = once if out is None else out.unionByName(once)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], MATCHES)
+    whole = out.groupBy(*keys).agg(F.max("copies").alias("copies"), F.max("best").alias("best"))
+    return whole.select("doc_id", "item_id", "best.*", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, size: int = QUERIES, number: int = INDEXES, stretch: int = STRETCH) -> DataFrame:
     """``docs`` without the rows in which an item was found.  Each row is judged by its
     own text, whatever its id; with several scans, each takes what the one before left."""
     rest = tuple(c for c in docs.columns if c != "text")
     out = docs
-    for k, scan in enumerate(_scans(docs, benchmark)):
+    for k, scan in enumerate(_scans(docs, benchmark, size, number, stretch)):
         rows = materialise(out, "left") if k else out
         left = scan(rows, rest or ("text",)).filter("size(found) = 0")
         out = left.select(*[F.col("text") if c == "text" else F.col(f"kept.{c}") for c in docs.columns])

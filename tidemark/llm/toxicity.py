@@ -3,11 +3,12 @@
 Disguised words (leetspeak, letters spaced out, letters repeated) become lattices
 of characters: each sign may stand for itself or for letters that it is used for,
 a run of one letter for one, two or all of it, a spaced-out run for one word or, with
-boundaries put in, for several.  Runs and tokens of any length are decoded, long ones
-in overlapping pieces.  Viterbi decoding under a character trigram model of the whole corpus, with a cost
-for each change, restores them.  The restored text is scored by words and word
-beginnings whose presence tells toxic from other labelled texts, calibrated to a
-probability.
+boundaries put in, for several.  Texts are brought to compatibility form first, so wide
+and other styled letters are plain ones.  Viterbi decoding under a character trigram model
+of the whole corpus, with a cost for each change, restores runs and tokens of any length
+whole, as one word and as several; what all surviving readings share is settled on the
+way, so memory stays bounded.  The restored text is scored by words and word beginnings
+whose presence tells toxic from other labelled texts, calibrated to a probability.
 
 Defined results: null and empty texts get the calibrated score of no evidence;
 without labels the score is 0.5; a label that names no document, or is null, does
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -47,8 +49,11 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "aeiou", "#": "h", "%": "x", "&": "a", "€": "e", "£": "l",
 }
 PREFIXES = (4, 5, 6)
-#: Positions of one lattice; longer tokens are read in pieces, so that words of up to half of it are whole in one.
-LONGEST = 40
+#: Signs beyond ASCII, as control characters of one byte while tokens are looked for.
+_MARKS = {ord(sign): chr(1 + k) for k, sign in enumerate(s for s in LEET if not s.isascii())}
+_MARKED = {**{ord(m): chr(31) for m in _MARKS.values()}, **_MARKS}
+#: Positions after which settled readings are put aside, and signs of tokens whose forms are remembered.
+SETTLE, REMEMBERED = 512, 40
 
 
 def _alphabet() -> np.ndarray:
@@ -71,6 +76,11 @@ def classes(text: str) -> np.ndarray:
     return np.where(cp < 0x250, _CLASS[np.minimum(cp, 0x24F)], 35).astype(np.int64)
 
 
+@lru_cache(maxsize=4096)
+def _class(ch: str) -> int:
+    return int(classes(ch)[0])
+
+
 def character_counts(docs: DataFrame) -> np.ndarray:
     """Trigram counts of the characters of every text of ``docs``."""
 
@@ -110,13 +120,12 @@ def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
     out: list[list[tuple[str, float]]] = []
     for ch, run in groupby(token):
         n = sum(1 for _ in run)
-        whole = n if n <= LONGEST else 1  # what is longer is no word
         if ch.isalpha():
-            readings = [(ch * n, 0.0)] if n < 3 else [(ch, COST_REPEAT), (ch * 2, COST_REPEAT), (ch * whole, 0.0 if whole == n else COST_REPEAT)]
+            readings = [(ch * n, 0.0)] if n < 3 else [(ch, COST_REPEAT), (ch * 2, COST_REPEAT), (ch * n, 0.0)]
             if breaks and n > 1:
                 readings.append((f"{ch} {ch}", 0.0 if n < 3 else COST_REPEAT))
         elif ch in LEET:
-            readings = [(r * k, COST_LEET * n) for r in LEET[ch] for k in {1, whole}]
+            readings = [(r * k, COST_LEET * n) for r in LEET[ch] for k in {1, n}]
         else:
             readings = [("", COST_LEET * n)]
         out.append(readings + [(f"{letters} ", cost) for letters, cost in readings] if breaks else readings)
@@ -124,43 +133,69 @@ def lattice(token: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, logp: np.ndarray, breaks: bool = False) -> str:
-    """The most likely word, or with ``breaks`` words, behind a token."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The most likely word, or with ``breaks`` words, behind a token.
+
+    A state is the last two characters; each keeps the best way to it as the reading it
+    ends in and the state before.  Where all ways have one part in common, it is settled."""
+    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    settled: list[str] = []
+    steps: list[dict[tuple[int, int], tuple]] = []
     for readings in lattice(token, breaks):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
-            for letters, cost in readings:
+        coded = [(letters, cost, [_class(c) for c in letters]) for letters, cost in readings]
+        new: dict[tuple[int, int], tuple] = {}
+        for (a, b), score in states.items():
+            for letters, cost, code in coded:
                 x, y, s = a, b, score - cost
-                for c in classes(letters) if letters else ():
-                    s += logp[x, y, c]
-                    x, y = y, int(c)
-                old = new.get((x, y))
-                if old is None or (s, text + letters) > old:
-                    new[(x, y)] = (s, text + letters)
-        states = new
-    best = max(((s + logp[a, b, 0], text) for (a, b), (s, text) in states.items()), default=(0.0, ""))
-    return best[1]
-
-
-def restored(token: str, logp: np.ndarray, spaced: bool) -> str:
-    """The restored forms of a token: as one word, of a spaced-out run also as words,
-    of long ones the words of overlapping pieces."""
-    runs = ["".join(run) for _, run in groupby(token)]
-    if len(runs) <= LONGEST:
-        forms = [decode(token, logp)] + ([decode(token, logp, True)] if spaced else [])
-    else:
-        step = LONGEST // 2
-        forms = [decode("".join(runs[i : i + LONGEST]), logp, True) for i in range(0, len(runs) - step, step)]
-    return " ".join(dict.fromkeys(f.strip() for f in forms))
+                for c in code:
+                    s += logp[x][y][c]
+                    x, y = y, c
+                found = (s, letters, (a, b))
+                if (x, y) not in new or found > new[x, y]:
+                    new[x, y] = found
+        states = {k: v[0] for k, v in new.items()}
+        steps.append(new)
+        if len(steps) >= SETTLE:
+            _settle(steps, settled)
+    if not steps:
+        return "".join(settled)
+    _, end = max((s + logp[a][b][0], (a, b)) for (a, b), s in states.items())
+    ending: list[str] = []
+    for step in reversed(steps):
+        _, letters, end = step[end]
+        ending.append(letters)
+    return "".join(settled) + "".join(reversed(ending))
+
+
+def _settle(steps: list[dict[tuple[int, int], tuple]], settled: list[str]) -> None:
+    """Moves the steps up to which all ways are one from ``steps`` to ``settled``."""
+    alive, known = set(steps[-1]), len(steps)
+    while known and len(alive) > 1:
+        known -= 1
+        alive = {steps[known][s][2] for s in alive}
+    if not known:
+        return
+    state = next(iter(alive))
+    one: list[str] = []
+    for step in reversed(steps[:known]):
+        _, letters, state = step[state]
+        one.append(letters)
+    settled.extend(reversed(one))
+    del steps[:known]
+
+
+def restored(token: str, logp: np.ndarray) -> str:
+    """The restored forms of a token: as one word, and as words."""
+    return " ".join(dict.fromkeys(decode(token, logp, breaks).strip() for breaks in (False, True)))
 
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
+_PLAIN = {ord(m): chr(sign) for sign, m in _MARKS.items()}
 _SIGN = np.zeros(256, bool)
-_SIGN[list(b"0123456789@$!|+(<*#%&._-")] = True
+_SIGN[[*b"0123456789@$!|+(<*#%&._-", *map(ord, _MARKS.values())]] = True
 _TAIL = np.zeros(256, bool)
-_TAIL[list(b"0123456789@$")] = True
+_TAIL[[*b"0123456789@$+#*|", *map(ord, _MARKS.values())]] = True
 #: Bytes of a character by its first one.
 _BYTES = np.repeat([1, 0, 2, 3, 4, 0], [128, 64, 32, 16, 8, 8])
 #: Letters that a spaced-out word has at least.
@@ -169,7 +204,7 @@ SPACED = 4
 
 def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which words (spans between blanks of lower-cased bytes) hold a sign before a
-    letter, a digit after one, or a letter three times in a row; and the (first,
+    letter, a digit or another sign that ends no clause after one, or a letter three times in a row; and the (first,
     last + 1) words of runs of single characters."""
     letter, nxt = _LETTER[data], np.append(_LETTER[data[1:]], False)
     odd = _SIGN[data] & nxt
@@ -185,36 +220,35 @@ def disguised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 
 
 def restore(texts: list[str | None], logp: np.ndarray, memory: dict[str, str] | None = None) -> list[str]:
-    """Lower-cased texts, each followed by the restored forms of its disguised
-    words.  What a word says as it stands is kept, so nothing gets lost."""
-    memory = {} if memory is None else memory
-    low = [(t or "").lower() for t in texts]
+    """Lower-cased texts in compatibility form, each followed by the restored forms of its
+    disguised words.  What a word says as it stands is kept, so nothing gets lost."""
+    memory, logp = {} if memory is None else memory, logp.tolist()  # single numbers are read faster from lists
+    low = [t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).lower() for t in (t or "" for t in texts)]
     out: list[str] = []
     for lo, hi in slices([len(t) for t in low]):
-        data, offsets = join_texts(low[lo:hi])
+        data, offsets = join_texts([t.translate(_MARKED) for t in low[lo:hi]])
         starts, ends = word_spans(data)
         if not len(starts):
             out += low[lo:hi]
             continue
         found, runs = disguised(data, starts, ends)
         raw = data.tobytes()
-        tokens = [(starts[k], raw[starts[k] : ends[k]], False) for k in np.flatnonzero(found)]
+        tokens = [(starts[k], raw[starts[k] : ends[k]]) for k in np.flatnonzero(found)]
         owner = np.searchsorted(offsets, starts, side="right") - 1
         for a, b in runs:
             edges = [a, *(np.flatnonzero(np.diff(owner[a:b])) + a + 1), b]  # a run ends with its text
             for first, end in zip(edges[:-1], edges[1:], strict=True):
                 if end - first >= SPACED:
-                    tokens.append((starts[first], b"".join(raw[starts[k] : ends[k]] for k in range(first, end)), True))
+                    tokens.append((starts[first], b"".join(raw[starts[k] : ends[k]] for k in range(first, end))))
         more: dict[int, list[str]] = {}
-        for at, token, spaced in tokens:
-            word = token.decode("utf-8", "replace").rstrip(".,;:!?")
-            key = f"{word} " if spaced else word
-            if (form := memory.get(key)) is None:
-                form = restored(word, logp, spaced)
-                if len(word) <= LONGEST:
+        for at, token in tokens:
+            word = token.decode("utf-8", "replace").rstrip(".,;:!?").translate(_PLAIN)
+            if (form := memory.get(word)) is None:
+                form = restored(word, logp)
+                if len(word) <= REMEMBERED:  # forms are the same either way
                     if len(memory) > 50000:
                         memory.clear()
-                    memory[key] = form
+                    memory[word] = form
             more.setdefault(int(np.searchsorted(offsets, at, side="right") - 1), []).append(form)
         out += [t if i not in more else f"{t} {' '.join(more[i])}" for i, t in enumerate(low[lo:hi])]
     return out
