@@ -162,3 +162,17 @@ def test_version(one):
 def test_infer_unit(one):
     for text, want in (("Patio - SP", "SP"), ("Rua A, XX, RJ", "RJ"), ("em MG hoje", "MG"), ("sp", ""), ("ES/SC", "SC"), ("", "")):
         assert one(D.infer_unit("v"), v=text) == want, text
+
+
+def test_folding_equals_the_rules_over_all_characters(spark):
+    """Every code point, alone and among others; nothing of it runs in Python."""
+    import unicodedata
+
+    codes = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x110000))]
+    texts = ["".join(codes[k : k + 997]) for k in range(0, len(codes), 997)] + ["Straße ﬁn…½", "각힣가a", "İstanbul ŉ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, v string").select("id", X.casefold("v").alias("c"), X.strip_accents("v").alias("s"))
+    assert "Arrow" not in df._jdf.queryExecution().executedPlan().toString()
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    got = {r["id"]: r for r in df.collect()}
+    for k, t in enumerate(texts):
+        assert got[k]["c"] == (t or "").casefold() and got[k]["s"] == plain(t or ""), k

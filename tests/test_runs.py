@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions import urls as U
-from tidemark.operators import extract, lots
+from tidemark.operators import extract, lots, waves
 from tidemark.plans import runs
-from tidemark.sources import web
+from tidemark.sources import fetching, web
 
 
 def test_map_intake(tmp_path):
@@ -249,6 +249,105 @@ def test_sources_are_read_as_one_after_another(spark, monkeypatch):
     assert log[4][1] == "https://b.br/texto" and {log[n][0] for n in log} >= {"html_pdf_ok", "pdf_link_ok", "html_ok", "pdf_ok", "pdf_sem_lotes", "sem_link", "erro", "api_superbid_ok", "bloqueado_http_200"}
 
 
+class Asked(dict):
+    """Answers that remember what was asked for."""
+
+    def __init__(self, answers, seen):
+        super().__init__(answers)
+        self.seen = seen
+
+    def get(self, key, default=None):
+        self.seen.add(key)
+        return super().get(key, default)
+
+
+class Paged(dict):
+    def __init__(self, pages, seen):
+        super().__init__(pages)
+        self.seen = seen
+
+    def get(self, key, default=None):
+        for number, page in enumerate(super().get(key, default)):
+            self.seen.add(web.offers_address(U.plain_event_id(key), number))
+            yield page
+
+
+def test_waves_ask_what_a_sequential_reader_asks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lots, "_pdf", lambda c: F.substring(F.decode(c, "UTF-8"), 5, 1 << 30))
+    events, answers, api = event_fixtures()
+    table = spark.createDataFrame([(n, *[e[f] for f in S.EVENT_FIELDS]) for n, e in enumerate(events)], "n long, " + ", ".join(f"{f} string" for f in S.EVENT_FIELDS))
+    offered = {web.offers_address(U.plain_event_id(u), p): v for u, pages in api.items() for p, v in enumerate(pages)}
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def get(url, policy):
+        import hashlib
+
+        with open(log / hashlib.md5(url.encode()).hexdigest(), "a") as f:
+            f.write(url + "\n")
+        if url in offered:
+            status, body = offered[url]
+            return web.Fetched(url, status, body.encode())
+        status, body, kind, final = answers.get(url, (0, b"", "", ""))
+        return web.Fetched(url, status, body, kind, final)
+
+    state = str(tmp_path / "state")
+    rows, logs, requests = waves.read_live(table, CAPTURED, state, fetching.Live(get=get))
+    fetched = spark.createDataFrame([(u, *v) for u, v in answers.items()], FETCHED)
+    paged = spark.createDataFrame([(u, p, *v) for u, pages in api.items() for p, v in enumerate(pages)], web.OFFERS)
+    want_rows, want_logs = lots.read_events(table, fetched, CAPTURED, paged)
+    listed = lambda df: sorted(map(str, df.collect()))
+    assert listed(rows) == listed(want_rows) and listed(logs) == listed(want_logs)
+
+    sequential = set()
+    sources = {r["n"]: [] for r in table.select("n").collect()}
+    for r in lots.sources_of(table).orderBy("n", "pos").collect():
+        sources[r["n"]].append(r["url"])
+    for n, e in enumerate(events):
+        fold(e | {"_sources": sources[n]}, Asked(answers, sequential), Paged(api, sequential))
+    asked = [line for f in log.iterdir() for line in f.read_text().splitlines()]
+    assert set(asked) == sequential and len(asked) == len(set(asked))
+    assert max(r["wave"] for r in requests.collect()) >= 2
+
+    # a run that goes on after a crash asks only what it had not written
+    (tmp_path / "state/wave-0/notices/_SUCCESS").unlink()
+    again = waves.read_live(table, CAPTURED, state, fetching.Live(get=get))
+    assert listed(again[0]) == listed(want_rows) and listed(again[1]) == listed(want_logs)
+    more = [line for f in log.iterdir() for line in f.read_text().splitlines()]
+    assert 0 < len(more) - len(asked) < 8
+
+
+def test_no_events_no_requests(spark, tmp_path):
+    empty = spark.createDataFrame([], "n long, " + ", ".join(f"{f} string" for f in S.EVENT_FIELDS))
+    assert [df.count() for df in waves.read_live(empty, CAPTURED, str(tmp_path), fetching.Live(get=lambda url, policy: 1 / 0))] == [0, 0, 0]
+
+
+def test_a_hot_host_is_many_tasks_that_keep_its_rate(spark, tmp_path):
+    from pyspark import TaskContext
+
+    wanted = spark.createDataFrame([(f"https://hot.br/{k}",) for k in range(300)] + [(f"https://h{k}.br/",) for k in range(20)] + [("https://hot.br/0",), ("",), (None,)], "url string")
+
+    def get(url, policy):
+        return web.Fetched(url, 200, str(TaskContext.get().partitionId()).encode(), "text/html", "")
+
+    got = fetching.fetch_table(wanted, fetching.FOR_DATES, fetching.Budget(slots=8), get).collect()
+    assert sorted(r["url"] for r in got) == sorted({u for (u,) in [tuple(r) for r in wanted.collect()] if u})
+    assert {r["final_url"] for r in got} == {r["url"] for r in got}
+    slots = {r["slot"] for r in fetching.slotted(wanted, 8).filter("host = 'hot.br'").collect()}
+    assert len(slots) == 8 and len({bytes(r["body"]) for r in got if "hot.br" in r["url"]}) > 1
+    # two requests a second and four slots: each slot one in two seconds, one after another
+    clock, waits = [0.0], []
+
+    def sleep(seconds):
+        waits.append(seconds)
+        clock[0] += seconds
+
+    rows = [("a0", "a", 0), ("a1", "a", 1), ("a2", "a", 0), ("b0", "b", 0)]
+    times = [(u, clock[0]) for (u,) in fetching.paced(rows, fetching.Budget(2.0, 4), lambda u: [(u,)], lambda: clock[0], sleep)]
+    assert times == [("a0", 0.0), ("b0", 0.0), ("a1", 0.5), ("a2", 2.0)]
+    assert [u for (u,) in fetching.paced(rows, fetching.Budget(), lambda u: [(u,)], lambda: 0.0, None)] == ["a0", "a2", "a1", "b0"]
+
+
 def test_objects_of_pages(spark):
     long = "Lote 5 - " + "x" * 300
     page = f"""<script type="application/ld+json">[{{"name": "Lote 5 - Trator", "url": "/l/5", "price": "10,00", "image": ["/logo.png", "/f/5.jpg"]}}, {{"title": "{long} a", "url": "/l/9", "descricao": "<b>d</b>"}}, {{"title": "{long} b", "url": "/l/9"}}]</script>

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions import urls as U
-from tidemark.plans import pipelines
+from tidemark.plans import outputs, pipelines
 from tidemark.sources import files, offers, web
 from tidemark.streaming import poll
 
@@ -101,6 +101,8 @@ def test_fetch_contract():
     assert got.row() == (drive, 200, b"xxxx", "text/plain", "http://final") and seen == ["https://drive.google.com/uc?export=download&id=abc"] * 2
     parts = web.WebReader({"urls": "http://a/1\nhttp://b/1\nhttp://a/2"}).partitions()
     assert [p.urls for p in parts] == [["http://a/1", "http://a/2"], ["http://b/1"]]
+    split = web.WebReader({"urls": "\n".join(f"http://a/{k}" for k in range(40)), "slots": "4"}).partitions()
+    assert len(split) == 4 and sorted(u for p in split for u in p.urls) == sorted(f"http://a/{k}" for k in range(40))
 
 
 def test_offline_fetch_and_kind(spark):
@@ -122,6 +124,9 @@ def test_paged_offers():
     got, asked = read(page(60, 130), page(60, 130), page(10, 130))
     assert got == [(0, 200), (1, 200), (2, 200)] and "auction.id%3A12345" in asked[0] and "pageNumber=2" in asked[2]
     assert len(read(page(60, 60))[0]) == len(read(page(60, None))[0]) == len(read(page(59, 200))[0]) == len(read(page(0, 9))[0]) == 1
+    # offers without title and id are no lots, so a page of them does not fill the total
+    bare = web.Fetched("u", 200, json.dumps({"total": 60, "offers": [{"id": 1}] * 59 + [{"id": " ", "title": "<b></b>", "product": 5}]}).encode())
+    assert len(read(bare, page(1, 60))[0]) == 2 and web.accepted({"offerDetail": {"description": "x"}}) and not web.accepted([1])
     # a fault on a later page ends the reading; five pages are the most
     assert read(page(60, 999), web.Fetched("u", 500))[0] == [(0, 200), (1, 500)] and read(web.Fetched("u", 200, b"{"))[0] == [(0, 200)]
     assert len(read(*[page(60, 9999)] * 9)[0]) == 5 and not list(web.offer_pages("u", "", None))
@@ -155,16 +160,36 @@ def test_index_lots_carries_and_drops(spark):
     lot = lambda **v: {"data": "2026-08-01", "status_captura": "html_ok", **v}
     fresh = rows(spark, S.LOT_FIELDS, lot(titulo="Trator", evento="Ok", link_lote="u1"), lot(titulo="trator", evento="Ok", link_lote="U1"), lot(titulo="velho", evento="Ok", link_lote="u2", data="2020-01-01"))
     fresh = fresh.withColumns({"n": F.lit(1).cast("long"), "seq": F.when(F.col("titulo") == "Trator", 0).when(F.col("titulo") == "trator", 1).otherwise(2).cast("long")})
-    previous = rows(spark, S.LOT_FIELDS, lot(titulo="Guardado", evento="Fora", link_lote="u9"), lot(titulo="Sumiu", evento="Ok", link_lote="u8")).withColumn("seq", F.lit(0).cast("long"))
+    previous = rows(spark, S.LOT_FIELDS, lot(titulo="Guardado", evento="Fora", link_lote="u9"), lot(titulo="Sumiu", evento="Ok", link_lote="u8"), lot(titulo="guardado", evento="Fora", link_lote="U9"), lot(titulo="Login", evento="Fora", link_lote="u7")).withColumn("seq", F.monotonically_increasing_id())
     logs = spark.createDataFrame([(1, "Ok", "2026-08-01"), (2, "Fora", "2026-08-01")], "n long, evento string, data string")
     out = pipelines.index_lots(events, fresh, logs, previous, "2026-07-14 16:00:00")
     assert {(r["titulo"], r["status_captura"]) for r in out["lots"].collect()} == {("Trator", "html_ok"), ("Guardado", S.CARRIED + "html_ok")}
     assert {r["n"]: r["lotes"] for r in out["logs"].collect()} == {1: 2, 2: 0}
     attempt = "array(named_struct('url', 'https://f.br/x', 'status', 'bloqueado_http_403', 'http', 403, 'lotes', 0))"
     logs = out["logs"].selectExpr("*", "if(n = 1, 'html_ok', 'bloqueado_http_403') as status", "if(n = 1, 'https://www.o.br/a', 'https://f.br/x') as link", "'' as final_url", f"if(n = 1, null, {attempt}) as fontes_tentadas")
-    got = pipelines.update_report(previous, out["lots"], out["fresh"], logs).first()
-    assert (got["analysed"], got["with_lots"], got["rows_before"], got["rows_after"], got["new_keys"], got["removed_keys"]) == (2, 1, 2, 2, 1, 1)
-    assert (got["captured"], got["carried"], got["fresh_new_keys"], got["blocked"]) == (2, 1, 2, 1)
+    got = pipelines.update_report(previous, out["lots"], out["fresh"], logs, out["carried"]).first()
+    assert (got["analysed"], got["with_lots"], got["rows_before"], got["rows_after"], got["new_keys"], got["removed_keys"]) == (2, 1, 4, 2, 1, 2)
+    # a repeated row is carried too; what only names a label of navigation is not
+    assert (got["captured"], got["carried"], got["fresh_new_keys"], got["blocked"]) == (2, 2, 2, 1)
+    kept = pipelines.failed_report(previous, out["lots"], out["fresh"], logs)
+    said = json.loads(outputs.report_json(kept, "2026-07-14T16:00:00", kept=True))
+    assert (said["status"], said["base_anterior_preservada"], said["lotes_candidatos_apos_limpeza"]) == ("falha_sem_portal_com_lotes", True, 2)
+    assert (said["lotes_antes"], said["lotes_depois"], said["lotes_preservados"], said["lotes_realmente_novos"], said["lotes_capturados_agora"]) == (4, 4, 4, 0, 2)
+
+
+def test_past_lots_count_as_carried(spark):
+    events = rows(spark, S.EVENT_FIELDS, {"nome": "Fora", "data": "2026-07-10"})
+    fresh = rows(spark, S.LOT_FIELDS).withColumns({"n": F.lit(1).cast("long"), "seq": F.lit(0).cast("long")})
+    previous = rows(spark, S.LOT_FIELDS, {"titulo": "Trator", "evento": "Fora", "data": "2026-07-10", "status_captura": "html_ok"}).withColumn("seq", F.lit(0).cast("long"))
+    logs = spark.createDataFrame([(1, "Fora", "2026-07-10")], "n long, evento string, data string")
+    out = pipelines.index_lots(events, fresh, logs, previous, "2026-07-14 16:00:00")
+    assert out["lots"].count() == 0 and out["carried"].count() == 1
+
+
+def test_events_of_the_site(spark):
+    made = [("a", "2026-07-14", "15h", "SP"), ("b", "2026-07-14", "17:00", "sp"), ("c", "2026-07-14", "a definir", "XX"), ("d", "2026-07-15", "1h", "RJ"), ("e", "14/07/2026", "", "SP"), ("f", "", "", "")]
+    df = spark.createDataFrame(made, "nome string, data string, hora_marcador string, uf string")
+    assert [tuple(r) for r in pipelines.site_events(df, "2026-07-14 16:00:00").orderBy("nome").select("nome", "uf").collect()] == [("b", ""), ("c", ""), ("d", "RJ")]
     assert got["lots_by_host"] == {"o.br": 2} and got["errors_by_host"] == {"f.br": 1}
     assert [tuple(a) for a in got["failed_attempts"]] == [("https://f.br/x", "bloqueado_http_403", 403)]
 
@@ -184,6 +209,36 @@ def test_poll_sees_each_file_once(spark, tmp_path):
     assert seen == [2, 3]
 
 
+def test_poll_keeps_the_last_hash_of_each_path(spark, tmp_path):
+    """Over polls: unchanged, changed, returning and vanishing files, versions out of order,
+    and a batch that is written again."""
+    import hashlib
+
+    land, check, out = (str(tmp_path / n) for n in ("land", "check", "out"))
+    seen = {}
+
+    def poll_now(*versions):
+        made = [(p, f"2026-07-14 {h:02d}:00:00", c) for p, h, c in versions]
+        df = spark.createDataFrame(made, "path string, moment string, content binary").withColumn("moment", F.col("moment").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(land)
+        rows = poll.poll_changes(spark, land, check, out).collect()
+        new = sorted((r["path"], r["moment"].hour, r["hash"] or None, r["before"]) for r in rows if r["batch"] not in seen)
+        seen.update({r["batch"]: 1 for r in rows})
+        return new
+
+    h = lambda c: hashlib.sha256(c).hexdigest()
+    assert poll_now(("a", 1, b"1"), ("b", 1, b"1"), ("c", 1, b"1")) == [(p, 1, h(b"1"), None) for p in "abc"]
+    assert poll_now(("a", 2, b"1"), ("b", 2, b"2"), ("c", 2, None)) == [("b", 2, h(b"2"), h(b"1")), ("c", 2, None, h(b"1"))]
+    # back to what it was; an old version that comes late; two versions in one poll
+    assert poll_now(("b", 3, b"1"), ("a", 1, b"9"), ("c", 4, b"5"), ("c", 3, b"4"), ("c", 3, b"4")) == [("b", 3, h(b"1"), h(b"2")), ("c", 3, h(b"4"), ""), ("c", 4, h(b"5"), h(b"4"))]
+    # nothing new; and the same batch after a crash between writing and noting it
+    everything = sorted(map(str, poll.poll_changes(spark, land, check, out).collect()))
+    last = max(int(p.name) for p in (tmp_path / "check/commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "check/commits" / name).unlink(missing_ok=True)
+    assert sorted(map(str, poll.poll_changes(spark, land, check, out).collect())) == everything
+
+
 def test_changed(spark):
     f = spark.createDataFrame([("a", b"1"), ("b", b"2")], "path string, content binary")
     known = f.limit(1).select("path", F.sha2("content", 256).alias("hash"))
@@ -229,7 +284,7 @@ def test_published_files(spark, tmp_path):
     assert got["eventos_por_uf"] == [["SP", 2], ["Sem UF", 1]] and got["datas"] == [["2026-08-01", 2], ["sem_data", 1]] and got["eventos_com_link"] == 1
     lots = rows(spark, S.LOT_FIELDS, {"titulo": "b", "status_captura": S.CARRIED + "x", "link_edital": "u"}, {"titulo": "a"}, {"titulo": "Login"}).withColumn("seq", F.when(F.col("titulo") == "b", 0).otherwise(1).cast("long"))
     logs = spark.createDataFrame([("html_ok", 2), ("erro", 0)], "status string, lotes int")
-    outputs.write_snapshot(lots, lots.limit(1), logs, "2026-07-14T16:00:00", str(tmp_path / "s"))
+    outputs.write_snapshot(lots, lots.limit(1), logs, lots.filter(F.col("status_captura").startswith(S.CARRIED)), "2026-07-14T16:00:00", str(tmp_path / "s"))
     said = files.read_object(spark, str(tmp_path / "s/lotes.json"))
     assert [said[k] for k in ("total_eventos_lidos", "total_lotes", "total_lotes_capturados_agora", "total_lotes_preservados", "eventos_com_lotes", "eventos_sem_lotes", "eventos_com_erro_ou_bloqueio")] == [2, 3, 1, 1, 1, 1, 1]
     assert outputs.clean_snapshot(spark, str(tmp_path / "s/lotes.json"), str(tmp_path / "clean")) == 2
@@ -237,8 +292,9 @@ def test_published_files(spark, tmp_path):
     assert (again["total_lotes"], again["total_eventos_lidos"], [x["titulo"] for x in again["lotes"]]) == (2, 2, ["b", "a"]) and files.count_csv(spark, str(tmp_path / "clean/lotes.csv")) == 2
     with pytest.raises(ValueError, match="no snapshot"):
         outputs.clean_snapshot(spark, str(tmp_path / "none"), str(tmp_path / "x"))
-    pages = outputs.site_pages("<x>__DATA__</x>", lots.withColumn("rank", F.col("seq")), e, e.limit(0), "agora", "v1", "A & B", "old.html")
+    pages = outputs.site_pages("<x>__DATA__</x>", lots.withColumn("rank", F.col("seq")), e, e.limit(0), "agora", "v1", "A & B", "old.html", "https://m.br/")
     data = json.loads(pages["index.html"][3:-4].replace("<\\/", "</"))
+    assert list(data) == list(outputs.PAYLOAD) and (data["proxima_atualizacao"], data["mapa"]) == ("Atualização diária", "https://m.br/")
     assert (len(data["eventos"]), data["patios"], len(data["lotes"]), data["editais_eventos"], data["lotes_com_edital"], data["versao"]) == (3, [], 3, 0, 1, "v1") and "url=./" in pages["old.html"] and "A &amp; B" in pages["old.html"]
 
 

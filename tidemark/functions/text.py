@@ -1,14 +1,18 @@
 """Text cleaning, folding and extraction as columns.
 
-Expressions stay in the JVM; three steps that it lacks (character references,
-Unicode decomposition, full case folding) are Arrow functions that only get the
-rows which need them.
+Expressions stay in the JVM.  Unicode decomposition and full case folding, which it lacks,
+are tables made once from Python's Unicode data: characters that become one or none by
+``translate``, those that become several by a lookup in the texts that hold such.
+Character references are an Arrow function that only gets the rows which need it.
 """
 
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,14 +34,61 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-@arrow_function("string")
-def _strip_accents(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)), na_action="ignore")
+def _without_accents(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-@arrow_function("string")
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.map(str.casefold, na_action="ignore")
+#: Hangul syllables decompose by a rule: first, last, and the numbers of their parts.
+_HANGUL, _JAMO = (0xAC00, 0xD7A3), ((0x1100, 19), (0x1161, 21), (0x11A7, 28))
+_ENDS, _MEANS = "\x01", "\x02"
+
+
+class _Table:
+    """What a rule makes of each character, as arguments of ``translate`` and a lookup."""
+
+    def __init__(self, rule: Callable[[str], str]) -> None:
+        changed = {c: made for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if (made := rule(c)) != c}
+        self.hangul = chr(_HANGUL[0]) in changed
+        many = {c: made for c, made in changed.items() if len(made) > 1 and not (self.hangul and _HANGUL[0] <= ord(c) <= _HANGUL[1])}
+        one = {c: made for c, made in changed.items() if len(made) == 1}
+        self.source = "".join(one) + "".join(c for c, made in changed.items() if not made)
+        self.target = "".join(one.values())
+        self.pairs = _ENDS.join(c + _MEANS + made for c, made in many.items())
+        self.several = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _ranges([*map(ord, many), *(range(_HANGUL[0], _HANGUL[1] + 1) if self.hangul else ())]))
+
+    def __call__(self, v: Column) -> Column:
+        named = F.str_to_map(F.lit(self.pairs), F.lit(_ENDS), F.lit(_MEANS))
+        one = lambda p: F.coalesce(F.try_element_at(named, p), p)
+        if self.hangul:
+            plain = one
+            one = lambda p: F.when(F.ascii(p).between(*_HANGUL), _syllable(F.ascii(p) - _HANGUL[0])).otherwise(plain(p))
+        parts = F.regexp_extract_all(v, F.lit(f"[{self.several}]|[^{self.several}]+"), 0)
+        looked_up = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^[{self.several}]"), one(p)).otherwise(p)), "")
+        return F.translate(F.when(v.rlike(f"[{self.several}]"), looked_up).otherwise(v), self.source, self.target)
+
+
+def _syllable(number: Column) -> Column:
+    """The letters of a Hangul syllable; the third may be none."""
+    (lead, _), (vowel, vowels), (tail, tails) = _JAMO
+    letter = lambda first, n, k: F.substring(F.lit("".join(chr(first + i) for i in range(n))), (k + 1).cast("int"), F.lit(1))
+    last = F.pmod(number, F.lit(tails))
+    whole = letter(lead, _JAMO[0][1], F.floor(number / (vowels * tails))), letter(vowel, vowels, F.pmod(F.floor(number / tails), F.lit(vowels)))
+    return F.concat(*whole, F.when(last == 0, "").otherwise(letter(tail, tails, last)))
+
+
+def _ranges(codes: list[int]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for c in sorted(codes):
+        if out and c == out[-1][1] + 1:
+            out[-1] = (out[-1][0], c)
+        else:
+            out.append((c, c))
+    return out
+
+
+@cache
+def _table(rule: Callable[[str], str]) -> _Table:
+    return _Table(rule)
 
 
 def _column(c: Column | str) -> Column:
@@ -63,6 +114,14 @@ def clean_text(c: Column | str) -> Column:
     return collapse(F.regexp_replace(unescape(c), "<[^>]+>", " "))
 
 
+_BLANKS, _TAGS = re.compile(r"\s+"), re.compile(r"<[^>]+>")
+
+
+def plain_text(value: str | None) -> str:
+    """:func:`clean_text` of one text, for parsers and readers."""
+    return _BLANKS.sub(" ", _TAGS.sub(" ", html.unescape(value or ""))).strip()
+
+
 def clean_html(c: Column | str) -> Column:
     """As :func:`clean_text`, with line breaks shown as bars and references decoded a
     second time at the end."""
@@ -72,12 +131,12 @@ def clean_html(c: Column | str) -> Column:
 
 def strip_accents(c: Column | str) -> Column:
     v = F.coalesce(_column(c), F.lit(""))
-    return _where_needed(v, v.rlike(r"[^\x00-\x7F]"), _strip_accents, v)
+    return F.when(v.rlike(r"[^\x00-\x7F]"), _table(_without_accents)(v)).otherwise(v)
 
 
 def casefold(c: Column | str) -> Column:
     v = F.coalesce(_column(c), F.lit(""))
-    return _where_needed(v, v.rlike(r"[^\x00-\x7F]"), _casefold, F.lower(v))
+    return F.when(v.rlike(r"[^\x00-\x7F]"), _table(str.casefold)(v)).otherwise(F.lower(v))
 
 
 def slugify(c: Column | str) -> Column:

@@ -17,7 +17,7 @@ from tidemark.functions import text as X
 from tidemark.functions import urls as U
 from tidemark.functions.lazy import arrow_function
 from tidemark.operators import dedupe, extract
-from tidemark.sources import offers, web
+from tidemark.sources import offers, scratch, web
 from tidemark.sources.scratch import written
 
 #: What identifies a source of an event.
@@ -126,11 +126,46 @@ def read_events(events: DataFrame, fetched: DataFrame, captured: str, api: DataF
     it answers 200, and together with them those of the first two of the event's own
     notice and the notices that the page links to, whatever the page answers.  An
     event that meets a page that cannot be decoded gives no lots but a log with the
-    error.  What is read of the sources is written once and used from there."""
-    wanted = sources_of(events)
+    error.  What is read of the sources is written once and used from there; only the
+    results stay."""
+    kept: list[DataFrame] = []
+    with scratch.scope(kept):
+        kept += concluded(events, read_sources(events, sources_of(events), fetched, captured, api), captured)
+    return kept[0], kept[1]
+
+
+def concluded(events: DataFrame, read: dict[str, DataFrame], captured: str) -> list[DataFrame]:
+    """:func:`conclude`, written."""
+    return [written(df, name) for df, name in zip(conclude(events, read, captured), ("event-lots", "event-logs"), strict=True)]
+
+
+def answers_of(wanted: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The answer of each of ``wanted`` (n, pos, url): http, body, content_type,
+    final_url, and whether it is a notice."""
+    got = wanted.join(_content(fetched), F.col("url") == F.col("_url"), "left").drop("_url").withColumns({"final_url": F.coalesce("final_url", "url"), "http": F.coalesce("http", F.lit(0))})
+    return got.withColumn("pdf", F.coalesce(web.is_pdf("final_url", "content_type", "body") & (F.col("http") == 200), F.lit(False)))
+
+
+def pages_of(answers: DataFrame) -> DataFrame:
+    """Answers that are no notices, decoded; ``fault`` where that cannot be."""
+    pages = answers.filter("not pdf").withColumns({"html": web.decoded(F.col("body"), F.col("content_type")), "fault": web.undecodable(F.col("content_type"))})
+    return pages.withColumn("state", extract.capture_status(F.col("http"), F.col("html"))).drop("body")
+
+
+def with_notices(pages: DataFrame, events: DataFrame) -> DataFrame:
+    """Sound pages with the ``notices`` that are read beside them: the first two of the
+    event's own one and those that the page links to."""
+    sound = pages.filter("fault is null").join(events.select(F.col("n").alias("_n"), X.clean_text("link_edital").alias("own")), F.col("n") == F.col("_n")).drop("_n")
+    none = F.expr("cast(array() as array<string>)")
+    notices = F.array_distinct(F.concat(F.when(F.col("own") != "", F.array("own")).otherwise(none), extract.notice_links("html", "final_url")))
+    return sound.withColumn("notices", F.slice(notices, 1, 2))
+
+
+def read_sources(events: DataFrame, wanted: DataFrame, fetched: DataFrame, captured: str, api: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What each of ``wanted`` (n, pos, url) gives: ``sources`` (how its reading ended),
+    ``tries``, ``lots`` and ``offered``."""
     have = _content(fetched)
-    got = wanted.join(have, F.col("url") == F.col("_url"), "left").drop("_url").withColumns({"final_url": F.coalesce("final_url", "url"), "http": F.coalesce("http", F.lit(0))})
-    got = got.withColumn("pdf", F.coalesce(web.is_pdf("final_url", "content_type", "body") & (F.col("http") == 200), F.lit(False)))
+    got = answers_of(wanted, fetched)
     # the offer interface
     event_columns = events.select(F.col("n").alias("_n"), *S.EVENT_FIELDS)
     asked = wanted.filter(U.served_by_api("url")).join(event_columns, F.col("n") == F.col("_n")).drop("_n")
@@ -138,12 +173,8 @@ def read_events(events: DataFrame, fetched: DataFrame, captured: str, api: DataF
     api_attempts = written(api_attempts, "asked")
     # notices and pages
     direct = got.filter("pdf").withColumn("content", _pdf(F.col("body")))
-    pages = got.filter("not pdf").withColumns({"html": web.decoded(F.col("body"), F.col("content_type")), "fault": web.undecodable(F.col("content_type"))})
-    pages = pages.withColumn("state", extract.capture_status(F.col("http"), F.col("html"))).drop("body")
-    sound = pages.filter("fault is null").join(events.select(F.col("n").alias("_n"), X.clean_text("link_edital").alias("own")), F.col("n") == F.col("_n")).drop("_n")
-    none = F.expr("cast(array() as array<string>)")
-    notices = F.array_distinct(F.concat(F.when(F.col("own") != "", F.array("own")).otherwise(none), extract.notice_links("html", "final_url")))
-    read_pages = written(sound.withColumn("notices", F.slice(notices, 1, 2)), "pages")
+    pages = pages_of(got)
+    read_pages = written(with_notices(pages, events), "pages")
     sound = read_pages.drop("html", "content_type")
     linked = sound.select(*KEYS, F.posexplode("notices").alias("k", "notice")).join(have, F.col("notice") == F.col("_url"))
     linked = written(linked.filter((F.col("http") == 200) & web.is_pdf(F.lit(""), "content_type", "body")).select(*KEYS, "k", "notice", "final_url", _pdf(F.col("body")).alias("content")), "notices")
@@ -175,6 +206,14 @@ def read_events(events: DataFrame, fetched: DataFrame, captured: str, api: DataF
     final = F.when(F.col("by_api"), F.col("url")).when(F.col("more") > 0, F.col("notice_url")).otherwise(F.col("final_url"))
     each = each.select(*KEYS, "url", "by_api", F.when(F.col("by_api"), F.lit(None)).otherwise(F.col("fault")).alias("fault"), result.alias("result"), final.alias("final"), F.when(F.col("by_api"), F.col("api_lots")).otherwise(F.col("lots") + F.col("more")).alias("lots"))
     each = written(each.withColumn("ends", ((F.col("lots") > 0) | F.col("fault").isNotNull()).cast("int")), "sources")
+    return {"sources": each, "tries": tries, "lots": lots, "offered": offered}
+
+
+def conclude(events: DataFrame, read: dict[str, DataFrame], captured: str) -> tuple[DataFrame, DataFrame]:
+    """Lots and logs of events from what :func:`read_sources` gives: of each event the
+    sources up to the first with lots."""
+    each, tries, lots, offered = (read[k] for k in ("sources", "tries", "lots", "offered"))
+    event_columns = events.select(F.col("n").alias("_n"), *S.EVENT_FIELDS)
     tried = dedupe.source_fallback(each, ["n"], found="ends")
     logged = tried.groupBy("n").agg(
         F.max("fault").alias("erro"), F.max_by("result", "pos").alias("status"), F.max_by("final", "pos").alias("final_url"), F.min_by("url", "pos").alias("link"), F.sum("lots").cast("int").alias("lotes")

@@ -56,12 +56,12 @@ def outcome_counters(logs: DataFrame, status: str = "status", lots: str = "lotes
 
 
 def host_counts(logs: DataFrame, link: str | Column = "link", status: str = "status", lots: str = "lotes") -> DataFrame:
-    """(host, lots, errors) of hosts with either, in order of host."""
+    """(host, lots, errors) of hosts with either."""
     s = F.coalesce(F.col(status), F.lit(""))
     grouped = logs.groupBy(U.host_counts_key(link).alias("host")).agg(
         F.coalesce(F.sum(F.when(F.col(lots) > 0, F.col(lots))), F.lit(0)).alias("lots"), F.count_if(_has(s, "erro", "http_0", "bloqueado")).alias("errors")
     )
-    return grouped.filter("lots > 0 or errors > 0").orderBy("host")
+    return grouped.filter("lots > 0 or errors > 0")
 
 
 def host_maps(counts: DataFrame) -> DataFrame:

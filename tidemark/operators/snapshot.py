@@ -42,20 +42,44 @@ def carried_status(status: str | Column) -> Column:
     return F.when(s.startswith(S.CARRIED), s).otherwise(F.substring(F.concat(F.lit(S.CARRIED), s), 1, 120))
 
 
-def carry_forward(previous: DataFrame, current: DataFrame, failed: DataFrame, fresh: DataFrame, key: str = "key", status: str = "status", valid: Column | None = None) -> DataFrame:
-    """Fresh rows, then the previous ones of events that failed this time; ``source``
-    is 0 for fresh and 1 for carried rows, to order by."""
+def carried_rows(previous: DataFrame, current: DataFrame, failed: DataFrame, fresh: DataFrame, key: str = "key", status: str = "status", valid: Column | None = None) -> DataFrame:
+    """The previous rows of events that failed this time, their status marked.  How many
+    they are is what a run says it carried, whatever becomes of them later."""
     old = previous.join(allowed_keys(current, failed, fresh, key), key, "left_semi")
-    old = (old if valid is None else old.filter(valid)).withColumn(status, carried_status(status))
+    return (old if valid is None else old.filter(valid)).withColumn(status, carried_status(status))
+
+
+def with_carried(fresh: DataFrame, old: DataFrame) -> DataFrame:
+    """Fresh rows, then carried ones; ``source`` is 0 and 1, to order by."""
     return fresh.withColumn("source", F.lit(0)).unionByName(old.withColumn("source", F.lit(1)), allowMissingColumns=True)
 
 
+def carry_forward(previous: DataFrame, current: DataFrame, failed: DataFrame, fresh: DataFrame, key: str = "key", status: str = "status", valid: Column | None = None) -> DataFrame:
+    """Fresh rows, then the previous ones of events that failed this time."""
+    return with_carried(fresh, carried_rows(previous, current, failed, fresh, key, status, valid))
+
+
 def new_and_removed(before: DataFrame, after: DataFrame, key: str = "key") -> DataFrame:
     """Keys in one snapshot only, as (key, change)."""
     a, b = before.select(key).filter(F.col(key) != "").distinct(), after.select(key).filter(F.col(key) != "").distinct()
     return b.join(a, key, "left_anti").withColumn("change", F.lit("new")).unionByName(a.join(b, key, "left_anti").withColumn("change", F.lit("removed")))
 
 
+def run_counts(before: DataFrame, after: DataFrame, fresh: DataFrame, key: str = "key") -> DataFrame:
+    """One row about a run: rows before, after and captured, and distinct keys that are
+    new, gone, and captured though not there before; a single shuffle by key."""
+    tables = {"b": before, "a": after, "f": fresh}
+    flagged = [df.select(key, *[F.lit(int(k == own)).cast("long").alias(k) for k in tables]) for own, df in tables.items()]
+    by_key = flagged[0].unionByName(flagged[1]).unionByName(flagged[2]).groupBy(key).agg(*[F.sum(k).alias(k) for k in tables])
+    known = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+    total = lambda k, name: F.coalesce(F.sum(k), F.lit(0)).alias(name)
+    only = lambda k, without, name: F.count_if(known & (F.col(k) > 0) & (F.col(without) == 0)).alias(name)
+    return by_key.agg(
+        total("b", "rows_before"), total("a", "rows_after"), total("f", "captured"),
+        only("a", "b", "new_keys"), only("b", "a", "removed_keys"), only("f", "b", "fresh_new_keys"),
+    )
+
+
 def diff_counts(before: DataFrame, after: DataFrame, key: str = "key") -> DataFrame:
     """One row: numbers of rows before and after, and of distinct keys new and gone,
     from a single shuffle by key."""

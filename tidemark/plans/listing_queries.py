@@ -11,10 +11,10 @@ from tidemark import schema as S
 from tidemark.functions import temporal as D
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
-from tidemark.operators import dedupe, extract, lots, report
-from tidemark.plans import pipelines, runs
+from tidemark.operators import dedupe, extract, lots, report, waves
+from tidemark.plans import outputs, pipelines, runs
 from tidemark.plans.queries import NOW, _day, _t, query
-from tidemark.sources import files, offers, scratch, web
+from tidemark.sources import fetching, files, offers, scratch, web
 
 CAPTURED = "2024-01-15T12:00:00-03:00"
 
@@ -58,14 +58,14 @@ _SLUG = "coalesce(nullif(trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-
 
 @query(f"""select p_partkey, {_SLUG.format('p_brand')} || '|' || p_partkey || '|' || lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) || '|' || 'http://x/' || p_partkey as final,
  'url:http://x.br/A' || p_partkey as run, 'dados:' || lower(trim(regexp_replace(strip_accents(p_name), '\\s+', ' ', 'g'))) || '|' || lower(trim(p_brand)) as run_fields,
- 'http://x.br/A' || p_partkey as merge_link, lower(p_brand || '|' || p_partkey || '|' || p_name) as merge_fields,
+ 'http://X.br/A' || p_partkey as merge_link, lower(p_brand || '|' || p_partkey || '|' || p_name) as merge_fields,
  'dados:a.br|' || {_SLUG.format('p_brand')} || '|' || p_partkey || '|' || lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) as stable_fields, 'sem_link' as no_host from part""")
 def record_keys(spark, sf_dir):
     p, n = _t(spark, sf_dir, "part"), _text("p_partkey")
     link, none = _join("HTTP://X.br/A", n, "/?q=1#z"), F.lit("")
     return p.select(
         "p_partkey", U.final_key("p_brand", n, "p_name", _join("http://X/", n)).alias("final"), U.run_key(link, "p_name").alias("run"), U.run_key(none, "p_name", "p_brand").alias("run_fields"),
-        F.regexp_replace(F.lower(U.merge_key(none, _join("http://x.br/a", n, "#z"), "p_brand", n, "p_name")), "br/a", "br/A").alias("merge_link"), U.merge_key(none, none, "p_brand", n, "p_name").alias("merge_fields"),
+        U.merge_key(none, _join("http://X.br/A", n, "#z"), "p_brand", n, "p_name").alias("merge_link"), U.merge_key(none, none, "p_brand", n, "p_name").alias("merge_fields"),
         U.stable_key(none, F.lit("https://www.a.br/x"), none, "p_brand", n, "p_name").alias("stable_fields"), U.host_counts_key(none).alias("no_host"),
     )
 
@@ -195,6 +195,13 @@ def event_logs(spark, sf_dir):
     return logs.select("n", "status", "lotes", "link", F.when(F.col("fontes_tentadas").isNotNull(), F.size("fontes_tentadas")).alias("attempts"), "final_url")
 
 
+@query(_LINKS_SQL + """, k as (select page_id as n, page_id % 5 as kind, case when page_id % 5 = 2 then 1 else coalesce(lotes, 0) end as lotes from pages left join c on n = page_id)
+select 0 as wave, 'https://e.br/' || n as url from k union all select 1, 'https://old.example.org/' || n from k where kind in (0, 1) or lotes = 0""")
+def wave_requests(spark, sf_dir):
+    events, fetched = _events(spark, sf_dir)
+    return waves.read_live(events, CAPTURED, scratch.new_path(spark, "waves"), fetching.Stored(fetched))[2]
+
+
 @query("""select page_id as seq, case page_id % 4 when 0 then '2024-02-03' when 1 then '2024-02-0' || (1 + page_id % 9) else '' end as data, case page_id % 4 when 0 then '10:30' when 1 then '14:00' when 2 then '09:00' else 'x' end as hora_marcador,
  case page_id % 4 when 0 then 'site' when 1 then 'site' else '' end as fonte_data_hora from pages""")
 def dated_events(spark, sf_dir):
@@ -251,7 +258,8 @@ def refreshed_events(spark, sf_dir):
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Lots of orders (events), those of every third order unread, and all of them before."""
+    """Lots of orders (events), those of every third order unread, and all of them before,
+    some of which are past, repeated or named like a label of navigation."""
     o = _t(spark, sf_dir, "orders")
     events = _filled(o.withColumnRenamed("o_orderkey", "n"), S.EVENT_FIELDS, ("n",), nome=_join("Ev ", F.col("n")), data=F.lit("2024-02-01"))
     li = _t(spark, sf_dir, "lineitem").withColumn("nth", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
@@ -260,7 +268,8 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     day = F.when(part % 7 == 0, "2024-01-01").otherwise("2024-02-01")
     rows = _filled(li, S.LOT_FIELDS, ("l_orderkey", "nth"), titulo=title, evento=_join("Ev ", key), data=day, link_lote=_join("https://h", key % 13, ".br/", part), link_evento=_join("https://h", key % 13, ".br/"), status_captura=F.lit("html_ok"))
     fresh = rows.filter("l_orderkey % 3 <> 0").withColumnsRenamed({"l_orderkey": "n", "nth": "seq"})
-    previous = rows.withColumnRenamed("nth", "seq").drop("l_orderkey")
+    again = rows.filter("nth = 1").withColumn("nth", F.lit(100))  # a repeated row is carried too
+    previous = rows.unionByName(again).withColumnRenamed("nth", "seq").drop("l_orderkey")
     logs = o.select(F.col("o_orderkey").alias("n"), _join("Ev ", F.col("o_orderkey")).alias("evento"), F.lit("2024-02-01").alias("data"))
     return pipelines.index_lots(events, fresh, logs, previous, NOW) | {"previous": previous}
 
@@ -268,8 +277,9 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 _SNAPSHOT_SQL = """with r as (select l_orderkey as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as seq, case when l_partkey % 11 = 0 then 'Login' else 'Peça ' || (l_partkey % 500) end as titulo,
  'https://h' || (l_orderkey % 13) || '.br/' || l_partkey as link, l_partkey % 7 = 0 as old from lineitem),
 f as (select * from r where n % 3 <> 0 qualify row_number() over (partition by titulo, link order by n, seq) = 1), c as (select n, count(*) as kept from f group by n),
-b as (select n, seq, titulo, link, old, 0 as src, 'html_ok' as status from f union all
- select r.n, seq, titulo, link, case when titulo is null then true else old end, 1, 'preservado_apos_falha:html_ok' from r left join c on r.n = c.n where kept is null and titulo <> 'Login'),
+before as (select * from r union all select * replace (100 as seq) from r where seq = 1),
+t as (select before.* from before left join c on before.n = c.n where kept is null and titulo <> 'Login'),
+b as (select n, seq, titulo, link, old, 0 as src, 'html_ok' as status from f union all select n, seq, titulo, link, old, 1, 'preservado_apos_falha:html_ok' from t),
 v as (select * from b where titulo <> 'Login'), g as (select *, 'ev-' || n as slug from v),
 d as (select * from g qualify row_number() over (partition by slug, titulo, link order by src, seq) = 1), k as (select * from d where not old)"""
 
@@ -280,15 +290,30 @@ def indexed_lots(spark, sf_dir):
 
 
 @query(_SNAPSHOT_SQL + """, p as (select distinct 'url:' || link as key from r), e as (select distinct 'url:' || link as key from k), s as (select 'h' || (n % 13) || '.br' as host, sum(kept)::bigint as lots from c group by all)
-select (select count(*) from orders) as analysed, (select count(*) from c) as with_lots, (select count(*) from r) as rows_before, (select count(*) from k) as rows_after,
+select (select count(*) from orders) as analysed, (select count(*) from c) as with_lots, (select count(*) from before) as rows_before, (select count(*) from k) as rows_after,
  (select count(*) from e where key not in (select key from p)) as new_keys, (select count(*) from p where key not in (select key from e)) as removed_keys, (select count(*) from f) as captured,
- (select count(*) from k where src = 1) as carried, 0 as fresh_new_keys, (select string_agg(host || '=' || lots, ' ' order by host) from s) as lots_by_host, (select count(*) from orders) - (select count(*) from c) as errors""")
+ (select count(*) from t) as carried, 0 as fresh_new_keys, (select string_agg(host || '=' || lots, ' ' order by host) from s) as lots_by_host, (select count(*) from orders) - (select count(*) from c) as errors""")
 def run_report(spark, sf_dir):
     out = _snapshots(spark, sf_dir)
     logs = out["logs"].withColumns({"link": _join("https://www.h", F.col("n") % 13, ".br/x"), "final_url": F.lit(""), "status": F.when(F.col("lotes") > 0, "html_ok").otherwise("erro"), "fontes_tentadas": F.expr("cast(array() as array<struct<url:string,status:string,http:int,lotes:int>>)")})
     said = F.array_join(F.transform(F.map_entries("lots_by_host"), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
     names = ("analysed", "with_lots", "rows_before", "rows_after", "new_keys", "removed_keys", "captured", "carried", "fresh_new_keys", "errors")
-    return pipelines.update_report(out["previous"], out["lots"], out["fresh"], logs).select(*names, said.alias("lots_by_host"))
+    return pipelines.update_report(out["previous"], out["lots"], out["fresh"], logs, out["carried"]).select(*names, said.alias("lots_by_host"))
+
+
+@query(_SNAPSHOT_SQL + """ select '2024-01-15T12:00:00' as atualizado_em, (select count(*) from orders) as total_eventos_lidos, (select count(*) from k) as total_lotes, (select count(*) from f) as total_lotes_capturados_agora,
+ (select count(*) from t) as total_lotes_preservados, (select count(*) from c) as eventos_com_lotes, (select count(*) from orders) - (select count(*) from c) as eventos_sem_lotes, (select count(*) from orders where o_orderkey % 3 = 0) as eventos_com_erro_ou_bloqueio""")
+def snapshot_totals(spark, sf_dir):
+    out = _snapshots(spark, sf_dir)
+    logs = out["logs"].withColumn("status", F.when(F.col("n") % 3 == 0, "bloqueado_http_403").otherwise("html_ok"))
+    return outputs.snapshot_totals(out["lots"], out["fresh"], logs, out["carried"], "2024-01-15T12:00:00")
+
+
+@query(_SNAPSHOT_SQL + """ select (select count(*) from before) as rows_before, (select count(*) from before) as rows_after, (select count(*) from before) as carried, 0 as new_keys, 0 as removed_keys, (select count(*) from f) as captured, (select count(*) from k) as candidates""")
+def kept_report(spark, sf_dir):
+    out = _snapshots(spark, sf_dir)
+    logs = out["logs"].withColumns({"link": F.lit(""), "final_url": F.lit(""), "status": F.lit("erro"), "fontes_tentadas": F.expr("cast(array() as array<struct<url:string,status:string,http:int,lotes:int>>)")})
+    return pipelines.failed_report(out["previous"], out["lots"], out["fresh"], logs).select("rows_before", "rows_after", "carried", "new_keys", "removed_keys", "captured", "candidates")
 
 
 @query("""select count(*) as events_with_notice, (select count(*) from customer where c_custkey % 2 = 0) as lots_with_notice, (select count(*) from customer) as total_lotes,

@@ -28,7 +28,12 @@ REPORT = {
     "lotes_capturados_agora": "captured", "lotes_capturados_com_chave_nova": "fresh_new_keys", "eventos_analisados": "analysed", "eventos_com_lotes": "with_lots", "eventos_com_erro": "errors",
     "eventos_bloqueados": "blocked", "links_invalidos": "invalid", "quantidade_coletada_por_leiloeiro": "lots_by_host", "erros_por_leiloeiro": "errors_by_host", "urls_que_falharam": "failed_attempts",
 }
+# Status of a run without lots, and its further field.
+FAILED_RUN, CANDIDATES = "falha_sem_portal_com_lotes", "lotes_candidatos_apos_limpeza"
 TOTALS = {"eventos_com_lotes": "with_lots", "eventos_sem_lotes": "without_lots", "eventos_com_erro_ou_bloqueio": "errors"}
+# What the page's data says of the next run, and its keys in order.
+NEXT_UPDATE = "Atualização diária"
+PAYLOAD = ("eventos", "patios", "lotes", "gerado_em", "proxima_atualizacao", "mapa", "versao", "editais_eventos", "lotes_com_edital")
 #: The marker of the page's data, and the page that leads there.
 MARKER = "__DATA__"
 REDIRECT = '<!doctype html><html lang="pt-BR"><meta charset="utf-8"><meta http-equiv="refresh" content="0;url=./"><title>{0}</title><p><a href="./">{0}</a></p></html>\n'
@@ -60,24 +65,26 @@ def _as_lists(text: str, names: tuple[str, ...]) -> str:
 
 
 def report_json(run: DataFrame, moment: str, kept: bool = False) -> str:
-    """The report of a run, from ``pipelines.update_report``; ``kept`` says that nothing
-    was read and the old base stays."""
-    values = run.select(F.lit(moment).alias("executado_em"), *_named(REPORT), F.lit("falha" if kept else "ok").alias("status"), F.lit(kept).alias("base_anterior_preservada"))
+    """The report of a run, from ``pipelines.update_report``; ``kept`` says that no source
+    gave lots and the old base stays (``pipelines.failed_report``)."""
+    ending = [F.lit(FAILED_RUN if kept else "ok").alias("status"), F.lit(kept).alias("base_anterior_preservada"), *([F.col("candidates").alias(CANDIDATES)] if kept else [])]
+    values = run.select(F.lit(moment).alias("executado_em"), *_named(REPORT), *ending)
     return values.select(F.to_json(F.struct("*")).alias("v")).first()["v"]
 
 
-def snapshot_totals(lots: DataFrame, fresh: DataFrame, logs: DataFrame, moment: str) -> DataFrame:
-    """The totals that stand before a snapshot's lots, as one row."""
-    own = lots.agg(F.count("*").alias("total_lotes"), F.count_if(F.col("status_captura").startswith(S.CARRIED)).alias("total_lotes_preservados"))
+def snapshot_totals(lots: DataFrame, fresh: DataFrame, logs: DataFrame, carried: DataFrame, moment: str) -> DataFrame:
+    """The totals that stand before a snapshot's lots, as one row; ``carried`` are all
+    rows taken over, those left out later too."""
+    own = lots.agg(F.count("*").alias("total_lotes")).crossJoin(carried.agg(F.count("*").alias("total_lotes_preservados")))
     outcome = report.outcome_counters(logs).select(F.col("analysed").alias("total_eventos_lidos"), *_named(TOTALS))
     read = fresh.agg(F.count("*").alias("total_lotes_capturados_agora"))
     names = ("total_eventos_lidos", "total_lotes", "total_lotes_capturados_agora", "total_lotes_preservados", *TOTALS)
     return own.crossJoin(outcome).crossJoin(read).select(F.lit(moment).alias("atualizado_em"), *names)  # one row each
 
 
-def write_snapshot(lots: DataFrame, fresh: DataFrame, logs: DataFrame, moment: str, folder: str) -> None:
+def write_snapshot(lots: DataFrame, fresh: DataFrame, logs: DataFrame, carried: DataFrame, moment: str, folder: str) -> None:
     """The lots as JSON with totals, and as CSV."""
-    files.snapshot_payload(lots, snapshot_totals(lots, fresh, logs, moment)).coalesce(1).write.mode("overwrite").text(f"{folder}/lotes.json")
+    files.snapshot_payload(lots, snapshot_totals(lots, fresh, logs, carried, moment)).coalesce(1).write.mode("overwrite").text(f"{folder}/lotes.json")
     files.write_csv(lots, f"{folder}/lotes.csv", S.LOT_FIELDS, "seq")
 
 
@@ -98,11 +105,12 @@ def clean_snapshot(spark: SparkSession, source: str, folder: str) -> int:
     return int(counted.first()["total_lotes"])
 
 
-def site_pages(template: str, lots: DataFrame, events: DataFrame, yards: DataFrame, moment: str, version: str, title: str, old_name: str) -> dict[str, str]:
+def site_pages(template: str, lots: DataFrame, events: DataFrame, yards: DataFrame, moment: str, version: str, title: str, old_name: str, embedded_map: str = "") -> dict[str, str]:
     """The page with the data in it, and the page that leads there from an old name, by
-    file name."""
+    file name.  ``events`` are those of ``pipelines.site_events``."""
     listed = lambda df, names, order, name: df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*names).alias("_r")))), lambda r: r["_r"]).alias(name))
     value = listed(events, S.EVENT_FIELDS, "seq", "eventos").crossJoin(listed(yards, S.EVENT_FIELDS, "seq", "patios")).crossJoin(listed(lots, [c for c in S.LOT_FIELDS if c in lots.columns], "rank", "lotes"))
     counted = report.notice_counters(events, lots).select(F.col("events_with_notice").alias("editais_eventos"), F.col("lots_with_notice").alias("lotes_com_edital"))
-    data = value.withColumns({"gerado_em": F.lit(moment), "versao": F.lit(version)}).crossJoin(counted).select(F.to_json(F.struct("*")).alias("v")).first()["v"]
+    said = {"gerado_em": moment, "proxima_atualizacao": NEXT_UPDATE, "mapa": embedded_map, "versao": version}
+    data = value.withColumns({k: F.lit(v) for k, v in said.items()}).crossJoin(counted).select(F.to_json(F.struct(*PAYLOAD)).alias("v")).first()["v"]
     return {"index.html": files.site_page(template, data, MARKER), old_name: REDIRECT.format(html.escape(title))}

@@ -31,7 +31,8 @@ def refresh_events(scanned: DataFrame, enriched: DataFrame, now: str, yard_layer
 def index_lots(events: DataFrame, lots: DataFrame, logs: DataFrame, previous: DataFrame, now: str) -> dict[str, DataFrame]:
     """``lots`` (of an event ``n``, in order of ``seq``) deduplicated over events, those
     of failed events carried over from ``previous``, invalid, repeated and past ones
-    left out; and the logs with their lots counted anew."""
+    left out; and the logs with their lots counted anew.  ``carried`` are the rows taken
+    over, before anything is left out."""
     moment = F.lit(now).cast("timestamp_ntz")
     keyed = lots.withColumn("key", U.title_link_key("titulo", "link_lote"))
     fresh, logs = dedupe.global_dedupe(keyed, logs)
@@ -39,44 +40,58 @@ def index_lots(events: DataFrame, lots: DataFrame, logs: DataFrame, previous: Da
     with_key = lambda df, name: df.withColumn("event_key", U.event_date_key(name, "data"))
     old = with_key(previous, "evento").withColumn("n", F.lit(None).cast("long"))
     failed = with_key(logs, "evento").filter("lotes = 0")
-    both = snapshot.carry_forward(old, with_key(events, "nome"), failed, with_key(fresh.drop("key"), "evento"), "event_key", "status_captura", dedupe.valid_lot(X.clean_text("titulo"), X.clean_text("lote")))
-    valid = both.filter(dedupe.valid_lot(X.clean_text("titulo"), X.clean_text("lote")))
+    new = with_key(fresh.drop("key"), "evento")
+    proper = dedupe.valid_lot(X.clean_text("titulo"), X.clean_text("lote"))
+    carried = written(snapshot.carried_rows(old, with_key(events, "nome"), failed, new, "event_key", "status_captura", proper), "carried")
+    valid = snapshot.with_carried(new, carried).filter(proper)
     final = valid.withColumn("final_key", U.final_key("evento", "lote", "titulo", "link_lote"))
     unique = dedupe.first_per_key(final, ["final_key"], F.struct("source", "n", "seq"))
     current = unique.filter(D.upcoming("data", "hora", moment, "lot")).drop("final_key", "event_key")
-    return {"lots": written(current, "lots"), "logs": logs, "fresh": fresh.drop("key")}
+    return {"lots": written(current, "lots"), "logs": logs, "fresh": fresh.drop("key"), "carried": carried}
+
+
+def site_events(events: DataFrame, now: str) -> DataFrame:
+    """Events still to come, units that are none empty."""
+    rows = events.filter(D.upcoming("data", "hora_marcador", F.lit(now).cast("timestamp_ntz"), "site"))
+    return rows.withColumn("uf", F.when(F.col("uf").isin(*S.UNIT_CODES), F.col("uf")).otherwise(""))
 
 
 def site(lots: DataFrame, events: DataFrame, now: str) -> DataFrame:
-    """Upcoming lots with gaps filled from their events, duplicates merged by quality,
-    in order of date, hour and unit; ``rank`` is the place.  What is used twice is written
-    once."""
+    """Upcoming lots with gaps filled from their events (:func:`site_events`), duplicates
+    merged by quality, in order of date, hour and unit; ``rank`` is the place.  What is
+    used twice is written once."""
     moment = F.lit(now).cast("timestamp_ntz")
     rows = lots.filter(D.upcoming("data", "hora", moment, "site"))
     rows = rows.withColumn("uf", F.when(F.col("uf").isin(*S.UNIT_CODES), F.col("uf")).otherwise(""))
     fill = {"link_edital": "link_edital", "resumo_edital": "resumo_edital", "link_evento": "link"}
-    rows = snapshot.lookup_left_join(rows, events, U.site_event_key("evento", "data"), U.site_event_key("nome", "data"), fill)
+    rows = snapshot.lookup_left_join(rows, site_events(events, now), U.site_event_key("evento", "data"), U.site_event_key("nome", "data"), fill)
     rows = rows.withColumns({"merge_key": U.merge_key("link_lote", "link_evento", "evento", "lote", "titulo"), "score": dedupe.quality("titulo", "descricao", dedupe.generic_title("titulo"))})
     merged = dedupe.quality_merge(written(rows, "rows"), ["merge_key"], "score", ("lote", "foto_lote", "link_edital", "resumo_edital", "link_evento", "lance_atual"))
     order = [S.filled("data", F.lit("9999-99-99")), S.filled("hora", F.lit("23:59")), F.col("uf")]
     return dedupe.ordered_rank(written(merged, "merged"), order, "first_seq").drop("merge_key", "score")
 
 
-def update_report(previous: DataFrame, final: DataFrame, fresh: DataFrame, logs: DataFrame) -> DataFrame:
+def update_report(previous: DataFrame, final: DataFrame, fresh: DataFrame, logs: DataFrame, carried: DataFrame) -> DataFrame:
     """One row about a run: outcome counters, the difference of snapshots by stable
-    key, what was read and carried over, counts by host and the attempts that failed."""
+    key, what was read and carried over (all that was, see :func:`index_lots`), counts by
+    host and the attempts that failed."""
     keyed = lambda df: df.select(U.stable_key("link_lote", "link_evento", "fonte", "evento", "lote", "titulo").alias("key"))
-    new = snapshot.new_and_removed(keyed(previous), keyed(fresh)).agg(F.count_if(F.col("change") == "new").alias("fresh_new_keys"))
-    read = fresh.agg(F.count("*").alias("captured"))
-    carried = final.agg(F.count_if(F.coalesce("status_captura", F.lit("")).startswith(S.CARRIED)).alias("carried"))
+    counts = snapshot.run_counts(keyed(previous), keyed(final), keyed(fresh))
+    kept = carried.agg(F.count("*").alias("carried"))
     hosts = report.host_maps(report.host_counts(logs, S.filled("link", "final_url")))
     failed = report.failed_attempts(logs).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct("url", "status", "http").alias("a")))), lambda r: r["a"]).alias("failed_attempts"))
-    out = report.outcome_counters(logs).crossJoin(snapshot.diff_counts(keyed(previous), keyed(final)))
-    for one in (new, read, carried, hosts, failed):  # each is one row
+    out = report.outcome_counters(logs)
+    for one in (counts, kept, hosts, failed):  # each is one row
         out = out.crossJoin(one)
     return out
 
 
+def failed_report(previous: DataFrame, final: DataFrame, fresh: DataFrame, logs: DataFrame) -> DataFrame:
+    """:func:`update_report` of a run in which no source gave lots: the old base stays
+    whole, and ``candidates`` is how many lots would have stood in its place."""
+    return update_report(previous, previous, fresh, logs, previous).crossJoin(final.agg(F.count("*").alias("candidates")))
+
+
 def publish(spark: SparkSession, tables: dict[str, DataFrame], base: str, version: str, fault: str) -> str | None:
     """Writes tables under a staging path and renames it to the version when ``fault``
     is empty; otherwise nothing changes and the staging path is removed."""

@@ -449,7 +449,8 @@ def quality_gates(spark, sf_dir):
 @query(f"""with l as (select event_id as seq, case when event_id % 4 = 0 then 'Lote ' || event_id % 9 else event_type || ' ' || props end as titulo, case when event_id % 5 = 0 then '' else props end as descricao,
   strftime(ts, '%Y-%m-%d') as data, strftime(ts, '%H:%M') as hora, case user_id % 3 when 0 then 'SP' when 1 then '' else 'RJ' end as uf, user_id::varchar as evento,
   'http://h.example/' || user_id % 97 || '/' || event_type as link, case when event_id % 2 = 0 then '' else (event_id % 50)::varchar end as lote from events where date_trunc('minute', ts) > timestamp '{NOW}'),
-c as (select c_custkey::varchar as nome, strftime(date '2024-01-16' + (c_custkey % 10)::int, '%Y-%m-%d') as dia, c_mktsegment, c_name from customer),
+c0 as (select c_custkey::varchar as nome, date '2024-01-13' + (c_custkey % 10)::int as d, c_custkey % 24 as h, c_mktsegment, c_name from customer),
+  c as (select nome, strftime(d, '%Y-%m-%d') as dia, c_mktsegment, c_name from c0 where d > date '2024-01-15' or (d = date '2024-01-15' and h > 12)),
 j as (select l.*, coalesce(c_mktsegment, '') as link_edital, coalesce(c_name, '') as resumo_edital,
   20 * case when seq % 4 = 0 then 0 else length(titulo) end + length(descricao) as score from l left join c on evento = nome and data = dia),
 r as (select *, score > coalesce(max(score) over (partition by link order by seq rows between unbounded preceding and 1 preceding), -1) as rec from j),
@@ -470,6 +471,16 @@ def site_plan(spark, sf_dir):
         F.when(F.col("event_id") % 2 == 0, "").otherwise((F.col("event_id") % 50).cast("string")).alias("lote"),
         *[F.lit("").alias(c) for c in ("foto_lote", "link_edital", "resumo_edital", "link_evento", "lance_atual")],
     )
-    day = F.date_format(F.date_add(F.lit("2024-01-16").cast("date"), (F.col("c_custkey") % 10).cast("int")), "yyyy-MM-dd")
-    events = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), text("c_custkey").alias("nome"), day.alias("data"), F.col("c_mktsegment").alias("link_edital"), F.col("c_name").alias("resumo_edital"), F.lit("").alias("link"))
+    day = F.date_format(F.date_add(F.lit("2024-01-13").cast("date"), (F.col("c_custkey") % 10).cast("int")), "yyyy-MM-dd")
+    made = (day.alias("data"), F.concat((F.col("c_custkey") % 24).cast("string"), F.lit("h")).alias("hora_marcador"), F.lit("").alias("uf"))
+    events = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), text("c_custkey").alias("nome"), *made, F.col("c_mktsegment").alias("link_edital"), F.col("c_name").alias("resumo_edital"), F.lit("").alias("link"))
     return pipelines.site(lots, events, NOW).select("titulo", "descricao", "data", "hora", "uf", "evento", "lote", "link_edital", "resumo_edital", "first_seq", "rank")
+
+
+@query(f"""select event_id as seq, case user_id % 3 when 0 then 'SP' when 1 then '' else 'RJ' end as uf, strftime(ts, '%Y-%m-%d') as data from events
+where date_trunc('day', ts) > timestamp '{NOW[:10]}' or (date_trunc('day', ts) = timestamp '{NOW[:10]}' and (event_id % 5 = 0 or hour(ts) >= 12 and date_trunc('minute', ts) > timestamp '{NOW}'))""")
+def site_events(spark, sf_dir):
+    unit = F.when(F.col("user_id") % 3 == 0, "SP").when(F.col("user_id") % 3 == 1, "sp").otherwise("RJ")
+    hour = F.when(F.col("event_id") % 5 == 0, "a definir").otherwise(F.date_format("ts", "HH:mm"))
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), _day("ts").alias("data"), hour.alias("hora_marcador"), unit.alias("uf"))
+    return pipelines.site_events(e, NOW).select("seq", "uf", "data")
