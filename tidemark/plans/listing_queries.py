@@ -259,26 +259,28 @@ def refreshed_events(spark, sf_dir):
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Lots of orders (events), those of every third order unread, and all of them before,
-    some of which are past, repeated or named like a label of navigation."""
+    some of which are past, repeated, of another day than their event, or named like a
+    label of navigation."""
     o = _t(spark, sf_dir, "orders")
-    events = _filled(o.withColumnRenamed("o_orderkey", "n"), S.EVENT_FIELDS, ("n",), nome=_join("Ev ", F.col("n")), data=F.lit("2024-02-01"))
+    event_day = lambda n: F.when(F.col(n) % 7 == 0, "2024-01-01").otherwise("2024-02-01")
+    events = _filled(o.withColumnRenamed("o_orderkey", "n"), S.EVENT_FIELDS, ("n",), nome=_join("Ev ", F.col("n")), data=event_day("n"))
     li = _t(spark, sf_dir, "lineitem").withColumn("nth", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     key, part = F.col("l_orderkey"), F.col("l_partkey")
     title = F.when(part % 11 == 0, "Login").otherwise(_join("Peça ", part % 500))
-    day = F.when(part % 7 == 0, "2024-01-01").otherwise("2024-02-01")
+    day = F.when(part % 7 == 0, "2024-01-02").otherwise(event_day("l_orderkey"))
     rows = _filled(li, S.LOT_FIELDS, ("l_orderkey", "nth"), titulo=title, evento=_join("Ev ", key), data=day, link_lote=_join("https://h", key % 13, ".br/", part), link_evento=_join("https://h", key % 13, ".br/"), status_captura=F.lit("html_ok"))
     fresh = rows.filter("l_orderkey % 3 <> 0").withColumnsRenamed({"l_orderkey": "n", "nth": "seq"})
     again = rows.filter("nth = 1").withColumn("nth", F.lit(100))  # a repeated row is carried too
     previous = rows.unionByName(again).withColumnRenamed("nth", "seq").drop("l_orderkey")
-    logs = o.select(F.col("o_orderkey").alias("n"), _join("Ev ", F.col("o_orderkey")).alias("evento"), F.lit("2024-02-01").alias("data"))
+    logs = o.select(F.col("o_orderkey").alias("n"), _join("Ev ", F.col("o_orderkey")).alias("evento"), event_day("o_orderkey").alias("data"))
     return pipelines.index_lots(events, fresh, logs, previous, NOW) | {"previous": previous}
 
 
 _SNAPSHOT_SQL = """with r as (select l_orderkey as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as seq, case when l_partkey % 11 = 0 then 'Login' else 'Peça ' || (l_partkey % 500) end as titulo,
- 'https://h' || (l_orderkey % 13) || '.br/' || l_partkey as link, l_partkey % 7 = 0 as old from lineitem),
+ 'https://h' || (l_orderkey % 13) || '.br/' || l_partkey as link, l_partkey % 7 = 0 as apart, l_partkey % 7 = 0 or l_orderkey % 7 = 0 as old from lineitem),
 f as (select * from r where n % 3 <> 0 qualify row_number() over (partition by titulo, link order by n, seq) = 1), c as (select n, count(*) as kept from f group by n),
 before as (select * from r union all select * replace (100 as seq) from r where seq = 1),
-t as (select before.* from before left join c on before.n = c.n where kept is null and titulo <> 'Login'),
+t as (select before.* from before left join c on before.n = c.n where kept is null and titulo <> 'Login' and not apart),
 b as (select n, seq, titulo, link, old, 0 as src, 'html_ok' as status from f union all select n, seq, titulo, link, old, 1, 'preservado_apos_falha:html_ok' from t),
 v as (select * from b where titulo <> 'Login'), g as (select *, 'ev-' || n as slug from v),
 d as (select * from g qualify row_number() over (partition by slug, titulo, link order by src, seq) = 1), k as (select * from d where not old)"""
