@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.error
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import schema as S
 from tidemark.functions import urls as U
 from tidemark.plans import outputs, pipelines
-from tidemark.sources import files, offers, web
+from tidemark.sources import files, maps, offers, web
 from tidemark.streaming import poll
 
 KML = """<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>d</name>
@@ -28,8 +29,8 @@ def rows(spark, fields, *values):
 
 def test_map_to_events(spark, tmp_path):
     (tmp_path / "m.kml").write_text(KML)
-    markers = files.read_map(spark, str(tmp_path / "m.kml"))
-    assert files.count_markers(spark, str(tmp_path / "m.kml")) == 3 and files.count_markers(spark, str(tmp_path / "none")) == 0
+    markers = maps.read_map(spark, str(tmp_path / "m.kml"))
+    assert maps.count_markers(spark, str(tmp_path / "m.kml")) == 3 and maps.count_markers(spark, str(tmp_path / "none")) == 0
     got = [r.asDict() for r in files.events_from_markers(markers, "2026-07-14").orderBy("seq").collect()]
     assert [(r["nome"], r["camada"]) for r in got] == [("solto", ""), ("A - SP", "Dentro"), ("B", "Eventos")]
     a = got[1]
@@ -209,6 +210,63 @@ def test_poll_sees_each_file_once(spark, tmp_path):
     assert seen == [2, 3]
 
 
+def big_map(kind):
+    """Nested folders, names behind their markers, names of other elements, empty markers,
+    comments and sections; ``kind`` puts an end tag into a section or uses a prefix."""
+    import random
+
+    rng = random.Random(7)
+    out = ['<?xml version="1.0"?><!-- a > b --><kml xmlns="http://www.opengis.net/kml/2.2" xmlns:gx="http://x"><Document><name>d</name><Style id="a>b"><name>s</name></Style>']
+    depth, n = 0, 0
+    for _ in range(120):
+        what = rng.random()
+        if what < 0.2 and depth < 5:
+            depth += 1
+            out.append("<Folder>" + (f"<name>F{n} &amp; <![CDATA[<x>]]></name>" if rng.random() < 0.7 else "<name/>" if rng.random() < 0.3 else "") + "<Region><name>r</name></Region>")
+        elif what < 0.35 and depth:
+            depth -= 1
+            out.append((f"<name>late{n}</name>" if rng.random() < 0.5 else "") + "</Folder>\n")
+        elif what < 0.4:
+            out.append("<Placemark/><!-- <Folder> -->")
+        else:
+            inside = "</Placemark>" if kind == "section" and n % 9 == 4 else ""
+            out.append(f'<Placemark id="{n}"><name>M{n}</name><description><![CDATA[a<br><!-- b{inside}]]></description><gx:x gx:y="1"/><ExtendedData><Data name="A"><value>{n}</value></Data></ExtendedData><MultiGeometry><Point><coordinates>{n},2</coordinates></Point><Point><coordinates>9,9</coordinates></Point></MultiGeometry></Placemark>')
+        n += 1
+    text = "".join(out) + "</Folder>" * depth + "</Document></kml>\n"
+    if kind == "prefix":
+        return re.sub(r"<(/?)(\w)", r"<\1k:\2", text.replace("<gx:x", "<gxx").replace(' gx:y="1"', "").replace("<x>", "")).replace("k:br>", "br>").replace('xmlns="http', 'xmlns:k="http')
+    return text
+
+
+@pytest.mark.parametrize(("kind", "cuts"), [("plain", (97, 1000, 1 << 20)), ("section", (211, 1 << 20)), ("prefix", (500,))])
+def test_maps_are_the_same_at_any_cut(spark, tmp_path, kind, cuts):
+    text = big_map(kind)
+    want = [(i, m["name"], m["folder"], m["description"], m["coordinates"], m["data"]) for i, m in enumerate(files.markers(text))]
+    assert len(want) > 60 and len({w[2] for w in want}) > 10 and {"", "0,2"} & {w[4] for w in want}
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a.kml").write_text(text)
+    (tmp_path / "m/b.kml").write_text("<kml><Placemark><name>x</name></Placemark></kml>")
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    try:
+        for cut in cuts:
+            for k, v in zip(sizes, (cut, 0, 1), strict=True):
+                spark.conf.set(k, v)
+            got = sorted((r["seq"], r["name"], r["folder"], r["description"], r["coordinates"], r["data"]) for r in maps.read_map(spark, str(tmp_path / "m")).collect())
+            assert [g for g in got if g[1] != "x"] == want and [g for g in got if g[1] == "x"] == [(0, "x", "", "", "", {})], cut
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_broken_maps_raise_and_empty_ones_are_empty(spark, tmp_path):
+    (tmp_path / "a.kml").write_text("<kml><Folder><Placemark><name>x</Placemark></Folder></kml>")
+    with pytest.raises(Exception, match="mismatched tag"):
+        maps.read_map(spark, str(tmp_path / "a.kml")).collect()
+    (tmp_path / "b.kml").write_text("<kml><Folder><name>f</name></Folder></kml>")
+    assert maps.count_markers(spark, str(tmp_path / "b.kml")) == 0
+
+
 def test_poll_keeps_the_last_hash_of_each_path(spark, tmp_path):
     """Over polls: unchanged, changed, returning and vanishing files, versions out of order,
     and a batch that is written again."""

@@ -98,6 +98,11 @@ def _local(tag: str) -> str:
 def markers(document: str) -> Iterator[dict]:
     """Placemarks of a map document at any depth, with the name of the nearest folder
     around them.  A repeated data name keeps its last value."""
+    return markers_in(ET.fromstring(document))
+
+
+def markers_in(root: ET.Element) -> Iterator[dict]:
+    """:func:`markers` of an element."""
 
     def text(e: ET.Element | None) -> str:
         return (e.text or "").strip() if e is not None else ""
@@ -105,13 +110,13 @@ def markers(document: str) -> Iterator[dict]:
     def child(e: ET.Element, name: str) -> ET.Element | None:
         return next((c for c in e if _local(c.tag) == name), None)
 
-    stack = [(ET.fromstring(document), "")]
+    stack = [(root, "")]
     while stack:
         element, folder = stack.pop()
         if _local(element.tag) == "Placemark":
-            inner = {_local(e.tag): e for e in element.iter()}
+            point = next((e for e in element.iter() if _local(e.tag) == "coordinates"), None)
             data = {(e.get("name") or "").strip(): text(child(e, "value")) for e in element.iter() if _local(e.tag) == "Data"}
-            yield {**{k: text(child(element, k)) for k in ("name", "description", "address")}, "folder": folder, "coordinates": text(inner.get("coordinates")), "data": data}
+            yield {**{k: text(child(element, k)) for k in ("name", "description", "address")}, "folder": folder, "coordinates": text(point), "data": data}
             continue
         inside = text(child(element, "name")) if _local(element.tag) == "Folder" else folder
         stack += [(c, inside) for c in reversed(element)]
@@ -135,15 +140,6 @@ def markers_of(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return found.select(*[f"kept.{c}" for c in keep], "seq", *names)
 
 
-def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """The markers of the map files under ``path``."""
-    return markers_of(spark.read.text(path, wholetext=True))
-
-
-def count_markers(spark: SparkSession, path: str) -> int:
-    return read_map(spark, path).count() if path_exists(spark, path) else 0
-
-
 def events_from_markers(rows: DataFrame, today: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Event rows from markers, with ``seq`` and the ``keep`` columns; ``today`` is an ISO
     date."""
