@@ -99,6 +99,14 @@ def test_diagnostic(spark, tmp_path):
     status, code = runs.diagnose(facts, site, {"mensagem": "antes", "lotes": 9}, fail_on_attention=True)
     assert len(runs.fourteen_checks(site)) == 14 and status["failed_checks"] == ["arquivos_obrigatorios", "dominio_configurado", "base_eventos_recente"]
     assert (status["status"], code, status["missing"], status["mensagem"], status["lots"], status["future"], status["lots_age"], status["events_age"]) == ("atencao", 1, ["nada.txt"], "antes", 2, 1, 1.5, 25.5)
+    published = runs.published_status(facts, site, "2026-07-14T16:30:00-03:00", {"mensagem": "antes", "lotes_antes": 3})
+    assert list(published)[:3] == ["status", "verificado_em", "atualizado_em_base_eventos"] and (published["status"], published["lotes"], published["arquivos_faltando"]) == ("atencao", 2, ["nada.txt"])
+    assert [k for k, v in published["checks"].items() if not v] == status["failed_checks"] and list(published["checks"]) == list(runs.fourteen_checks(site))
+    runs.write_status(published, str(tmp_path))
+    assert json.loads((tmp_path / "status_atualizacao.json").read_text()) == published
+    lines = (tmp_path / "status_atualizacao.txt").read_text().splitlines()
+    assert lines[0] == "Status: atencao" and lines[4] == "Idade da base de eventos: 25.5 horas" and lines[10:12] == ["Lotes antes: 3", "Lotes depois: -"]
+    assert lines[-2:] == ["Verificações com problema: arquivos_obrigatorios, dominio_configurado, base_eventos_recente", "Mensagem: antes"]
     (tmp_path / site.host).write_text(site.domain + "\n")
     site = runs.Site("lots.example.org", required=("index.html",))
     facts = runs.gather(spark, str(tmp_path), site, "2026-07-14 02:00:00-03:00")

@@ -169,6 +169,52 @@ def diagnose(facts: DataFrame, site: Site, earlier: dict, fail_on_attention: boo
     return status, int(fail_on_attention and not row["ok"])
 
 
+# Published names of a status's facts, in order.
+STATUS = {
+    "atualizado_em_base_eventos": "events_moment", "atualizado_em_base_lotes": "lots_moment", "idade_base_eventos_horas": "events_age", "idade_base_lotes_horas": "lots_age",
+    "eventos_futuros": "future", "patios": "yards", "lotes": "lots", "lotes_capturados_agora": "captured", "lotes_preservados": "carried", "eventos_indexados_com_lotes": "events_with_lots",
+}
+# Lines of the readable status, in order, with the field of each and what stands for a missing one.
+LINES = (
+    ("Status", "status", None), ("Verificado em", "verificado_em", None), ("Base de eventos", "atualizado_em_base_eventos", None), ("Base de lotes", "atualizado_em_base_lotes", None),
+    ("Idade da base de eventos", "idade_base_eventos_horas", None), ("Idade da base de lotes", "idade_base_lotes_horas", None), ("Eventos futuros", "eventos_futuros", None),
+    ("Lotes disponíveis", "lotes", None), ("Lotes capturados nesta execução", "lotes_capturados_agora", None), ("Lotes preservados", "lotes_preservados", None), ("Lotes antes", "lotes_antes", "-"),
+    ("Lotes depois", "lotes_depois", "-"), ("Lotes novos detectados", "lotes_novos_detectados", "-"), ("Lotes removidos ou encerrados", "lotes_removidos_ou_encerrados", "-"), ("Pátios", "patios", None),
+)
+HOURS, FAULTY, NONE_FAULTY, MESSAGE = " horas", "Verificações com problema", "nenhuma", "Mensagem"
+
+
+def published_status(facts: DataFrame, site: Site, moment: str, extra: dict) -> dict:
+    """The published status of :func:`gather`'s facts: fixed fields, all checks by name,
+    what is missing, and then ``extra``, which goes before them."""
+    checks = fourteen_checks(site)
+    said = [F.coalesce(c, F.lit(False)).alias(f"check {k}") for k, c in checks.items()]
+    row = facts.select(*[F.col(c).alias(k) for k, c in STATUS.items()], F.col("missing").alias("arquivos_faltando"), *said).first().asDict()
+    held = {k: row.pop(f"check {k}") for k in checks}
+    missing = row.pop("arquivos_faltando")
+    return {"status": "ok" if all(held.values()) else "atencao", "verificado_em": moment, **row, "checks": held, "arquivos_faltando": missing} | extra
+
+
+def status_lines(status: dict) -> str:
+    """A published status to read."""
+    ending = lambda field: HOURS if field.endswith("_horas") else ""
+    lines = [f"{label}: {status.get(field, missing)}{ending(field)}" for label, field, missing in LINES]
+    failed = [name for name, held in status.get("checks", {}).items() if not held]
+    lines.append(f"{FAULTY}: {', '.join(failed) or NONE_FAULTY}")
+    if status.get("mensagem"):
+        lines.append(f"{MESSAGE}: {status['mensagem']}")
+    return "\n".join(lines) + "\n"
+
+
+def write_status(status: dict, folder: str) -> None:
+    """A published status as JSON and as lines, each put in place in one step."""
+    for name, text in (("status_atualizacao.json", json.dumps(status, ensure_ascii=False, indent=2) + "\n"), ("status_atualizacao.txt", status_lines(status))):
+        place = Path(folder) / name
+        staged = place.with_name(name + ".tmp")
+        staged.write_text(text, encoding="utf-8")
+        os.replace(staged, place)
+
+
 def keep_earlier(status: dict, earlier: dict, names: tuple[str, ...]) -> dict:
     """A status with the named values of an earlier one where it lacks them."""
     return status | {k: earlier[k] for k in names if k in earlier and not status.get(k)}

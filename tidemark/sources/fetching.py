@@ -86,7 +86,10 @@ def _read_table(wanted: DataFrame, budget: Budget, read: Callable[[str], Iterabl
         if held:
             yield _batch(held, kinds)
 
-    return slotted(wanted, budget.slots).repartition("host", "slot").sortWithinPartitions(F.xxhash64("url", F.lit(3))).mapInArrow(run, schema)
+    # a fixed number of tasks: by their bytes, addresses would be merged into a few
+    spark = wanted.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return slotted(wanted, budget.slots).repartition(tasks, "host", "slot").sortWithinPartitions(F.xxhash64("url", F.lit(3))).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
