@@ -14,6 +14,7 @@ Defined results: null, empty and letterless texts are ``und`` with score 0 and n
 spans; texts in scripts never seen in training get equal scores, so the language
 most frequent in training; a model without rows predicts ``und`` throughout; more
 than ``languages`` languages raise a ValueError, none is left out in silence;
+a run of letters longer than twice ``AT_ONCE`` is cut in words of about that length;
 repeated rows get equal results; extra columns are ignored by :func:`identify`
 except those named as kept.
 
@@ -25,19 +26,21 @@ by the n-gram table and the number of languages, which ``LANGUAGES`` bounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import AT_ONCE, slices
+from tidemark.llm.common import AT_ONCE, materialise, release, slices
 
 #: Rows a language that a model is fitted on.
 ROWS = 1500
-#: Languages that a model may tell apart: its size grows with them.
-LANGUAGES = 1000
+#: Languages that a model may tell apart, for its size grows with them, and those whose
+#: counts the driver takes at a time.
+LANGUAGES, AT_A_TIME = 256, 16
 #: Slots of the hashed n-gram table.
 SLOTS = 1 << 16
 #: Penalty, in nats, for changing language between two words.
@@ -135,40 +138,36 @@ def fit(labelled: DataFrame, rows: int = ROWS, seed: int = 11, languages: int =
     chosen = good.filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(span)) < rates[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = {lang: np.zeros((3, SLOTS), np.int64) for lang in langs}
-        kinds = {lang: np.zeros(256, np.int64) for lang in langs}
+        """The counts of a slice of one language at a time, as its slots that occur."""
         for batch in batches:
             texts, tags = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
-            for lang in set(tags):
+            for lang in sorted(set(tags)):
                 own = [texts[i] for i in np.flatnonzero(tags == lang)]
                 for lo, hi in slices([len(t) for t in own]):
                     w = Words(own[lo:hi])
-                    kinds[lang] += np.bincount(w.letter_script, minlength=256)
-                    for n, s in enumerate(w.slots()):
-                        grams[lang][n] += np.bincount(s.astype(np.int64), minlength=SLOTS)
-        for lang in langs:
-            for what, flat in (("gram", grams[lang].ravel()), ("script", kinds[lang])):
-                at = np.flatnonzero(flat)
-                if len(at):
-                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "what": [what] * len(at), "slot": at.astype(np.int32), "n": flat[at]})
-
-    counted = chosen.mapInArrow(count, "lang string, what string, slot int, n long").groupBy("lang", "what", "slot").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()
-    return build(langs, sizes, got)
-
-
-def build(langs: list[str], sizes: dict[str, int], got) -> dict:
-    """Log-probabilities from counts (a frame of lang, what, slot, n)."""
-    table = np.zeros((len(langs), 3 * SLOTS))
+                    found = np.concatenate([s.astype(np.int64) + n * SLOTS for n, s in enumerate(w.slots())] + [w.letter_script.astype(np.int64) + 3 * SLOTS])
+                    at, n = np.unique(found, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "slot": at.astype(np.int32), "n": n.astype(np.int64)})
+
+    counted = materialise(chosen.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "grams")
+    # the driver holds the counts of a few languages beside the model
+    few = (langs[lo : lo + AT_A_TIME] for lo in range(0, len(langs), AT_A_TIME))
+    model = build(langs, sizes, ((some, counted.filter(F.col("lang").isin(some)).toPandas()) for some in few))
+    release(counted)
+    return model
+
+
+def build(langs: list[str], sizes: dict[str, int], counts: Iterable[tuple[list[str], pd.DataFrame]]) -> dict:
+    """Log-probabilities from counts (frames of lang, slot, n, of some languages each)."""
+    logp = np.zeros((len(langs), 3, SLOTS), np.float32)
     kinds = np.zeros((len(langs), 256))
-    for k, lang in enumerate(langs):
-        own = got[got["lang"] == lang]
-        g, s = own[own["what"] == "gram"], own[own["what"] == "script"]
-        table[k, g["slot"].to_numpy(np.int64)] = g["n"]
-        kinds[k, s["slot"].to_numpy(np.int64)] = s["n"]
-    shape = table.reshape(len(langs), 3, SLOTS)
-    logp = np.log(shape + 0.1) - np.log(shape.sum(axis=2, keepdims=True) + 0.1 * SLOTS)
-    logp = (logp * np.array([0.2, 0.3, 0.5])[None, :, None]).astype(np.float32)
+    for some, got in counts:
+        for lang in some:
+            own, k = got[got["lang"] == lang], langs.index(lang)
+            flat = np.zeros(3 * SLOTS + 256)
+            flat[own["slot"].to_numpy(np.int64)] = own["n"]
+            shape, kinds[k] = flat[: 3 * SLOTS].reshape(3, SLOTS), flat[3 * SLOTS :]
+            logp[k] = (np.log(shape + 0.1) - np.log(shape.sum(axis=1, keepdims=True) + 0.1 * SLOTS)) * np.array([[0.2], [0.3], [0.5]])
     logp -= logp.mean(axis=0, keepdims=True)
     own = kinds >= SCRIPT_SHARE * np.maximum(kinds.sum(axis=1, keepdims=True), 1)
     own[:, ~own.any(axis=0)] = True  # a script that nobody uses rules nobody out
