@@ -12,7 +12,7 @@ from tidemark.functions import temporal as D
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
 from tidemark.operators import dedupe, extract, lots, report, waves
-from tidemark.plans import outputs, pipelines, runs
+from tidemark.plans import outputs, pipelines, runs, store
 from tidemark.plans.queries import NOW, _day, _t, query
 from tidemark.sources import fetching, files, offers, scratch, web
 
@@ -318,6 +318,22 @@ def kept_report(spark, sf_dir):
     return pipelines.failed_report(out["previous"], out["lots"], out["fresh"], logs).select("rows_before", "rows_after", "carried", "new_keys", "removed_keys", "captured", "candidates")
 
 
+@query("""with b as (select o_custkey::varchar as key from orders where o_orderdate < timestamp '1998-06-01'), a as (select o_custkey::varchar as key from orders where o_orderdate >= timestamp '1997-01-01')
+select (select count(*) from b) as rows_before, (select count(*) from a) as rows_after, (select count(distinct key) from a where key not in (select key from b)) as new_keys,
+ (select count(distinct key) from b where key not in (select key from a)) as removed_keys, 'v2' as version, (select count(*) from a) as seen, 'few_events' as fault""")
+def stored_versions(spark, sf_dir):
+    o, base = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), "o_orderkey", "o_orderdate"), scratch.new_path(spark, "store")
+    save = lambda version, condition, **more: store.commit(spark, {"orders": o.filter(condition)}, {"orders": "key"}, base, version, buckets=16, **more)
+    save("v1", "o_orderdate < timestamp_ntz'1998-06-01'")
+    before = store.current(spark, base)[1]["orders"]
+    _, _, seen = save("v2", "o_orderdate >= timestamp_ntz'1997-01-01'")
+    few = lambda seen: spark.range(1).select(report.event_gate(F.lit(seen["orders"]["rows"]), F.lit(True))).first()[0]
+    _, fault, _ = save("v3", "false", gate=few)  # a gate keeps it out
+    version, tables = store.current(spark, base)
+    said = (F.lit(version).alias("version"), F.lit(seen["orders"]["rows"]).cast("long").alias("seen"), F.lit(fault).alias("fault"))
+    return store.compare(before, tables["orders"]).select("*", *said)
+
+
 @query("""select count(*) as events_with_notice, (select count(*) from customer where c_custkey % 2 = 0) as lots_with_notice, (select count(*) from customer) as total_lotes,
  (select count(*) from customer where c_custkey % 4 = 0) as total_lotes_preservados, (select count(*) from customer where c_custkey <= 100) as first_hundred from customer where c_custkey % 3 = 0""")
 def snapshot_counters(spark, sf_dir):
