@@ -838,6 +838,22 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_archive_headers_say_when_they_were_written(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    rows = warc.headers(spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "a" * 200)], "page_id long, url string, html string"))
+    records = warc.resolve(rows, warc.originals(rows))
+    began = datetime.now(timezone.utc) - timedelta(seconds=1)
+    for name, given in (("now", {}), ("then", {"date": "2020-02-03T04:05:06Z"})):
+        warc.write_archives(records, str(tmp_path / name), **given)
+        dates = {r["warc_date"] for r in warc.read_archives(spark, str(tmp_path / name)).collect()}
+        if given:
+            assert dates == {given["date"]}
+        else:
+            (one,) = dates
+            assert began <= datetime.strptime(one, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc) <= datetime.now(timezone.utc)
+
+
 def test_warc_of_many_originals_and_large_pages(spark, monkeypatch):
     rng = random.Random(5)
     texts = ["x" * 120 + str(k) * rng.randrange(1, 4000) for k in range(30)]

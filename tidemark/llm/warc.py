@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,9 +81,11 @@ def record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.when(page_id.isNull(), F.uuid()).otherwise(named), F.lit(">"))
 
 
-def write_archives(records: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 4000) -> None:
+def write_archives(records: DataFrame, path: str, *, date: str | None = None, records_per_file: int = 4000) -> None:
     """Adds records (page_id, url, payload, payload_digest, payload_bytes,
-    record_type, refers_to) as gzip-compressed WARC/1.1 files to ``path``."""
+    record_type, refers_to) as gzip-compressed WARC/1.1 files to ``path``.  ``date``, of
+    the fresh headers, is the moment of writing unless given."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisit = F.col("record_type") == "revisit"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     block = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
