@@ -3,7 +3,8 @@
 Expressions stay in the JVM.  Unicode decomposition and full case folding, which it lacks,
 are tables made once from Python's Unicode data: characters that become one or none by
 ``translate``, those that become several by a lookup in the texts that hold such.
-Character references are an Arrow function that only gets the rows which need it.
+Character references are looked up piece by piece, where others than the few common ones
+occur.
 """
 
 from __future__ import annotations
@@ -13,13 +14,11 @@ import re
 import unicodedata
 from collections.abc import Callable
 from functools import cache
+from html.entities import html5
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.lazy import arrow_function
-
 # Patterns of blanks, prices and lot numbers.
 # All blanks of Unicode, and the four separators that count as blanks beside them.
 BLANK = r"(?U)[\s\x1c-\x1f]"
@@ -29,11 +28,6 @@ LOT = r"(?iu)\b(?:lote|lt\.?)(?U:\s)*[:#º°-]?(?U:\s)*(\d+[A-Za-z]?)"
 CLAUSE = r"^\d+\.\d{2,}$"
 
 
-@arrow_function("string")
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
-
-
 def _without_accents(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
@@ -43,6 +37,16 @@ _HANGUL, _JAMO = (0xAC00, 0xD7A3), ((0x1100, 19), (0x1161, 21), (0x11A7, 28))
 _ENDS, _MEANS = "\x01", "\x02"
 
 
+@cache
+def _map_of(application: str, pairs: str) -> Column:
+    return F.str_to_map(F.lit(pairs), F.lit(_ENDS), F.lit(_MEANS))
+
+
+def _looked_up(pairs: str, key: Column) -> Column:
+    """What a table of pairs has for a key; the table is handed over once a session."""
+    return F.try_element_at(_map_of(SparkSession.active().sparkContext.applicationId, pairs), key)
+
+
 class _Table:
     """What a rule makes of each character, as arguments of ``translate`` and a lookup."""
 
@@ -57,8 +61,7 @@ class _Table:
         self.several = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _ranges([*map(ord, many), *(range(_HANGUL[0], _HANGUL[1] + 1) if self.hangul else ())]))
 
     def __call__(self, v: Column) -> Column:
-        named = F.str_to_map(F.lit(self.pairs), F.lit(_ENDS), F.lit(_MEANS))
-        one = lambda p: F.coalesce(F.try_element_at(named, p), p)
+        one = lambda p: F.coalesce(_looked_up(self.pairs, p), p)
         if self.hangul:
             plain = one
             one = lambda p: F.when(F.ascii(p).between(*_HANGUL), _syllable(F.ascii(p) - _HANGUL[0])).otherwise(plain(p))
@@ -95,14 +98,65 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _where_needed(value: Column, needs: Column, slow, fast: Column) -> Column:
-    return F.coalesce(slow(F.when(needs, value)), fast)
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it: what is
+    nested in one another does not multiply."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+#: References that most texts get by with; the ampersand comes last, for nothing is decoded twice.
+_COMMON = ("lt", "gt", "quot", "nbsp", "copy", "middot", "amp")
+
+
+@cache
+def _references() -> tuple[str, str, str, str]:
+    """Named references that end in a semicolon and those that need none, as pairs, a
+    pattern of the latter, and what numbers stand for that stand for no character of
+    their own."""
+    paired = lambda entries: _ENDS.join(k + _MEANS + v for k, v in entries)
+    bare = {k: v for k, v in html5.items() if not k.endswith(";")}
+    longest = "|".join(sorted(bare, key=len, reverse=True))
+    numbers = ((str(n), said) for n in (*range(0xD800), *range(0xE000, 0x110000)) if (said := html.unescape(f"&#{n};")) != chr(n))
+    return paired((k, v) for k, v in html5.items() if k.endswith(";")), paired(bare.items()), longest, paired(numbers)
+
+
+def _character(n: Column) -> Column:
+    """The character of a code point."""
+    low = lambda x, width: F.lpad(F.hex(x), width, "0")
+    above = n - 0x10000
+    pair = F.concat(low(F.floor(above / 1024) + 0xD800, 4), low(F.pmod(above, F.lit(1024)) + 0xDC00, 4))
+    return F.decode(F.unhex(F.when(n < 0x10000, low(n, 4)).otherwise(pair)), "UTF-16BE")
+
+
+def _reference(p: Column) -> Column:
+    """What follows an ampersand, the reference at its beginning decoded."""
+    named, bare, longest, numbers = _references()
+    number = F.regexp_extract(p, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+    digits = F.regexp_extract(p, r"^#0*([0-9]*)", 1)
+    hexed = F.regexp_extract(p, r"^#[xX]0*([0-9a-fA-F]*)", 1)
+    is_hex = p.rlike("^#[xX]")
+    written = F.when(is_hex, hexed).otherwise(digits)
+    code = _with(written, lambda w: F.when(F.length(w) > 7, 0x110000).when(w == "", 0).otherwise(F.when(is_hex, F.conv(w, 16, 10)).otherwise(w).try_cast("long")))
+    meant = _with(code, lambda n: F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.coalesce(_looked_up(numbers, n.cast("string")), _character(n))))
+    name = F.regexp_extract(p, r"^[^\t\n\f <&#;]{1,32};", 0)
+    short = F.regexp_extract(p, f"^(?:{longest})", 0)
+    said = lambda what, m: F.concat(what, F.substring(p, F.length(m) + 1, F.length(p)))
+    by_prefix = _with(short, lambda s: F.when(s != "", said(_looked_up(bare, s), s)).otherwise(F.concat(F.lit("&"), p)))
+    by_name = F.coalesce(_with(name, lambda s: F.when(s != "", said(_looked_up(named, s), s))), by_prefix)
+    return _with(number, lambda s: F.when(s != "", said(meant, s)).otherwise(by_name))
 
 
 def unescape(c: Column | str) -> Column:
     """Character references decoded once; null is empty."""
-    v = F.coalesce(_column(c), F.lit(""))
-    return _where_needed(v, v.contains("&"), _unescape, v)
+
+    def decoded(v: Column) -> Column:
+        simple = v
+        for name in _COMMON:
+            simple = F.replace(simple, F.lit(f"&{name};"), F.lit(html5[f"{name};"]))
+        pieces = F.array_join(F.transform(F.split(v, "&"), lambda p, i: F.when(i == 0, p).otherwise(_reference(p))), "")
+        return F.when(~v.contains("&"), v).when(~v.rlike(f"&(?!(?:{'|'.join(_COMMON)});)"), simple).otherwise(pieces)
+
+    return _with(F.coalesce(_column(c), F.lit("")), decoded)
 
 
 def collapse(c: Column) -> Column:
@@ -130,13 +184,11 @@ def clean_html(c: Column | str) -> Column:
 
 
 def strip_accents(c: Column | str) -> Column:
-    v = F.coalesce(_column(c), F.lit(""))
-    return F.when(v.rlike(r"[^\x00-\x7F]"), _table(_without_accents)(v)).otherwise(v)
+    return _with(F.coalesce(_column(c), F.lit("")), lambda v: F.when(v.rlike(r"[^\x00-\x7F]"), _table(_without_accents)(v)).otherwise(v))
 
 
 def casefold(c: Column | str) -> Column:
-    v = F.coalesce(_column(c), F.lit(""))
-    return F.when(v.rlike(r"[^\x00-\x7F]"), _table(str.casefold)(v)).otherwise(F.lower(v))
+    return _with(F.coalesce(_column(c), F.lit("")), lambda v: F.when(v.rlike(r"[^\x00-\x7F]"), _table(str.casefold)(v)).otherwise(F.lower(v)))
 
 
 def slugify(c: Column | str) -> Column:
