@@ -116,7 +116,7 @@ def test_offline_fetch_and_kind(spark):
 
 
 def test_paged_offers():
-    page = lambda n, total: web.Fetched("u", 200, json.dumps({"total": total, "offers": [{"id": k} for k in range(n)]}).encode())
+    page = lambda n, total: web.Fetched("u", 200, json.dumps({"total": total, "offers": [{"id": k + 1} for k in range(n)]}).encode())
 
     def read(*answers):
         given, asked = iter(answers), []
@@ -172,6 +172,8 @@ def test_index_lots_carries_and_drops(spark):
     assert (got["analysed"], got["with_lots"], got["rows_before"], got["rows_after"], got["new_keys"], got["removed_keys"]) == (2, 1, 4, 2, 1, 2)
     # a repeated row is carried too; what only names a label of navigation is not
     assert (got["captured"], got["carried"], got["fresh_new_keys"], got["blocked"]) == (2, 2, 2, 1)
+    assert got["lots_by_host"] == {"o.br": 2} and got["errors_by_host"] == {"f.br": 1}
+    assert [tuple(a) for a in got["failed_attempts"]] == [("https://f.br/x", "bloqueado_http_403", 403)]
     kept = pipelines.failed_report(previous, out["lots"], out["fresh"], logs)
     said = json.loads(outputs.report_json(kept, "2026-07-14T16:00:00", kept=True))
     assert (said["status"], said["base_anterior_preservada"], said["lotes_candidatos_apos_limpeza"]) == ("falha_sem_portal_com_lotes", True, 2)
@@ -191,8 +193,6 @@ def test_events_of_the_site(spark):
     made = [("a", "2026-07-14", "15h", "SP"), ("b", "2026-07-14", "17:00", "sp"), ("c", "2026-07-14", "a definir", "XX"), ("d", "2026-07-15", "1h", "RJ"), ("e", "14/07/2026", "", "SP"), ("f", "", "", "")]
     df = spark.createDataFrame(made, "nome string, data string, hora_marcador string, uf string")
     assert [tuple(r) for r in pipelines.site_events(df, "2026-07-14 16:00:00").orderBy("nome").select("nome", "uf").collect()] == [("b", ""), ("c", ""), ("d", "RJ")]
-    assert got["lots_by_host"] == {"o.br": 2} and got["errors_by_host"] == {"f.br": 1}
-    assert [tuple(a) for a in got["failed_attempts"]] == [("https://f.br/x", "bloqueado_http_403", 403)]
 
 
 def test_publish_only_without_fault(spark, tmp_path):
