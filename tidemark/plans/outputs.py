@@ -84,7 +84,7 @@ def snapshot_totals(lots: DataFrame, fresh: DataFrame, logs: DataFrame, carried:
 
 def write_snapshot(lots: DataFrame, fresh: DataFrame, logs: DataFrame, carried: DataFrame, moment: str, folder: str) -> None:
     """The lots as JSON with totals, and as CSV."""
-    files.snapshot_payload(lots, snapshot_totals(lots, fresh, logs, carried, moment)).coalesce(1).write.mode("overwrite").text(f"{folder}/lotes.json")
+    files.write_snapshot(lots, snapshot_totals(lots, fresh, logs, carried, moment), f"{folder}/lotes.json")
     files.write_csv(lots, f"{folder}/lotes.csv", S.LOT_FIELDS, "seq")
 
 
@@ -93,14 +93,14 @@ def clean_snapshot(spark: SparkSession, source: str, folder: str) -> int:
     again, both files are written under ``folder``.  How many are left.
 
     A file that holds no object raises a ValueError."""
-    if not (payload := files.read_object(spark, source)):
+    if not (payload := files.read_totals(spark, source)):
         raise ValueError(f"no snapshot in {source}")
     every = files.read_snapshot(spark, source, only_valid=False)
     lots = every.filter(dedupe.valid_lot(X.clean_text("titulo"), X.clean_text("lote")))
     counted = lots.agg(F.count("*").alias("total_lotes"), F.count_if(F.col("status_captura").startswith(S.CARRIED)).alias("total_lotes_preservados"))
     said = {k: v for k, v in payload.items() if not isinstance(v, (list, dict)) and k not in ("total_lotes", "total_lotes_preservados")}
     totals = counted.select(*[F.lit(v).alias(k) for k, v in said.items()], "*")
-    files.snapshot_payload(lots, totals).coalesce(1).write.mode("overwrite").text(f"{folder}/lotes.json")
+    files.write_snapshot(lots, totals, f"{folder}/lotes.json")
     files.write_csv(lots, f"{folder}/lotes.csv", S.LOT_FIELDS, "seq")
     return int(counted.first()["total_lotes"])
 

@@ -131,14 +131,14 @@ def gather(spark: SparkSession, root: str, site: Site, now: str) -> DataFrame:
         path = f"{root}/{name}"
         return spark.read.text(path, wholetext=True).first()["value"] if files.path_exists(spark, path) else ""
 
-    summary, lots = (files.read_object(spark, f"{root}/{name}") for name in (site.summary, site.lots))
-    listed = lots.get("lotes", [])
+    summary, lots = files.read_object(spark, f"{root}/{site.summary}"), files.read_totals(spark, f"{root}/{site.lots}")
+    listed = files.snapshot_rows(spark, f"{root}/{site.lots}").count()
     csv = {k: files.count_csv(spark, f"{root}/{getattr(site, k)}") for k in ("events_csv", "yards_csv", "lots_csv")}
     row = {
         "missing": [n for n in site.required if not files.path_exists(spark, f"{root}/{n}")], "schedule": text(site.schedule), "page": text(site.page), "host": text(site.host).strip(),
-        **csv, "lots_json": len(listed) if isinstance(listed, list) else 0, "events_moment": str(summary.get("atualizado_em", "")), "lots_moment": str(lots.get("atualizado_em", "")),
+        **csv, "lots_json": listed, "events_moment": str(summary.get("atualizado_em", "")), "lots_moment": str(lots.get("atualizado_em", "")),
         "future": int(summary.get("eventos_futuros_ou_hoje") or csv["events_csv"]), "yards": int(summary.get("patios") or csv["yards_csv"]),
-        "lots": int(lots.get("total_lotes") or (len(listed) if isinstance(listed, list) else 0)), "captured": int(lots.get("total_lotes_capturados_agora") or 0),
+        "lots": int(lots.get("total_lotes") or listed), "captured": int(lots.get("total_lotes_capturados_agora") or 0),
         "carried": int(lots.get("total_lotes_preservados") or 0), "events_with_lots": int(lots.get("eventos_com_lotes") or 0),
     }
     kinds = ", ".join(f"{k} {'array<string>' if k == 'missing' else 'long' if isinstance(v, int) else 'string'}" for k, v in row.items())
