@@ -7,7 +7,6 @@ own answer (page or notice), and the first two notices that belong to its page."
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,8 +28,8 @@ TITLE, DESCRIPTION = 240, 600
 
 
 @arrow_function("string")
-def _pdf(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: web.pdf_text(b), na_action="ignore")
+def _pdf(raw: list[bytes | None]) -> list[str | None]:
+    return [None if b is None else web.pdf_text(b) for b in raw]
 
 
 def _object_lots(pages: DataFrame) -> DataFrame:

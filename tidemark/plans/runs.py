@@ -13,7 +13,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -240,8 +239,8 @@ ANSWERED, MOST_LINKS, NOTICE_PAGES = (200, 201, 202), 2, 6
 
 
 @arrow_function("string")
-def _first_pages(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: web.pdf_text(b, NOTICE_PAGES), na_action="ignore")
+def _first_pages(raw: list[bytes | None]) -> list[str | None]:
+    return [None if b is None else web.pdf_text(b, NOTICE_PAGES) for b in raw]
 
 
 def _documents(wanted: DataFrame, fetched: DataFrame, keys: list[str]) -> DataFrame:
