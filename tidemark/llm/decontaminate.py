@@ -3,9 +3,9 @@
 Benchmark items, cut into query passages of at most ``QUERY_WORDS`` words, are
 searched in the passages (windows of ``WINDOW`` words, half overlapping) of every
 document.  Passages are TF-IDF vectors over the words of the queries.  A randomised
-SVD of the matrix whose rows are passages, those of a bounded sample of the corpus and
-the query passages themselves, each side with half of the weight, is made over
-partitions; its strongest directions, as many as hold ``ENERGY`` of the queries but
+SVD of the matrix whose rows are passages, those of all documents and the query passages
+themselves, each side with half of the weight, is made from the products of its columns,
+summed over partitions; its strongest directions, as many as hold ``ENERGY`` of the queries but
 ``RANK`` at most, are the latent space.  Cosines in it pick candidates, which are
 checked on the words themselves: the longest common subsequence must cover most of the
 query, or half of it with its answer (for paraphrases); the query's rare words must be
@@ -27,8 +27,9 @@ is one, names the answers, else the last words of an item stand for it; an answe
 any length must be found whole, in its order.
 
 Scale: the words of the queries are counted in one pass over the documents for every
-``MOST_WORDS`` of them, and the sample is drawn once; then the queries are handled in
-indexes of ``QUERIES`` passages, ``INDEXES`` of them at most a scan of the documents.  A
+``MOST_WORDS`` of them; then the queries are handled in indexes of ``QUERIES`` passages,
+``INDEXES`` of them at most a round of two passes over the documents: one sums the products
+of words that share a passage, shuffled as partial sums by pair, one searches.  A
 passage is bounded in words, so vocabulary, basis and vectors are bounded however long
 items are, a benchmark of any size is a number of scans, and what is broadcast is
 bounded.  No text is shuffled; a scan is a map whose output is the matches.
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, mix64, release, sample_by_hash, slices, word_spans
+from tidemark.llm.common import materialise, mix64, release, slices, word_spans
 
 WINDOW, QUERY_WORDS, LEAST_WORDS = 32, 64, 4
 QUERIES, INDEXES = 256, 8
@@ -54,9 +55,9 @@ STRETCH = 512
 RANK, ENERGY, OVERSAMPLE = 192, 0.95, 16
 #: Words of queries that are counted in one pass.
 MOST_WORDS = 1 << 22
-#: Documents whose passages the basis is fitted on, tasks for them, and rounds of power
-#: iteration.
-SAMPLE_DOCS, SAMPLE_PARTS, POWER = 2000, 16, 2
+#: Pairs of words that a task holds of an index, tasks for their products with a basis,
+#: and rounds of power iteration.
+PAIRS, PARTS, POWER = 1 << 20, 16, 2
 #: Cosine that makes a candidate; shares of a query that the subsequence and the
 #: rare words must reach; the same with an answer found.
 COSINE, COVER, RARE, COVER_ANSWER, RARE_ANSWER = 0.3, 0.7, 0.6, 0.5, 0.5
@@ -243,27 +244,67 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterato
     yield pa.RecordBatch.from_arrays([pa.array([*vocabulary[some].view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(counts[some], passages))], names=["word", "n"])
 
 
-def _gram(batches: Iterator[pa.RecordBatch], indexes: list[Index], bases: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A^T (A Q) of a partition's passages and their number, for each index as one binary."""
-    sums = [np.zeros(b.shape) for b in bases]
-    rows = np.zeros(len(bases))
+def _pairs(batches: Iterator[pa.RecordBatch], indexes: list[Index]) -> Iterator[pa.RecordBatch]:
+    """Sums of A^T A over passages, for each index (part) by pair of terms, the lesser first;
+    pair -1 counts the passages with terms.  What is in hand is bounded by ``PAIRS``."""
+    names, kinds = ("part", "pair", "value"), (pa.int32(), pa.int64(), pa.float64())
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in indexes]
+
+    def merged(k: int) -> tuple[np.ndarray, np.ndarray]:
+        pairs, values = (np.concatenate(x) for x in zip(*held[k], strict=True))
+        known, at = np.unique(pairs, return_inverse=True)
+        return known, np.bincount(at, values)
+
+    def out(k: int) -> Iterator[pa.RecordBatch]:
+        pairs, values = merged(k)
+        held[k].clear()
+        for lo in range(0, len(pairs), 1 << 16):
+            own = (np.full(len(pairs[lo : lo + (1 << 16)]), k), pairs[lo : lo + (1 << 16)], values[lo : lo + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, kinds, strict=True)], names=names)
+
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for lo, hi in slices([len(t or "") for t in texts]):
             hashes, first = word_hashes(texts[lo:hi])
             block, _ = blocks_of(first, WINDOW)
-            for k, (index, basis, total) in enumerate(zip(indexes, bases, sums, strict=True)):
+            for k, index in enumerate(indexes):
                 term = index.terms(hashes)
                 use = (term >= 0) & ~index.common[np.maximum(term, 0)]
-                term, row = term[use], np.unique(block[use], return_inverse=True)[1]
-                if not len(term):
+                if not use.any():
                     continue
-                inner = np.zeros((int(row.max()) + 1, basis.shape[1]))
-                np.add.at(inner, row, basis[term] * index.idf[term, None])
-                rows[k] += len(inner)
-                norm = np.zeros(len(inner))
-                np.add.at(norm, row, index.idf[term] ** 2)
-                np.add.at(total, term, inner[row] * (index.idf[term] / np.maximum(norm[row], 1e-9))[:, None])
+                term, row, size = term[use], np.unique(block[use], return_inverse=True)[1], len(index.vocabulary)
+                norm = np.bincount(row, index.idf[term].astype(np.float64) ** 2)
+                cell, often = np.unique(row * size + term, return_counts=True)
+                row, term = cell // size, cell % size
+                weight = often * index.idf[term] / np.sqrt(np.maximum(norm[row], 1e-9))
+                # each cell of a passage with itself and those behind it
+                reach = np.searchsorted(row, row, side="right") - np.arange(len(row))
+                left = np.repeat(np.arange(len(row)), reach)
+                right = left + np.arange(len(left)) - np.repeat(np.cumsum(reach) - reach, reach)
+                held[k].append((np.append(term[left] * size + term[right], -1), np.append(weight[left] * weight[right], len(norm))))
+                if sum(len(p) for p, _ in held[k]) > PAIRS:
+                    held[k][:] = [merged(k)]
+                    if len(held[k][0][0]) > PAIRS // 2:
+                        yield from out(k)
+    for k in range(len(indexes)):
+        if held[k]:
+            yield from out(k)
+
+
+def _times(batches: Iterator[pa.RecordBatch], bases: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(A^T A) Q of a part of the pairs and the number of passages, for each index as one binary."""
+    sums, rows = [np.zeros(b.shape) for b in bases], np.zeros(len(bases))
+    for batch in batches:
+        part, pair, value = (batch.column(k).to_numpy() for k in range(3))
+        for k, (basis, total) in enumerate(zip(bases, sums, strict=True)):
+            own = part == k
+            rows[k] += value[own & (pair < 0)].sum()
+            own &= pair >= 0
+            for lo in range(0, int(own.sum()), 4096):  # products of pairs are as wide as the basis
+                some = np.flatnonzero(own)[lo : lo + 4096]
+                i, j, v = pair[some] // len(basis), pair[some] % len(basis), value[some, None]
+                np.add.at(total, i, v * basis[j])
+                np.add.at(total, j[i != j], (v * basis[i])[i != j])
     yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([np.append(s, n).tobytes() for s, n in zip(sums, rows, strict=True)], pa.binary())], names=["part", "sum"])
 
 
@@ -283,13 +324,6 @@ def count_words(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(lambda it: _count(it, shared.value), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def sample_of(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """A bounded sample of the texts of ``docs``; equal ones count once, so the bound holds
-    however often they repeat."""
-    chosen = sample_by_hash(docs.select("text").filter("text is not null"), "text", SAMPLE_DOCS)
-    return materialise(chosen.groupBy(F.xxhash64("text", F.lit(seed)).alias("tag")).agg(F.first("text").alias("text")).repartition(SAMPLE_PARTS, "tag").select("text"), "passages")
-
-
 def weigh(indexes: list[Index], counted: list[tuple[int | None, int]]) -> None:
     """Weights of the indexes' words from what :func:`count_words` gives."""
     passages = next((n for w, n in counted if w is None), 0)
@@ -303,26 +337,32 @@ def weigh(indexes: list[Index], counted: list[tuple[int | None, int]]) -> None:
 
 
 def fit(docs: DataFrame, indexes: list[Index]) -> None:
-    """Weights from all passages of ``docs``, bases from a sample of them."""
+    """Weights and bases from all passages of ``docs``."""
     weigh(indexes, [tuple(r) for r in count_words(docs, np.unique(np.concatenate([i.vocabulary for i in indexes]))).collect()])
-    sample = sample_of(docs)
-    fit_bases(sample, indexes)
-    release(sample)
+    fit_bases(docs, indexes)
+
 
+def products(docs: DataFrame, indexes: list[Index]) -> DataFrame:
+    """(part, pair, value): what :func:`_pairs` sums, over all passages of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(indexes)
+    pairs = docs.select("text").mapInArrow(lambda it: _pairs(it, shared.value), "part int, pair long, value double")
+    return materialise(pairs.groupBy("part", "pair").agg(F.sum("value").alias("value")), "products")
 
-def fit_bases(sample: DataFrame, indexes: list[Index], seed: int = 17) -> None:
-    """The latent space of each index, by power iteration over the sample's passages and
-    the index's queries."""
-    spark = sample.sparkSession
+
+def fit_bases(docs: DataFrame, indexes: list[Index], seed: int = 17) -> None:
+    """The latent space of each index, by power iteration over the products of words in
+    all passages, summed once, and the index's queries."""
+    spark = docs.sparkSession
+    summed = products(docs, indexes)
     bases = []
     for index in indexes:
         rank = min(RANK + OVERSAMPLE, len(index.vocabulary))
         bases.append(np.linalg.qr(np.random.default_rng(seed).standard_normal((len(index.vocabulary), rank)))[0])
     for _ in range(POWER):
-        state = spark.sparkContext.broadcast((indexes, bases))
-        parts = sample.mapInArrow(lambda it, s=state: _gram(it, *s.value), "part int, sum binary")
+        state = spark.sparkContext.broadcast(bases)
+        parts = summed.repartition(PARTS).mapInArrow(lambda it, s=state: _times(it, s.value), "part int, sum binary")
         # two steps, so that no task and not the driver meets a matrix of every partition
-        for width in (int(SAMPLE_PARTS**0.5), 1):
+        for width in (int(PARTS**0.5), 1):
             parts = parts.repartition(width).mapInArrow(_add_up, "part int, sum binary")
         got = {r["part"]: np.frombuffer(r["sum"]) for r in parts.collect()}
         for k, (index, basis) in enumerate(zip(indexes, bases, strict=True)):
@@ -333,6 +373,7 @@ def fit_bases(sample: DataFrame, indexes: list[Index], seed: int = 17) -> None:
             image = corpus + (rows / len(queries) if rows else 1.0) * (queries.T @ (queries @ basis))
             bases[k] = np.linalg.svd(image, full_matrices=False)[0]
         state.unpersist()
+    release(summed)
     for index, basis in zip(indexes, bases, strict=True):
         held = np.cumsum(((index.query_matrix() @ basis) ** 2).sum(axis=0))
         index.project(basis[:, : min(RANK, 1 + int(np.searchsorted(held, ENERGY * len(index.queries))))])
@@ -469,7 +510,7 @@ def _scans(docs: DataFrame, benchmark: DataFrame, size: int, number: int, stretc
     found_type = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
     if queries.isEmpty():
         return
-    counted, sample = frequencies(docs, queries), sample_of(docs)
+    counted = frequencies(docs, queries)
     for k in range(scans):
         chosen = queries.filter(F.pmod(F.xxhash64("item_id", "stretch"), F.lit(scans)) == k)
         every = [{"item": r["item_id"], "words": np.frombuffer(r["words"], np.uint64), "answer": np.frombuffer(r["answer"], np.uint64)} for r in chosen.orderBy("item_id", "words", "answer").collect()]
@@ -484,7 +525,7 @@ def _scans(docs: DataFrame, benchmark: DataFrame, size: int, number: int, stretc
         if indexes:
             own = counted.join(words_of(chosen), "word").unionByName(counted.filter("word is null"))
             weigh(indexes, [tuple(r) for r in own.select("word", "n").collect()])
-            fit_bases(sample, indexes)
+            fit_bases(docs, indexes)
         shared = spark.sparkContext.broadcast((indexes, short))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
