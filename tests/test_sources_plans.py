@@ -170,6 +170,16 @@ def test_offers_to_lots(spark):
     )
 
 
+def test_offer_fields_are_read_once(spark):
+    texts = [{"id": 7, "title": "A &amp;amp; B", "lotNumber": 3}, {"id": " ", "title": "<b></b>"}, {"id": 8, "offerDescription": {"description": "<i>x</i>"}, "auction": {"desc": "L &lt; 2"}}]
+    df = rows(spark, S.EVENT_FIELDS, *[{"descricao": json.dumps(t)} for t in texts]).withColumns({"source_url": F.lit("https://a.br/x-12345"), "event_url": F.lit("e"), "offer": F.parse_json("descricao")})
+    made = offers.lots_from_offers(df, "c")
+    got = sorted((r["titulo"], r["lote"], r["descricao"], r["evento"], r["link_lote"]) for r in made.collect())
+    assert got == [("A &amp; B", "3", "", "", "https://a.br/oferta/a-b-7"), ("Lote 8", "", "x", "L < 2", "https://a.br/oferta/lote-8-8")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get(") <= 40  # was in the hundreds: each use of a title read its fields again
+
+
 def test_refresh_events(spark):
     e = rows(
         spark, S.EVENT_FIELDS, {"nome": "a", "link": "l", "camada": "Eventos", "data_original": "x"}, {"nome": "b", "camada": "Eventos", "data_original": "y", "data": "2020-01-01"},

@@ -84,7 +84,7 @@ def offer_lots(wanted: DataFrame, api: DataFrame, captured: str) -> tuple[DataFr
         }
     ).drop("v")
     listed = pages.select("of", "page", F.posexplode("offers").alias("i", "offer")).filter(F.expr("schema_of_variant(offer)").startswith("OBJECT"))
-    titled = listed.filter(offers.offer_title() != "").groupBy(F.col("of").alias("o"), F.col("page").alias("p")).agg(F.count("*").alias("lots"))
+    titled = offers.titled(listed).groupBy(F.col("of").alias("o"), F.col("page").alias("p")).agg(F.count("*").alias("lots"))
     pages = pages.withColumn("size", F.coalesce(F.size("offers"), F.lit(0))).drop("offers").join(titled, (F.col("of") == F.col("o")) & (F.col("page") == F.col("p")), "left").drop("o", "p")
     upto = W.partitionBy("of").orderBy("page")
     so_far = F.sum(F.coalesce("lots", F.lit(0))).over(upto.rowsBetween(W.unboundedPreceding, 0))
