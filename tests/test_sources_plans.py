@@ -180,6 +180,24 @@ def test_offer_fields_are_read_once(spark):
     assert plan.count("try_variant_get(") <= 40  # was in the hundreds: each use of a title read its fields again
 
 
+def test_map_query_reads_files_in_blocks(spark, tmp_path):
+    """No row holds a nation's map: the files are cut, and numbered and named across the cuts."""
+    from tidemark.plans import listing_queries
+
+    n = 3000
+    spark.range(n).selectExpr("id + 1 as c_custkey", "concat('C', id) as c_name", "cast(id % 2 as int) as c_nationkey", "'M' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    asked = []
+    whole, files.markers_of = files.markers_of, lambda *a, **b: asked.append(a) or whole(*a, **b)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = listing_queries.map_events(spark, str(tmp_path)).select("c_nationkey", "seq", "nome", "camada").collect()
+    finally:
+        files.markers_of = whole
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {(k, 0, "solto", "") for k in (0, 1)} | {(i % 2, i // 2 + 1, f"C{i} - SP", f"Nação {i % 2}") for i in range(n)}
+    assert not asked and len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_refresh_events(spark):
     e = rows(
         spark, S.EVENT_FIELDS, {"nome": "a", "link": "l", "camada": "Eventos", "data_original": "x"}, {"nome": "b", "camada": "Eventos", "data_original": "y", "data": "2020-01-01"},

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -157,6 +158,8 @@ def site_page(template: str, rows_json: str, marker: str) -> str:
 
 # --- map files -----------------------------------------------------------------
 
+#: Markers that a task has in hand at a time.
+AT_ONCE = 1000
 MARKER = "name string, folder string, description string, address string, coordinates string, data map<string,string>"
 
 
@@ -201,9 +204,10 @@ def markers_of(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, raw in enumerate(batch.column(1)):
-                rows = [(i, *[m[n] for n in names[:-1]], list(m["data"].items())) for i, m in enumerate(markers(raw.as_py()))]
-                columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(rows), pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["kept", "seq", *names])
+                found = ((i, *[m[n] for n in names[:-1]], list(m["data"].items())) for i, m in enumerate(markers(raw.as_py())))
+                while rows := list(islice(found, AT_ONCE)):
+                    columns = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(rows), pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["kept", "seq", *names])
 
     found = kept.mapInArrow(run, f"kept {kept.schema['kept'].dataType.simpleString()}, seq long, {MARKER}")
     return found.select(*[f"kept.{c}" for c in keep], "seq", *names)

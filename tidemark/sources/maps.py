@@ -17,12 +17,11 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.files import MARKER, markers_in, markers_of, path_exists
+from tidemark.sources.files import AT_ONCE, MARKER, markers_in, markers_of, path_exists
 from tidemark.sources.scratch import written
 
 #: What is no element, or one tag: whether it ends, its name, its attributes, whether it is empty.
@@ -159,8 +158,9 @@ def _scan(batches: Iterator[pa.RecordBatch], end: str, kinds: pa.Schema) -> Iter
                     out.append((*current, nth, ref, *[m[n] for n in NAMES[:-1]], list(m["data"].items()), *[None] * 6))
             except (ET.ParseError, ValueError) as e:
                 block.fault = repr(e)
-        yield flush()
-        out.clear()
+            if len(out) >= AT_ONCE:
+                yield flush()
+                out.clear()
     close()
     yield flush()
 
@@ -197,9 +197,9 @@ def _prefix(spark: SparkSession, path: str) -> str:
     return next((m[1] or "" for t in first if (m := re.search(r"<([\w.-]+:)?kml\b", t))), "")
 
 
-def read_map(spark: SparkSession, path: str) -> DataFrame:
+def read_map(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The markers of the map files under ``path`` (seq, its number in the file, and
-    :data:`files.MARKER`)."""
+    :data:`files.MARKER`); ``keep`` may ask for their ``file``."""
     end = f"</{_prefix(spark, path)}Placemark>"
     place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     # a file's last record ends without the tag; that the tag is missing shows in its length
@@ -210,19 +210,22 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
     summaries = rows.filter("nth is null")
     odd = summaries.filter("fault <> ''").select("file").distinct()
 
-    def fold(files: pd.DataFrame) -> pd.DataFrame:
-        blocks = files.sort_values("block").to_dict("records")
-        return pd.DataFrame([(files["file"].iloc[0], *r) for r in folded(blocks)], columns=["_file", "_block", "_ref", "_name", "since"])
+    names = ["_file", "_block", "_ref", "_name", "since"]
 
-    refs = written(summaries.select("file", "block", "n", "closes", "opens", "above", "named").groupBy("file").applyInPandas(fold, "_file string, _block long, _ref string, _name string, since long"), "map-folders")
+    def fold(file: pa.Table) -> pa.Table:
+        blocks = sorted(file.to_pylist(), key=lambda b: b["block"])
+        made = zip(*((blocks[0]["file"], *r) for r in folded(blocks)), strict=True)
+        return pa.table([pa.array(c, pa.int64() if k in ("_block", "since") else pa.string()) for k, c in zip(names, made, strict=True)], names=names)
+
+    refs = written(summaries.select("file", "block", "n", "closes", "opens", "above", "named").groupBy("file").applyInArrow(fold, "_file string, _block long, _ref string, _name string, since long"), "map-folders")
     found = rows.filter("nth is not null").join(odd, "file", "left_anti")
     joined = found.join(refs, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")) & (F.coalesce("ref", F.lit("")) == F.col("_ref")), "left")
     columns = [F.when(F.col("ref").isNull(), F.col("folder")).otherwise(F.coalesce("_name", F.lit(""))).alias("folder") if n == "folder" else F.col(n) for n in NAMES]
-    split = joined.select((F.col("nth") + F.coalesce("since", F.lit(0))).alias("seq"), *columns)
+    split = joined.select(*keep, (F.col("nth") + F.coalesce("since", F.lit(0))).alias("seq"), *columns)
     if odd.isEmpty():
         return split
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").join(odd, "file", "left_semi")
-    return split.unionByName(markers_of(texts))
+    return split.unionByName(markers_of(texts, keep))
 
 
 def _arrow(schema: str) -> pa.Schema:
