@@ -1183,3 +1183,18 @@ def test_latent_space_of_all_passages(spark, monkeypatch):
     table = pa.RecordBatch.from_arrays([pa.array([0] * len(got), pa.int32()), pa.array(list(got), pa.int64()), pa.array(list(got.values()))], names=["part", "pair", "value"])
     (out,) = decontaminate._times(iter([table]), [basis])
     assert np.allclose(np.frombuffer(out.column(1)[0].as_py())[:-1].reshape(basis.shape), want @ basis, atol=1e-2)
+
+
+def test_products_travel_in_runs():
+    """The sums of pairs go to their band as runs, not row by row; words are found as by plain search."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(200)]
+    index = decontaminate.Index(decontaminate.query_passages([(k, " ".join(rng.choice(words[:300], 40)), None) for k in range(8)]))
+    index.weigh(np.ones(len(index.vocabulary)), 5000)
+    hashes = decontaminate.word_hashes(texts)[0]
+    place, term = decontaminate.held_words(index.vocabulary, index.begun, hashes)
+    assert place.tolist() == np.flatnonzero(np.isin(hashes, index.vocabulary)).tolist() and (index.vocabulary[term] == hashes[place]).all()
+    sent = list(decontaminate._pairs(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]), [index]))
+    pairs = sum(b.num_rows for b in decontaminate._add_runs(iter(sent)))
+    assert sum(b.num_rows for b in sent) <= decontaminate.BANDS < pairs

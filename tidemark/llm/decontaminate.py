@@ -58,6 +58,8 @@ MOST_WORDS = 1 << 22
 #: Pairs of words that a task holds of an index, tasks for their products with a basis,
 #: and rounds of power iteration.
 PAIRS, PARTS, POWER = 1 << 20, 16, 2
+#: Ranges of first terms by which the sums of an index's pairs are shuffled.
+BANDS = 64
 #: Cosine that makes a candidate; shares of a query that the subsequence and the
 #: rare words must reach; the same with an answer found.
 COSINE, COVER, RARE, COVER_ANSWER, RARE_ANSWER = 0.3, 0.7, 0.6, 0.5, 0.5
@@ -161,6 +163,22 @@ def lcs(query: np.ndarray, region: np.ndarray) -> int:
     return len(query) - row.bit_count()
 
 
+def filled(vocabulary: np.ndarray) -> np.ndarray:
+    """Whether a word of a vocabulary begins with each pattern of some bits; few others do."""
+    bits = min(24, max(12, 4 + len(vocabulary).bit_length()))
+    out = np.zeros(1 << bits, bool)
+    out[vocabulary >> np.uint64(64 - bits)] = True
+    return out
+
+
+def held_words(vocabulary: np.ndarray, begun: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words that a sorted vocabulary (and what :func:`filled` gives) holds, and their numbers in it."""
+    some = np.flatnonzero(begun[hashes >> np.uint64(65 - len(begun).bit_length())])
+    at = np.minimum(np.searchsorted(vocabulary, hashes[some]), len(vocabulary) - 1)
+    hit = vocabulary[at] == hashes[some]
+    return some[hit], at[hit]
+
+
 class Index:
     """A part of the queries: vocabulary with weights, basis, latent queries."""
 
@@ -168,6 +186,7 @@ class Index:
         self.queries = queries
         self.words = [q["words"].tolist() for q in queries]
         self.vocabulary = np.unique(np.concatenate([q["words"] for q in queries]))
+        self.begun = filled(self.vocabulary)
         self.idf = np.zeros(len(self.vocabulary), np.float32)
         #: Weight of words outside the vocabulary.
         self.rarest = 1.0
@@ -175,8 +194,10 @@ class Index:
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words in the vocabulary, -1 for others."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, -1)
+        out = np.full(len(hashes), -1)
+        place, term = held_words(self.vocabulary, self.begun, hashes)
+        out[place] = term
+        return out
 
     def weigh(self, df: np.ndarray, passages: int) -> None:
         n = max(passages, 2)
@@ -229,38 +250,63 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterato
     """Passages that hold each word of a sorted vocabulary (word, n); the null word has
     the number of passages."""
     counts = np.zeros(len(vocabulary), np.int64)
-    passages = 0
+    passages, begun = 0, filled(vocabulary)
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for lo, hi in slices([len(t or "") for t in texts]):
             hashes, first = word_hashes(texts[lo:hi])
             block, start = blocks_of(first, WINDOW)
             passages += int(start[-1])
-            at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-            hit = np.flatnonzero(vocabulary[at] == hashes)
-            seen = np.unique(block[hit] * len(vocabulary) + at[hit])
+            place, term = held_words(vocabulary, begun, hashes)
+            seen = np.unique(block[place] * len(vocabulary) + term)
             np.add.at(counts, seen % len(vocabulary), 1)
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array([*vocabulary[some].view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(counts[some], passages))], names=["word", "n"])
 
 
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in order and the sums of their values."""
+    pairs, values = (np.concatenate(x) for x in zip(*runs, strict=True))
+    known, at = np.unique(pairs, return_inverse=True)
+    return known, np.bincount(at, values)
+
+
+RUNS = "part int, band int, pairs binary, sums binary"
+
+
+def _runs(part: int, runs: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [(part, band, pairs.tobytes(), values.tobytes()) for band, pairs, values in runs]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "band", "pairs", "sums"])
+
+
+def _add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, pair, value) of runs, those of a band merged; a band has a bounded number of pairs."""
+    held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for part, band, pairs, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            runs = held.setdefault((part, band), [])
+            runs.append((np.frombuffer(pairs, np.int64), np.frombuffer(values)))
+            if len(runs) > 1 and sum(len(p) for p, _ in runs[1:]) > max(PAIRS // BANDS, len(runs[0][0])):
+                runs[:] = [_merged(runs)]
+    for (part, _), runs in held.items():
+        pairs, values = _merged(runs)
+        for lo in range(0, len(pairs), 1 << 16):
+            own = pairs[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part), pa.int32()), pa.array(own), pa.array(values[lo : lo + (1 << 16)])], names=["part", "pair", "value"])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], indexes: list[Index]) -> Iterator[pa.RecordBatch]:
     """Sums of A^T A over passages, for each index (part) by pair of terms, the lesser first;
-    pair -1 counts the passages with terms.  What is in hand is bounded by ``PAIRS``."""
-    names, kinds = ("part", "pair", "value"), (pa.int32(), pa.int64(), pa.float64())
+    pair -1 counts the passages with terms.  Rows are sorted runs of pairs whose first terms
+    share a band.  What is in hand is bounded by ``PAIRS``."""
     held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in indexes]
 
-    def merged(k: int) -> tuple[np.ndarray, np.ndarray]:
-        pairs, values = (np.concatenate(x) for x in zip(*held[k], strict=True))
-        known, at = np.unique(pairs, return_inverse=True)
-        return known, np.bincount(at, values)
-
     def out(k: int) -> Iterator[pa.RecordBatch]:
-        pairs, values = merged(k)
+        pairs, values = _merged(held[k])
         held[k].clear()
-        for lo in range(0, len(pairs), 1 << 16):
-            own = (np.full(len(pairs[lo : lo + (1 << 16)]), k), pairs[lo : lo + (1 << 16)], values[lo : lo + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, kinds, strict=True)], names=names)
+        size = len(indexes[k].vocabulary)
+        edges = np.searchsorted(pairs, [-1, *(size * (size * b // BANDS) for b in range(1, BANDS)), size * size])
+        yield _runs(k, [(b, pairs[lo:hi], values[lo:hi]) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if lo < hi])
 
     for batch in batches:
         texts = batch.column(0).to_pylist()
@@ -268,11 +314,13 @@ def _pairs(batches: Iterator[pa.RecordBatch], indexes: list[Index]) -> Iterator[
             hashes, first = word_hashes(texts[lo:hi])
             block, _ = blocks_of(first, WINDOW)
             for k, index in enumerate(indexes):
-                term = index.terms(hashes)
-                use = (term >= 0) & ~index.common[np.maximum(term, 0)]
-                if not use.any():
+                use, term = held_words(index.vocabulary, index.begun, hashes)
+                rare = ~index.common[term]
+                use, term = use[rare], term[rare]
+                if not len(use):
                     continue
-                term, row, size = term[use], np.unique(block[use], return_inverse=True)[1], len(index.vocabulary)
+                own, size = block[use], len(index.vocabulary)
+                row = np.cumsum(np.diff(own, prepend=own[0]) > 0)  # blocks ascend
                 norm = np.bincount(row, index.idf[term].astype(np.float64) ** 2)
                 cell, often = np.unique(row * size + term, return_counts=True)
                 row, term = cell // size, cell % size
@@ -283,7 +331,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], indexes: list[Index]) -> Iterator[
                 right = left + np.arange(len(left)) - np.repeat(np.cumsum(reach) - reach, reach)
                 held[k].append((np.append(term[left] * size + term[right], -1), np.append(weight[left] * weight[right], len(norm))))
                 if sum(len(p) for p, _ in held[k]) > PAIRS:
-                    held[k][:] = [merged(k)]
+                    held[k][:] = [_merged(held[k])]
                     if len(held[k][0][0]) > PAIRS // 2:
                         yield from out(k)
     for k in range(len(indexes)):
@@ -291,20 +339,27 @@ def _pairs(batches: Iterator[pa.RecordBatch], indexes: list[Index]) -> Iterator[
             yield from out(k)
 
 
+def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to those of ``total`` at the places ``at``."""
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        total[at[order][first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 def _times(batches: Iterator[pa.RecordBatch], bases: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """(A^T A) Q of a part of the pairs and the number of passages, for each index as one binary."""
     sums, rows = [np.zeros(b.shape) for b in bases], np.zeros(len(bases))
     for batch in batches:
         part, pair, value = (batch.column(k).to_numpy() for k in range(3))
         for k, (basis, total) in enumerate(zip(bases, sums, strict=True)):
-            own = part == k
-            rows[k] += value[own & (pair < 0)].sum()
-            own &= pair >= 0
-            for lo in range(0, int(own.sum()), 4096):  # products of pairs are as wide as the basis
-                some = np.flatnonzero(own)[lo : lo + 4096]
+            rows[k] += value[(part == k) & (pair < 0)].sum()
+            own = np.flatnonzero((part == k) & (pair >= 0))
+            for lo in range(0, len(own), 4096):  # products of pairs are as wide as the basis
+                some = own[lo : lo + 4096]
                 i, j, v = pair[some] // len(basis), pair[some] % len(basis), value[some, None]
-                np.add.at(total, i, v * basis[j])
-                np.add.at(total, j[i != j], (v * basis[i])[i != j])
+                _add_rows(total, i, v * basis[j])
+                _add_rows(total, j[i != j], (v * basis[i])[i != j])
     yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([np.append(s, n).tobytes() for s, n in zip(sums, rows, strict=True)], pa.binary())], names=["part", "sum"])
 
 
@@ -345,8 +400,8 @@ def fit(docs: DataFrame, indexes: list[Index]) -> None:
 def products(docs: DataFrame, indexes: list[Index]) -> DataFrame:
     """(part, pair, value): what :func:`_pairs` sums, over all passages of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(indexes)
-    pairs = docs.select("text").mapInArrow(lambda it: _pairs(it, shared.value), "part int, pair long, value double")
-    return materialise(pairs.groupBy("part", "pair").agg(F.sum("value").alias("value")), "products")
+    pairs = docs.select("text").mapInArrow(lambda it: _pairs(it, shared.value), RUNS)
+    return materialise(pairs.repartition(BANDS, "part", "band").mapInArrow(_add_runs, "part int, pair long, value double"), "products")
 
 
 def fit_bases(docs: DataFrame, indexes: list[Index], seed: int = 17) -> None:
@@ -360,7 +415,7 @@ def fit_bases(docs: DataFrame, indexes: list[Index], seed: int = 17) -> None:
         bases.append(np.linalg.qr(np.random.default_rng(seed).standard_normal((len(index.vocabulary), rank)))[0])
     for _ in range(POWER):
         state = spark.sparkContext.broadcast(bases)
-        parts = summed.repartition(PARTS).mapInArrow(lambda it, s=state: _times(it, s.value), "part int, sum binary")
+        parts = summed.coalesce(PARTS).mapInArrow(lambda it, s=state: _times(it, s.value), "part int, sum binary")
         # two steps, so that no task and not the driver meets a matrix of every partition
         for width in (int(PARTS**0.5), 1):
             parts = parts.repartition(width).mapInArrow(_add_up, "part int, sum binary")
@@ -383,11 +438,12 @@ def candidates(index: Index, hashes: np.ndarray, first: np.ndarray, cosine: floa
     """(text, first word in the text, query, cosine) of windows near a query."""
     half = WINDOW // 2
     block, start = blocks_of(first, half)
-    term = index.terms(hashes)
-    weight = np.where(term >= 0, index.idf[np.maximum(term, 0)], np.float32(index.rarest)).astype(np.float32)
+    place, term = held_words(index.vocabulary, index.begun, hashes)
+    known, weight = block[place], index.idf[term]
     n = int(start[-1])
-    every = np.bincount(block, weight * weight, minlength=n + 1)
-    most = [np.bincount(block, np.where(term >= 0, x[np.maximum(term, 0)], 0), minlength=n + 1) for x in (index.peak, index.share)]
+    others = np.bincount(block, minlength=n + 1) - np.bincount(known, minlength=n + 1)
+    every = others * float(np.float32(index.rarest) ** 2) + np.bincount(known, weight * weight, minlength=n + 1)
+    most = [np.bincount(known, x[term], minlength=n + 1) for x in (index.peak, index.share)]
     ends = np.zeros(n, bool)
     ends[start[1:][np.diff(start) > 0] - 1] = True  # a text's last block is a window of its own
     follows = np.where(ends, 0, 1)
@@ -402,8 +458,8 @@ def candidates(index: Index, hashes: np.ndarray, first: np.ndarray, cosine: floa
     need[window] = True
     need[window + follows[window]] = True
     number = np.cumsum(need) - 1
-    use = (term >= 0) & need[block] & (weight > 0)
-    order = number[block[use]]
+    use = need[known] & (weight > 0)
+    order = number[known[use]]
     latent = np.zeros((int(number[-1]) + 1, index.basis.shape[1]), np.float32)
     if use.any():
         rows = index.weighted[term[use]]
