@@ -117,6 +117,19 @@ def test_gates(one):
     assert one(report.may_write(n(5), n(0))) is False and one(report.may_write(n(0), n(0))) is True
 
 
+def test_report_of_a_kept_base_reads_it_once(spark):
+    base, fresh = spark.range(5).selectExpr("cast(id as string) key"), spark.range(3, 7).selectExpr("cast(id as string) key")
+    kept = snapshot.run_counts(base, base, fresh)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Range (0, 5") == 1
+    assert kept.first().asDict() == {"rows_before": 5, "rows_after": 5, "captured": 4, "new_keys": 0, "removed_keys": 0, "fresh_new_keys": 2}
+    assert snapshot.run_counts(base, fresh, fresh).first().asDict() == {"rows_before": 5, "rows_after": 4, "captured": 4, "new_keys": 2, "removed_keys": 3, "fresh_new_keys": 2}
+
+
+def test_first_per_key_is_no_aggregate_of_whole_rows(spark):
+    plan = dedupe.first_per_key(spark.range(9).selectExpr("id seq", "id % 2 k"), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "min_by" not in plan  # before the shuffle and after it
+
+
 def test_text_segments_of_a_long_notice(spark):
     text = "".join(f"\nLOTE {k} - Peça {k}" for k in range(1, 4001))
     rows = extract.text_segments(spark.createDataFrame([(1, text, "http://h/e.pdf")], "id int, t string, src string"), "t", ["id", "src"])
