@@ -90,7 +90,8 @@ def snapshot_rows(spark: SparkSession, path: str) -> DataFrame:
     blocks = lines.groupBy(F.col("file").alias("_file"), F.col("block").alias("_block")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1))  # a row a block
     blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
-    placed = lines.join(blocks, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    # said outright, as by their estimated sizes Spark would broadcast the lines
+    placed = lines.join(F.broadcast(blocks), (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
     return placed.filter("not head and not tail").select((F.col("before") + F.col("id") - F.col("first") - 1).alias("seq"), "row")  # the head is line 0
 
 
